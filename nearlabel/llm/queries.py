@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import packing, rans, token_counts
+from nearlabel.llm import packing, perspectives, rans, secrets, token_counts
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -29,14 +29,35 @@ def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("found"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    return documents.select(
+        "doc_id",
+        *[secrets.count_of(F.col("found"), kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.joined(F.filter("found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(documents, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_rans": op2_rans, "op9_token_counts": op9_token_counts}
+    return {
+        "op1_packing": op1_packing,
+        "op2_rans": op2_rans,
+        "op4_perspectives": op4_perspectives,
+        "op7_secrets": op7_secrets,
+        "op9_token_counts": op9_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_perspectives": perspectives.ORACLE}
