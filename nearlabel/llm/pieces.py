@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are worked on at once, and entries of the memo; both bound a worker's memory.
-BATCH_BYTES = 4 << 20
-MEMO_ENTRIES = 1_000_000
+BATCH_BYTES = 6 << 20
+MEMO_ENTRIES = 700_000
 WORD_ENTRIES = 200_000
 
 _UNSAFE = re.compile(r"\s ").search

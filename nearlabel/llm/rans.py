@@ -136,14 +136,14 @@ def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                flat, counts = enc.ids(batch.column(1).slice(lo, 512).to_pylist())
+            for lo in range(0, batch.num_rows, 2048):
+                flat, counts = enc.ids(batch.column(1).slice(lo, 2048).to_pylist())
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, np.array(end_id, enc.dtype)) if len(counts) else flat
                 ends = (ends + np.arange(1, len(ends) + 1)) * enc.dtype.itemsize
                 raw = flat.tobytes()
                 rows = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512).cast(pa.int64()), pa.array(rows, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 2048).cast(pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
     return run
 
