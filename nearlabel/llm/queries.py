@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, packing, perspectives, rans, secrets, token_counts
+from nearlabel.llm import decontaminate, packing, perspectives, rans, secrets, token_counts, voronoi_knn
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -54,6 +54,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return voronoi_knn.knn_join(embeddings, embeddings.filter(F.col("vec_id") % 50 == 0), work=fresh_dir(spark, "knn"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -62,8 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_decontaminate": op8_decontaminate,
         "op9_token_counts": op9_token_counts,
+        "op10_voronoi_knn": op10_voronoi_knn,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspectives": perspectives.ORACLE}
+    return {"op4_perspectives": perspectives.ORACLE, "op10_voronoi_knn": voronoi_knn.ORACLE}
