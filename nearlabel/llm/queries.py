@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, packing, perspectives, rans, secrets, token_counts, voronoi_knn
+from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, voronoi_knn
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -33,6 +33,10 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("found"))
     base = [r.kind for r in secrets.BASE_RULES]
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_rans": op2_rans,
         "op4_perspectives": op4_perspectives,
+        "op6_fragment_join": op6_fragment_join,
         "op7_secrets": op7_secrets,
         "op8_decontaminate": op8_decontaminate,
         "op9_token_counts": op9_token_counts,
