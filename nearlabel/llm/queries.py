@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, voronoi_knn
+from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -29,6 +29,16 @@ def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels.filter(~held_out("doc_id")).select("doc_id", "toxic"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -67,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_rans": op2_rans,
+        "op3_toxicity": op3_toxicity,
         "op4_perspectives": op4_perspectives,
         "op6_fragment_join": op6_fragment_join,
         "op7_secrets": op7_secrets,
