@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn
+from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn, wrappers
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -43,6 +43,11 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op6_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragment_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90)
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rans": op2_rans,
         "op3_toxicity": op3_toxicity,
         "op4_perspectives": op4_perspectives,
+        "op5_wrappers": op5_wrappers,
         "op6_fragment_join": op6_fragment_join,
         "op7_secrets": op7_secrets,
         "op8_decontaminate": op8_decontaminate,
