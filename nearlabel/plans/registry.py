@@ -1,11 +1,624 @@
-"""Names of the core library's queries, each with the SQL that checks it."""
+"""Names of the core library's queries, each over whole tables, and the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearlabel.functions import text as T
+from nearlabel.functions import vectors as V
+from nearlabel.operators import dictionary as D
+from nearlabel.operators import graph, lsh, ml, suggest
+from nearlabel.session import table, work_dir
+from nearlabel.sources import io
+from nearlabel.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Smaller hashing for the embeddings' queries, and one for passages, whose similarity to documents is low.
+SMALL = lsh.Params(tables=6, bits=8, capacity=50, top_candidates=30, top_k=10)
+PASSAGE = lsh.Params(tables=12, bits=8)
+#: A small variant dictionary for the tables' invented words; line numbers decide between repeated variants.
+VARIANTS = [("thr", "the", 0), ("onha", "on", 1), ("erin", "er", 2), ("andnd", "and", 3), ("onha", "one", 4), ("reou", "the", 5), ("esed", "es", 6)]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL of the text rules.
+
+
+def _sub(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+
+def _s_space(x: str) -> str:
+    return f"trim({_sub(x, r'\s+', ' ')})"
+
+
+def _s_squeeze(x: str) -> str:
+    return reduce(lambda y, c: _sub(y, c + c + "+", c), "abcdefghijklmnopqrstuvwxyz", x)
+
+
+def _s_marks(x: str) -> str:
+    return f"replace(replace(replace({x}, '&amp;', '&'), '#', ''), 'RT', '')"
+
+
+S_URLS, S_NAMES, S_NUMBERS = r"((www\.[\s]+)|(https?://[^\s]+))", r"@([^\s]+)", r"[1-9]\s*(\w+)"
+
+
+def _s_preprocess(x: str) -> str:
+    return _s_marks(_sub(_s_squeeze(_sub(_sub(_s_space(x), S_URLS), S_NAMES)), S_NUMBERS))
+
+
+def _s_words(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '[^A-Za-z0-9_£$%<>]'), lambda w: w <> '')"
+
+
+def _s_four(x: str) -> str:
+    return _sub(_sub(_sub(_sub(f"lower({x})", r"rt\s"), r"[\d,]+"), r"https?://\S+"), r"@\S+")
+
+
+def _s_set(x: str) -> str:
+    return rf"list_sort(list_distinct(list_filter(string_split_regex({_s_four(x)}, '\W+'), lambda w: w <> '')))"
+
+
+S_VARIANTS = "(VALUES " + ", ".join(f"('{v}', '{n}', {k})" for v, n, k in VARIANTS) + ") x(variant, normal, line)"
+S_LAST = f"(SELECT variant, arg_max(normal, line) AS normal FROM {S_VARIANTS} GROUP BY variant)"
+S_DOC_TOKENS = f"(SELECT doc_id, unnest({_s_words('text')}) AS token FROM documents)"
+S_DF = f"(SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, token FROM {S_DOC_TOKENS}) GROUP BY token)"
+S_DICT = f"(SELECT token, df, ln((SELECT count(*) FROM documents)) / (df + 1) AS idf, row_number() OVER (ORDER BY token) - 1 AS position FROM {S_DF} WHERE df > 1)"
+S_TFIDF = f"(SELECT doc_id, position AS pos, tf * idf AS w FROM (SELECT doc_id, token, count(*) AS tf FROM {S_DOC_TOKENS} GROUP BY ALL) JOIN {S_DICT} USING (token))"
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def variants(spark: SparkSession) -> DataFrame:
+    return D.last_wins(spark.createDataFrame(VARIANTS, "variant string, normal string, line int"))
+
+
+# Text.
+
+
+@query(f"SELECT doc_id, {_s_preprocess('text')} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.preprocess(F.col("text")).alias("clean"))
+
+
+@query(
+    f"SELECT doc_id, {_s_space('text')} AS spaces, {_sub('text', S_URLS)} AS urls, {_sub('text', S_NAMES)} AS names, {_s_squeeze('text')} AS squeezed, {_sub('text', S_NUMBERS)} AS numbers, {_s_marks('text')} AS marks FROM documents"
+)
+def clean_steps(spark, sf_dir):
+    c = F.col("text")
+    return docs(spark, sf_dir).select(
+        "doc_id", T.collapse_space(c).alias("spaces"), T.delete_urls(c).alias("urls"), T.delete_mentions(c).alias("names"), T.squeeze_repeats(c).alias("squeezed"), T.delete_numbers(c).alias("numbers"), T.delete_marks(c).alias("marks")
+    )
+
+
+@query(f"SELECT doc_id, array_to_string({_s_words(_s_preprocess('text'))}, ' ') AS tokens, len({_s_words(_s_preprocess('text'))}) AS n FROM documents")
+def tokenize_words(spark, sf_dir):
+    w = docs(spark, sf_dir).select("doc_id", T.words(T.preprocess(F.col("text"))).alias("w"))
+    return w.select("doc_id", F.array_join("w", " ").alias("tokens"), F.size("w").cast("bigint").alias("n"))
+
+
+@query(f"SELECT doc_id, array_to_string({_s_set('text')}, ' ') AS tokens FROM documents")
+def tokenize_set(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.word_set(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, {_sub(_s_four('text'), r'\W+', ' ')} AS tweet FROM documents")
+def cleantweet(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.clean_for_index(F.col("text")).alias("tweet"))
+
+
+@query(f"SELECT coalesce(normal, t.token) AS token, count(*) AS n FROM {S_DOC_TOKENS} t LEFT JOIN {S_LAST} v ON t.token = v.variant GROUP BY ALL")
+def oov_normalize(spark, sf_dir):
+    tokens = D.exploded(docs(spark, sf_dir), T.words(F.col("text")))
+    return D.normalize(tokens, variants(spark)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "WITH h AS (SELECT item_id, list_reduce(list_prepend(CAST(7 AS HUGEINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda h, c: (h * 31 + c) % 18446744073709551616) AS h FROM benchmark) "
+    "SELECT item_id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS VARCHAR) AS id FROM h"
+)
+def fake_id(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.generated_id(F.col("text")).alias("id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type || CASE WHEN event_id % 3 = 2 THEN ' more' ELSE '' END END AS labels FROM events")
+def extract_tags_json(spark, sf_dir):
+    one = F.concat(F.lit('{"text":"'), F.col("event_type"), F.lit('"}'))
+    body = F.when(F.col("event_id") % 3 == 0, F.lit("[]")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit("["), one, F.lit(',{"text":"more"}]')))
+    return table(spark, sf_dir, "events").select("event_id", T.labels_from_json(body).alias("labels"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') || '+0000' AS created FROM events")
+def parse_created_at(spark, sf_dir):
+    raw = F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
+    return table(spark, sf_dir, "events").select("event_id", T.created_at(raw).alias("created"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND text <> '' AND doc_id % 7 > 0 AND doc_id % 5 > 0")
+def valid_filter(spark, sf_dir):
+    raw = docs(spark, sf_dir).withColumn("created_at", F.when(F.col("doc_id") % 5 > 0, F.lit("now"))).withColumn("delete", F.when(F.col("doc_id") % 7 == 0, F.lit("{}")))
+    return raw.filter(io.is_valid(raw)).select("doc_id")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_map_project(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].cast("bigint").alias("k"))
+
+
+@query("SELECT event_type AS tag, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def split_log_envelope(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.concat_ws("\t", F.col("ts").cast("string"), "event_type", "props").alias("value"))
+    return io.envelope(lines, "k bigint").select("tag", F.col("body.k").alias("k")).groupBy("tag", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, lang || ',' || source AS joined, 2 AS n FROM documents")
+def array_join_tags(spark, sf_dir):
+    joined = docs(spark, sf_dir).select("doc_id", F.array_join(F.array("lang", "source"), ",").alias("joined"))
+    return joined.withColumn("n", F.size(T.split_labels(F.col("joined"))))
+
+
+@query(
+    r"SELECT doc_id, trim(regexp_replace(text, '(http://|@)[^ \t]*[ \t]?', ' ', 'g')) AS plain, lang || '<--->' || source AS shown, text AS third, "
+    r"'1,2,x,' || regexp_replace(regexp_replace(text, '[^\x20-\x7e\t\n\r\x0b\x0c]', '', 'g'), '\n', ' ', 'g') AS record FROM documents WHERE text NOT LIKE '%' || chr(9) || '%' AND text <> ''"
+)
+def unused_helpers(spark, sf_dir):
+    d = docs(spark, sf_dir).filter(~F.col("text").contains("\t") & (F.col("text") != ""))
+    line = F.concat(F.lit("a\t\tb\t"), F.col("text"))
+    return d.select("doc_id", T.remove_links_and_replies(F.col("text")).alias("plain"), T.rendered(F.col("lang"), F.col("source")).alias("shown"), T.tsv_field(line, 2).alias("third"), T.record(F.lit(1), F.lit(2), F.lit("x"), F.col("text")).alias("record"))
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_filter(string_split_regex(replace(lower(text), '#', ''), '\\s+'), lambda w: w <> '' AND NOT starts_with(w, '@') AND NOT starts_with(w, 'http')), ' ') AS words FROM documents"
+)
+def plain_words(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.plain_words(F.col("text")).alias("words"))
+
+
+# Statistics.
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM {S_DOC_TOKENS} GROUP BY doc_id")
+def explode_tokens(spark, sf_dir):
+    return D.exploded(docs(spark, sf_dir), T.words(F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedupe_top1(spark, sf_dir):
+    return io.dedupe(docs(spark, sf_dir).select("text", "doc_id"), "text", "doc_id")
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_rows(spark, sf_dir):
+    return docs(spark, sf_dir).select("lang", "source").distinct()
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
+def limit_sample(spark, sf_dir):
+    return io.scan(docs(spark, sf_dir), ["doc_id", "lang"], 100, "doc_id")
+
+
+@query("SELECT 'total' AS name, count(*) AS n FROM documents")
+def doc_total(spark, sf_dir):
+    return D.doc_total(docs(spark, sf_dir))
+
+
+def _sets(least: int) -> str:
+    return f"SELECT token, count(*) AS df FROM (SELECT unnest({_s_set('text')}) AS token FROM documents) GROUP BY token HAVING count(*) >= {least}"
+
+
+@query(_sets(1))
+def doc_freq(spark, sf_dir):
+    return D.doc_freq(docs(spark, sf_dir), T.word_set(F.col("text")))
+
+
+@query(_sets(2))
+def doc_freq_having(spark, sf_dir):
+    return D.doc_freq(docs(spark, sf_dir), T.word_set(F.col("text")), 2)
+
+
+@query(
+    f"WITH v AS {S_LAST}, n AS (SELECT coalesce(normal, d.token) AS token, sum(df) AS df FROM {S_DF} d LEFT JOIN v ON d.token = v.variant GROUP BY ALL) "
+    "SELECT token, CAST(df AS BIGINT) AS df FROM n WHERE token NOT IN (SELECT variant FROM v) UNION ALL SELECT variant, CAST(df AS BIGINT) FROM v JOIN n ON v.normal = n.token"
+)
+def oov_df_merge(spark, sf_dir):
+    return D.merge_variants(D.doc_freq(docs(spark, sf_dir), T.words(F.col("text"))), variants(spark))
+
+
+@query(f"SELECT token, df, round(ln((SELECT count(*) FROM documents)) / (df + 1), 6) AS idf, round(log10((SELECT count(*) FROM documents)) / (df + 1), 6) AS idf10, round(ln((SELECT count(*) FROM documents) / (df + 1)), 6) AS ratio FROM {S_DF}")
+def idf_table(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    n = d.agg(F.count(F.lit(1)).alias("n"))
+    df = D.doc_freq(d, T.words(F.col("text"))).crossJoin(F.broadcast(n))
+    idf = lambda mode: F.round(D.idf(F.col("n"), F.col("df"), mode), 6)
+    return df.select("token", "df", idf("log_over_df").alias("idf"), idf("log10_over_df").alias("idf10"), idf("log_ratio").alias("ratio"))
+
+
+@query(f"SELECT token, row_number() OVER (ORDER BY token) - 1 AS position FROM {S_DF}")
+def positions(spark, sf_dir):
+    return D.positions(D.exploded(docs(spark, sf_dir), T.words(F.col("text"))))
+
+
+@query(f"SELECT doc_id, token, count(*) AS tf FROM {S_DOC_TOKENS} GROUP BY ALL")
+def term_freq(spark, sf_dir):
+    return D.term_freq(docs(spark, sf_dir), T.words(F.col("text")))
+
+
+def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("tokens"))
+    return D.tfidf(D.term_freq(d, F.col("tokens")), D.build(d, F.col("tokens")))
+
+
+@query(f"SELECT doc_id, pos, round(w, 6) AS w FROM {S_TFIDF}")
+def tfidf_vectors(spark, sf_dir):
+    return _tfidf(spark, sf_dir).withColumn("w", F.round("w", 6))
+
+
+@query(f"SELECT doc_id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM {S_TFIDF}")
+def l2_normalized(spark, sf_dir):
+    return V.l2_normalize(_tfidf(spark, sf_dir)).withColumn("w", F.round("w", 6))
+
+
+@query(f"SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM {S_TFIDF} GROUP BY doc_id")
+def vector_norms(spark, sf_dir):
+    return V.norms(_tfidf(spark, sf_dir)).withColumn("norm", F.round("norm", 6))
+
+
+S_COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+@query(
+    "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), l AS (SELECT label, min(vec_id) AS vec_id FROM v GROUP BY label) "
+    f"SELECT v.vec_id, round({S_COS.format(a='v.e', b='c.e')}, 6) AS cos_sim, round(list_dot_product(v.e, c.e), 6) AS dot FROM v JOIN l USING (label) JOIN v c ON c.vec_id = l.vec_id"
+)
+def cosine_embeddings(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return v.join(first, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("first")), 6).alias("cos_sim"), F.round(V.dot(F.col("embedding"), F.col("first")), 6).alias("dot"))
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(list_transform(e, lambda x: abs(x))), 6) AS first FROM v")
+def l1_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(V.l1_normalize(F.col("embedding")), F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH d AS {S_DICT}, t AS (SELECT DISTINCT item_id, unnest({_s_words('text')}) AS token FROM benchmark) SELECT item_id, t.token, coalesce(df, 0) AS df, coalesce(position, -1) AS position FROM t LEFT JOIN d USING (token)")
+def lookup_missing(spark, sf_dir):
+    entries = D.build(docs(spark, sf_dir), T.words(F.col("text")))
+    tokens = D.exploded(table(spark, sf_dir, "benchmark"), T.words(F.col("text")), "item_id").distinct()
+    return D.lookup(tokens, entries).select("item_id", "token", "df", "position")
+
+
+@query(f"SELECT token || ':token' AS key, CAST(df AS VARCHAR) AS df FROM {S_DICT}")
+def kv_records(spark, sf_dir):
+    records = io.kv_records(D.build(docs(spark, sf_dir), T.words(F.col("text"))).select("token", "df"))
+    return records.select("key", F.col("fields")["df"].alias("df"))
+
+
+# Online states.
+
+
+@query("SELECT event_id, sum(count(*)) OVER (ORDER BY event_id // 100 RANGE UNBOUNDED PRECEDING)::BIGINT AS d FROM events GROUP BY event_id")
+def running_doc_count(spark, sf_dir):
+    return D.running_count(table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("batch"))).select("event_id", "d")
+
+
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 100).alias("batch"), F.explode(T.words(F.col("text"))).alias("token"))
+    return d
+
+
+@query(f"SELECT token, batch, CAST(sum(n) OVER (PARTITION BY token ORDER BY batch) AS BIGINT) AS df FROM (SELECT token, doc_id // 100 AS batch, count(DISTINCT doc_id) AS n FROM {S_DOC_TOKENS} GROUP BY ALL)")
+def running_doc_freq(spark, sf_dir):
+    return D.running_freq(_batched(spark, sf_dir))
+
+
+@query(f"SELECT token, row_number() OVER (ORDER BY first, token) - 1 AS position, first FROM (SELECT token, min(doc_id) AS first FROM {S_DOC_TOKENS} GROUP BY token)")
+def first_seen_positions(spark, sf_dir):
+    return D.first_seen(_batched(spark, sf_dir), "doc_id")
+
+
+# Hashing and buckets, over the embeddings.
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("pos", "x"))
+    return v.select("doc_id", "pos", F.round(F.col("x").cast("double") * 1_000_000).cast("bigint").alias("q"))
+
+
+def _sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.signatures(_rows(spark, sf_dir), SMALL)
+
+
+def _s_sigs(p: lsh.Params) -> str:
+    total = " + ".join(f"CASE WHEN sum(CASE WHEN substr(h, {b + 1}, 1) < '8' THEN q ELSE -q END) >= 0 THEN {1 << b} ELSE 0 END" for b in range(p.bits))
+    rows = "SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS pos, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000000) AS BIGINT) AS q FROM embeddings"
+    return f"(SELECT doc_id, tbl, CAST({total} AS INTEGER) AS bucket FROM (SELECT doc_id, q, CAST(t AS INTEGER) AS tbl, md5(t || ':' || pos || ':{p.seed}') AS h FROM ({rows}), range({p.tables}) r(t)) GROUP BY doc_id, tbl)"
+
+
+S_SIGS = _s_sigs(SMALL)
+S_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY tbl, bucket ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY tbl, bucket) AS cnt FROM {S_SIGS})"
+S_KEPT = f"(SELECT doc_id, tbl, bucket FROM {S_NUMBERED} WHERE cnt - rn < {SMALL.capacity})"
+S_CANDS = f"(SELECT q.doc_id AS query_id, c.doc_id AS cand_id, q.tbl FROM {S_SIGS} q JOIN {S_KEPT} c USING (tbl, bucket) WHERE q.doc_id % 5 = 0)"
+
+
+@query(
+    f"SELECT CAST(t AS INTEGER) AS tbl, CAST(b AS INTEGER) AS bit, CAST(d AS INTEGER) AS dim, CASE WHEN substr(md5(t || ':' || d || ':{SMALL.seed}'), b + 1, 1) < '8' THEN 1 ELSE -1 END AS w FROM range({SMALL.tables}) x(t), range({SMALL.bits}) y(b), range(64) z(d)"
+)
+def lsh_planes(spark, sf_dir):
+    return lsh.planes(spark, 64, SMALL)
+
+
+@query(f"SELECT doc_id, tbl, bucket FROM {S_SIGS}")
+def lsh_signature(spark, sf_dir):
+    return _sigs(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, tbl, bucket FROM {S_KEPT}")
+def bucket_fifo(spark, sf_dir):
+    return lsh.kept(_sigs(spark, sf_dir), SMALL).select("doc_id", "tbl", "bucket")
+
+
+S_BEFORE = f"SELECT a.doc_id, a.tbl, b.doc_id AS cand_id FROM {S_NUMBERED} a JOIN {S_NUMBERED} b USING (tbl, bucket) WHERE b.rn BETWEEN a.rn - {SMALL.capacity} AND a.rn - 1"
+
+
+@query(S_BEFORE)
+def bucket_query_then_insert(spark, sf_dir):
+    return lsh.query_then_insert(_sigs(spark, sf_dir), SMALL)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sigs = _sigs(spark, sf_dir)
+    return lsh.query_only(sigs.filter(F.col("doc_id") % 5 == 0).withColumnRenamed("doc_id", "query_id"), sigs, SMALL)
+
+
+@query(f"SELECT query_id, cand_id, tbl FROM {S_CANDS}")
+def bucket_query_only(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+
+@query(f"SELECT tbl, count(DISTINCT bucket) AS buckets, count(*) AS rows FROM {S_SIGS} GROUP BY tbl")
+def bucket_sizes(spark, sf_dir):
+    return lsh.bucket_sizes(_sigs(spark, sf_dir))
+
+
+S_COUNTS = f"(SELECT query_id, cand_id, count(*) AS n FROM {S_CANDS} GROUP BY ALL)"
+S_TOP = f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cand_id) AS INTEGER) AS rank FROM {S_COUNTS} QUALIFY rank <= {SMALL.top_candidates})"
+
+
+@query(f"SELECT query_id, cand_id, n, label FROM {S_COUNTS} JOIN (SELECT vec_id AS cand_id, label FROM embeddings) USING (cand_id)")
+def collision_count_keep(spark, sf_dir):
+    kept = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cand_id"), "label")
+    return lsh.collisions(_candidates(spark, sf_dir)).join(kept, "cand_id").select("query_id", "cand_id", "n", "label")
+
+
+@query(f"SELECT query_id, rank, cand_id, n FROM {S_TOP}")
+def topn_by_count(spark, sf_dir):
+    return lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SMALL.top_candidates, "n").select("query_id", "rank", "cand_id", "n")
+
+
+S_RANKED = (
+    f"(WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT query_id, cand_id, c.label, round({S_COS.format(a='q.e', b='c.e')}, 6) AS cos_sim FROM {S_TOP} t JOIN e q ON q.vec_id = t.query_id JOIN e c ON c.vec_id = t.cand_id) "
+    f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank, cand_id, label, cos_sim FROM s QUALIFY rank <= {SMALL.top_k})"
+)
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SMALL.top_candidates, "n").drop("rank")
+    e = table(spark, sf_dir, "embeddings")
+    met = near.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("b"), "label"), "cand_id")
+    sims = met.select("query_id", "cand_id", "label", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cos_sim"))
+    return lsh.top_n(sims, SMALL.top_k, "cos_sim")
+
+
+@query(f"SELECT query_id, rank, cand_id, cos_sim FROM {S_RANKED}")
+def topn_by_cosine(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("query_id", "rank", "cand_id", "cos_sim")
+
+
+@query(f"SELECT query_id, rank, cand_id, cos_sim FROM {S_RANKED} WHERE cos_sim > 0")
+def filter_low(spark, sf_dir):
+    return _ranked(spark, sf_dir).filter("cos_sim > 0").select("query_id", "rank", "cand_id", "cos_sim")
+
+
+@query(
+    f"WITH r AS (SELECT *, coalesce(sum(2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {S_RANKED} WHERE cos_sim > 0) "
+    "SELECT query_id, rank, unnest(['l' || label, 'g' || (label // 3)]) AS label FROM r WHERE cos_sim >= 0.2 OR before <= 5"
+)
+def suggest_labels_lsh(spark, sf_dir):
+    group = F.concat(F.lit("g"), F.floor(F.col("label") / 3).cast("string"))
+    rows = _ranked(spark, sf_dir).filter("cos_sim > 0").withColumn("labels", F.array(F.concat(F.lit("l"), F.col("label").cast("string")), group))
+    return suggest.by_neighbours(rows)
+
+
+@query(
+    f"WITH l AS (SELECT query_id, min(rank) AS rank, label FROM (SELECT query_id, rank, unnest(['l' || label, 'g' || (label // 3)]) AS label FROM {S_RANKED} WHERE cos_sim > 0) GROUP BY query_id, label), "
+    "c AS (SELECT query_id, rank, label, count(*) OVER (PARTITION BY query_id ORDER BY rank RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY query_id, rank) AS before FROM l) "
+    "SELECT query_id, rank, label FROM c WHERE before <= 5"
+)
+def suggest_labels_search(spark, sf_dir):
+    group = F.concat(F.lit("g"), F.floor(F.col("label") / 3).cast("string"))
+    rows = _ranked(spark, sf_dir).filter("cos_sim > 0").withColumn("labels", F.array(F.concat(F.lit("l"), F.col("label").cast("string")), group))
+    return suggest.by_search(rows)
+
+
+S_SEARCH = (
+    f"WITH d AS {S_TFIDF}, q AS (SELECT item_id AS query_id, position AS pos, tf * idf AS w FROM (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_s_words('text')}) AS token FROM benchmark) GROUP BY ALL) JOIN {S_DICT} USING (token)), "
+    "dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM q GROUP BY query_id), "
+    "s AS (SELECT query_id, doc_id AS cand_id, round(sum(q.w * d.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS cos_sim FROM q JOIN d USING (pos) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank, cand_id, cos_sim FROM s QUALIFY rank <= 10"
+)
+
+
+@query(S_SEARCH)
+def more_like_this(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("tokens"))
+    entries = D.build(d, F.col("tokens"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.words(F.col("text")).alias("tokens"))
+    q = D.tfidf(D.term_freq(items, F.col("tokens")), entries).withColumnRenamed("doc_id", "query_id")
+    dv = D.tfidf(D.term_freq(d, F.col("tokens")), entries)
+    # one join by position gives the dot products; scores are rounded before they are ranked, as in the check
+    dot = q.select("query_id", "pos", F.col("w").alias("qw")).join(dv, "pos").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    qn = V.norms(q, "query_id").withColumnRenamed("norm", "qn")
+    sims = dot.join(V.norms(dv), "doc_id").join(qn, "query_id").select("query_id", F.col("doc_id").alias("cand_id"), F.round(F.try_divide("dot", F.col("norm") * F.col("qn")), 6).alias("cos_sim"))
+    return lsh.top_n(sims, 10, "cos_sim").select("query_id", "rank", "cand_id", "cos_sim")
+
+
+# Graph.
+
+
+@query("SELECT user_id AS id, string_agg(CAST(k AS VARCHAR), ' ' ORDER BY k) AS neighbours FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY user_id")
+def adjacency_sets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    lines = e.groupBy("user_id").agg(F.concat_ws(" ", F.col("user_id").cast("string"), F.array_join(F.collect_list("k").cast("array<string>"), "  ")).alias("value"))
+    return graph.adjacency(lines).select("id", F.array_join(F.col("neighbours").cast("array<string>"), " ").alias("neighbours"))
+
+
+def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as vertices that point to their customer, customers to the next customer of their nation."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.pmod(F.col("user_id") * 7 + F.get_json_object("props", "$.k").cast("bigint"), F.lit(5000)).alias("dst"))
+    return e.union(e.select("dst", F.col("dst").alias("d2")).select(F.col("dst").alias("src"), F.col("d2").alias("dst"))).distinct().groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours")).withColumnRenamed("src", "id")
+
+
+S_EDGES = "(SELECT DISTINCT src, dst FROM (SELECT user_id AS src, (user_id * 7 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % 5000 AS dst FROM events) UNION SELECT DISTINCT (user_id * 7 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % 5000, (user_id * 7 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % 5000 FROM events)"
+
+
+@query(f"WITH e AS {S_EDGES}, m AS (SELECT src, least(src, min(dst)) AS m FROM e GROUP BY src), g AS (SELECT dst AS id, m FROM e JOIN m USING (src) UNION ALL SELECT src, m FROM m) SELECT id, least(id, min(m)) AS label, min(m) < id AS activated FROM g GROUP BY id")
+def graph_round1(spark, sf_dir):
+    return graph.first_labels(_directed(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE e AS {S_EDGES}, m AS (SELECT src AS id, least(src, min(dst)) AS label FROM e GROUP BY src), r AS (SELECT id, label FROM m UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id) SELECT id, min(label) AS label FROM r GROUP BY id")
+def min_label_directed(spark, sf_dir):
+    return graph.min_label_directed(_directed(spark, sf_dir))
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT DISTINCT c_custkey AS a, -1 - s_suppkey AS b FROM customer JOIN supplier ON c_custkey % 997 = s_suppkey % 997), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), "
+    "r AS (SELECT DISTINCT a AS id, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id) SELECT id, min(label) AS label FROM r GROUP BY id"
+)
+def connected_components(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 997).alias("m"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 997).alias("m"))
+    return graph.connected_components(c.join(s, "m").select(F.col("c_custkey").alias("src"), (-1 - F.col("s_suppkey")).alias("dst")))
+
+
+# Sinks.
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def upsert_last_write(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return io.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-20 00:00:00'")
+def ttl_filter(spark, sf_dir):
+    return io.unexpired(table(spark, sf_dir, "events"), "ts", 5 * 86400, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("SELECT strftime(ts, '%Y%m%d_%H') AS dt_hour, count(*) AS n FROM events GROUP BY ALL")
+def hourly_archive_counts(spark, sf_dir):
+    return io.with_hour(table(spark, sf_dir, "events")).groupBy("dt_hour").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT token, doc_id, count(*) AS tf FROM " + S_DOC_TOKENS + " GROUP BY ALL")
+def inverted_index(spark, sf_dir):
+    return io.inverted_index(D.exploded(docs(spark, sf_dir), T.words(F.col("text"))))
+
+
+@query("SELECT doc_id, lang || ',' || source AS hashtags FROM documents")
+def export_json_lines(spark, sf_dir):
+    lines = io.export_lines(docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("hashtags")))
+    return lines.select(F.from_json("value", "doc_id bigint, hashtags string").alias("v")).select("v.*")
+
+
+@query("SELECT doc_id, label, CAST(label = lang OR label = source AS INTEGER) AS y FROM documents, (SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT source FROM documents)")
+def label_indicator(spark, sf_dir):
+    return ml.indicator(docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("labels")))
+
+
+@query()
+def svm_predict(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", "text", F.array("lang").alias("labels"))
+    model = ml.train(d, ["de", "en", "es", "fr"])
+    return model.predict(d).select("doc_id", F.array_join("labels", ",").alias("labels"))
+
+
+# Streams: the whole table as available input.
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its file or files."""
+    schema = table(spark, sf_dir, name).schema
+    pattern = sf_dir.rstrip("/").rsplit("/", 1)
+    single = table(spark, sf_dir, name).select(F.input_file_name()).distinct().count() <= 1 and not sf_dir.endswith("/")
+    if single:
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet("/".join(pattern))
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _streamed(spark: SparkSession, frame: DataFrame, name: str, mode: str) -> DataFrame:
+    import uuid
+
+    unique = f"{name}_{uuid.uuid4().hex}"
+    return jobs.run_available(frame, unique, f"{work_dir(spark).rstrip('/')}/{unique}", mode)
+
+
+@query(S_BEFORE)
+def stream_fifo(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = f"{work_dir(spark).rstrip('/')}/sigs-{id(spark)}-{abs(hash(sf_dir))}"
+    _sigs(spark, sf_dir).coalesce(1).write.mode("overwrite").parquet(path)
+    sigs = spark.readStream.schema("doc_id bigint, tbl int, bucket int").parquet(path)
+    return _streamed(spark, jobs.bucket_candidates(sigs, SMALL), "fifo", "append")
+
+
+@query("SELECT event_type AS token, count(*) AS df FROM events GROUP BY ALL")
+def stream_doc_freq(spark, sf_dir):
+    stream = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("token"))
+    return _streamed(spark, jobs.running_freq(stream), "df", "complete")
+
+
+# The whole request path.
+
+
+def flagship(spark: SparkSession, sf_dir: str, p: lsh.Params | None = None) -> DataFrame:
+    """Passages without labels get labels (language, source) of their nearest documents."""
+    labelled = docs(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = suggest.neighbours(asked, labelled.select("doc_id", "text"), p)
+    rows = found.join(labelled.select(F.col("doc_id").alias("cand_id"), F.array("lang", "source").alias("labels")), "cand_id")
+    return suggest.by_neighbours(rows)
+
+
+@query()
+def request_path(spark, sf_dir):
+    return flagship(spark, sf_dir, PASSAGE)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
