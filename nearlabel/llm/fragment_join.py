@@ -11,9 +11,11 @@ that share a signature are candidates. No pair is missed, and no bucket is cappe
 Overlaps: the sets of candidates are cut into ``FRAGMENTS`` fragments; overlaps are counted fragment by fragment, each
 in its own row, and summed per pair.
 
-A bucket of N classes is not expanded into pairs: all are held against one of them (N pairs), links make components, and
-only members of a bucket that are still in different components are held against each other, without those pairs that
-have been counted before. Groups of near copies come together in the first round.
+A bucket of N classes is not expanded into pairs: all are held against one of them (N pairs), and links make components;
+groups of near copies come together here. Buckets that still lie in several components join to clusters. A cluster is cut
+into blocks of bounded size, and a task holds two blocks against each other: overlaps are products of 0/1 matrices,
+again fragment by fragment and summed, pairs within the cluster's largest component are left out, and what leaves a task
+is a spanning forest of its links. So every pair that shares a signature is decided, and no list of pairs is written.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from nearlabel.operators.graph import connected_components, cut
 from nearlabel.session import work_dir
 
-#: Fragments for the overlaps; bits of the table that tells which sets are needed again; star rounds before the rest.
-FRAGMENTS, BITS, STARS = 8, 1 << 26, 3
+#: Fragments for the overlaps; bits of the table that tells which sets are needed again; most sets and (on average)
+#: hashes of a block; columns of a matrix.
+FRAGMENTS, BITS, BLOCK, WEIGHT, COLUMNS = 8, 1 << 26, 1024, 1 << 20, 2048
 #: Bytes hashed at once; sets whose signatures a task remembers to have put out.
 PART_BYTES, SEEN = 1 << 20, 200_000
 
@@ -273,13 +276,67 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return total.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket rows with their component, without buckets that lie in one component."""
+def _forest(num: int, den: int):
+    """A spanning forest (src, dst) of the links between different components among the sets of one task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cids, first, which = np.unique(np.array(t.column("cid")), return_index=True, return_inverse=True)
+        size, label = np.array(t.column("n"))[first], np.array(t.column("label"))[first]
+        common = np.zeros((len(cids), len(cids)), np.float32)
+        frag, grams = np.array(t.column("frag")), t.column("grams")
+        for f in range(FRAGMENTS):
+            rows = np.flatnonzero(frag == f)
+            part = grams.take(pa.array(rows)).combine_chunks()
+            values = np.asarray(part.flatten())
+            owner = np.repeat(which[rows], np.asarray(part.value_lengths()))
+            _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(times > 1)  # the others are in no overlap
+            place = np.full(len(times), -1)
+            place[shared] = np.arange(len(shared))
+            column = place[column]
+            for lo in range(0, len(shared), COLUMNS):
+                use = (column >= lo) & (column < lo + COLUMNS)
+                m = np.zeros((len(cids), min(COLUMNS, len(shared) - lo)), np.float32)
+                m[owner[use], column[use] - lo] = 1
+                common += m @ m.T  # counts below 2**24 are exact
+        both = size[:, None] + size[None] - common
+        linked = (common * den >= both * num) & (label[:, None] != label[None])
+        root = np.arange(len(cids))
+        while True:
+            low = np.minimum(root, np.where(linked, root[None], len(cids)).min(axis=1, initial=len(cids)))
+            low = np.minimum(low, low[low])
+            if (low == root).all():
+                break
+            root = low
+        far = np.flatnonzero(root != np.arange(len(cids)))
+        return pa.table({"src": pa.array(cids[root[far]], pa.int64()), "dst": pa.array(cids[far], pa.int64())})
+
+    return run
+
+
+def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between classes that share a signature and lie in different components."""
     labels = connected_components(links).select(F.col("id").alias("cid"), "label")
-    named = rows.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = cut(named, "buckets")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    return cut(named.join(open_keys, "key"), "buckets")
+    named = cut(rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "buckets")
+    buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("rep")).filter("low <> high").select("key", "rep")
+    near = cut(named.join(buckets, "key").select("rep", "cid", "n", "label").distinct(), "buckets")
+    clusters = connected_components(near.select(F.col("rep").alias("src"), F.col("cid").alias("dst"))).select(F.col("id").alias("cid"), F.col("label").alias("cluster"))
+    members = near.select("cid", "n", "label").distinct().join(clusters, "cid")
+    sides = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    blocks = lambda c, g: F.ceil(F.greatest(c / BLOCK, g / WEIGHT)).cast("int")
+    top = sides.groupBy("cluster").agg(
+        F.max(F.struct("sets", "label", "grams")).alias("top"), F.sum("sets").alias("sets"), F.sum("grams").alias("grams")
+    ).select("cluster", F.col("top.label").alias("top"), blocks(F.col("sets"), F.col("grams")).alias("all"), blocks(F.col("top.sets"), F.col("top.grams")).alias("inner"), blocks(F.col("sets") - F.col("top.sets"), F.col("grams") - F.col("top.grams")).alias("outer"))
+    placed = members.join(top, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("top"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tasks = (
+        F.when(F.col("all") == 1, F.array(task(0, F.lit(0), F.lit(0))))
+        .when(F.col("label") == F.col("top"), F.transform(upto("outer"), lambda j: task(1, F.col("block"), j)))
+        .otherwise(F.concat(F.transform(upto("inner"), lambda i: task(1, i, F.col("block"))), F.transform(upto("outer"), lambda j: task(2, F.least("block", j), F.greatest("block", j)))))
+    )
+    held = placed.select("cid", "n", "label", "cluster", F.explode(tasks).alias("task")).join(sets, "cid")
+    return held.groupBy("cluster", "task").applyInArrow(_forest(num, den), "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,33 +359,10 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, rows.select("cid"))), "cid long, frag int, grams array<long>")
     sets = cut(sets.dropDuplicates(["cid", "frag"]), "sets")
     stars = rows.filter(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    tested = cut(stars.filter(within(F.col("na"), F.col("nb"))).distinct(), "pairs")
-    links = cut(_overlaps(tested, sets, num, den), "links")
-    rows = _labelled(rows.select("key", "cid", "n"), links)
-    for k in range(STARS):
-        size = rows.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
-        if not size.rows or size.pairs <= 4 * size.rows:
-            break
-        pivot = rows.groupBy("key").agg(F.min_by(F.struct("cid", "n", "label"), F.xxhash64("cid", F.lit(k))).alias("p"))
-        pairs = rows.join(pivot, "key").filter(F.col("label") != F.col("p.label"))
-        fresh = _fresh(pairs.select(F.col("p.cid").alias("x"), F.col("p.n").alias("nx"), F.col("cid").alias("y"), F.col("n").alias("ny")), tested, within)
-        links = cut(links.union(_overlaps(fresh, sets, num, den)), "links")
-        tested = cut(tested.union(fresh), "pairs")
-        rows = _labelled(rows, links)
-    other = rows.select("key", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"))
-    pairs = rows.join(other, "key").filter((F.col("label") < F.col("other")) & within(F.col("n"), F.col("ny")))
-    fresh = _fresh(pairs.select(F.col("cid").alias("x"), F.col("n").alias("nx"), "y", "ny"), tested, within)
-    links = cut(links.union(_overlaps(fresh, sets, num, den)), "links")
+    stars = stars.filter(within(F.col("na"), F.col("nb"))).distinct()
+    links = cut(_overlaps(stars, sets, num, den), "links")
+    links = cut(links.union(_rest(rows.select("key", "cid", "n"), links, sets, num, den)), "links")
     labels = connected_components(links).select(F.col("id").alias("cid"), "label")
     docs = cut(index.select("doc_id", "n", "cid").join(labels, "cid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")
     least = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return docs.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _fresh(pairs: DataFrame, tested: DataFrame, within) -> DataFrame:
-    """Pairs (a < b) of possible sizes that have not been counted before."""
-    swap = F.col("x") > F.col("y")
-    ordered = pairs.filter(within(F.col("nx"), F.col("ny"))).select(
-        F.least("x", "y").alias("a"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
-    )
-    return cut(ordered.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "pairs")

@@ -59,7 +59,24 @@ def test_against_brute_force(spark, n, num, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) < len(docs) - 40
 
 
-def test_sample_of_table(spark):
+def test_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fj, "BLOCK", 20)
+    monkeypatch.setattr(fj, "COLUMNS", 7)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(300)}" for _ in range(120)]
+    docs = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fj.near_duplicates(df, 3, 90).collect()}
+    want = brute(docs, 3, 90, 100)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 140
+
+
+def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_fragment_join(spark, "/root/testdata/sf0.01").collect()}
     assert got == brute(docs, 3, 90, 100)
