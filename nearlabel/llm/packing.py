@@ -133,11 +133,11 @@ def _cut(vocabulary_path: str, end_id: int, limits: Limits):
         enc = encoder(vocabulary_path)
         for batch in batches:
             doc, text = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 2048):
-                flat, counts = enc.ids(text.slice(lo, 2048).to_pylist())
+            for lo in range(0, batch.num_rows, 1024):
+                flat, counts = enc.ids(text.slice(lo, 1024).to_pylist())
                 rows: dict[str, list] = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
                 at = 0
-                for key, n in zip(doc.slice(lo, 2048).to_pylist(), counts.tolist(), strict=True):
+                for key, n in zip(doc.slice(lo, 1024).to_pylist(), counts.tolist(), strict=True):
                     ids = np.append(flat[at : at + n], np.array([end_id], enc.dtype))
                     at += n
                     for start in range(0, n + 1, limits.tokens):

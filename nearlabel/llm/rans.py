@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from nearlabel.llm.pieces import encoder
 
-BITS, LANES, STEPS, BLOCK = 20, 512, 256, 1 << 18
+BITS, LANES, STEPS, BLOCK = 20, 1024, 128, 1 << 18
 LOW = np.uint64(1 << 31)
 _HEADER = struct.Struct("<4sBIIQQI")
 _MAGIC = b"rANS"
@@ -131,40 +131,41 @@ def decode_block(payload: bytes, table: Table) -> np.ndarray:
 
 
 def _tokens(path: str, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    """doc_id and ids of every document; one more row a task, without ids, holds the task's counts of ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                flat, counts = enc.ids(batch.column(1).slice(lo, 2048).to_pylist())
+            for lo in range(0, batch.num_rows, 1024):
+                docs = batch.column(0).slice(lo, 1024)
+                flat, counts = enc.ids(batch.column(1).slice(lo, 1024).to_pylist())
                 ends = np.cumsum(counts)
-                flat = np.insert(flat, ends, np.array(end_id, enc.dtype)) if len(counts) else flat
+                flat = np.insert(flat, ends, np.array(end_id, enc.dtype))
+                got = np.bincount(flat)
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[: len(got)] += got
                 ends = (ends + np.arange(1, len(ends) + 1)) * enc.dtype.itemsize
-                raw = flat.tobytes()
-                rows = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 2048).cast(pa.int64()), pa.array(rows, pa.binary())], schema=schema)
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, offsets, pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([docs.cast(pa.int64()), ids, pa.nulls(len(docs), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
-def _histogram(itemsize: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(raw, f"<u{itemsize}"))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=schema)
-
-    return run
+def _sum_counts(t: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in t:
+        for raw in batch.column(0).to_pylist():
+            got = np.frombuffer(raw, np.int64)
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
 _BLOCKS = "part int, local_start long, n_ids long, spanning boolean, doc_ids array<long>, doc_tokens array<long>, piece_starts array<long>, payload binary"
@@ -220,17 +221,17 @@ def write_ids(df: DataFrame, vocabulary_path: str, out: str, end_id: int = 2, te
     spark = df.sparkSession
     itemsize = encoder(vocabulary_path).dtype.itemsize
     tokens = f"{out}/tokens"
-    df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_tokens(vocabulary_path, end_id), "doc_id long, ids binary").write.option(
+    df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_tokens(vocabulary_path, end_id), "doc_id long, ids binary, counts binary").write.option(
         "compression", "zstd"
     ).mode("overwrite").parquet(tokens)
-    coded = spark.read.schema("doc_id long, ids binary").parquet(tokens)
-    counts = coded.select("ids").mapInArrow(_histogram(itemsize), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    coded = spark.read.schema("doc_id long, ids binary, counts binary").parquet(tokens)
+    counts = coded.select("counts").filter("counts IS NOT NULL").mapInArrow(_sum_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     freq = scaled(counts["n"].to_numpy()) if len(counts) else np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast((counts["id"].to_numpy(np.int64), freq))
     table = spark.createDataFrame([(int(i), int(f)) for i, f in zip(counts["id"], freq, strict=True)], "id long, freq long")
     table.coalesce(1).write.mode("overwrite").parquet(f"{out}/table")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = coded.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_encode(itemsize, shared), _BLOCKS).write.option("compression", "none").mode("overwrite").parquet(f"{out}/blocks")
     remove(spark, tokens)
 
