@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, fragment_join, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn, wrappers
+from nearlabel.llm import decontaminate, fragment_join, oracles, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn, wrappers
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspectives": perspectives.ORACLE, "op10_voronoi_knn": voronoi_knn.ORACLE}
+    return dict(oracles.ORACLES)

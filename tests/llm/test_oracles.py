@@ -1,0 +1,15 @@
+import duckdb
+import pytest
+
+from nearlabel.llm import queries
+
+
+@pytest.mark.parametrize("name", ["op6_fragment_join", "op8_decontaminate"])
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, sf)
+    assert df.columns == want.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
