@@ -20,7 +20,6 @@ is a spanning forest of its links. So every pair that shares a signature is deci
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearlabel.operators.graph import connected_components, cut
-from nearlabel.session import work_dir
 
 #: Fragments for the overlaps; bits of the table that tells which sets are needed again; most sets and (on average)
 #: hashes of a block; columns of a matrix.
@@ -194,7 +192,8 @@ def _class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _mix((sums[ends] - sums[ends - sizes]) ^ _mix(sizes.astype(np.uint64))).view(np.int64)
 
 
-_INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
+_KEYS = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SETS = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -208,11 +207,24 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _classes(n: int):
+    """Of each document the size of its set and its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            grams, sizes = sets_of(batch.column(1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_class_ids(grams, sizes))], schema=_CLASSES)
+
+    return run
+
+
 def _index(n: int, num: int, den: int):
+    """Signatures of each class; a task puts out those of a class once, as far as it remembers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
         for batch in _slices(batches):
-            grams, sizes = sets_of(batch.column(1).to_pylist(), n)
+            grams, sizes = sets_of(batch.column(0).to_pylist(), n)
             cid = _class_ids(grams, sizes)
             keys, counts = signatures(grams, sizes, levels)
             new = np.zeros(len(cid), bool)
@@ -223,8 +235,7 @@ def _index(n: int, num: int, den: int):
             if len(seen) > SEEN:
                 seen.clear()
             keys = keys[np.repeat(new, counts)]
-            counts = np.where(new, counts, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(cid), _lists(keys, counts)], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[new]), pa.array(sizes[new]), _lists(keys, counts[new])], schema=_KEYS)
 
     return run
 
@@ -348,10 +359,9 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     others; a null key is no candidate for the smallest. Other columns are dropped; the empty table gives no rows.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/shingles-{uuid.uuid4().hex}"
     texts = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    texts.mapInArrow(_index(n, num, den), "doc_id long, n long, cid long, keys array<long>").write.option("compression", "zstd").parquet(path)
-    index = spark.read.schema("doc_id long, n long, cid long, keys array<long>").parquet(path)
+    # shingled again for the index: a stored index would take more room than the text
+    index = texts.select("text").mapInArrow(_index(n, num, den), "cid long, n long, keys array<long>")
     within = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     w = Window.partitionBy("key")
     rows = index.select("cid", "n", F.explode("keys").alias("key")).withColumn("rep", F.min(F.struct("cid", "n")).over(w)).withColumn("last", F.max("cid").over(w))
@@ -363,6 +373,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     links = cut(_overlaps(stars, sets, num, den), "links")
     links = cut(links.union(_rest(rows.select("key", "cid", "n"), links, sets, num, den)), "links")
     labels = connected_components(links).select(F.col("id").alias("cid"), "label")
-    docs = cut(index.select("doc_id", "n", "cid").join(labels, "cid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")
+    classes = texts.mapInArrow(_classes(n), "doc_id long, n long, cid long")
+    docs = cut(classes.join(labels, "cid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")
     least = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return docs.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
