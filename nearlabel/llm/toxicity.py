@@ -73,7 +73,7 @@ class Index:
         for t, (ids, weights) in lists.items():
             at, w = np.array(ids), np.array(weights)
             block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = (at, w, block, np.maximum.reduceat(w, first), np.append(first, len(at)))
+            self.postings[t] = (at, w, at // BLOCK, block, np.maximum.reduceat(w, first))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest positive cosine, and all that equal the last: numbers and cosines, falling."""
@@ -81,27 +81,26 @@ class Index:
         if not lists:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = np.zeros(self.blocks)
-        for q, _, _, block, top, _ in lists:
+        for q, _, _, _, block, top in lists:
             bound[block] += q * top
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found, scores, floor = [], [], 0.0
-        for lo in range(0, len(order), 8):
-            part = order[lo : lo + 8]
-            if bound[part[0]] < floor - 1e-9:
-                break
-            total = np.zeros((len(part), BLOCK))
-            for q, at, w, block, _, first in lists:
-                place = np.searchsorted(block, part)
-                for row, p in enumerate(place):
-                    if p < len(block) and block[p] == part[row]:
-                        own = slice(first[p], first[p + 1])
-                        total[row, at[own] % BLOCK] += q * w[own]
-            rows, cols = np.nonzero(total > 0)
-            found.append(part[rows] * BLOCK + cols), scores.append(total[rows, cols])
+        lo, step = 0, 16
+        while lo < len(order) and bound[order[lo]] >= floor - 1e-9:
+            part = order[lo : lo + step]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            total = np.zeros(self.blocks * BLOCK)
+            for q, at, w, own, _, _ in lists:
+                use = chosen[own]
+                total[at[use]] += q * w[use]
+            ids = np.flatnonzero(total)
+            found.append(ids), scores.append(total[ids])
             s = np.concatenate(scores)
             if len(s) >= k:
                 floor = np.partition(s, len(s) - k)[len(s) - k]
+            lo, step = lo + step, step * 2
         ids, s = np.concatenate(found), np.concatenate(scores)
         keep = s >= floor - 1e-9
         ids, s = ids[keep], s[keep]
@@ -126,6 +125,7 @@ class Model:
 
     def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
         self.terms, self.idf = Terms(names), idf
+        self.known: dict[tuple, tuple[float, list]] = {}
         merged: dict[tuple, list[int]] = {}
         rest = [0, 0]
         for doc, toxic, counts in examples:
@@ -172,16 +172,25 @@ class Model:
             self.x, self.y = isotonic(np.array(votes), np.array(labels, float), np.array(weights, float))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
+        """As ``of_counts``; texts with equal counts of kept terms, copies above all, are searched once."""
+        counts = tuple(sorted(self.terms.count(text).items())) if text else ()
+        if counts not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            self.known[counts] = self.of_counts(dict(counts))
+        return self.known[counts]
+
+    def of_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, float]]]:
         """Score, and the three nearest entries as (smallest doc_id, cosine, share of toxic examples)."""
-        vector = self.vector(self.terms.count(text)) if text else {}
+        vector = self.vector(counts)
         if not vector:
             return self.without, []
         ids, cosines = self.index.nearest(vector)
         if not len(ids):
             return self.without, []
         value = float(np.interp(self.vote(ids, cosines), self.x, self.y))
-        share = self.index.toxic / (self.index.toxic + self.index.other)
-        return value, [(int(self.index.name[i]), float(c), float(share[i])) for i, c in zip(ids[:3], cosines, strict=False)]
+        toxic, other = self.index.toxic[ids[:3]], self.index.other[ids[:3]]
+        return value, [(int(self.index.name[i]), float(c), float(s)) for i, c, s in zip(ids[:3], cosines, toxic / (toxic + other), strict=False)]
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
