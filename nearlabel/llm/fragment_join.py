@@ -20,7 +20,9 @@ is a spanning forest of its links. So every pair that shares a signature is deci
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from nearlabel.operators.graph import connected_components, cut
 #: Fragments for the overlaps; bits of the table that tells which sets are needed again; most sets and (on average)
 #: hashes of a block; columns of a matrix.
 FRAGMENTS, BITS, BLOCK, WEIGHT, COLUMNS = 8, 1 << 26, 1024, 1 << 20, 2048
+#: The index is built in this many parts of its key space, one after another, which bounds the disk that shuffles take.
+PARTS = 4
 #: Bytes hashed at once; sets whose signatures a task remembers to have put out.
 PART_BYTES, SEEN = 1 << 20, 200_000
 
@@ -218,8 +222,8 @@ def _classes(n: int):
     return run
 
 
-def _index(n: int, num: int, den: int):
-    """Signatures of each class; a task puts out those of a class once, as far as it remembers."""
+def _index(n: int, num: int, den: int, part: int):
+    """Signatures of each class, those of one part of the key space; a task puts out those of a class once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
@@ -234,7 +238,9 @@ def _index(n: int, num: int, den: int):
                     new[k] = True
             if len(seen) > SEEN:
                 seen.clear()
-            keys = keys[np.repeat(new, counts)]
+            use = np.repeat(new, counts) & (keys % _U(PARTS) == _U(part))
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[use], minlength=len(counts))
+            keys = keys[use]
             yield pa.RecordBatch.from_arrays([pa.array(cid[new]), pa.array(sizes[new]), _lists(keys, counts[new])], schema=_KEYS)
 
     return run
@@ -350,6 +356,12 @@ def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int
     return held.groupBy("cluster", "task").applyInArrow(_forest(num, den), "src long, dst long")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files go when nothing refers to them any more, which is noticed when both sides collect their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles (size of its set of distinct n-word shingles of the text with A-Z
     lower-cased), component_id (smallest doc_id that links reach, itself included).
@@ -360,12 +372,16 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     """
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    # shingled again for the index: a stored index would take more room than the text
-    index = texts.select("text").mapInArrow(_index(n, num, den), "cid long, n long, keys array<long>")
     within = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     w = Window.partitionBy("key")
-    rows = index.select("cid", "n", F.explode("keys").alias("key")).withColumn("rep", F.min(F.struct("cid", "n")).over(w)).withColumn("last", F.max("cid").over(w))
-    rows = cut(rows.filter(F.col("rep.cid") != F.col("last")).select("key", "cid", "n", F.col("rep.cid").alias("rep"), F.col("rep.n").alias("rep_n")), "buckets")
+    parts = []
+    for part in range(PARTS):  # shingled again each time: a stored index would take more room than the text
+        index = texts.select("text").mapInArrow(_index(n, num, den, part), "cid long, n long, keys array<long>")
+        rows = index.select("cid", "n", F.explode("keys").alias("key")).withColumn("rep", F.min(F.struct("cid", "n")).over(w)).withColumn("last", F.max("cid").over(w))
+        parts.append(cut(rows.filter(F.col("rep.cid") != F.col("last")).select("key", "cid", "n", F.col("rep.cid").alias("rep"), F.col("rep.n").alias("rep_n")), "buckets"))
+        del index, rows
+        _release(spark)
+    rows = reduce(DataFrame.union, parts)
     sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, rows.select("cid"))), "cid long, frag int, grams array<long>")
     sets = cut(sets.dropDuplicates(["cid", "frag"]), "sets")
     stars = rows.filter(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
