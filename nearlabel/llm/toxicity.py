@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearlabel.operators.graph import cut
+
 #: Most labelled examples (expected; a uniform choice by hash), most terms, neighbours that vote, entries in a block.
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 40_000, 20_000, 15, 32
 #: Lengths of word beginnings; weight of the prior in a vote; fewest toxic examples with a kept term.
@@ -247,6 +249,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     size = sample.groupBy("y").count().collect()
     number = {r.y: r["count"] for r in size}
     counts = texts.select("text", "y").mapInArrow(_evidence, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = cut(counts, "terms")  # read twice
     names = select_terms(counts, number.get(1, 0), number.get(0, 0))
     context = documents.sparkSession.sparkContext
     shared = context.broadcast(names)
