@@ -2,8 +2,10 @@
 
 A page is a stream of block tags and text slots. Inference folds adjacent repeats into repeated groups and aligns the
 streams of one host one after another: equal tokens stay, a group met by one of its bodies stays a group, and what only
-one side has becomes an optional group. The wrapper that results, a regular expression over tags and slots without
-unions, tells for every text slot of the host in which containers it lies and whether it is in the article.
+one side has becomes an optional group. Texts that meet in a slot and are equal on pages that differ elsewhere make the
+slot constant, a part of the template; unequal ones make it varying. The wrapper that results, a regular expression over
+tags and slots without unions, tells for every text slot of the host in which containers it lies and whether it is
+template, and so which containers are the article. A page without the host's article branch is judged by itself.
 
 Pages are reduced to folded streams and counted before anything is shuffled, so a host with a third of all pages is a few
 rows; streams are aligned in groups of bounded size, whose wrappers are aligned again.
@@ -11,10 +13,10 @@ rows; streams are aligned in groups of bounded size, whose wrappers are aligned
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Streams aligned in one group; longest repeated group in tokens; hosts whose wrappers are broadcast.
-GROUP, LONGEST, HOSTS = 256, 24, 20_000
+#: Streams aligned in one group; longest repeated group in tokens; hosts whose wrappers are broadcast; tokens of streams
+#: whose folding a task remembers.
+GROUP, LONGEST, HOSTS, KNOWN = 256, 24, 20_000, 300_000
 #: Tags within a line, tags without content, tags whose content is no text, tags that end implicitly.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,30 +108,63 @@ def stream(page: str | None) -> Iterator[tuple[str, tuple[str, ...], str]]:
         yield ">", tuple(stack), stack.pop()
 
 
-# A wrapper is a tuple of nodes: "<name", ">name", "#", or ("+", nodes) repeated, ("?", nodes) optional.
+# A wrapper is a tuple of nodes: "<name", ">name", a slot, or ("+", nodes) repeated, ("?", nodes) optional. A slot is "#"
+# if its text varies, "#=digest" if it is the same on pages that differ, "#?digest" if only one page was seen.
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+
+
+def _shape(node):
+    """A node with all slots alike."""
+    if isinstance(node, tuple):
+        return node[0], tuple(map(_shape, node[1]))
+    return "#" if node[0] == "#" else node
+
+
+def _merged(x, y, differ: bool):
+    """Two nodes of one shape as one; whether they come from pages that differ."""
+    if isinstance(x, tuple):
+        return x[0], tuple(_merged(a, b, differ) for a, b in zip(x[1], y[1], strict=True))
+    if x[0] != "#" or x == y == "#":
+        return x
+    if x == "#" or y == "#" or x[2:] != y[2:]:
+        return "#"
+    return "#=" + x[2:] if differ or "=" in (x[1], y[1]) else x
+
+
+def _constant(node):
+    """A node seen on several pages that differ, with the same texts."""
+    return _merged(node, node, True)
 
 
 def fold(nodes: tuple) -> tuple:
     """Adjacent repeats as repeated groups, shortest first; a group takes in further copies of its body."""
-    out = list(nodes)
+    out, form = list(nodes), [_shape(n) for n in nodes]
     for width in range(1, min(LONGEST, len(out)) + 1):
         i = 0
         while i + width <= len(out):
-            body = tuple(out[i : i + width])
+            body = tuple(form[i : i + width])
             if width == 1 and isinstance(body[0], tuple) and body[0][0] == "+":
                 group = body[0]
                 span = len(group[1])
-                j = i + 1
-                while tuple(out[j : j + span]) == group[1] or out[j : j + 1] == [group]:
-                    j += 1 if out[j : j + 1] == [group] else span
-                out[i:j] = [group]
+                whole, j = out[i], i + 1
+                while form[j : j + 1] == [group] or tuple(form[j : j + span]) == group[1]:
+                    size = 1 if form[j : j + 1] == [group] else span
+                    whole = _merged(whole, out[j] if size == 1 and form[j] == group else ("+", tuple(out[j : j + span])), False)
+                    j += size
+                out[i:j], form[i:j] = [whole], [group]
                 i += 1
                 continue
             j = i + width
-            while tuple(out[j : j + width]) == body:
+            while tuple(form[j : j + width]) == body:
                 j += width
             if j > i + width and _balanced(body):
-                out[i:j] = [("+", body)]
+                whole = tuple(out[i : i + width])
+                for k in range(i + width, j, width):
+                    whole = tuple(_merged(x, y, False) for x, y in zip(whole, out[k : k + width], strict=True))
+                out[i:j], form[i:j] = [("+", whole)], [("+", body)]
             i += 1
     return tuple(out)
 
@@ -137,7 +173,7 @@ def _balanced(nodes: tuple) -> bool:
     """Whether tags open and close within the group; a slot repeated by itself is none."""
     depth = 0
     for n in nodes:
-        if isinstance(n, str) and n != "#":
+        if isinstance(n, str) and n[0] != "#":
             depth += 1 if n[0] == "<" else -1
             if depth < 0:
                 return False
@@ -146,27 +182,39 @@ def _balanced(nodes: tuple) -> bool:
 
 def _unrolled(nodes: tuple, groups: set) -> tuple:
     """Bodies of repeated and optional groups of the other side, as such groups."""
-    out = list(nodes)
+    out, form = list(nodes), [_shape(n) for n in nodes]
     for group in sorted(groups, key=lambda g: (-len(g[1]), str(g))):
         size, i = len(group[1]), 0
         while i + size <= len(out):
-            if tuple(out[i : i + size]) == group[1]:
-                out[i : i + size] = [group]
+            if tuple(form[i : i + size]) == group[1]:
+                out[i : i + size], form[i : i + size] = [(group[0], tuple(out[i : i + size]))], [group]
             i += 1
     return fold(tuple(out))
 
 
+def _placed(nodes: tuple) -> list[tuple]:
+    """Nodes by shape, with the containers they lie in: only what lies in the same ones is aligned, so that optional
+    groups begin and end in one container."""
+    out, stack = [], ()
+    for n in nodes:
+        out.append((stack, _shape(n)))
+        if isinstance(n, str) and n[0] == "<":
+            stack = (*stack, n)
+        elif isinstance(n, str) and n[0] == ">":
+            stack = stack[:-1]
+    return out
+
+
 def align(a: tuple, b: tuple) -> tuple:
-    """A wrapper for all that a and b stand for: mismatches become optional groups."""
-    if a == b:
-        return a
-    groups = lambda w: {n for n in w if isinstance(n, tuple)}
+    """A wrapper for all that a and b, of different pages, stand for: mismatches become optional groups."""
+    if tuple(map(_shape, a)) == tuple(map(_shape, b)):
+        return tuple(_merged(x, y, True) for x, y in zip(a, b, strict=True))
+    groups = lambda w: {_shape(n) for n in w if isinstance(n, tuple)}
     a, b = _unrolled(a, groups(b)), _unrolled(b, groups(a))
-    plain = lambda w: [n[1] if isinstance(n, tuple) and n[0] == "?" and len(n[1]) == 1 else n for n in w]
     out: list = []
-    for op, i, k, j, m in SequenceMatcher(None, plain(a), plain(b), autojunk=False).get_opcodes():
+    for op, i, k, j, m in SequenceMatcher(None, _placed(a), _placed(b), autojunk=False).get_opcodes():
         if op == "equal":
-            out += [x if isinstance(x, tuple) and x[0] == "?" else y for x, y in zip(a[i:k], b[j:m], strict=True)]
+            out += [_merged(x, y, True) for x, y in zip(a[i:k], b[j:m], strict=True)]
             continue
         for part in (a[i:k], b[j:m]):
             if part:
@@ -182,9 +230,9 @@ def infer(streams: list[tuple]) -> tuple:
     return wrapper
 
 
-def slots(wrapper: tuple) -> set[tuple[str, ...]]:
-    """The paths of all text slots of a wrapper."""
-    found: set[tuple[str, ...]] = set()
+def _slots(wrapper: tuple) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The path and the node of every text slot of a wrapper, in order."""
+    found: list[tuple[tuple[str, ...], str]] = []
 
     def walk(nodes: tuple, stack: list[str]) -> list[str]:
         for n in nodes:
@@ -193,8 +241,8 @@ def slots(wrapper: tuple) -> set[tuple[str, ...]]:
                 stack = walk(n[1], list(stack))
                 if n[0] == "?":
                     stack = max(before, stack, key=len)
-            elif n == "#":
-                found.add(tuple(stack))
+            elif n[0] == "#":
+                found.append((tuple(stack), n))
             elif n[0] == "<":
                 stack = [*stack, n[1:]]
             elif n[1:] in stack:
@@ -202,7 +250,12 @@ def slots(wrapper: tuple) -> set[tuple[str, ...]]:
         return stack
 
     walk(wrapper, [])
-    return found
+    yield from found
+
+
+def slots(wrapper: tuple) -> set[tuple[str, ...]]:
+    """The paths of all text slots of a wrapper."""
+    return {p for p, _ in _slots(wrapper)}
 
 
 def _outside(path: tuple[str, ...]) -> bool:
@@ -213,21 +266,26 @@ def _article(path: tuple[str, ...]) -> bool:
     return any(x in ARTICLE or x.endswith("*") for x in path)
 
 
-def main_paths(wrapper: tuple) -> tuple[bool, set[tuple[str, ...]]]:
-    """Whether the host has an article container, and the paths of main slots: inside it, or, on a host without one,
-    outside of all containers of other matter."""
-    paths = {p for p in slots(wrapper) if not _outside(p)}
-    inside = {p for p in paths if _article(p)}
-    return bool(inside), inside or paths
+def main_slots(wrapper: tuple) -> tuple[bool, frozenset[tuple[tuple[str, ...], str]]]:
+    """Whether the host's text is in its article containers, and its template: path and digest of constant slots.
+
+    Article containers are the article if a slot in them is not constant, or if no slot of the host is. Where nothing
+    but constant slots is left (all pages alike) there is no telling, and no template."""
+    found = [(p, n) for p, n in _slots(wrapper) if not _outside(p)]
+    live = [p for p, n in found if n[:2] != "#="]
+    template = frozenset((p, n[2:]) for p, n in found if n[:2] == "#=") if live else frozenset()
+    return any(_article(p) for p in live or [p for p, _ in found]), template
 
 
-def extract(page: str | None, main: tuple[bool, set[tuple[str, ...]]] | None = None) -> str:
-    """Texts of main slots, one a line. A path that the host's wrapper does not have is judged by itself."""
-    has_article, paths = main or (False, set())
-    events = [(p, t) for kind, p, t in stream(page) if kind == "#"]
-    if main is None:
-        has_article = any(_article(p) and not _outside(p) for p, _ in events)
-    return "\n".join(t for p, t in events if p in paths or not _outside(p) and (_article(p) or not has_article))
+def extract(page: str | None, main: tuple[bool, frozenset[tuple[tuple[str, ...], str]]] | None = None) -> str:
+    """Texts of main slots, one a line: of the article containers where the page has the host's article branch, else all
+    outside of containers of other matter that are not the host's template, or all if that leaves none."""
+    has_article, template = main or (True, frozenset())
+    events = [(p, t) for kind, p, t in stream(page) if kind == "#" and not _outside(p)]
+    texts = [t for p, t in events if _article(p)] if has_article else []
+    if not texts and template:
+        texts = [t for p, t in events if (p, _digest(t)) not in template]
+    return "\n".join(texts or [t for _, t in events])
 
 
 def host_of(url: str | None) -> str:
@@ -235,21 +293,82 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def places(wrapper: tuple, nodes: tuple) -> list[int] | None:
+    """For each slot of the nodes that were folded to a wrapper, the number of the wrapper's slot; None if they do not match."""
+    out: list[int] = []
+
+    def walk(seq: tuple, at: int, k: int) -> tuple[int, int] | None:
+        for n in seq:
+            if isinstance(n, tuple):
+                times, after = 0, k
+                while at < len(nodes):
+                    held = len(out)
+                    met = walk(n[1], at, k)
+                    if met is None:
+                        del out[held:]
+                        break
+                    times += 1
+                    at, after = met
+                if not times:
+                    return None
+                k = after
+            elif at < len(nodes) and nodes[at] == n:
+                at += 1
+                if n == "#":
+                    out.append(k)
+                    k += 1
+            else:
+                return None
+        return at, k
+
+    met = walk(wrapper, 0, 0)
+    return out if met and met[0] == len(nodes) else None
+
+
+def _filled(nodes: tuple, texts: Iterator[str]) -> tuple:
+    """Nodes with their slots replaced in order."""
+    return tuple((n[0], _filled(n[1], texts)) if isinstance(n, tuple) else next(texts) if n == "#" else n for n in nodes)
+
+
 def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, folded stream, pages; summed up by task."""
-    counts: Counter[tuple[str, str]] = Counter()
+    """host, folded stream with the texts of its slots, content, pages; summed up by task."""
+    held: dict[tuple[str, tuple], list] = {}
+    folded: dict[tuple, tuple[tuple, list[int] | None]] = {}
+    known = 0
     for batch in batches:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes = tuple("#" if kind == "#" else kind + text for kind, _, text in stream(page))
-            counts[host_of(url), json.dumps(fold(fold(nodes)))] += 1
-        if len(counts) > 5000:
-            yield _counted(counts)
-            counts = Counter()
-    yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in counts], pa.string()), "wrapper": pa.array([w for _, w in counts], pa.string()), "pages": pa.array(list(counts.values()), pa.int64())})
+            nodes, texts = [], []
+            for kind, _, text in stream(page):
+                nodes.append("#" if kind == "#" else kind + text)
+                if kind == "#":
+                    texts.append("#?" + _digest(text))
+            nodes = tuple(nodes)
+            if nodes not in folded:
+                if known > KNOWN:
+                    folded, known = {}, 0
+                wrapper = fold(fold(nodes))
+                folded[nodes] = wrapper, places(wrapper, nodes)
+                known += len(nodes)
+            wrapper, at = folded[nodes]
+            own = ["#"] * sum(1 for _ in _slots(wrapper)) if at is None else [""] * (max(at, default=-1) + 1)
+            for k, t in zip(at or (), texts, strict=False):
+                own[k] = _merged(own[k], t, False) if own[k] else t
+            content = _digest(" ".join(texts))
+            row = held.setdefault((host_of(url), wrapper), [0, own, content])
+            row[0] += 1
+            if content != row[2]:
+                row[1:] = [[_merged(x, y, True) for x, y in zip(row[1], own, strict=True)], ""]
+        if len(held) > 5000:
+            yield _counted(held)
+            held = {}
+    yield _counted(held)
+
+
+def _counted(held: dict) -> pa.RecordBatch:
+    """Content is empty where pages differed."""
+    rows = [(h, json.dumps(_filled(w, iter(own))), content, n) for (h, w), (n, own, content) in held.items()]
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("content", pa.string()), ("pages", pa.int64())])
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
 
 def _tuples(x):
@@ -257,19 +376,29 @@ def _tuples(x):
 
 
 def _infer(t: pa.Table) -> pa.Table:
-    rows = sorted(zip(t.column("pages").to_pylist(), t.column("wrapper").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    wrapper = json.dumps(infer([_tuples(json.loads(w)) for _, w in rows]))
-    return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": [wrapper], "pages": pa.array([sum(p for p, _ in rows)], pa.int64())})
+    """The wrapper of the rows of a host; rows of one shape, which are of different pages, are merged first."""
+    met: dict[tuple, list] = {}
+    for w, n, differ in zip(t.column("wrapper").to_pylist(), t.column("pages").to_pylist(), t.column("differ").to_pylist(), strict=True):
+        nodes = _tuples(json.loads(w))
+        nodes = tuple(map(_constant, nodes)) if differ else nodes
+        row = met.setdefault(tuple(map(_shape, nodes)), [0, nodes])
+        if row[0]:
+            row[1] = tuple(_merged(x, y, True) for x, y in zip(row[1], nodes, strict=True))
+        row[0] += n
+    rows = sorted(met.items(), key=lambda r: (-r[1][0], json.dumps(r[0])))
+    wrapper = json.dumps(infer([nodes for _, (_, nodes) in rows]))
+    return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": [wrapper], "pages": pa.array([sum(n for _, (n, _) in rows)], pa.int64()), "differ": [False]})
 
 
 def host_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """host, wrapper (JSON), pages: the wrapper of every host, from all its pages."""
-    schema = "host string, wrapper string, pages long"
-    found = pages.select(url, page).mapInArrow(_structures, schema).groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
+    schema = "host string, wrapper string, pages long, differ boolean"
+    found = pages.select(url, page).mapInArrow(_structures, "host string, wrapper string, content string, pages long")
+    found = found.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"), (F.min("content") != F.max("content")).alias("differ"))
     parts = F.ceil(F.col("streams") / GROUP)
-    found = found.join(found.groupBy("host").agg(F.count(F.lit(1)).alias("streams")), "host").select("host", "wrapper", "pages", F.pmod(F.xxhash64("wrapper"), parts).alias("part"))
+    found = found.join(found.groupBy("host").agg(F.count(F.lit(1)).alias("streams")), "host").select("host", "wrapper", "pages", "differ", F.pmod(F.xxhash64("wrapper"), parts).alias("part"))
     parts = found.groupBy("host", "part").applyInArrow(lambda t: _infer(t.drop_columns(["part"])), schema)
-    return parts.groupBy("host").applyInArrow(_infer, schema)
+    return parts.groupBy("host").applyInArrow(_infer, schema).drop("differ")
 
 
 def _apply(shared):
@@ -282,7 +411,7 @@ def _apply(shared):
             for u, p in zip(urls, pages, strict=True):
                 host = host_of(u)
                 if host not in known:
-                    known[host] = main_paths(_tuples(json.loads(wrappers[host])))
+                    known[host] = main_slots(_tuples(json.loads(wrappers[host])))
                 out.append(extract(p, known[host]))
             yield pa.array(out, pa.string())
 

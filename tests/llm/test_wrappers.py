@@ -46,3 +46,23 @@ def test_odd_pages(spark, monkeypatch):
         monkeypatch.setattr(wrappers, "HOSTS", hosts)
         assert sorted((r.page_id, r.main_text) for r in wrappers.main_text(df).collect()) == sorted((p[0], p[3]) for p in PAGES)
     assert wrappers.main_text(df.limit(0)).count() == 0
+
+
+def test_wrapper_decides(spark):
+    """Constant slots are template, an article container of template alone is no article, and a page without the host's
+    article branch keeps its text."""
+    rows, want = [], {}
+    for i in range(4):
+        rows += [(f"http://a.example/{i}", f"<div>All rights kept</div><div><h1>Title {i}</h1><p>Story {i} one<p>Story {i} two</div>")]
+        want[rows[-1][0]] = f"Title {i}\nStory {i} one\nStory {i} two"
+        rows += [(f"http://b.example/{i}", f"<main><p>Skip to content</main><section><p>Text {i}</section>")]
+        want[rows[-1][0]] = f"Text {i}"
+        rows += [(f"http://c.example/{i}", f"<article><h1>Heading</h1><p>Text {i}</article><p>other")]
+        want[rows[-1][0]] = f"Heading\nText {i}"
+        rows += [(f"http://d.example/{i}", "<div>Same</div><p>page")]
+        want[rows[-1][0]] = "Same\npage"
+    rows += [("http://c.example/9", "<div><p>No article here</div><p>other")]
+    want[rows[-1][0]] = "No article here"
+    df = spark.createDataFrame(rows, "url string, html string")
+    for n in (1, 5):
+        assert {r.url: r.main_text for r in wrappers.main_text(df.repartition(n)).collect()} == want
