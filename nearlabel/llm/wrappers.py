@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,38 +34,43 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe")
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Containers that hold no article text, by tag, by role, and by a word of their class or id.
+#: Containers that hold no article text, by tag, by role, and by a class or id made of such words alone.
 OUTSIDE_TAGS = frozenset("head nav footer aside form button select menu dialog".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement banner sidebar menu nav navbar navigation footer cookie cookies notice promo sponsor sponsored newsletter subscribe share sharing social related breadcrumb breadcrumbs comment comments reply replies popup modal".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: No class or id puts these outside.
+WHOLE = ARTICLE | {"html", "body"}
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_EMPTY_SVG = r"""svg\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!" + _EMPTY_SVG + ")(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?=svg)(" + _EMPTY_SVG + ")|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 def _name(tag: str, attributes: str) -> str:
-    """The tag, marked ``!`` if its attributes put it outside the article, ``*`` if they make it the article."""
+    """The tag, marked ``!!`` if its role puts it outside the article, ``!`` if a class name or its id does, ``**`` if
+    its role makes it the main part, ``*`` the article."""
+    mark = ""
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             words = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "role":
                 if words in OUTSIDE_ROLES:
-                    return tag + "!"
+                    return tag + "!!"
                 if words in ARTICLE:
-                    return tag + "*"
-            elif OUTSIDE_WORDS & set(re.split(r"[^a-z0-9]+", words)):
-                return tag + "!"
-    return tag
+                    return tag + ("**" if words == "main" else "*")
+            elif tag not in WHOLE and any(OUTSIDE_WORDS.issuperset(x) for name in words.split() if (x := re.findall("[a-z0-9]+", name))):
+                mark = "!"
+    return tag + mark
 
 
 def stream(page: str | None) -> Iterator[tuple[str, tuple[str, ...], str]]:
     """Events (kind, path, text): ``<`` a block opens, ``>`` it closes, ``#`` a slot with its text, white space joined.
     The path has the names of the open blocks."""
-    text = _DROP.sub(lambda m: " " if m[1] else "", page or "")
+    text = _DROP.sub(lambda m: " " if m[1] or m[2] else "", page or "")
     stack: list[str] = []
     held: list[str] = []
     at = 0
@@ -258,12 +264,19 @@ def slots(wrapper: tuple) -> set[tuple[str, ...]]:
     return {p for p, _ in _slots(wrapper)}
 
 
-def _outside(path: tuple[str, ...]) -> bool:
-    return any(x.endswith("!") or x in OUTSIDE_TAGS for x in path)
-
-
-def _article(path: tuple[str, ...]) -> bool:
-    return any(x in ARTICLE or x.endswith("*") for x in path)
+@lru_cache(10_000)
+def _kind(path: tuple[str, ...]) -> str:
+    """``article``, ``plain``, ``outside``, or ``held``: an article within a container that is outside by a class or id.
+    A main part is never outside by such a name."""
+    last = lambda test: max((i for i, x in enumerate(path) if test(x)), default=-1)
+    if last(lambda x: x in OUTSIDE_TAGS or x.endswith("!!")) >= 0:
+        return "outside"
+    marked, article = last(lambda x: x.endswith("!")), last(lambda x: x in ARTICLE or x.endswith("*"))
+    if article < 0:
+        return "outside" if marked >= 0 else "plain"
+    if marked < 0 or last(lambda x: x == "main" or x.endswith("**")) > marked:
+        return "article"
+    return "held" if article > marked else "outside"
 
 
 def main_slots(wrapper: tuple) -> tuple[bool, frozenset[tuple[tuple[str, ...], str]]]:
@@ -271,18 +284,18 @@ def main_slots(wrapper: tuple) -> tuple[bool, frozenset[tuple[tuple[str, ...], s
 
     Article containers are the article if a slot in them is not constant, or if no slot of the host is. Where nothing
     but constant slots is left (all pages alike) there is no telling, and no template."""
-    found = [(p, n) for p, n in _slots(wrapper) if not _outside(p)]
+    found = [(p, n) for p, n in _slots(wrapper) if _kind(p) != "outside"]
     live = [p for p, n in found if n[:2] != "#="]
     template = frozenset((p, n[2:]) for p, n in found if n[:2] == "#=") if live else frozenset()
-    return any(_article(p) for p in live or [p for p, _ in found]), template
+    return any(_kind(p) == "article" for p in live or [p for p, _ in found]), template
 
 
 def extract(page: str | None, main: tuple[bool, frozenset[tuple[tuple[str, ...], str]]] | None = None) -> str:
     """Texts of main slots, one a line: of the article containers where the page has the host's article branch, else all
     outside of containers of other matter that are not the host's template, or all if that leaves none."""
     has_article, template = main or (True, frozenset())
-    events = [(p, t) for kind, p, t in stream(page) if kind == "#" and not _outside(p)]
-    texts = [t for p, t in events if _article(p)] if has_article else []
+    events = [(p, t) for kind, p, t in stream(page) if kind == "#" and _kind(p) != "outside"]
+    texts = [t for p, t in events if _kind(p) == "article"] if has_article else []
     if not texts and template:
         texts = [t for p, t in events if (p, _digest(t)) not in template]
     return "\n".join(texts or [t for _, t in events])

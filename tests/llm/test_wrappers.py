@@ -66,3 +66,23 @@ def test_wrapper_decides(spark):
     df = spark.createDataFrame(rows, "url string, html string")
     for n in (1, 5):
         assert {r.url: r.main_text for r in wrappers.main_text(df.repartition(n)).collect()} == want
+
+
+def test_containers_lose_no_article():
+    """Class names count as a whole, never for the page, its main part or an article around or below; an empty svg is empty."""
+    keep = [
+        "<body class='has-sidebar'><p>text</p></body>",
+        "<html class='menu'><body class='nav'><p>text</p></body></html>",
+        "<main class='content no-sidebar'><p>text</p></main>",
+        "<main class='comments'><p>text</p></main>",
+        "<article class='post comments-open'><p>text</p></article>",
+        "<div id='social-policy'><p>text</p></div>",
+        "<div class='social'><main><p>text</p></main></div>",
+        "<div class='menu'><div role='main'><p>text</p></div></div>",
+        "<div class='banner'><article><p>text</p></article></div>",
+        "<p>text</p><div class='cookie-notice'>no</div><div class='x sidebar'>no</div><div role=search>no</div>",
+        "<main><p>text</p><div class='comments'><article>no</article></div></main>",
+        "<svg class='a>b' width=1 />text",
+        "<svg/><p>text</p><svg><title>no</title></svg>",
+    ]
+    assert [wrappers.extract(p) for p in keep] == ["text"] * len(keep)
