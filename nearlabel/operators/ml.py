@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from nearlabel.functions import text as T
 
+#: Labels that are broadcast at most.
+BROADCAST_LABELS = 10_000
 # Suffixes of the stemmer's later steps and their replacements.
 STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -102,9 +104,17 @@ def analyzed(docs: DataFrame) -> DataFrame:
 
 
 def indicator(docs: DataFrame, labels: str = "labels") -> DataFrame:
-    """(doc_id, label, y) for every document and every label that occurs: whether the document has it."""
+    """(doc_id, label, y) for every document and every label that occurs: whether the document has it.
+
+    Labels are counted first. Up to ``BROADCAST_LABELS`` are broadcast; more are dealt into blocks of that expected size,
+    each of which meets each partition of the documents in a task of its own."""
     all_labels = docs.select(F.explode(labels).alias("label")).distinct()
-    return docs.select("doc_id", labels).crossJoin(F.broadcast(all_labels.limit(10_000))).select("doc_id", "label", F.array_contains(labels, F.col("label")).cast("int").alias("y"))
+    n = all_labels.count()
+    if n <= BROADCAST_LABELS:
+        all_labels = F.broadcast(all_labels)
+    else:
+        all_labels = all_labels.repartition(-(-n // BROADCAST_LABELS), "label").hint("shuffle_replicate_nl")
+    return docs.select("doc_id", labels).crossJoin(all_labels).select("doc_id", "label", F.array_contains(labels, F.col("label")).cast("int").alias("y"))
 
 
 class LabelModel:
