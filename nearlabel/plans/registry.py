@@ -20,9 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Smaller hashing for the embeddings' queries, and one for passages, whose similarity to documents is low.
+#: Smaller hashing for the embeddings' queries, which have SQL of the same sizes.
 SMALL = lsh.Params(tables=6, bits=8, capacity=50, top_candidates=30, top_k=10)
-PASSAGE = lsh.Params(tables=12, bits=8)
 #: A small variant dictionary for the tables' invented words; line numbers decide between repeated variants.
 VARIANTS = [("thr", "the", 0), ("onha", "on", 1), ("erin", "er", 2), ("andnd", "and", 3), ("onha", "one", 4), ("reou", "the", 5), ("esed", "es", 6)]
 
@@ -611,7 +610,7 @@ def flagship(spark: SparkSession, sf_dir: str, p: lsh.Params | None = None) -> D
 
 @query()
 def request_path(spark, sf_dir):
-    return flagship(spark, sf_dir, PASSAGE)
+    return flagship(spark, sf_dir, lsh.Params())
 
 
 def queries() -> dict[str, Query]:
