@@ -63,7 +63,8 @@ def _assign(pivots: np.ndarray, top: float):
 
 
 def _reach(pivots: np.ndarray, n: np.ndarray, near: np.ndarray, far: np.ndarray, blocks: np.ndarray, k: int):
-    """For each query the blocks of all cells that may hold one of its k best candidates (itself not counted)."""
+    """For each query (id, v, copies: rows with its id) the blocks of all cells that may hold one of its k best candidates,
+    itself not counted."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.int64())), ("cell", pa.int32()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def _reach(pivots: np.ndarray, n: np.ndarray, near: np.ndarray, far: np.ndarray,
                 slack = SLACK * (1 + d.max(axis=1, keepdims=True) + far.max())
                 most = d + far  # no candidate of the cell is farther
                 order = np.argsort(most, axis=1)
-                enough = np.cumsum(n[order], axis=1) >= k + 1  # one may be the query itself
+                enough = np.cumsum(n[order], axis=1) >= k + np.array(batch.column(2))[:, None]
                 at = np.where(enough.any(axis=1), enough.argmax(axis=1), most.shape[1] - 1)
                 bound = most[np.arange(len(q)), order[np.arange(len(q)), at]][:, None]
                 bound = np.where(enough.any(axis=1)[:, None], bound, np.inf)
@@ -93,9 +94,10 @@ def _reach(pivots: np.ndarray, n: np.ndarray, near: np.ndarray, far: np.ndarray,
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the k largest scores without its own id, ties to smaller ids: row numbers and columns."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1] if len(ids) <= 4 * (k + 1) else None
+    scores = np.where(ids == own[:, None], -np.inf, scores)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k] if len(ids) <= 4 * (k + 1) else None
     if order is None:
-        kth = np.partition(scores, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+        kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
         rows, cols = np.nonzero(scores >= kth[:, None])
     else:
         rows, cols = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
@@ -157,7 +159,9 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     blocks = np.maximum(1, -(-n // BLOCK))
     renamed = spark.createDataFrame([(int(c), i, int(b)) for i, (c, b) in enumerate(zip(used, blocks, strict=True))], "cell int, number int, blocks int")
     placed = cells.join(F.broadcast(renamed), "cell").select("id", "v", F.col("number").alias("cell"), F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"))
-    sought = asked.mapInArrow(_reach(pivots, n, near, far, blocks, k), "id long, v array<long>, cell int, block int")
+    repeated = cells.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    sized = asked.join(repeated, "id", "left").select("id", "v", F.coalesce("copies", F.lit(1)).alias("copies"))
+    sought = sized.mapInArrow(_reach(pivots, n, near, far, blocks, k), "id long, v array<long>, cell int, block int")
     slices = -(-asked.count() // QUERIES)
     sought = sought.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(max(1, slices))).cast("int"))
     placed = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(max(0, slices - 1)))))

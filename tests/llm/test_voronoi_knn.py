@@ -42,3 +42,19 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [0.5, 1.0], 0)], SCHEMA)
     assert {tuple(r) for r in voronoi_knn.knn_join(df, df).collect()} == brute([(0, [1.0, 2.0], 0), (1, [0.5, 1.0], 0)], [0, 1], 5)
     assert voronoi_knn.knn_join(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_repeated_query_rows(spark, block, monkeypatch):
+    """Rows with the query's own id take no place of a neighbour, however many there are."""
+    monkeypatch.setattr(voronoi_knn, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5)], 0) for i in range(120)]
+    df = spark.createDataFrame(rows + [(0, rows[0][1], 0)] * 40 + [(5, rows[5][1], 0)] * 3, SCHEMA)
+    got = voronoi_knn.knn_join(df, df.filter("vec_id in (0, 7)"), k=4).collect()
+    v = {i: np.floor(256 * np.array(e, np.float32).astype(float)).astype(int) for i, e, _ in rows}
+    want = set()
+    for q in (0, 7):
+        near = sorted((-int(v[q] @ v[c]), c) for c, times in [(i, 41 if i == 0 else 4 if i == 5 else 1) for i in v] for _ in range(times) if c != q)[:4]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(near)}
+    assert {tuple(r) for r in got} == want and len(got) == 8
