@@ -557,7 +557,8 @@ def label_indicator(spark, sf_dir):
 @query()
 def svm_predict(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "text", F.array("lang").alias("labels"))
-    model = ml.train(d, ["de", "en", "es", "fr"])
+    labels = d.select(F.explode("labels").alias("label")).filter("label IS NOT NULL").distinct().orderBy("label")
+    model = ml.train(d, [r.label for r in labels.collect()])
     return model.predict(d).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 

@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
 from nearlabel.operators import ml
+from nearlabel.plans import registry
+
+ml_train = ml.train
 
 
 def test_indicator_has_every_label(spark, monkeypatch):
@@ -16,3 +19,12 @@ def test_indicator_has_every_label(spark, monkeypatch):
     want = sorted(tuple(r) for r in ml.indicator(few).collect())
     monkeypatch.setattr(ml, "BROADCAST_LABELS", 1)
     assert sorted(tuple(r) for r in ml.indicator(few).collect()) == want == [(2, "l7", 1), (2, "own", 1)]
+
+
+def test_svm_predicts_every_language(spark, monkeypatch):
+    words = {"en": "house garden window", "nl": "huis tuin raam", "pl": "dom ogród okno"}
+    rows = [(3 * i + k, f"{words[lang]} {words[lang].split()[i % 3]}", lang, "s") for i in range(12) for k, lang in enumerate(words)]
+    monkeypatch.setattr(registry, "docs", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    monkeypatch.setattr(registry.ml, "train", lambda d, labels: ml_train(d, labels, components=3))
+    got = {r.doc_id: r.labels for r in registry.queries()["svm_predict"](spark, "").collect()}
+    assert got == {i: lang for i, _, lang, _ in rows}
