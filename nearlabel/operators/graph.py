@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearlabel.session import work_dir
 
 
+class Scratch:
+    """Frames cut into one new folder of the shared one, which goes when what needed them has been written."""
+
+    def __init__(self, spark: SparkSession, name: str = "cut"):
+        self.spark, self.path = spark, f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
+        path = f"{self.path}/{name}-{len(self.made)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made[id(out)] = out, path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete some frames, or without any all of them."""
+        for path in [self.made[id(f)][1] for f in frames] or [self.path]:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One frame cut into a folder of its own, which stays as long as the shared one."""
+    return Scratch(df.sparkSession, name).cut(df, name)
 
 
 def adjacency(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -38,14 +63,16 @@ def first_labels(vertices: DataFrame) -> DataFrame:
 
 def min_label_directed(vertices: DataFrame) -> DataFrame:
     """Fixpoint of messages along out-edges only: id, label. Only vertices whose label fell send again."""
-    edges = cut(edges_of(vertices), "edges")
-    state = cut(first_labels(vertices), "labels")
+    scratch = Scratch(vertices.sparkSession, "min-label")
+    edges = scratch.cut(edges_of(vertices), "edges")
+    state = scratch.cut(first_labels(vertices), "labels")
     while state.filter("activated").limit(1).count():
         sent = state.filter("activated").join(edges, state.id == edges.src).groupBy("dst").agg(F.min("label").alias("m"))
-        state = cut(
+        before, state = state, scratch.cut(
             state.join(sent, state.id == sent.dst, "left").select("id", F.least("label", "m").alias("label"), F.coalesce(F.col("m") < F.col("label"), F.lit(False)).alias("activated")),
             "labels",
         )
+        scratch.drop(before)
     return state.select("id", "label")
 
 
@@ -56,9 +83,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     minimum by key, which is combined before the shuffle, and a join, which may be split where a key is crowded: no
     neighbourhood is ever collected. Self-loops count as vertices.
     """
-    edges = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "components")
+    scratch = Scratch(edges.sparkSession, "components")
+    edges = scratch.cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "edges")
     links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = cut(links, "components")
+    links = scratch.cut(links, "links")
     before = None
     while True:
         mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -68,10 +96,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "components")
+        large = scratch.cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        old, links = links, scratch.cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        scratch.drop(large, old)
     roots = links.select(F.col("u").alias("id"), F.col("v").alias("label"))
     alone = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti")
     return roots.union(alone.select("id", F.col("id").alias("label")))
