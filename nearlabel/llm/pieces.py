@@ -13,8 +13,8 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,14 @@ pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back to the m
 #: Bytes of text that are worked on at once, and entries of the memo; both bound a worker's memory.
 BATCH_BYTES = 4 << 20
 MEMO_ENTRIES = 500_000
-WORD_ENTRIES = 100_000
+WORD_ENTRIES = 400_000
 
 _UNSAFE = re.compile(r"\s ").search
 _SAFE_CUT = re.compile(r"(?<=\S) ")
+#: Stands between pieces that are searched for pre-tokens together, a pre-token by itself there; pieces that may hold it
+#: or a special string, end in white space, are empty, or have characters beyond Latin letters are odd.
+_MARK = "\x00"
+_ODD = r"[^\x01-\x{24F}]|<\||[\s\x0b\x1c-\x1f\x{85}\x{a0}]\z|^\z"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -51,7 +55,7 @@ class PieceEncoder:
         self.path = path
         self.memo = pa.array([], pa.large_string())
         self.memo_n = np.zeros(0, np.int64)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.kind = "other"
         if path.endswith(".model"):
             import sentencepiece
@@ -65,6 +69,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo_ids = np.zeros(0, self.dtype)
         self.specials = [x["content"] for x in spec["added_tokens"]]
         plain = all("<|" in s for s in self.specials) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in spec["added_tokens"])
@@ -83,37 +88,66 @@ class PieceEncoder:
                 self.kind, self.find = "word", regex.compile(first["pattern"]["Regex"]).findall
         self.chars = _byte_chars()
 
-    def _word(self, pre: str) -> list[int]:
-        """Ids of one pre-token, by the library's model."""
+    def _word(self, pre: str) -> bytes:
+        """Ids of one pre-token, by the library's model, as machine integers."""
         got = self.words.get(pre)
         if got is None:
-            mapped = pre.encode("utf-8").decode("latin-1").translate(self.chars)
-            got = [t.id for t in self.tok.model.tokenize(mapped)]
+            tail = pre[1:]
+            if tail.isascii() and tail.isalnum() and pre[0] in " abcdefghijklmnopqrstuvwxyz":
+                mapped = "\u0120" + tail if pre[0] == " " else pre
+            else:
+                mapped = pre.encode("utf-8").decode("latin-1").translate(self.chars)
+            got = self._bytes([t.id for t in self.tok.model.tokenize(mapped)])
             if len(self.words) >= WORD_ENTRIES:
                 self.words.clear()
             self.words[pre] = got
         return got
 
-    def _piece(self, piece: str) -> list[int]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         """Ids of one piece. Beyond Latin letters, and for special strings, the library does all of it."""
         ascii_only = piece.isascii()
         if not ascii_only and max(piece) > "\u024f" or "<|" in piece and any(s in piece for s in self.specials):
-            return self.tok.encode(piece, add_special_tokens=False).ids
+            return self._bytes(self.tok.encode(piece, add_special_tokens=False).ids)
         if self.kind == "word":
             piece = piece.lower() if ascii_only else unicodedata.normalize("NFC", piece).lower()
-            if piece.isalpha():
-                return self._word(piece)
-        elif piece[1:].isalpha() and piece[0] == " ":
-            word = "\u0120" + piece[1:] if ascii_only else piece.encode("utf-8").decode("latin-1").translate(self.chars)
-            return [t.id for t in self.tok.model.tokenize(word)]
-        found = self.find(piece)
-        return self._word(found[0]) if len(found) == 1 else [i for w in found for i in self._word(w)]
+        return b"".join(map(self._word, self.find(piece)))
+
+    def _flat(self, got: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(got), self.dtype), n
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each piece."""
-        got = [self._piece(p) for p in pieces]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), self.dtype, int(n.sum())), n
+        return self._flat([self._piece(p) for p in pieces])
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded`` for pieces that a space precedes: pre-tokens of all pieces are found in one pass over them,
+        with a mark between every two, and each distinct pre-token is encoded once. Odd pieces go one by one."""
+        lead = " " if self.kind == "byte" else ""
+        odd = np.asarray(pc.match_substring_regex(pieces, _ODD))
+        plain = pieces.filter(pa.array(~odd))
+        text = f" {_MARK} ".join(["", *_strings(plain)])
+        if self.kind == "word":
+            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        coded = pa.array(self.find(text), pa.large_string()).dictionary_encode()
+        names = _strings(coded.dictionary)
+        which = np.asarray(coded.indices)
+        marks = [k for k, w in enumerate(names) if w == lead + _MARK]
+        flat, n = self._flat([b"" if w == lead + _MARK else self._word(w) for w in names])
+        ids, counts = flat[_gather((np.cumsum(n) - n)[which], n[which])], np.zeros(len(pieces), np.int64)
+        if len(plain):
+            counts[~odd] = np.add.reduceat(n[which], np.flatnonzero(which == marks[0]))
+        if odd.any():
+            alone, m = self._encoded([lead + w for w in _strings(pieces.filter(pa.array(odd)))])
+            counts[odd] = m
+            out = np.empty(len(ids) + len(alone), self.dtype)
+            own = np.repeat(odd, counts)
+            out[own], out[~own] = alone, ids
+            ids = out
+        return ids, counts
 
     def _batch(self, parts: list[str], heads: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For parts of texts (heads: whether a part begins its text, and so has no space before it): pieces' index
@@ -133,7 +167,7 @@ class PieceEncoder:
         place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.memo), -1)).astype(np.int64)
         fresh = np.flatnonzero(place < 0)
         new = words.take(pa.array(fresh))
-        ids, n = self._encoded([lead + w for w in new.to_pylist()])
+        ids, n = self._joined(new)
         place[fresh] = len(self.memo) + np.arange(len(fresh))
         all_ids, all_n = np.concatenate([self.memo_ids, ids]), np.concatenate([self.memo_n, n])
         index = place[index]
@@ -145,7 +179,7 @@ class PieceEncoder:
             self.memo, self.memo_ids, self.memo_n = words, all_ids[_gather(begin[place], take)], take
         if lead:  # a text's first piece has no space before it
             first = (np.cumsum(counts) - counts)[np.array(heads, bool)]
-            alone, n = self._encoded(flat.take(pa.array(first)).to_pylist())
+            alone, n = self._encoded(_strings(flat.take(pa.array(first))))
             index[first] = len(all_n) + np.arange(len(first))
             all_ids, all_n = np.concatenate([all_ids, alone]), np.concatenate([all_n, n])
         return index, counts, all_ids, all_n
@@ -226,6 +260,11 @@ class PieceEncoder:
             yield from run()
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, without a scalar for each row."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _gather(begin: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Positions begin[i] .. begin[i] + take[i] - 1 for each i, one after another."""
     ends = np.cumsum(take)

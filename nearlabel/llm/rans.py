@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from nearlabel.llm.pieces import encoder
 
 BITS, LANES, STEPS, BLOCK = 20, 1024, 128, 1 << 18
+#: Bytes of ids in a batch of rows.
+SLICE = 1 << 30
 LOW = np.uint64(1 << 31)
 _HEADER = struct.Struct("<4sBIIQQI")
 _MAGIC = b"rANS"
@@ -147,10 +149,14 @@ def _tokens(path: str, end_id: int):
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
-                ends = (ends + np.arange(1, len(ends) + 1)) * enc.dtype.itemsize
-                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, offsets, pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([docs.cast(pa.int64()), ids, pa.nulls(len(docs), pa.binary())], schema=schema)
+                ends = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * enc.dtype.itemsize])
+                raw, a = flat.view(np.uint8), 0
+                while a < len(docs):  # offsets are 32-bit: a batch holds less than SLICE bytes of ids, or one document
+                    z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE)) - 1)
+                    offsets = pa.py_buffer((ends[a : z + 1] - ends[a]).astype(np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), z - a, [None, offsets, pa.py_buffer(raw[ends[a] : ends[z]])])
+                    yield pa.RecordBatch.from_arrays([docs.slice(a, z - a).cast(pa.int64()), ids, pa.nulls(z - a, pa.binary())], schema=schema)
+                    a = z
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     return run
@@ -231,7 +237,7 @@ def write_ids(df: DataFrame, vocabulary_path: str, out: str, end_id: int = 2, te
     table = spark.createDataFrame([(int(i), int(f)) for i, f in zip(counts["id"], freq, strict=True)], "id long, freq long")
     table.coalesce(1).write.mode("overwrite").parquet(f"{out}/table")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = coded.filter("ids IS NOT NULL").select("doc_id", "ids").withColumn("h", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     ordered.mapInArrow(_encode(itemsize, shared), _BLOCKS).write.option("compression", "none").mode("overwrite").parquet(f"{out}/blocks")
     remove(spark, tokens)
 
