@@ -1,42 +1,43 @@
 """Jaccard self-join of documents by word n-grams, with vertical partitioning.
 
-A document is the set of 64-bit hashes of its distinct n-grams, in the global order of the hashes. Sets of equal content
-are one class, whatever the number of copies. The order is cut into fragments twice.
-
-Candidates: for two sets of at least the asked similarity the symmetric difference is at most d, which follows from the
-sizes; cut into d + 1 fragments, at least one fragment is equal in both. So each class puts the signatures of its
-fragments into an index (for its own size level and the next larger, since sizes may differ by one level), and classes
-that share a signature are candidates. No pair is missed, and no bucket is capped.
-
-Overlaps: the sets of candidates are cut into ``FRAGMENTS`` fragments; overlaps are counted fragment by fragment, each
-in its own row, and summed per pair.
-
-A bucket of N classes is not expanded into pairs: all are held against one of them (N pairs), and links make components;
-groups of near copies come together here. Buckets that still lie in several components join to clusters. A cluster is cut
-into blocks of bounded size, and a task holds two blocks against each other: overlaps are products of 0/1 matrices,
-again fragment by fragment and summed, pairs within the cluster's largest component are left out, and what leaves a task
-is a spanning forest of its links. So every pair that shares a signature is decided, and no list of pairs is written.
+A document is the set of 64-bit hashes of its distinct n-grams. Sets of equal content are one class, whatever the number
+of copies. All grams have one global order: rare ones first, then by hash. How rare a gram is tells a table of counts of
+all documents' grams (``SLOTS`` slots, each with the eighth of a power of two that its count reaches), so that lines which
+many documents share come last. The order is cut into fragments twice.
+
+Candidates: two sets of at least the asked similarity share a gram among the first |s| - ceil(t |s|) + 1 of each, whatever
+the order. So these first fragments of all classes make an index, and classes that share a key are candidates. No pair is
+missed, and no bucket is capped; the table of counts decides nothing but how many there are.
+
+Overlaps: the order is cut into ``FRAGMENTS`` fragments of about equal content; overlaps of candidates are counted
+fragment by fragment, each in its own row, and summed per pair.
+
+A bucket of N classes is not expanded into pairs. First each class is held against one other, the least class of that of
+its buckets which it shares most often (N pairs at most); links make components, and groups of near copies come together
+here. Buckets that still lie in several components join to clusters. A cluster is cut into blocks of bounded size, and a
+task holds two blocks against each other: overlaps are products of 0/1 matrices, again fragment by fragment and summed,
+pairs within the cluster's largest component are left out, and what leaves a task is a spanning forest of its links. So
+every pair that shares a key is decided, and no list of pairs is written.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearlabel.operators.graph import connected_components, cut
+from nearlabel.operators.graph import Scratch, connected_components
 
-#: Fragments for the overlaps; bits of the table that tells which sets are needed again; most sets and (on average)
-#: hashes of a block; columns of a matrix.
+#: Fragments for the overlaps; bits of the tables that tell which keys and sets are needed again; most sets and (on
+#: average) hashes of a block; columns of a matrix.
 FRAGMENTS, BITS, BLOCK, WEIGHT, COLUMNS = 8, 1 << 26, 1024, 1 << 20, 2048
-#: The index is built in this many parts of its key space, one after another, which bounds the disk that shuffles take.
-PARTS = 4
-#: Bytes hashed at once; sets whose signatures a task remembers to have put out.
+#: Slots of the table of counts, which is broadcast as a byte each; rows it is summed up in; partial sums of a row.
+SLOTS, CHUNKS, SALTS = 1 << 24, 64, 16
+#: Bytes hashed at once; classes that a task remembers to have put out.
 PART_BYTES, SEEN = 1 << 20, 200_000
 
 _U = np.uint64
@@ -120,7 +121,7 @@ def sets_of(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(m) - m
     grams = np.zeros(len(h), np.uint64)
     for j in range(n):
-        grams[: len(h) - j if j else None] += h[j:] * _STEP[j]
+        grams[: max(0, len(h) - j)] += h[j:] * _STEP[j]
     doc = np.repeat(np.arange(len(m)), m)
     inside = np.arange(len(h)) - first[doc] + n <= m[doc]
     short = np.flatnonzero((m > 0) & (m < n))
@@ -130,64 +131,29 @@ def sets_of(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
         few[has] += h[first[short[has]] + j] * _STEP[j]
     grams = _mix(np.concatenate([grams[inside], few + _U(0xC0FFEE) * m[short].astype(np.uint64)]))
     doc = np.concatenate([doc[inside], short])
-    order = np.lexsort((grams, doc))
+    order = _by(doc, [(grams, 64)], len(m))
     grams, doc = grams[order], doc[order]
     keep = np.ones(len(grams), bool)
     keep[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     return grams[keep], np.bincount(doc[keep], minlength=len(m)).astype(np.int64)
 
 
-class Levels:
-    """Size levels for a similarity of num / den: a set and any larger partner are at most one level apart."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.starts = [1]
-
-    def _grow(self, size: int) -> None:
-        while self.starts[-1] <= size * self.den // self.num + 1:
-            self.starts.append(self.starts[-1] * self.den // self.num + 1)
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        self._grow(int(sizes.max(initial=1)) * self.den // self.num + 1)
-        return np.searchsorted(self.starts, sizes, side="right") - 1
-
-    def fragments(self, level: np.ndarray) -> np.ndarray:
-        """One more than the largest symmetric difference of a pair of this level."""
-        top = np.array([*self.starts[1:], self.starts[-1] * 2])[level] - 1
-        return 2 * top * (self.den - self.num) // (self.den + self.num) + 1
-
-
-def _fragment_of(grams: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The fragment of each hash where the order is cut into m."""
-    return (((grams >> _U(32)) * m.astype(np.uint64)) >> _U(32)).astype(np.int64)
-
-
-def signatures(grams: np.ndarray, sizes: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all fragments of all sets, set by set, and their numbers. A level with one fragment asks for equal
-    sets, which are one class already, so it has no signatures."""
-    own = levels.of(sizes)
-    outs, counts = [], []
-    mixed = _mix(grams + _U(0xA5A5))
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    for step in (0, 1):
-        level = own + step
-        m = np.where(sizes > 0, levels.fragments(level), 0)
-        m = np.where(m > 1, m, 0)
-        begin = np.cumsum(m) - m
-        used = m[doc] > 0
-        place = begin[doc[used]] + _fragment_of(grams[used], m[doc[used]])
-        sums = np.zeros(int(m.sum()), np.uint64)
-        if len(place):
-            at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            sums[place[at]] = np.add.reduceat(mixed[used], at)
-        which = np.repeat(np.arange(len(m)), m)
-        name = (level[which].astype(np.uint64) << _U(40)) + (np.arange(len(which)) - begin[which]).astype(np.uint64)
-        outs.append((which, _mix(sums ^ _mix(name))))
-        counts.append(m)
-    which = np.concatenate([w for w, _ in outs])
-    order = np.argsort(which, kind="stable")
-    return np.concatenate([s for _, s in outs])[order], counts[0] + counts[1]
+def _by(doc: np.ndarray, keys: list[tuple[np.ndarray, int]], docs: int) -> np.ndarray:
+    """The order by document (below ``docs``) and keys (values, bits). Sorted as one 64-bit number each, which is many
+    times faster; rows that it can't tell apart are rare, and then all are sorted by whole keys."""
+    left = 64 - docs.bit_length()
+    number = doc.astype(np.uint64) << _U(left)
+    for values, bits in keys:
+        left -= bits
+        values = values.astype(np.uint64)
+        number |= values << _U(left) if left >= 0 else values >> _U(-left)
+        if left <= 0:
+            break
+    order = np.argsort(number)
+    same = np.flatnonzero(number[order][1:] == number[order][:-1])
+    if any((v[order[same]] != v[order[same + 1]]).any() for v, _ in keys):
+        return np.lexsort([v for v, _ in reversed(keys)] + [doc])
+    return order
 
 
 def _class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -196,8 +162,8 @@ def _class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _mix((sums[ends] - sums[ends - sizes]) ^ _mix(sizes.astype(np.uint64))).view(np.int64)
 
 
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
-_KEYS = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+_INDEX = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int64())])
 _SETS = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -207,76 +173,173 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, 1024)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, so that the high ones, mostly zero, lie together."""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-def _classes(n: int):
-    """Of each document the size of its set and its class."""
+
+def _survey(n: int):
+    """Of each document the size of its set and its class; then the task's counts of grams by slot, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint32)
         for batch in _slices(batches):
             grams, sizes = sets_of(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(_class_ids(grams, sizes))], schema=_CLASSES)
+            at, times = np.unique(_slot(grams), return_counts=True)
+            total[at] += times.astype(np.uint32)
+            nulls = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(_class_ids(grams, sizes)), *nulls], schema=_SURVEY)
+        for k, part in enumerate(np.split(total, CHUNKS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], schema=_SURVEY)
 
     return run
 
 
-def _index(n: int, num: int, den: int, part: int):
-    """Signatures of each class, those of one part of the key space; a task puts out those of a class once, as far as it remembers."""
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a chunk (chunk, salt, counts), summed up."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for chunk, salt, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total[chunk, salt] = total[chunk, salt] + _unpacked(raw) if (chunk, salt) in total else _unpacked(raw)
+    for (chunk, salt), counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([_packed(counts)], pa.binary())], names=["chunk", "salt", "counts"])
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """The eighth of a power of two that a count reaches, at most 255."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint8)
+
+
+class Order:
+    """The global order of grams: the step of a gram's slot, then the gram. ``cuts``: its fragments' first numbers."""
+
+    def __init__(self, steps: np.ndarray, weight: np.ndarray):
+        self.steps = steps
+        upto = np.concatenate([[0], np.cumsum(weight)])
+        goal = upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+        step = np.minimum(np.searchsorted(upto, goal, side="right") - 1, 255)
+        share = np.divide(goal - upto[step], weight[step], out=np.zeros(len(step)), where=weight[step] > 0)
+        self.cuts = (step.astype(np.uint64) << _U(56)) + (np.minimum(share, 0.999) * 2.0**56).astype(np.uint64)
+
+    def step(self, grams: np.ndarray) -> np.ndarray:
+        return self.steps[_slot(grams)]
+
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        number = (self.step(grams).astype(np.uint64) << _U(56)) + (grams >> _U(8))
+        return np.searchsorted(self.cuts, number, side="right")
+
+
+def _order(spark: SparkSession, survey: DataFrame):
+    """The order, from all tasks' counts: one byte a slot reaches the driver, whatever the number of documents."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "chunk int, salt int, counts binary"
+    counts = survey.filter("chunk IS NOT NULL").select("chunk", F.pmod(F.xxhash64("counts"), F.lit(SALTS)).cast("int").alias("salt"), "counts")
+    counts = counts.repartition(n, "chunk", "salt").mapInArrow(_sum_counts, schema).select("chunk", F.lit(0).alias("salt"), "counts")
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sum_counts(batches):
+            whole = _unpacked(batch.column(2)[0].as_py())
+            steps = _steps(whole)
+            weight = np.bincount(steps, whole, 256)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([steps.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary())], names=["chunk", "steps", "weight"])
+
+    rows = counts.repartition(n, "chunk").mapInArrow(finished, "chunk int, steps binary, weight binary").collect()
+    steps, weight = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8), np.zeros(256)
+    for r in rows:
+        steps[r.chunk] = np.frombuffer(r.steps, np.uint8)
+        weight += np.frombuffer(r.weight)
+    return spark.sparkContext.broadcast(Order(steps.ravel(), weight))
+
+
+def firsts(grams: np.ndarray, sizes: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first |s| - ceil(num |s| / den) + 1 grams of each set in the order, set by set, and their numbers."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    step = order.step(grams)
+    grams = grams[_by(doc, [(step, 8), (grams, 64)], len(sizes))]
+    counts = np.where(sizes > 0, sizes + (-sizes * num // den) + 1, 0)
+    return grams[np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(counts, sizes)], counts
+
+
+def _new(cid: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether a class has not been put out before, as far as a task remembers."""
+    new = np.zeros(len(cid), bool)
+    for k, c in enumerate(cid.tolist()):
+        if c not in seen:
+            seen.add(c)
+            new[k] = True
+    if len(seen) > SEEN:
+        seen.clear()
+    return new
+
+
+def _index(n: int, num: int, den: int, order):
+    """key, class and size of its set for each of a class's first grams; of a class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = Levels(num, den), set()
+        seen: set[int] = set()
         for batch in _slices(batches):
             grams, sizes = sets_of(batch.column(0).to_pylist(), n)
             cid = _class_ids(grams, sizes)
-            keys, counts = signatures(grams, sizes, levels)
-            new = np.zeros(len(cid), bool)
-            for k, c in enumerate(cid.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    new[k] = True
-            if len(seen) > SEEN:
-                seen.clear()
-            use = np.repeat(new, counts) & (keys % _U(PARTS) == _U(part))
-            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[use], minlength=len(counts))
-            keys = keys[use]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[new]), pa.array(sizes[new]), _lists(keys, counts[new])], schema=_KEYS)
+            keys, counts = firsts(grams, sizes, order.value, num, den)
+            use = np.repeat(_new(cid, seen), counts)
+            cols = keys.view(np.int64), np.repeat(cid, counts), np.repeat(sizes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], schema=_INDEX)
 
     return run
 
 
-def _needed(n: int, table):
+def _marked(table, ids: np.ndarray) -> np.ndarray:
+    """Whether ids have their bit in a table of ``_bits``."""
+    place = (ids.view(np.uint64) & _U(BITS - 1)).astype(np.int64)
+    return (table[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool)
+
+
+def _where_marked(table):
+    """The rows whose first column has its bit in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(table.value, np.asarray(batch.column(0)))))
+
+    return run
+
+
+def _needed(n: int, table, order):
     """The sets, in fragments, of the documents whose class has its bit in the table; a class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = table.value, set()
+        seen: set[int] = set()
         for batch in _slices(batches):
             grams, sizes = sets_of(batch.column(0).to_pylist(), n)
             cid = _class_ids(grams, sizes)
-            place = (cid.view(np.uint64) & _U(BITS - 1)).astype(np.int64)
-            want = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool) & (sizes > 0))
+            want = np.flatnonzero(_marked(table.value, cid) & (sizes > 0))
             begin = np.cumsum(sizes) - sizes
             rows: list[list] = [[], [], []]
-            for k in want.tolist():
-                if (c := int(cid[k])) in seen:
-                    continue
-                seen.add(c)
+            for k in want[_new(cid[want], seen)].tolist():
                 own = grams[begin[k] : begin[k] + sizes[k]]
-                cuts = np.searchsorted(_fragment_of(own, np.full(len(own), FRAGMENTS)), np.arange(FRAGMENTS + 1))
+                frag = order.value.fragment(own)
                 for f in range(FRAGMENTS):
-                    if cuts[f] < cuts[f + 1]:
-                        rows[0].append(c), rows[1].append(f), rows[2].append(own[cuts[f] : cuts[f + 1]].view(np.int64))
-            if len(seen) > SEEN:
-                seen.clear()
+                    if (part := own[frag == f]).size:
+                        rows[0].append(int(cid[k])), rows[1].append(f), rows[2].append(part.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(rows, _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
 def _bits(spark: SparkSession, ids: DataFrame):
-    """A broadcast table of BITS bits in which each id has its bit set: a fixed size, whatever the number of ids."""
-    place = F.col("cid").bitwiseAND(F.lit(BITS - 1))
+    """A broadcast table of BITS bits in which each id (the one column) has its bit set: a fixed size, whatever the number
+    of ids."""
+    place = F.col(ids.columns[0]).bitwiseAND(F.lit(BITS - 1))
     rows = ids.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("b")).toPandas()
     table = np.zeros(BITS // 64, np.uint64)
     table[rows["k"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
@@ -331,12 +394,12 @@ def _forest(num: int, den: int):
     return run
 
 
-def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between classes that share a signature and lie in different components."""
+def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links between classes that share a key and lie in different components."""
     labels = connected_components(links).select(F.col("id").alias("cid"), "label")
-    named = cut(rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "buckets")
+    named = scratch.cut(rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "buckets")
     buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("rep")).filter("low <> high").select("key", "rep")
-    near = cut(named.join(buckets, "key").select("rep", "cid", "n", "label").distinct(), "buckets")
+    near = scratch.cut(named.join(buckets, "key").select("rep", "cid", "n", "label").distinct(), "buckets")
     clusters = connected_components(near.select(F.col("rep").alias("src"), F.col("cid").alias("dst"))).select(F.col("id").alias("cid"), F.col("label").alias("cluster"))
     members = near.select("cid", "n", "label").distinct().join(clusters, "cid")
     sides = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
@@ -356,10 +419,33 @@ def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int
     return held.groupBy("cluster", "task").applyInArrow(_forest(num, den), "src long, dst long")
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files go when nothing refers to them any more, which is noticed when both sides collect their garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Scratch]:
+    """One row per row of ``df``: doc_id, text_hash (xxhash64), n (size of its set), label (of its component; null for the
+    empty set); and the folder that holds these rows."""
+    spark = df.sparkSession
+    scratch, kept = Scratch(spark, "fragment-join"), Scratch(spark, "members")
+    texts = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    survey = scratch.cut(texts.mapInArrow(_survey(n), "doc_id long, text_hash long, n long, cid long, chunk int, counts binary"), "survey")
+    order = _order(spark, survey)
+    index = scratch.cut(texts.select("text").mapInArrow(_index(n, num, den, order), "key long, cid long, n long"), "index")
+    least = index.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("rep"), F.max("cid").alias("last"))
+    shared = scratch.cut(least.filter(F.col("rep.cid") != F.col("last")).select("key", F.col("rep.cid").alias("rep"), F.col("rep.n").alias("rep_n")), "keys")
+    rows = index.mapInArrow(_where_marked(_bits(spark, shared.select("key"))), "key long, cid long, n long").join(shared, "key")
+    rows = scratch.cut(rows.distinct(), "buckets")
+    scratch.drop(index, shared)
+    sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, rows.select("cid")), order), "cid long, frag int, grams array<long>")
+    sets = scratch.cut(sets.dropDuplicates(["cid", "frag"]), "sets")
+    within = F.least("n", "rep_n") * den >= F.greatest("n", "rep_n") * num
+    met = rows.filter((F.col("cid") != F.col("rep")) & within).groupBy("cid", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("cid", "n").agg(F.max_by(F.struct("rep", "rep_n"), F.struct("times", -F.col("rep"))).alias("best"))
+    stars = best.select(F.col("best.rep").alias("a"), F.col("best.rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
+    links = scratch.cut(_overlaps(stars, sets, num, den), "links")
+    links = scratch.cut(links.union(_rest(rows.select("key", "cid", "n"), links, sets, num, den, scratch)), "links")
+    labels = connected_components(links).select(F.col("id").alias("cid"), "label")
+    docs = survey.filter("chunk IS NULL").join(labels, "cid", "left")
+    docs = kept.cut(docs.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")
+    scratch.drop()
+    return docs, kept
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,26 +456,20 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, ke
     link with nothing; a text of fewer words than n has one shingle of all of them. Repeated rows and keys are rows like
     others; a null key is no candidate for the smallest. Other columns are dropped; the empty table gives no rows.
     """
-    spark = df.sparkSession
-    texts = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    within = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    w = Window.partitionBy("key")
-    parts = []
-    for part in range(PARTS):  # shingled again each time: a stored index would take more room than the text
-        index = texts.select("text").mapInArrow(_index(n, num, den, part), "cid long, n long, keys array<long>")
-        rows = index.select("cid", "n", F.explode("keys").alias("key")).withColumn("rep", F.min(F.struct("cid", "n")).over(w)).withColumn("last", F.max("cid").over(w))
-        parts.append(cut(rows.filter(F.col("rep.cid") != F.col("last")).select("key", "cid", "n", F.col("rep.cid").alias("rep"), F.col("rep.n").alias("rep_n")), "buckets"))
-        del index, rows
-        _release(spark)
-    rows = reduce(DataFrame.union, parts)
-    sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, rows.select("cid"))), "cid long, frag int, grams array<long>")
-    sets = cut(sets.dropDuplicates(["cid", "frag"]), "sets")
-    stars = rows.filter(F.col("cid") != F.col("rep")).select(F.col("rep").alias("a"), F.col("rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    stars = stars.filter(within(F.col("na"), F.col("nb"))).distinct()
-    links = cut(_overlaps(stars, sets, num, den), "links")
-    links = cut(links.union(_rest(rows.select("key", "cid", "n"), links, sets, num, den)), "links")
-    labels = connected_components(links).select(F.col("id").alias("cid"), "label")
-    classes = texts.mapInArrow(_classes(n), "doc_id long, n long, cid long")
-    docs = cut(classes.join(labels, "cid", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")
+    docs, _ = components(df, n, num, den, key, text)
     least = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return docs.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the one of the smallest key (nulls last; of equal
+    keys that of the smallest hash of its text). Rows that are equal in key and text are one document, of which any row
+    stays. Texts without words link with nothing. All columns stay."""
+    docs, _ = components(df, n, num, den, key, text)
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(one).alias("first"))
+    gone = docs.join(first, "label").filter(one != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    own = Window.partitionBy(F.col(key).cast("bigint"), F.xxhash64(text)).orderBy(F.lit(0))
+    rows = df.withColumn("_rank_of_copy", F.row_number().over(own)).filter("_rank_of_copy = 1").drop("_rank_of_copy")
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
+    return rows.join(gone, same, "left_anti")

@@ -87,10 +87,15 @@ def test_empty_table(spark):
     assert fj.near_duplicates(df).count() == 0
 
 
+def some_order(rng):
+    steps = rng.integers(0, 40, fj.SLOTS).astype(np.uint8)
+    return fj.Order(steps, np.bincount(steps, minlength=256).astype(float))
+
+
 @pytest.mark.parametrize("num", [80, 90])
-def test_equal_fragment_for_every_linked_pair(num):
+def test_common_key_for_every_linked_pair(num):
     rng = np.random.default_rng(num)
-    levels = fj.Levels(num, 100)
+    order = some_order(rng)
     for _ in range(400):
         size = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
@@ -101,7 +106,43 @@ def test_equal_fragment_for_every_linked_pair(num):
             if common * 100 < (len(a) + len(nxt) - common) * num:
                 break
             b = nxt
-        if len(a) == len(b) and (a == b).all():
-            continue
-        keys, counts = fj.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), levels)
+        keys, counts = fj.firsts(np.concatenate([a, b]), np.array([len(a), len(b)]), order, num, 100)
+        assert counts.tolist() == [len(x) - -(-num * len(x) // 100) + 1 for x in (a, b)]
         assert set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist())
+
+
+def test_order():
+    rng = np.random.default_rng(3)
+    order = some_order(rng)
+    grams = np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2))
+    sizes = np.bincount(np.sort(rng.integers(0, 90, len(grams))), minlength=90)
+    keys, counts = fj.firsts(grams, sizes, order, 80, 100)
+    for k, (z, n) in enumerate(zip(np.cumsum(sizes), np.cumsum(counts), strict=True)):
+        own = sorted(grams[z - sizes[k] : z].tolist(), key=lambda g: (order.steps[g >> 40], g))
+        assert keys[n - counts[k] : n].tolist() == own[: counts[k]]
+    frag = order.fragment(grams)
+    ranked = np.array(sorted(range(len(grams)), key=lambda i: (order.steps[int(grams[i]) >> 40], grams[i])))
+    assert (np.diff(frag[ranked]) >= 0).all() and np.bincount(frag, minlength=fj.FRAGMENTS).min() > len(grams) / fj.FRAGMENTS / 2
+    assert (fj._unpacked(fj._packed(np.arange(300))) == np.arange(300)).all()
+
+
+@pytest.mark.parametrize("bits", [10, 64])
+def test_sorting_by_document_and_keys(bits):
+    rng = np.random.default_rng(1)
+    doc = np.sort(rng.integers(0, 5, 1000))
+    low = rng.integers(0, 4, 1000).astype(np.uint64)  # told apart by their last bits alone
+    high = rng.integers(0, 3, 1000).astype(np.uint8)
+    got = fj._by(doc, [(high, 8), (low, 64)], 5)
+    assert [(doc[i], high[i], low[i]) for i in got] == sorted(zip(doc, high, low, strict=True))
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Repeated rows and keys, null keys and clashing columns: one row of each group, rows without words all but copies."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text.upper(), "b"), (2, "other words that stand alone here", "c"), (None, text + " x", "d"), (None, "only null", "e"), (None, "only  null", "f"), (3, None, "g"), (3, None, "g"), (4, "", "h"), (5, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted(map(tuple, fj.without_duplicates(df, 5, 80).collect()), key=str)
+    null = [r for r in got if r[1] and r[1].startswith("only")]
+    assert len(null) == 1
+    assert [r for r in got if r not in null] == sorted([(1, text, "a"), (2, "other words that stand alone here", "c"), (3, None, "g"), (4, "", "h"), (5, "", "i")], key=str)
+    assert fj.without_duplicates(df.limit(0)).count() == 0
