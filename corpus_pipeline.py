@@ -30,8 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of 5-word shingles at 0.8 join, the one of the smallest doc_id stays."""
-    gone = fragment_join.near_duplicates(docs, n=5, num=80).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return fragment_join.without_duplicates(docs, n=5, num=80).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
