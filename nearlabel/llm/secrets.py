@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEGMENT_BYTES = 4 << 20
+#: Bytes of a segment (or one text); bytes whose trigrams are looked up at once.
+SEGMENT_BYTES, STEP = 4 << 20, 1 << 20
 MOST_EXACT, MOST_CLASS = 64, 8
 
 #: A query: a frozenset of alternatives, each a frozenset of trigrams that must all occur; ANY puts no condition.
@@ -46,8 +47,9 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 0, 32),
 )
+#: private_key: with its body and last line where they follow, else the first line alone.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -149,14 +151,13 @@ class Scanner:
     def postings(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether a document (column) of a segment holds a trigram (row)."""
         out = np.zeros((len(self.number), len(ends)), bool)
-        if len(data) < 3:
-            return out
-        b = self.lower[data]
-        hit = self.table[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
-        at = np.flatnonzero(hit)
-        doc = np.searchsorted(ends, at, side="right")
-        inside = at + 3 <= ends[doc]  # a trigram may not reach into the next document
-        out[hit[at][inside].astype(np.int64) - 1, doc[inside]] = True
+        for lo in range(0, len(data) - 2, STEP):  # one text may be far longer than a segment
+            b = self.lower[data[lo : lo + STEP + 2]]
+            hit = self.table[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
+            at = np.flatnonzero(hit)
+            doc = np.searchsorted(ends, lo + at, side="right")
+            inside = lo + at + 3 <= ends[doc]  # a trigram may not reach into the next document
+            out[hit[at][inside].astype(np.int64) - 1, doc[inside]] = True
         return out
 
     def candidates(self, query: Query, postings: np.ndarray, n: int) -> np.ndarray:

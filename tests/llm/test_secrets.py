@@ -51,6 +51,26 @@ def test_queries_are_necessary_conditions():
     assert secrets.trigram_query("abc|d") == secrets.ANY
 
 
+def test_private_keys_go_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nQUJD\nREVG==\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a {key} b {key}", "-----BEGIN PRIVATE KEY----- open", f"-----BEGIN PRIVATE KEY-----\nx\n{key}"]
+    clean = [secrets.redact_text(t, s) for t, s in zip(texts, secrets.Scanner().scan(texts), strict=True)]
+    assert clean == ["a [private_key] b [private_key]", "[private_key] open", "[private_key]\nx\n[private_key]"]
+
+
+def test_odd_tables(spark, monkeypatch):
+    """Clashing columns, very long texts, empty tables."""
+    monkeypatch.setattr(secrets, "STEP", 1000)
+    long = "word " * 300_000 + "token=abcdefgh12 " + "z" * 200_000
+    df = spark.createDataFrame([(1, long, "x"), (None, None, "y"), (2, "", "z")], "doc_id long, text string, spans string")
+    got = {r.doc_id: (r.text, r.spans) for r in df.withColumn("text", secrets.redact(secrets.F.col("text"))).collect()}
+    assert got == {1: (long.replace("token=abcdefgh12", "[assign]"), "x"), None: (None, "y"), 2: ("", "z")}
+    found = {r.doc_id: r.spans for r in df.withColumn("spans", secrets.find_secrets(secrets.F.col("text"))).collect()}
+    assert [tuple(s) for s in found[1]] == [("assign", 1_500_000, 1_500_016)] and found[None] == found[2] == []
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert none.select(secrets.find_secrets(secrets.F.col("text"))).collect() == none.select(secrets.redact(secrets.F.col("text"))).collect() == []
+
+
 def test_redaction(spark):
     rows = [(1, "a token = 'abcdefgh12' b"), (2, None), (3, "clean"), (1, "a token = 'abcdefgh12' b"), (4, "password=" + "0a" * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", secrets.find_secrets(secrets.F.col("text")))
