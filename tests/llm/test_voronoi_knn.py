@@ -58,3 +58,22 @@ def test_repeated_query_rows(spark, block, monkeypatch):
         near = sorted((-int(v[q] @ v[c]), c) for c, times in [(i, 41 if i == 0 else 4 if i == 5 else 1) for i in v] for _ in range(times) if c != q)[:4]
         want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(near)}
     assert {tuple(r) for r in got} == want and len(got) == 8
+
+
+def test_slices_and_pruning(spark, monkeypatch):
+    """Clustered vectors: queries seek few cells, blocks that none seeks are not moved, slices get what they seek alone."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(10, 8)) * 5
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 10] + rng.normal(size=8) * 0.02], 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids = [*range(0, 4000, 40), *range(1, 4000, 40)]
+    asked = df.filter(df.vec_id.isin(ids))
+    found = []
+    for queries in (voronoi_knn.QUERIES, 60):
+        monkeypatch.setattr(voronoi_knn, "QUERIES", queries)
+        sought, placed = voronoi_knn._plan(df, asked, 5, "vec_id", "embedding", 256, None)
+        found.append(sought.select("slice").distinct().count())
+        cells, blocks = sought.select("id", "cell").distinct().count(), placed.count()
+        assert cells < 0.3 * len(ids) * min(voronoi_knn.PIVOTS, int(4000**0.5) // 2) and blocks < 0.5 * 4000
+        assert {tuple(r) for r in voronoi_knn.knn_join(df, asked, k=5).collect()} == brute(rows, ids, 5)
+    assert found[0] == 1 and found[1] >= 4
