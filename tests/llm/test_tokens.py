@@ -126,8 +126,34 @@ def test_vector_limits():
     assert bins.max() + 1 < 1.35 * bound
 
 
+@pytest.mark.parametrize("binds", ["tokens", "segments", "loss"])
+def test_each_limit_decides(spark, binds):
+    """Instruction data with prompts: every limit holds in every sequence, and the tight one is reached in most."""
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    rnd = random.Random(2)
+    rows = [(i, p := " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 30))), p + " " + " ".join(rnd.choice("mnopqrs") for _ in range(rnd.randint(1, 40)))) for i in range(400)]
+    rows += [(1000, "x " * 700, "x " * 700 + "y " * 900), (1001, None, "z " * 1000)]
+    limits = {"tokens": packing.Limits(256, 64, 256), "segments": packing.Limits(1024, 5, 1024), "loss": packing.Limits(512, 64, 100)}[binds]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, text string").coalesce(1)
+    got = packing.pack_documents(df, vocabulary("word_bpe_49k.json"), limits=limits, prompt="prompt").collect()
+    bare = {i: max(1, len(tok.encode(p or "", add_special_tokens=False).ids)) for i, p, _ in rows}
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, _, t in rows}
+    seqs, docs = {}, {}
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids == want[r.doc_id][r.start : r.start + r.length] and r.loss_tokens == sum(r.start + j >= bare[r.doc_id] for j in range(r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.length, 1, r.loss_tokens))
+        docs[r.doc_id] = docs.get(r.doc_id, 0) + r.length
+    assert docs == {i: len(w) for i, w in want.items()}
+    sums = np.array([np.sum(s, axis=0) for s in seqs.values()])
+    assert (sums <= [limits.tokens, limits.segments, limits.loss]).all()
+    full = sums / [limits.tokens, limits.segments, limits.loss] >= 0.95
+    assert full[:, ["tokens", "segments", "loss"].index(binds)].mean() > 0.6
+
+
 def test_packing_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(3, "a  b", "x"), (None, "none", "x")], SCHEMA)
+    df = df.withColumns({c: df.n_tokens for c in ("start", "length", "bare", "prompt", "ids", "sequence_id")})
     rows = packing.pack_documents(df, vocabulary("word_bpe_49k.json")).collect()
     assert {r.doc_id for r in rows} == {None, *range(len(ODD))} and all(len(r.ids) == 4 * r.length for r in rows)
     assert packing.pack_documents(df.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
