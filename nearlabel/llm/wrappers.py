@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearlabel.operators.graph import Scratch
+
 #: Streams aligned in one group; longest repeated group in tokens; hosts whose wrappers are broadcast; tokens of streams
 #: whose folding a task remembers.
 GROUP, LONGEST, HOSTS, KNOWN = 256, 24, 20_000, 300_000
@@ -404,14 +406,21 @@ def _infer(t: pa.Table) -> pa.Table:
 
 
 def host_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, wrapper (JSON), pages: the wrapper of every host, from all its pages."""
+    """host, wrapper (JSON), pages: the wrapper of every host, from all its pages.
+
+    The folded streams are counted, cut, and aligned in groups of about GROUP; the groups' wrappers again, until each host
+    has one, so no task aligns more than a group, however many streams a host has."""
+    scratch = Scratch(pages.sparkSession, "wrappers")
     schema = "host string, wrapper string, pages long, differ boolean"
     found = pages.select(url, page).mapInArrow(_structures, "host string, wrapper string, content string, pages long")
     found = found.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"), (F.min("content") != F.max("content")).alias("differ"))
-    parts = F.ceil(F.col("streams") / GROUP)
-    found = found.join(found.groupBy("host").agg(F.count(F.lit(1)).alias("streams")), "host").select("host", "wrapper", "pages", "differ", F.pmod(F.xxhash64("wrapper"), parts).alias("part"))
-    parts = found.groupBy("host", "part").applyInArrow(lambda t: _infer(t.drop_columns(["part"])), schema)
-    return parts.groupBy("host").applyInArrow(_infer, schema).drop("differ")
+    rows = scratch.cut(found.select("host", "wrapper", "pages", "differ"), "streams")
+    while True:
+        sizes = rows.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+        dealt = rows.join(sizes, F.col("host") == F.col("h")).select("host", "wrapper", "pages", "differ", F.pmod(F.xxhash64("wrapper"), "parts").alias("part"))
+        rows = scratch.cut(dealt.groupBy("host", "part").applyInArrow(lambda t: _infer(t.drop_columns(["part"])), schema), "groups")
+        if not rows.groupBy("host").count().filter("count > 1").limit(1).count():
+            return rows.drop("differ")
 
 
 def _apply(shared):
