@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine, with a block-max inverted index.
 
-Terms are words and beginnings of words. From a bounded sample of labelled examples those terms are kept that stand in
-toxic examples far more often than chance allows (log-likelihood ratio, against the number of all terms); document
-frequencies are then counted over all documents. An example's vector is tf * idf over kept terms, of length one; equal
-vectors are one entry with its numbers of toxic and other examples. The inverted index has, for each term, the entries'
-weights and, for each block of entries, the largest weight: a query takes blocks by falling upper bound and stops when no
-block can reach its k-th best entry, so the k best are exact. Their votes, weighted by closeness, are turned into scores
-by an isotonic fit to leave-one-out votes of the examples.
-
-Everything that is broadcast is bounded: examples by ``SAMPLE``, terms by ``TERMS``.
+A text's vector is over all words that occur in the examples, and over those beginnings of words that toxic examples have
+far more often than chance allows (log-likelihood ratio, against the number of all terms): weight (1 + ln tf) * idf, times
+``BOOST`` for such enriched terms, of length one. Document frequencies are counted over all documents. Equal vectors of
+examples are one entry with its numbers of toxic and other examples.
+
+The inverted index has, for each term, the entries' weights by block and each block's largest weight. A query adds up its
+blocks' bounds, scores the best ones for a first floor, and then those blocks alone whose bound reaches the floor of the
+k-th best entry: by the blocks' own rows where these are few, by whole posting lists where most blocks are left. Either
+way the k best are exact. Their votes, weighted by closeness, are turned into scores by an isotonic fit to the examples'
+leave-one-out votes.
+
+What is broadcast is bounded by ``SAMPLE`` examples of a class and ``SAMPLE_BYTES`` of their text (expected numbers of a
+uniform choice by hash); examples of a class that is sampled count the more.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -20,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearlabel.operators.graph import cut
+from nearlabel.operators.graph import Scratch
 
-#: Most labelled examples (expected; a uniform choice by hash), most terms, neighbours that vote, entries in a block.
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 40_000, 20_000, 15, 32
-#: Lengths of word beginnings; weight of the prior in a vote; fewest toxic examples with a kept term.
-BEGINNINGS, PRIOR, LEAST = (4, 5, 6, 7), 0.25, 4
+#: Most labelled examples of a class and bytes of their texts (expected), neighbours that vote, entries in a block.
+SAMPLE, SAMPLE_BYTES, NEIGHBOURS, BLOCK = 4000, 32 << 20, 15, 32
+#: Lengths of word beginnings; weight of the prior in a vote; fewest toxic examples with an enriched term; its factor.
+BEGINNINGS, PRIOR, LEAST, BOOST = (4, 5, 6, 7), 0.25, 4, 3.0
+#: Blocks that are scored first; up to which share of the blocks the rest is scored by rows; results that a task keeps.
+FIRST, SHARE, KNOWN = 4, 0.15, 5000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -39,75 +47,103 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Kept terms: finds a text's ones without looking at each word's every beginning."""
+    """Numbers of terms; finds a text's ones without looking at each word's every beginning."""
 
     def __init__(self, names: list[str]):
-        self.number = {t: k for k, t in enumerate(names)}
-        self.heads = {t.rstrip(" ")[: BEGINNINGS[0]] for t in names}
+        self.size = len(names)
+        self.words = {t[:-1]: k for k, t in enumerate(names) if t.endswith(" ")}
+        self.begins = {t: k for k, t in enumerate(names) if not t.endswith(" ")}
+        self.heads = {t[: BEGINNINGS[0]] for t in self.begins}
 
     def count(self, text: str | None) -> dict[int, int]:
-        heads, n = self.heads, BEGINNINGS[0]
-        near = Counter([w for w in _WORDS((text or "").lower()) if w[:n] in heads])
-        out: Counter[int] = Counter()
-        for word, times in near.items():
-            for t in terms_of(word):
-                if (k := self.number.get(t)) is not None:
-                    out[k] += times
+        words, heads, n = self.words, self.heads, BEGINNINGS[0]
+        out: dict[int, int] = {}
+        for word, times in Counter(_WORDS((text or "").lower())).items():
+            if (k := words.get(word)) is not None:
+                out[k] = times
+            if word[:n] in heads:
+                for t in terms_of(word)[1:]:
+                    if (k := self.begins.get(t)) is not None:
+                        out[k] = out.get(k, 0) + times
         return out
 
 
+def _spread(begin: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Positions begin[i] .. begin[i] + take[i] - 1 for each i, one after another."""
+    ends = np.cumsum(take)
+    return np.repeat(begin - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Index:
-    """Block-max inverted index over entries (term -> weight), each with numbers of toxic and other examples."""
+    """Block-max inverted index over entries (terms, weights), each with numbers of toxic and other examples."""
 
-    def __init__(self, entries: list[tuple[tuple[int, ...], tuple[float, ...], int, int, int]]):
-        # entries that share terms side by side, so that a block's largest weights are sharp
-        entries = sorted(entries, key=lambda e: e[:2])
-        self.toxic = np.array([e[2] for e in entries], np.float64)
-        self.other = np.array([e[3] for e in entries], np.float64)
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray, float, float, int]], terms: int):
+        # entries with the same strongest terms side by side, so that a block's largest weights are sharp
+        strongest = lambda e: tuple(e[0][np.argsort(-e[1], kind="stable")[:4]].tolist())
+        entries = sorted(entries, key=lambda e: (strongest(e), e[4]))
+        self.toxic, self.other = (np.array([e[i] for e in entries], np.float64) for i in (2, 3))
         self.name = np.array([e[4] for e in entries], np.int64)
-        self.blocks = -(-len(entries) // BLOCK)
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for k, (ids, weights, *_) in enumerate(entries):
-            for t, w in zip(ids, weights, strict=True):
-                own = lists.setdefault(t, ([], []))
-                own[0].append(k), own[1].append(w)
-        self.postings = {}
-        for t, (ids, weights) in lists.items():
-            at, w = np.array(ids), np.array(weights)
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = (at, w, at // BLOCK, block, np.maximum.reduceat(w, first))
-
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(e[0]) for e in entries], np.int64)
+        self.rows = np.concatenate([[0], np.cumsum(size)])
+        self.term = np.concatenate([e[0] for e in entries]).astype(np.int32) if entries else np.zeros(0, np.int32)
+        self.weight = np.concatenate([e[1] for e in entries]) if entries else np.zeros(0)
+        self.blocks, self.terms = -(-len(entries) // BLOCK), terms
+        order = np.argsort(self.term, kind="stable")
+        self.entry = np.repeat(np.arange(len(entries), dtype=np.int32), size)[order]
+        self.posted = self.weight[order]
+        self.lists = np.searchsorted(self.term[order], np.arange(terms + 1))
+        block = self.entry // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (self.term[order][1:] != self.term[order][:-1]) | (block[1:] != block[:-1])])) if len(order) else np.zeros(0, np.int64)
+        self.block, self.top = block[first], np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0)
+        self.tops = np.searchsorted(self.term[order][first], np.arange(terms + 1))
+
+    def bounds(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of each block an upper bound of its entries' cosines."""
+        take = self.tops[ids + 1] - self.tops[ids]
+        at = _spread(self.tops[ids], take)
+        return np.bincount(self.block[at], np.repeat(weights, take) * self.top[at], self.blocks)
+
+    def of_blocks(self, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines, by rows."""
+        begin = np.sort(blocks) * BLOCK
+        entries = _spread(begin, np.minimum(begin + BLOCK, len(self.name)) - begin)
+        size = self.rows[entries + 1] - self.rows[entries]
+        at = _spread(self.rows[entries], size)
+        return entries, np.bincount(np.repeat(np.arange(len(entries)), size), query[self.term[at]] * self.weight[at], len(entries))
+
+    def of_all(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """All entries' cosines, by posting lists: short ones together, long ones each."""
+        lo, hi = self.lists[ids], self.lists[ids + 1]
+        short = hi - lo < 64
+        take = (hi - lo)[short]
+        at = _spread(lo[short], take)
+        total = np.bincount(self.entry[at], np.repeat(weights[short], take) * self.posted[at], len(self.name)).astype(np.float64)  # of nothing: whole numbers
+        for a, z, q in zip(lo[~short].tolist(), hi[~short].tolist(), weights[~short].tolist(), strict=True):
+            total[self.entry[a:z]] += q * self.posted[a:z]
+        return total
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest positive cosine, and all that equal the last: numbers and cosines, falling."""
-        lists = [(q, *self.postings[t]) for t, q in query.items() if t in self.postings]
-        if not lists:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for q, _, _, _, block, top in lists:
-            bound[block] += q * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, floor = [], [], 0.0
-        lo, step = 0, 16
-        while lo < len(order) and bound[order[lo]] >= floor - 1e-9:
-            part = order[lo : lo + step]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            total = np.zeros(self.blocks * BLOCK)
-            for q, at, w, own, _, _ in lists:
-                use = chosen[own]
-                total[at[use]] += q * w[use]
-            ids = np.flatnonzero(total)
-            found.append(ids), scores.append(total[ids])
-            s = np.concatenate(scores)
-            if len(s) >= k:
-                floor = np.partition(s, len(s) - k)[len(s) - k]
-            lo, step = lo + step, step * 2
-        ids, s = np.concatenate(found), np.concatenate(scores)
-        keep = s >= floor - 1e-9
-        ids, s = ids[keep], s[keep]
-        o = np.lexsort((ids, -s))
-        return ids[o], s[o]
+        bound = self.bounds(ids, weights)
+        query = np.zeros(self.terms)
+        query[ids] = weights
+        live = int(np.count_nonzero(bound))
+        best = np.argpartition(-bound, min(FIRST, len(bound)) - 1)[:FIRST] if live else np.zeros(0, np.int64)
+        found, s = self.of_blocks(query, best)
+        floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
+        left = bound >= max(floor - 1e-9, 1e-12)
+        left[best] = False
+        rest = np.flatnonzero(left)
+        if len(rest) > SHARE * self.blocks:
+            found, s = np.arange(len(self.name)), self.of_all(ids, weights)
+        elif len(rest):
+            more, t = self.of_blocks(query, rest)
+            found, s = np.concatenate([found, more]), np.concatenate([s, t])
+        floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
+        keep = (s >= floor - 1e-9) & (s > 0)
+        found, s = found[keep], s[keep]
+        o = np.lexsort((found, -s))
+        return found[o], s[o]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,77 +158,90 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[1] / p[0] for p in pools]), np.array([(p[2] + 0.05) / (p[0] + 0.1) for p in pools])
 
 
+def _mark(ids: np.ndarray, weights: np.ndarray) -> bytes:
+    return hashlib.blake2b(ids.tobytes() + weights.tobytes(), digest_size=16).digest()
+
+
 class Model:
-    """idf by term, index, share of toxic examples and of those without kept terms, calibration."""
+    """Terms, idf, index, share of toxic examples and of those without terms, calibration."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
+    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], times: tuple[float, float] = (1.0, 1.0)):
+        """examples: (document, 1 if toxic, counts of terms). times: what a toxic and another example counts for."""
         self.terms, self.idf = Terms(names), idf
-        self.known: dict[tuple, tuple[float, list]] = {}
-        merged: dict[tuple, list[int]] = {}
-        rest = [0, 0]
+        self.times = times
+        merged: dict[bytes, list] = {}
+        rest = [0.0, 0.0]
         for doc, toxic, counts in examples:
-            vector = self.vector(counts)
-            if vector:
-                own = merged.setdefault((tuple(vector), tuple(vector.values())), [0, 0, doc])
-                own[1 - toxic] += 1
-                own[2] = min(own[2], doc)
+            ids, weights = self.vector(counts)
+            if len(ids):
+                own = merged.setdefault(_mark(ids, weights), [ids, weights, 0.0, 0.0, doc])
+                own[3 - toxic] += times[1 - toxic]
+                own[4] = min(own[4], doc)
             else:
-                rest[1 - toxic] += 1
-        n = len(examples)
-        self.prior = (sum(t for _, t, _ in examples) + 0.5) / (n + 1)
-        self.without = (rest[0] + 0.05) / (sum(rest) + 1) if sum(rest) else self.prior
-        self.index = Index([(*key, *v) for key, v in merged.items()])
+                rest[1 - toxic] += times[1 - toxic]
+        toxic, other = (sum(times[1 - y] for _, y, _ in examples if y == kind) for kind in (1, 0))
+        self.prior = (toxic + 0.5) / (toxic + other + 1)
+        self.without = (rest[0] + self.prior) / (sum(rest) + 1)
+        self.index = Index(list(merged.values()), len(names))
+        self.place = {_mark(self.index.term[a:z].astype(np.int64), self.index.weight[a:z]): k for k, (a, z) in enumerate(zip(self.index.rows[:-1], self.index.rows[1:], strict=True))}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self._calibrate(merged)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        got = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(v * v for v in got.values()))
-        return {t: round(v / norm, 9) for t, v in got.items()} if norm else {}
 
-    def vote(self, ids: np.ndarray, cosines: np.ndarray, less: tuple[int, int, int] | None = None) -> float:
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, rising, and their weights."""
+        ids = np.fromiter(counts, np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(ids)
+        ids = ids[order]
+        w = (1 + np.log(n[order])) * self.idf[ids]
+        norm = math.sqrt(float(w @ w))
+        return (ids, np.round(w / norm, 9)) if norm else (ids[:0], w[:0])
+
+    def vote(self, ids: np.ndarray, cosines: np.ndarray, less: tuple[int, int] | None = None) -> float:
         """Weighted share of toxic examples; an entry of several examples counts with the logarithm of their number.
-        less: entry and examples to leave out."""
+        less: entry and label of an example to leave out."""
         toxic, other = self.index.toxic[ids], self.index.other[ids]
         if less:
             own = ids == less[0]
-            toxic, other = toxic - own * less[1], other - own * less[2]
-        n = toxic + other
-        share = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
+            toxic, other = toxic - own * less[1] * self.times[0], other - own * (1 - less[1]) * self.times[1]
+        n = np.maximum(toxic + other, 0)
+        share = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 1e-9)
         weight = cosines**2 / (1.05 - np.minimum(cosines, 1)) * np.log2(1 + n)
         return float(((weight * share).sum() + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
-    def _calibrate(self, merged: dict[tuple, list[int]]) -> None:
-        votes, labels, weights = [], [], []
-        for k, (key, _) in enumerate(sorted(merged.items(), key=lambda e: e[0])):
-            near = self.index.nearest(dict(zip(*key, strict=True)), NEIGHBOURS + 1)
-            for label, count in ((1, self.index.toxic[k]), (0, self.index.other[k])):
-                if count:
-                    votes.append(self.vote(*near, less=(k, label, 1 - label)))
-                    labels.append(label), weights.append(count)
-        if votes:
-            self.x, self.y = isotonic(np.array(votes), np.array(labels, float), np.array(weights, float))
+    def left_out(self, text: str | None, label: int) -> float | None:
+        """The vote on an example by all others; None without terms."""
+        ids, weights = self.vector(self.terms.count(text))
+        return self.vote(*self.index.nearest(ids, weights, NEIGHBOURS + 1), less=(self.place[_mark(ids, weights)], label)) if len(ids) else None
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
-        """As ``of_counts``; texts with equal counts of kept terms, copies above all, are searched once."""
-        counts = tuple(sorted(self.terms.count(text).items())) if text else ()
-        if counts not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[counts] = self.of_counts(dict(counts))
-        return self.known[counts]
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        if len(votes):
+            self.x, self.y = isotonic(votes, labels, np.where(labels > 0, *self.times))
 
     def of_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, float]]]:
         """Score, and the three nearest entries as (smallest doc_id, cosine, share of toxic examples)."""
-        vector = self.vector(counts)
-        if not vector:
-            return self.without, []
-        ids, cosines = self.index.nearest(vector)
-        if not len(ids):
+        ids, weights = self.vector(counts)
+        near, cosines = self.index.nearest(ids, weights) if len(ids) else (ids, weights)
+        if not len(near):
             return self.without, []
-        value = float(np.interp(self.vote(ids, cosines), self.x, self.y))
-        toxic, other = self.index.toxic[ids[:3]], self.index.other[ids[:3]]
-        return value, [(int(self.index.name[i]), float(c), float(s)) for i, c, s in zip(ids[:3], cosines, toxic / (toxic + other), strict=False)]
+        value = float(np.interp(self.vote(near, cosines), self.x, self.y))
+        toxic, other = self.index.toxic[near[:3]], self.index.other[near[:3]]
+        return value, [(int(self.index.name[i]), float(c), float(s)) for i, c, s in zip(near[:3], cosines, toxic / (toxic + other), strict=False)]
+
+
+class Scorer:
+    """A model in a task; texts with equal counts of terms, copies above all, are searched once, as far as it remembers."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
+        counts = self.model.terms.count(text) if text else {}
+        mark = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
+        if mark not in self.known:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[mark] = self.model.of_counts(counts)
+        return self.known[mark]
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,22 +261,45 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "toxic": pa.array([c[0] for c in counts.values()], pa.int64()), "other": pa.array([c[1] for c in counts.values()], pa.int64())})
 
 
-def _frequencies(shared):
+#: Terms in a row of document frequencies.
+CHUNK = 1 << 14
+_CHUNKS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("documents", pa.int64())])
+
+
+def _chunks(total: np.ndarray, documents: int) -> pa.RecordBatch:
+    parts = [total[lo : lo + CHUNK].tobytes() for lo in range(0, len(total), CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([documents] * len(parts), pa.int64())], schema=_CHUNKS)
+
+
+def _frequencies(shared: Broadcast):
+    """A task's documents and its documents by term, in rows of CHUNK terms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total, n = Terms(shared.value), Counter(), 0
+        terms, n = Terms(shared.value), 0
+        total = np.zeros(terms.size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(terms.count(text).keys())
+                total[list(terms.count(text))] += 1
                 n += 1
-        total[-1] = n
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "df": pa.array(list(total.values()), pa.int64())})
+        yield _chunks(total, n)
 
     return run
 
 
-def select_terms(counts: DataFrame, toxic: int, other: int) -> list[str]:
-    """Terms of toxic examples: at least LEAST examples of them, and a log-likelihood ratio above what the best of so many terms
-    reaches by chance; the TERMS strongest."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, list] = {}
+    for batch in batches:
+        for chunk, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = total.setdefault(chunk, [np.zeros(len(raw) // 8, np.int64), 0])
+            own[0] += np.frombuffer(raw, np.int64)
+            own[1] += n
+    rows = list(total.items())
+    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([x.tobytes() for _, (x, _) in rows], pa.binary()), pa.array([n for _, (_, n) in rows], pa.int64())], schema=_CHUNKS)
+
+
+def enriched(counts: DataFrame, toxic: int, other: int) -> list[str]:
+    """Terms of toxic examples: at least LEAST examples of them, and a log-likelihood ratio above what the best of so many
+    terms reaches by chance."""
     n = counts.filter(F.col("toxic") + F.col("other") >= LEAST).count()  # fewer can't reach it
     if not toxic or not other or not n:
         return []
@@ -235,27 +307,35 @@ def select_terms(counts: DataFrame, toxic: int, other: int) -> list[str]:
     rate, base = a / (a + b), toxic / (toxic + other)
     ratio = 2 * (a * F.log(rate / base) + F.when(b > 0, b * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     kept = counts.filter((a >= LEAST) & (rate > base)).withColumn("g", ratio).filter(F.col("g") > 2 * math.log(n))
-    return sorted(r.term for r in kept.orderBy(F.desc("g"), "term").limit(TERMS).collect())
+    return [r.term for r in kept.select("term").collect()]
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """A model from ``labels`` (all rows with a label of 0 or 1 count; the caller leaves out what is held out)."""
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "toxicity")
     known = labels.filter(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(toxic).cast("int").alias("y"))
-    n = known.count()
-    part = min(1.0, SAMPLE / max(n, 1))
-    sample = known.filter(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20)))
-    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")
-    texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).select("k", "text", "y")
-    size = sample.groupBy("y").count().collect()
-    number = {r.y: r["count"] for r in size}
-    counts = texts.select("text", "y").mapInArrow(_evidence, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = cut(counts, "terms")  # read twice
-    names = select_terms(counts, number.get(1, 0), number.get(0, 0))
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast(names)
-    found = documents.select(text).mapInArrow(_frequencies(shared), "k int, df long").groupBy("k").agg(F.sum("df").alias("df")).collect()
-    frequency = {r.k: r.df for r in found}
-    idf = np.array([math.log((1 + frequency.get(-1, 0)) / (1 + frequency.get(k, 0))) + 1e-3 for k in range(len(names))])
+    texts = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = texts.select("k", F.octet_length("text").alias("b")).join(known, "k").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect()
+    part = {r.y: min(1.0, SAMPLE / r.n, SAMPLE_BYTES / 2 / max(r.b, 1)) for r in sizes}
+    limit = F.when(F.col("y") == 1, F.lit(int(part.get(1, 1) * (1 << 20)))).otherwise(F.lit(int(part.get(0, 1) * (1 << 20))))
+    sample = known.filter(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < limit)
+    sample = scratch.cut(texts.join(F.broadcast(sample), "k"), "sample")
+    number = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    counts = sample.select("text", "y").mapInArrow(_evidence, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = scratch.cut(counts, "terms")  # read three times
+    more = set(enriched(counts, number.get(1, 0), number.get(0, 0)))
+    words = [r.term for r in counts.select("term").filter(F.col("term").endswith(" ")).collect()]
+    names = sorted(more | set(words))
+    shared = spark.sparkContext.broadcast(names)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "chunk int, counts binary, documents long"
+    tasks = documents.select(text).mapInArrow(_frequencies(shared), schema).withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(n)))
+    found = tasks.repartition(n, "chunk", "salt").select("chunk", "counts", "documents").mapInArrow(_summed, schema).repartition(n, "chunk").mapInArrow(_summed, schema)
+    found = {r.chunk: r for r in found.collect()}
+    frequency = np.concatenate([np.frombuffer(found[c].counts, np.int64) for c in sorted(found)])[: len(names)] if found else np.zeros(len(names))
+    total = found[0].documents if found else 0
+    idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * np.array([BOOST if t in more else 1.0 for t in names])
 
     @F.arrow_udf("array<struct<t: int, n: int>>")
     def counted(texts: pa.Array) -> pa.Array:
@@ -263,8 +343,25 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         rows = [[{"t": t, "n": n} for t, n in sorted(terms.count(x).items())] for x in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())])))
 
-    examples = texts.select("k", "y", counted("text").alias("v")).toPandas().sort_values("k")
-    return Model(names, idf, [(int(k), int(y), {int(x["t"]): int(x["n"]) for x in v}) for k, y, v in examples.itertuples(index=False)])
+    rows = sample.select("k", "y", counted("text").alias("v")).toArrow()
+    examples = []
+    for k, y, v in zip(rows.column("k").to_pylist(), rows.column("y").to_pylist(), (x for c in rows.column("v").chunks for x in c), strict=True):
+        pairs = v.values
+        examples.append((int(k), int(y), dict(zip(pairs.field("t").to_pylist(), pairs.field("n").to_pylist(), strict=True))))
+    examples.sort(key=lambda e: (e[0], e[1], sorted(e[2].items())))
+    model = Model(names, idf, examples, (1 / part.get(1, 1.0), 1 / part.get(0, 1.0)))
+    raw = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def left_out(texts: pa.Array, labels: pa.Array) -> pa.Array:
+        return pa.array([raw.value.left_out(t, y) for t, y in zip(texts.to_pylist(), labels.to_pylist(), strict=True)], pa.float64())
+
+    spread = sample.repartition(n, F.xxhash64("k", "text"))
+    votes = spread.select("y", left_out("text", "y").alias("vote")).filter("vote IS NOT NULL").orderBy("vote", "y").toPandas()
+    model.calibrate(votes["vote"].to_numpy(), votes["y"].to_numpy(float))
+    raw.unpersist()
+    scratch.drop()
+    return model
 
 
 def score(text: Column, model: Model, documents: DataFrame) -> Column:
@@ -273,12 +370,14 @@ def score(text: Column, model: Model, documents: DataFrame) -> Column:
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())])))])
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<doc_id: bigint, cosine: double, toxic_share: double>>>")
-    def scored(texts: pa.Array) -> pa.Array:
-        model, out = shared.value, []
-        for t in texts.to_pylist():
-            value, near = model.score(t)
-            out.append({"score": value, "evidence": [{"doc_id": d, "cosine": c, "toxic_share": s} for d, c, s in near]})
-        return pa.array(out, kind)
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                value, near = scorer.score(t)
+                out.append({"score": value, "evidence": [{"doc_id": d, "cosine": c, "toxic_share": s} for d, c, s in near]})
+            yield pa.array(out, kind)
 
     return scored(text)
 
@@ -287,9 +386,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, ke
     """All rows and columns of ``documents`` with ``score`` (0 to 1), ``predicted`` (1 if score >= threshold, else 0) and
     ``evidence`` (up to three nearest entries).
 
-    Texts without kept terms, empty and null ones among them, get the share of toxic examples among the examples without
-    kept terms. Without labelled examples of both kinds there are no terms. Equal rows get equal scores; columns of the
-    new names are replaced. Two passes over the text, no shuffle of it.
+    Texts that share no term with an example, empty and null ones among them, get the share of toxic examples among the
+    examples without terms. Without labelled examples all get 0.5. Equal rows get equal scores; columns of the new names
+    are replaced. Text is read four times and never shuffled, but for the sample.
     """
     model = fit(documents, labels, key=key, text=text)
     scored = documents.withColumn("evidence", score(F.col(text), model, documents))

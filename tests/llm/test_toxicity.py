@@ -1,5 +1,9 @@
+import json
 import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -24,16 +28,85 @@ def test_nearest_is_exact():
     for k in range(900):
         ids = tuple(sorted(rnd.sample(range(60), rnd.randint(1, 6))))
         w = np.array([rnd.random() + 0.1 for _ in ids])
-        entries[ids] = (ids, tuple((w / np.linalg.norm(w)).tolist()), rnd.randint(0, 2), 1, k)
-    index = toxicity.Index(list(entries.values()))
-    ordered = sorted(entries.values(), key=lambda e: e[:2])
-    for _ in range(60):
-        q = {t: rnd.random() for t in rnd.sample(range(65), 4)}
-        want = np.array([sum(q.get(t, 0) * w for t, w in zip(*e[:2], strict=True)) for e in ordered])
-        ids, cosines = index.nearest(q, 7)
+        entries[ids] = (np.array(ids), w / np.linalg.norm(w), rnd.randint(0, 2), 1, k)
+    index = toxicity.Index(list(entries.values()), 65)
+    by_name = {e[4]: dict(zip(e[0].tolist(), e[1].tolist(), strict=True)) for e in entries.values()}
+    ways = set()
+    for j in range(120):
+        q = {t: rnd.random() for t in rnd.sample(range(65), 1 + j % 5)}
+        want = np.array([sum(q.get(t, 0) * w for t, w in by_name[n].items()) for n in index.name.tolist()])
+        ids, weights = np.array(sorted(q)), np.array([q[t] for t in sorted(q)])
+        bound = index.bounds(ids, weights)
+        assert all(bound[k // toxicity.BLOCK] >= s - 1e-9 for k, s in enumerate(want))
+        near, cosines = index.nearest(ids, weights, 7)
+        ways.add(bool((bound < cosines[6:7].sum() - 1e-9).any()))
         best = sorted((-s, k) for k, s in enumerate(want) if s > 0)[:7]
-        assert np.allclose(cosines[:7], [-s for s, _ in best]) and set(ids[:7].tolist()) >= {k for s, k in best if -s > -best[-1][0] + 1e-9}
-        assert np.allclose(cosines, want[ids])
+        assert np.allclose(cosines[:7], [-s for s, _ in best]) and set(near[:7].tolist()) >= {k for s, k in best if -s > -best[-1][0] + 1e-9}
+        assert np.allclose(cosines, want[near])
+    assert ways == {True, False}
+
+
+def test_query_against_brute_force(spark):
+    """Neighbours and scores of the whole query, from all words of all texts, without an index."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    words = {d: Counter(re.findall(r"\w+", (t or "").lower())) for d, t in docs.items()}
+    known = sorted(d for d in labels if d in docs)
+    held = Counter(t for d in known for w in words[d] for t in {w + " "})
+    begins = Counter(), Counter()
+    for d in known:
+        begins[1 - labels[d]].update({t for w in words[d] for t in [w + " ", *(w[:n] for n in (4, 5, 6, 7) if n <= len(w))]})
+    toxic, base = sum(labels[d] for d in known), sum(labels[d] for d in known) / len(known)
+    n = sum(begins[0][t] + begins[1][t] >= 4 for t in begins[0] | begins[1])
+    strong = set()
+    for t, a in begins[0].items():
+        b = begins[1][t]
+        r = a / (a + b)
+        if a >= 4 and r > base and 2 * (a * math.log(r / base) + (b * math.log((1 - r) / (1 - base)) if b else 0)) > 2 * math.log(n):
+            strong.add(t)
+    terms = set(held) | strong
+
+    def counts(d):
+        out = Counter()
+        for w, k in words[d].items():
+            for t in [w + " ", *(w[:m] for m in (4, 5, 6, 7) if m <= len(w))]:
+                if t in terms:
+                    out[t] += k
+        return out
+
+    count = {d: counts(d) for d in docs}
+    df = Counter(t for c in count.values() for t in c)
+    vectors = {}
+    for d, c in count.items():
+        v = {t: (1 + math.log(k)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1e-3) * (3 if t in strong else 1) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[d] = {t: x / norm for t, x in v.items()} if norm else {}
+    merged = {}
+    for d in known:
+        if vectors[d]:
+            own = merged.setdefault(tuple(sorted((t, round(x, 9)) for t, x in vectors[d].items())), [d, 0, 0])
+            own[2 - labels[d]] += 1
+    near = {}
+    rows = queries.op3_toxicity(spark, sf).collect()
+    assert len(rows) == len(docs) and toxic
+    for r in rows:
+        sims = sorted(((-sum(vectors[r.doc_id].get(t, 0) * x for t, x in key), own[0], own[1] / (own[1] + own[2])) for key, own in merged.items()))
+        want = [(-s, share) for s, _, share in sims[:3] if s < 0]
+        got = [(e["cosine"], e["toxic_share"]) for e in json.loads(r.evidence)]
+        assert np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-6)
+        near[r.doc_id] = {d for s, d, _ in sims if s < 0 and s <= sims[min(2, len(sims) - 1)][0] + 1e-6}
+        assert {e["doc_id"] for e in json.loads(r.evidence)} <= near[r.doc_id]
+    assert sum(bool(x) for x in near.values()) > 0.9 * len(docs)
+
+
+def test_copies_of_examples_are_found(spark):
+    """A text without any enriched term finds the example it copies."""
+    docs = [(k, " ".join(f"w{(k * 31 + j * j) % 400}" for j in range(30))) for k in range(120)] + [(500, " ".join(f"w{(7 * 31 + j * j) % 400}" for j in range(30)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(100)], "doc_id long, toxic int")
+    found = {r.doc_id: r.evidence for r in toxicity.toxicity(df, labels).collect()}
+    assert found[500][0].doc_id == 7 and abs(found[500][0].cosine - 1) < 1e-6
 
 
 def test_odd_rows(spark):
