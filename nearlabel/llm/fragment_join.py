@@ -12,12 +12,18 @@ missed, and no bucket is capped; the table of counts decides nothing but how man
 Overlaps: the order is cut into ``FRAGMENTS`` fragments of about equal content; overlaps of candidates are counted
 fragment by fragment, each in its own row, and summed per pair.
 
+Marks: each class has a bit table in which every gram flips one bit (twice its set's size, a power of two). Two tables
+differ in no more bits than the sets do in grams, so candidates whose tables differ in more than the similarity allows
+are none, and no pair is lost; what is left are near copies, apart from few.
+
 A bucket of N classes is not expanded into pairs. First each class is held against one other, the least class of that of
-its buckets which it shares most often (N pairs at most); links make components, and groups of near copies come together
-here. Buckets that still lie in several components join to clusters. A cluster is cut into blocks of bounded size, and a
-task holds two blocks against each other: overlaps are products of 0/1 matrices, again fragment by fragment and summed,
-pairs within the cluster's largest component are left out, and what leaves a task is a spanning forest of its links. So
-every pair that shares a key is decided, and no list of pairs is written.
+its buckets which it shares most often, by marks. Buckets that then still lie in several groups are searched by marks:
+members of different groups in turn, in blocks of bounded size where a bucket is crowded, and a task puts out a spanning
+forest of what it found. The groups that result are small clusters of near copies, whose sets alone are moved. In a
+cluster, each class is held against one other by sets, and links make components; then a cluster in several components is
+cut into blocks of bounded size, and a task holds two blocks against each other: overlaps are products of 0/1 matrices,
+again fragment by fragment and summed, pairs within the cluster's largest component are left out, and what leaves a task
+is a spanning forest of its links. So every pair that shares a key is decided, and no list of pairs is written.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearlabel.operators.graph import Scratch, connected_components
@@ -36,7 +42,9 @@ from nearlabel.operators.graph import Scratch, connected_components
 #: average) hashes of a block; columns of a matrix.
 FRAGMENTS, BITS, BLOCK, WEIGHT, COLUMNS = 8, 1 << 26, 1024, 1 << 20, 2048
 #: Slots of the table of counts, which is broadcast as a byte each; rows it is summed up in; partial sums of a row.
-SLOTS, CHUNKS, SALTS = 1 << 24, 64, 16
+SLOTS, CHUNKS, SALTS = 1 << 22, 16, 16
+#: Fewest bits of a mark; members of a bucket up to which they are compared one by one.
+MARK, FEW = 256, 64
 #: Bytes hashed at once; classes that a task remembers to have put out.
 PART_BYTES, SEEN = 1 << 20, 200_000
 
@@ -163,7 +171,7 @@ def _class_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 _SURVEY = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_INDEX = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int64())])
+_INDEX = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("mark", pa.list_(pa.int64()))])
 _SETS = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -282,8 +290,19 @@ def _new(cid: np.ndarray, seen: set[int]) -> np.ndarray:
     return new
 
 
+def marks(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' bit tables, one after another, and their numbers of 64-bit words."""
+    bits = np.maximum(MARK, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    words = bits // 64
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = (grams & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, (np.cumsum(words) - words)[doc] + (place >> 6), _U(1) << (place & 63).astype(np.uint64))
+    return out, words
+
+
 def _index(n: int, num: int, den: int, order):
-    """key, class and size of its set for each of a class's first grams; of a class once a task."""
+    """Of each class, once a task: key, class and size of its set for each of its first grams, and a row with its mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -291,9 +310,14 @@ def _index(n: int, num: int, den: int, order):
             grams, sizes = sets_of(batch.column(0).to_pylist(), n)
             cid = _class_ids(grams, sizes)
             keys, counts = firsts(grams, sizes, order.value, num, den)
-            use = np.repeat(_new(cid, seen), counts)
+            new = _new(cid, seen)
+            use = np.repeat(new, counts)
             cols = keys.view(np.int64), np.repeat(cid, counts), np.repeat(sizes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[use]) for c in cols], pa.nulls(int(use.sum()), _INDEX.field(3).type)], schema=_INDEX)
+            new &= sizes > 0
+            words, m = marks(grams[np.repeat(new, sizes)], sizes[new])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(m), pa.int64()), pa.array(cid[new]), pa.array(sizes[new]), lists], schema=_INDEX)
 
     return run
 
@@ -356,6 +380,17 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return total.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """Of each row of a matrix of links the least row that it reaches."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None], len(linked)).min(axis=1, initial=len(linked)))
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _forest(num: int, den: int):
     """A spanning forest (src, dst) of the links between different components among the sets of one task."""
 
@@ -381,27 +416,159 @@ def _forest(num: int, den: int):
                 common += m @ m.T  # counts below 2**24 are exact
         both = size[:, None] + size[None] - common
         linked = (common * den >= both * num) & (label[:, None] != label[None])
-        root = np.arange(len(cids))
-        while True:
-            low = np.minimum(root, np.where(linked, root[None], len(cids)).min(axis=1, initial=len(cids)))
-            low = np.minimum(low, low[low])
-            if (low == root).all():
-                break
-            root = low
+        root = _roots(linked)
         far = np.flatnonzero(root != np.arange(len(cids)))
         return pa.table({"src": pa.array(cids[root[far]], pa.int64()), "dst": pa.array(cids[far], pa.int64())})
 
     return run
 
 
-def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links between classes that share a key and lie in different components."""
-    labels = connected_components(links).select(F.col("id").alias("cid"), "label")
-    named = scratch.cut(rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "buckets")
-    buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("rep")).filter("low <> high").select("key", "rep")
-    near = scratch.cut(named.join(buckets, "key").select("rep", "cid", "n", "label").distinct(), "buckets")
-    clusters = connected_components(near.select(F.col("rep").alias("src"), F.col("cid").alias("dst"))).select(F.col("id").alias("cid"), F.col("label").alias("cluster"))
-    members = near.select("cid", "n", "label").distinct().join(clusters, "cid")
+def _differ(a: str, b: str) -> Column:
+    """In how many bits two marks differ; the longer one, of at most twice the bits, is folded."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    x, y = F.col(a), F.col(b)
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, v: t + v)
+
+
+def _near(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, na, b, nb) whose marks allow the asked similarity, as (src, dst)."""
+    met = pairs.join(marks.select(F.col("cid").alias("a"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("cid").alias("b"), F.col("mark").alias("mb")), "b")
+    return met.filter(_differ("ma", "mb") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+class _Bucket:
+    """Rows of whole buckets in order of key, task and size: finds those of different groups whose marks are near."""
+
+    def __init__(self, t: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        self.cid, self.n, self.label = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "n", "label"))
+        mark = t.column("mark").combine_chunks()
+        self.words = np.asarray(mark.value_lengths()).astype(np.int64)
+        self.flat = np.asarray(mark.flatten()).view(np.uint64)
+        self.at = np.cumsum(self.words) - self.words
+        task = t.column("task").combine_chunks()
+        ids = [np.asarray(t.column("key").combine_chunks()), np.asarray(task)]
+        self.group = np.cumsum(np.concatenate([[0], np.any([x[1:] != x[:-1] for x in ids], axis=0)])) if len(self.cid) else np.zeros(0, np.int64)
+
+    def _table(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Marks of rows with so many words, or twice as many."""
+        place = self.at[rows][:, None] + np.arange(words)
+        out = self.flat[place]
+        twice = self.words[rows] == 2 * words
+        out[twice] ^= self.flat[place[twice] + words]
+        return out
+
+    def _allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        return (self.label[i] != self.label[j]) & (low * self.den >= high * self.num)
+
+    def one_by_one(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Near pairs among rows of small groups."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step, group = 1, self.group[rows]
+        while True:
+            near = np.flatnonzero(group[:-step] == group[step:])
+            if not len(near):
+                break
+            i, j = rows[near], rows[near + step]
+            use = self._allowed(i, j)
+            i, j = i[use], j[use]
+            least = np.minimum(self.words[i], self.words[j])
+            for words in np.unique(least).tolist():
+                own = np.flatnonzero(least == words)
+                for lo in range(0, len(own), max(1, (1 << 20) // words)):
+                    part = own[lo : lo + max(1, (1 << 20) // words)]
+                    a, b = i[part], j[part]
+                    differ = np.bitwise_count(self._table(a, words) ^ self._table(b, words)).sum(axis=1, dtype=np.int64)
+                    keep = differ * (self.den + self.num) <= (self.n[a] + self.n[b]) * (self.den - self.num)
+                    out.append((a[keep], b[keep]))
+            step += 1
+        return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
+
+    def crowded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the near pairs of one group."""
+        linked = np.zeros((len(rows), len(rows)), bool)
+        for words in np.unique(self.words[rows]).tolist():
+            one = np.flatnonzero(self.words[rows] == words)
+            two = np.flatnonzero((self.words[rows] == words) | (self.words[rows] == 2 * words))
+            x, y = self._table(rows[one], words), self._table(rows[two], words)
+            differ = np.zeros((len(one), len(two)), np.int64)
+            for w in range(words):
+                differ += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
+            i, j = rows[one][:, None], rows[two][None]
+            found = self._allowed(i, j) & (differ * (self.den + self.num) <= (self.n[i] + self.n[j]) * (self.den - self.num))
+            linked[np.ix_(one, two)] |= found
+            linked[np.ix_(two, one)] |= found.T
+        root = _roots(linked)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return rows[root[far]], rows[far]
+
+    def near(self) -> pa.RecordBatch:
+        sizes = np.bincount(self.group) if len(self.group) else np.zeros(0, np.int64)
+        rows = np.arange(len(self.cid))
+        found = [self.one_by_one(rows[sizes[self.group] <= FEW])] if len(rows) else []
+        found += [self.crowded(rows[self.group == g]) for g in np.flatnonzero(sizes > FEW)]
+        src, dst = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(self.cid[src], pa.int64()), pa.array(self.cid[dst], pa.int64())], names=["src", "dst"])
+
+
+def _searched(num: int, den: int):
+    """Near pairs of a partition's buckets, which come in order; no more rows are held than a batch and a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, task = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            last = int(np.flatnonzero((key == key[-1]) & (task == task[-1]))[0])  # rows of the last bucket may go on
+            if held:
+                first = held[0].slice(0, 1)
+                if last == 0 and first.column(0)[0].as_py() == key[-1] and first.column(1)[0].as_py() == task[-1]:
+                    held.append(pa.Table.from_batches([batch]))
+                    continue
+            done = pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, last)])])
+            held = [pa.Table.from_batches([batch.slice(last)])]
+            if done.num_rows:
+                yield _Bucket(done, num, den).near()
+        if held:
+            yield _Bucket(pa.concat_tables(held), num, den).near()
+
+    return run
+
+
+def _clusters(rows: DataFrame, marks: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(cid, cluster) of all classes that may link with another by their marks; rows: key, cid, n, rep, rep_n, times."""
+    within = F.least("n", "rep_n") * den >= F.greatest("n", "rep_n") * num
+    near = scratch.cut(_near(_stars(rows.filter(within)), marks, num, den), "near")
+    labels = connected_components(near).select(F.col("id").alias("cid"), "label")
+    named = scratch.cut(rows.join(labels, "cid", "left").select("key", "cid", "n", "rows", F.coalesce("label", "cid").alias("label")), "buckets")
+    mixed = named.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("k")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    # a task for each two blocks; its number tells both
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
+    met = named.join(mixed, F.col("key") == F.col("k")).withColumn("blocks", blocks).select("key", "cid", "n", "label", F.explode(tasks).alias("task"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.join(marks.select("cid", "mark"), "cid").select("key", "task", "cid", "n", "label", "mark").repartition(n, "key", "task").sortWithinPartitions("key", "task", "n")
+    more = found.mapInArrow(_searched(num, den), "src long, dst long")
+    near = scratch.cut(near.union(more).distinct(), "near")
+    return connected_components(near).select(F.col("id").alias("cid"), F.col("label").alias("cluster"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """One pair (a, na, b, nb) a class: with that of its buckets' least classes which it meets most often."""
+    met = rows.filter(F.col("cid") != F.col("rep")).groupBy("cid", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("cid", "n").agg(F.max_by(F.struct("rep", "rep_n"), F.struct("times", -F.col("rep"))).alias("best"))
+    return best.select(F.col("best.rep").alias("a"), F.col("best.rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
+
+
+def _rest(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between classes (cid, n, label, cluster) of one cluster and different labels."""
     sides = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     blocks = lambda c, g: F.ceil(F.greatest(c / BLOCK, g / WEIGHT)).cast("int")
     top = sides.groupBy("cluster").agg(
@@ -422,25 +589,35 @@ def _rest(rows: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int
 def components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Scratch]:
     """One row per row of ``df``: doc_id, text_hash (xxhash64), n (size of its set), label (of its component; null for the
     empty set); and the folder that holds these rows."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError("similarities above a half and up to one")
     spark = df.sparkSession
     scratch, kept = Scratch(spark, "fragment-join"), Scratch(spark, "members")
     texts = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     survey = scratch.cut(texts.mapInArrow(_survey(n), "doc_id long, text_hash long, n long, cid long, chunk int, counts binary"), "survey")
     order = _order(spark, survey)
-    index = scratch.cut(texts.select("text").mapInArrow(_index(n, num, den, order), "key long, cid long, n long"), "index")
-    least = index.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("rep"), F.max("cid").alias("last"))
-    shared = scratch.cut(least.filter(F.col("rep.cid") != F.col("last")).select("key", F.col("rep.cid").alias("rep"), F.col("rep.n").alias("rep_n")), "keys")
-    rows = index.mapInArrow(_where_marked(_bits(spark, shared.select("key"))), "key long, cid long, n long").join(shared, "key")
-    rows = scratch.cut(rows.distinct(), "buckets")
-    scratch.drop(index, shared)
-    sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, rows.select("cid")), order), "cid long, frag int, grams array<long>")
+    index = scratch.cut(texts.select("text").mapInArrow(_index(n, num, den, order), "key long, cid long, n long, mark array<long>"), "index")
+    keys = index.filter("key IS NOT NULL").select("key", "cid", "n")
+    least = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("rows"))
+    shared = scratch.cut(least.filter("rep <> last").select("key", "rep", "rows"), "keys")
+    rows = keys.mapInArrow(_where_marked(_bits(spark, shared.select("key"))), "key long, cid long, n long").distinct().join(shared, "key")
+    rows = scratch.cut(rows, "buckets")
+    reps = rows.filter("cid = rep").select("rep", F.col("n").alias("rep_n")).distinct()
+    rows = rows.join(reps, "rep")
+    known = index.filter("key IS NULL").select("cid", "n", "mark").dropDuplicates(["cid"])
+    near = known.mapInArrow(_where_marked(_bits(spark, rows.select("cid"))), "cid long, n long, mark array<long>")
+    near = scratch.cut(near, "marks")
+    clusters = scratch.cut(_clusters(rows, near, num, den, scratch).join(near.select("cid", "n"), "cid"), "clusters")
+    sets = texts.select("text").mapInArrow(_needed(n, _bits(spark, clusters.select("cid")), order), "cid long, frag int, grams array<long>")
     sets = scratch.cut(sets.dropDuplicates(["cid", "frag"]), "sets")
-    within = F.least("n", "rep_n") * den >= F.greatest("n", "rep_n") * num
-    met = rows.filter((F.col("cid") != F.col("rep")) & within).groupBy("cid", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("cid", "n").agg(F.max_by(F.struct("rep", "rep_n"), F.struct("times", -F.col("rep"))).alias("best"))
-    stars = best.select(F.col("best.rep").alias("a"), F.col("best.rep_n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    links = scratch.cut(_overlaps(stars, sets, num, den), "links")
-    links = scratch.cut(links.union(_rest(rows.select("key", "cid", "n"), links, sets, num, den, scratch)), "links")
+    scratch.drop(index, shared)
+    own = rows.join(clusters.select("cid", "cluster"), "cid").join(clusters.select(F.col("cid").alias("rep"), F.col("cluster").alias("rep_cluster")), "rep").filter("cluster = rep_cluster")
+    links = scratch.cut(_overlaps(_stars(own), sets, num, den), "links")
+    labels = connected_components(links).select(F.col("id").alias("cid"), "label")
+    members = scratch.cut(clusters.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "members")
+    mixed = members.groupBy(F.col("cluster").alias("c")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("c")
+    members = members.join(mixed, F.col("cluster") == F.col("c")).drop("c")
+    links = scratch.cut(links.union(_rest(members, sets, num, den)), "links")
     labels = connected_components(links).select(F.col("id").alias("cid"), "label")
     docs = survey.filter("chunk IS NULL").join(labels, "cid", "left")
     docs = kept.cut(docs.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "members")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearlabel.llm import fragment_join as fj
@@ -118,14 +119,64 @@ def test_order():
     sizes = np.bincount(np.sort(rng.integers(0, 90, len(grams))), minlength=90)
     keys, counts = fj.firsts(grams, sizes, order, 80, 100)
     for k, (z, n) in enumerate(zip(np.cumsum(sizes), np.cumsum(counts), strict=True)):
-        own = sorted(grams[z - sizes[k] : z].tolist(), key=lambda g: (order.steps[g >> 40], g))
+        own = sorted(grams[z - sizes[k] : z].tolist(), key=lambda g: (order.steps[g >> 42], g))
         assert keys[n - counts[k] : n].tolist() == own[: counts[k]]
     frag = order.fragment(grams)
-    ranked = np.array(sorted(range(len(grams)), key=lambda i: (order.steps[int(grams[i]) >> 40], grams[i])))
+    ranked = np.array(sorted(range(len(grams)), key=lambda i: (order.steps[int(grams[i]) >> 42], grams[i])))
     assert (np.diff(frag[ranked]) >= 0).all() and np.bincount(frag, minlength=fj.FRAGMENTS).min() > len(grams) / fj.FRAGMENTS / 2
     assert (fj._unpacked(fj._packed(np.arange(300))) == np.arange(300)).all()
 
 
+def test_marks_differ_no_more_than_sets():
+    """The bits in which marks differ, folded where sizes cross a power of two, are at most the grams that differ."""
+    rng = np.random.default_rng(9)
+    for size in (3, 100, 127, 129, 500, 1030):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = np.concatenate([a[size // 9 :], rng.integers(0, 1 << 63, size // 7, dtype=np.uint64)])
+        words, n = fj.marks(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        x, y = words[: n[0]], words[n[0] :]
+        x, y = (np.bitwise_xor(*np.split(v, 2)) if len(v) > len(w) else v for v, w in ((x, y), (y, x)))
+        assert len(x) == len(y) and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) and np.bitwise_count(x).sum() % 2 == len(a) % 2
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_search_by_marks(few, monkeypatch):
+    """Buckets in any batches: the groups that near pairs of different labels make, one by one and crowded alike."""
+    monkeypatch.setattr(fj, "FEW", few)
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in range(40):
+        base = rng.integers(0, 1 << 63, 120, dtype=np.uint64) * np.uint64(2)
+        for _ in range(int(rng.integers(1, 12))):
+            own = base.copy()
+            own[: int(rng.integers(0, 60))] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+            own = np.unique(own)
+            mark, _ = fj.marks(own, np.array([len(own)]))
+            rows.append((key, 0, len(rows), len(own), len(rows) if rng.random() < 0.7 else -1, mark.view(np.int64).tolist()))
+    rows.sort(key=lambda r: (r[0], r[3]))
+    table = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("key", pa.int64()), ("task", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("mark", pa.list_(pa.int64()))))})
+
+    def groups(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            a, b = min(root[a], root[b]), max(root[a], root[b])
+            root = [a if r == b else r for r in root]
+        return root
+
+    want = []
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and min(x[3], y[3]) * 100 >= max(x[3], y[3]) * 80:
+                u, v = (np.array(m[5]).view(np.uint64) for m in (x, y))
+                u, v = (np.bitwise_xor(*np.split(w, 2)) if len(w) > len(z) else w for w, z in ((u, v), (v, u)))
+                if int(np.bitwise_count(u ^ v).sum()) * 180 <= (x[3] + y[3]) * 20:
+                    want.append((x[2], y[2]))
+    for size in (1, 7, 1000):
+        found = pa.Table.from_batches(list(fj._searched(80, 100)(iter(table.to_batches(max_chunksize=size)))))
+        assert groups(zip(found.column("src").to_pylist(), found.column("dst").to_pylist(), strict=True)) == groups(want)
+    assert len(set(groups(want))) < len(rows) - 30
+
+
 @pytest.mark.parametrize("bits", [10, 64])
 def test_sorting_by_document_and_keys(bits):
     rng = np.random.default_rng(1)
