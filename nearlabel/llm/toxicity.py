@@ -55,7 +55,8 @@ class Terms:
         self.begins = {t: k for k, t in enumerate(names) if not t.endswith(" ")}
         self.heads = {t[: BEGINNINGS[0]] for t in self.begins}
 
-    def count(self, text: str | None) -> dict[int, int]:
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, rising, and how often they occur."""
         words, heads, n = self.words, self.heads, BEGINNINGS[0]
         out: dict[int, int] = {}
         for word, times in Counter(_WORDS((text or "").lower())).items():
@@ -65,7 +66,9 @@ class Terms:
                 for t in terms_of(word)[1:]:
                     if (k := self.begins.get(t)) is not None:
                         out[k] = out.get(k, 0) + times
-        return out
+        ids, counts = np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+        order = np.argsort(ids)
+        return ids[order], counts[order]
 
 
 def _spread(begin: np.ndarray, take: np.ndarray) -> np.ndarray:
@@ -85,8 +88,8 @@ class Index:
         self.name = np.array([e[4] for e in entries], np.int64)
         size = np.array([len(e[0]) for e in entries], np.int64)
         self.rows = np.concatenate([[0], np.cumsum(size)])
-        self.term = np.concatenate([e[0] for e in entries]).astype(np.int32) if entries else np.zeros(0, np.int32)
-        self.weight = np.concatenate([e[1] for e in entries]) if entries else np.zeros(0)
+        self.term = np.concatenate([e[0] for e in entries]) if entries else np.zeros(0, np.int32)
+        self.weight = np.concatenate([e[1] for e in entries]) if entries else np.zeros(0, np.float32)
         self.blocks, self.terms = -(-len(entries) // BLOCK), terms
         order = np.argsort(self.term, kind="stable")
         self.entry = np.repeat(np.arange(len(entries), dtype=np.int32), size)[order]
@@ -94,7 +97,7 @@ class Index:
         self.lists = np.searchsorted(self.term[order], np.arange(terms + 1))
         block = self.entry // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (self.term[order][1:] != self.term[order][:-1]) | (block[1:] != block[:-1])])) if len(order) else np.zeros(0, np.int64)
-        self.block, self.top = block[first], np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0)
+        self.block, self.top = block[first], np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0, np.float32)
         self.tops = np.searchsorted(self.term[order][first], np.arange(terms + 1))
 
     def bounds(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -159,42 +162,39 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _mark(ids: np.ndarray, weights: np.ndarray) -> bytes:
+    """Tells vectors apart."""
     return hashlib.blake2b(ids.tobytes() + weights.tobytes(), digest_size=16).digest()
 
 
 class Model:
     """Terms, idf, index, share of toxic examples and of those without terms, calibration."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], times: tuple[float, float] = (1.0, 1.0)):
-        """examples: (document, 1 if toxic, counts of terms). times: what a toxic and another example counts for."""
+    def __init__(self, names: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], times: tuple[float, float] = (1.0, 1.0)):
+        """examples: (document, 1 if toxic, terms, rising, their counts). times: what a toxic and another example counts for."""
         self.terms, self.idf = Terms(names), idf
         self.times = times
         merged: dict[bytes, list] = {}
         rest = [0.0, 0.0]
-        for doc, toxic, counts in examples:
-            ids, weights = self.vector(counts)
+        for doc, toxic, ids, counts in examples:
+            ids, weights = self.vector(ids, counts)
             if len(ids):
                 own = merged.setdefault(_mark(ids, weights), [ids, weights, 0.0, 0.0, doc])
                 own[3 - toxic] += times[1 - toxic]
                 own[4] = min(own[4], doc)
             else:
                 rest[1 - toxic] += times[1 - toxic]
-        toxic, other = (sum(times[1 - y] for _, y, _ in examples if y == kind) for kind in (1, 0))
+        toxic, other = (sum(times[1 - e[1]] for e in examples if e[1] == kind) for kind in (1, 0))
         self.prior = (toxic + 0.5) / (toxic + other + 1)
         self.without = (rest[0] + self.prior) / (sum(rest) + 1)
         self.index = Index(list(merged.values()), len(names))
-        self.place = {_mark(self.index.term[a:z].astype(np.int64), self.index.weight[a:z]): k for k, (a, z) in enumerate(zip(self.index.rows[:-1], self.index.rows[1:], strict=True))}
+        self.place = {_mark(self.index.term[a:z], self.index.weight[a:z]): k for k, (a, z) in enumerate(zip(self.index.rows[:-1], self.index.rows[1:], strict=True))}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, rising, and their weights."""
-        ids = np.fromiter(counts, np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(ids)
-        ids = ids[order]
-        w = (1 + np.log(n[order])) * self.idf[ids]
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, rising, and their weights, as single-precision numbers."""
+        w = (1 + np.log(counts)) * self.idf[ids]
         norm = math.sqrt(float(w @ w))
-        return (ids, np.round(w / norm, 9)) if norm else (ids[:0], w[:0])
+        return (ids.astype(np.int32), (w / norm).astype(np.float32)) if norm else (ids[:0].astype(np.int32), w[:0].astype(np.float32))
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray, less: tuple[int, int] | None = None) -> float:
         """Weighted share of toxic examples; an entry of several examples counts with the logarithm of their number.
@@ -210,16 +210,16 @@ class Model:
 
     def left_out(self, text: str | None, label: int) -> float | None:
         """The vote on an example by all others; None without terms."""
-        ids, weights = self.vector(self.terms.count(text))
+        ids, weights = self.vector(*self.terms.count(text))
         return self.vote(*self.index.nearest(ids, weights, NEIGHBOURS + 1), less=(self.place[_mark(ids, weights)], label)) if len(ids) else None
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         if len(votes):
             self.x, self.y = isotonic(votes, labels, np.where(labels > 0, *self.times))
 
-    def of_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, float]]]:
+    def of_counts(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, float]]]:
         """Score, and the three nearest entries as (smallest doc_id, cosine, share of toxic examples)."""
-        ids, weights = self.vector(counts)
+        ids, weights = self.vector(ids, counts)
         near, cosines = self.index.nearest(ids, weights) if len(ids) else (ids, weights)
         if not len(near):
             return self.without, []
@@ -235,12 +235,12 @@ class Scorer:
         self.model, self.known = model, {}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
-        counts = self.model.terms.count(text) if text else {}
-        mark = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
+        ids, counts = self.model.terms.count(text)
+        mark = _mark(ids, counts)
         if mark not in self.known:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            self.known[mark] = self.model.of_counts(counts)
+            self.known[mark] = self.model.of_counts(ids, counts)
         return self.known[mark]
 
 
@@ -279,7 +279,7 @@ def _frequencies(shared: Broadcast):
         total = np.zeros(terms.size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total[list(terms.count(text))] += 1
+                total[terms.count(text)[0]] += 1
                 n += 1
         yield _chunks(total, n)
 
@@ -325,8 +325,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     counts = sample.select("text", "y").mapInArrow(_evidence, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = scratch.cut(counts, "terms")  # read three times
     more = set(enriched(counts, number.get(1, 0), number.get(0, 0)))
-    words = [r.term for r in counts.select("term").filter(F.col("term").endswith(" ")).collect()]
-    names = sorted(more | set(words))
+    words = counts.select("term").filter(F.col("term").endswith(" ")).toArrow().column("term").to_pylist()
+    names = sorted(more.union(words))
+    del words
     shared = spark.sparkContext.broadcast(names)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "chunk int, counts binary, documents long"
@@ -337,19 +338,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     total = found[0].documents if found else 0
     idf = (np.log((1 + total) / (1 + frequency)) + 1e-3) * np.array([BOOST if t in more else 1.0 for t in names])
 
-    @F.arrow_udf("array<struct<t: int, n: int>>")
+    @F.arrow_udf("struct<t: binary, n: binary>")
     def counted(texts: pa.Array) -> pa.Array:
         terms = Terms(shared.value)
-        rows = [[{"t": t, "n": n} for t, n in sorted(terms.count(x).items())] for x in texts.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())])))
-
-    rows = sample.select("k", "y", counted("text").alias("v")).toArrow()
-    examples = []
-    for k, y, v in zip(rows.column("k").to_pylist(), rows.column("y").to_pylist(), (x for c in rows.column("v").chunks for x in c), strict=True):
-        pairs = v.values
-        examples.append((int(k), int(y), dict(zip(pairs.field("t").to_pylist(), pairs.field("n").to_pylist(), strict=True))))
-    examples.sort(key=lambda e: (e[0], e[1], sorted(e[2].items())))
+        pairs = [terms.count(x) for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1)], ["t", "n"])
+
+    rows = sample.select("k", "y", counted("text").alias("v")).select("k", "y", "v.t", "v.n").toArrow()
+    examples = sorted(zip(*(rows.column(c).to_pylist() for c in ("k", "y", "t", "n")), strict=True))
+    examples = [(int(k), int(y), np.frombuffer(t, np.int32), np.frombuffer(n, np.int32)) for k, y, t, n in examples]
     model = Model(names, idf, examples, (1 / part.get(1, 1.0), 1 / part.get(0, 1.0)))
+    del rows, examples
     raw = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -28,20 +28,20 @@ def test_nearest_is_exact():
     for k in range(900):
         ids = tuple(sorted(rnd.sample(range(60), rnd.randint(1, 6))))
         w = np.array([rnd.random() + 0.1 for _ in ids])
-        entries[ids] = (np.array(ids), w / np.linalg.norm(w), rnd.randint(0, 2), 1, k)
+        entries[ids] = (np.array(ids, np.int32), (w / np.linalg.norm(w)).astype(np.float32), rnd.randint(0, 2), 1, k)
     index = toxicity.Index(list(entries.values()), 65)
     by_name = {e[4]: dict(zip(e[0].tolist(), e[1].tolist(), strict=True)) for e in entries.values()}
     ways = set()
     for j in range(120):
         q = {t: rnd.random() for t in rnd.sample(range(65), 1 + j % 5)}
         want = np.array([sum(q.get(t, 0) * w for t, w in by_name[n].items()) for n in index.name.tolist()])
-        ids, weights = np.array(sorted(q)), np.array([q[t] for t in sorted(q)])
+        ids, weights = np.array(sorted(q), np.int32), np.array([q[t] for t in sorted(q)])
         bound = index.bounds(ids, weights)
-        assert all(bound[k // toxicity.BLOCK] >= s - 1e-9 for k, s in enumerate(want))
+        assert all(bound[k // toxicity.BLOCK] >= s - 1e-6 for k, s in enumerate(want))
         near, cosines = index.nearest(ids, weights, 7)
-        ways.add(bool((bound < cosines[6:7].sum() - 1e-9).any()))
+        ways.add(bool((bound < cosines[6:7].sum() - 1e-6).any()))
         best = sorted((-s, k) for k, s in enumerate(want) if s > 0)[:7]
-        assert np.allclose(cosines[:7], [-s for s, _ in best]) and set(near[:7].tolist()) >= {k for s, k in best if -s > -best[-1][0] + 1e-9}
+        assert np.allclose(cosines[:7], [-s for s, _ in best]) and set(near[:7].tolist()) >= {k for s, k in best if s < best[-1][0] - 1e-6}
         assert np.allclose(cosines, want[near])
     assert ways == {True, False}
 
