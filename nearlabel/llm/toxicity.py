@@ -5,10 +5,10 @@ far more often than chance allows (log-likelihood ratio, against the number of a
 ``BOOST`` for such enriched terms, of length one. Document frequencies are counted over all documents. Equal vectors of
 examples are one entry with its numbers of toxic and other examples.
 
-The inverted index has, for each term, the entries' weights by block and each block's largest weight. A query adds up its
-blocks' bounds, scores the best ones for a first floor, and then those blocks alone whose bound reaches the floor of the
-k-th best entry: by the blocks' own rows where these are few, by whole posting lists where most blocks are left. Either
-way the k best are exact. Their votes, weighted by closeness, are turned into scores by an isotonic fit to the examples'
+The inverted index has posting lists of rare terms, and for common ones the entries' weights and each block's largest
+weight. A query adds up its rare terms' postings; a block's bound is its largest such sum and its largest weights of the
+query's common terms. The best blocks are scored for a first floor, and then those blocks alone whose bound reaches the
+floor of the k-th best entry, so the k best are exact. Their votes, weighted by closeness, are turned into scores by an isotonic fit to the examples'
 leave-one-out votes.
 
 What is broadcast is bounded by ``SAMPLE`` examples of a class and ``SAMPLE_BYTES`` of their text (expected numbers of a
@@ -35,8 +35,9 @@ from nearlabel.operators.graph import Scratch
 SAMPLE, SAMPLE_BYTES, NEIGHBOURS, BLOCK = 4000, 32 << 20, 15, 32
 #: Lengths of word beginnings; weight of the prior in a vote; fewest toxic examples with an enriched term; its factor.
 BEGINNINGS, PRIOR, LEAST, BOOST = (4, 5, 6, 7), 0.25, 4, 3.0
-#: Blocks that are scored first; up to which share of the blocks the rest is scored by rows; results that a task keeps.
-FIRST, SHARE, KNOWN = 4, 0.15, 5000
+#: Blocks that are scored first; up to which share of the blocks the rest is scored by blocks; a term in at least one of
+#: so many entries is common; slack of single-precision sums; results that a task keeps.
+FIRST, SHARE, COMMON, SLACK, KNOWN = 4, 0.3, 6, 1e-5, 5000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -77,8 +78,16 @@ def _spread(begin: np.ndarray, take: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _mark(ids: np.ndarray, weights: np.ndarray) -> bytes:
+    """Tells vectors apart."""
+    return hashlib.blake2b(ids.tobytes() + weights.tobytes(), digest_size=16).digest()
+
+
 class Index:
-    """Block-max inverted index over entries (terms, weights), each with numbers of toxic and other examples."""
+    """Block-max inverted index over entries (terms, weights), each with numbers of toxic and other examples.
+
+    Rare terms have posting lists. Terms in at least a ``COMMON``th of the entries have a column of weights, and for each
+    block of entries the largest of them."""
 
     def __init__(self, entries: list[tuple[np.ndarray, np.ndarray, float, float, int]], terms: int):
         # entries with the same strongest terms side by side, so that a block's largest weights are sharp
@@ -86,64 +95,65 @@ class Index:
         entries = sorted(entries, key=lambda e: (strongest(e), e[4]))
         self.toxic, self.other = (np.array([e[i] for e in entries], np.float64) for i in (2, 3))
         self.name = np.array([e[4] for e in entries], np.int64)
-        size = np.array([len(e[0]) for e in entries], np.int64)
-        self.rows = np.concatenate([[0], np.cumsum(size)])
-        self.term = np.concatenate([e[0] for e in entries]) if entries else np.zeros(0, np.int32)
-        self.weight = np.concatenate([e[1] for e in entries]) if entries else np.zeros(0, np.float32)
-        self.blocks, self.terms = -(-len(entries) // BLOCK), terms
-        order = np.argsort(self.term, kind="stable")
-        self.entry = np.repeat(np.arange(len(entries), dtype=np.int32), size)[order]
-        self.posted = self.weight[order]
-        self.lists = np.searchsorted(self.term[order], np.arange(terms + 1))
-        block = self.entry // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (self.term[order][1:] != self.term[order][:-1]) | (block[1:] != block[:-1])])) if len(order) else np.zeros(0, np.int64)
-        self.block, self.top = block[first], np.maximum.reduceat(self.posted, first) if len(first) else np.zeros(0, np.float32)
-        self.tops = np.searchsorted(self.term[order][first], np.arange(terms + 1))
-
-    def bounds(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Of each block an upper bound of its entries' cosines."""
-        take = self.tops[ids + 1] - self.tops[ids]
-        at = _spread(self.tops[ids], take)
-        return np.bincount(self.block[at], np.repeat(weights, take) * self.top[at], self.blocks)
-
-    def of_blocks(self, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of some blocks and their cosines, by rows."""
-        begin = np.sort(blocks) * BLOCK
+        size, n = np.array([len(e[0]) for e in entries], np.int64), len(entries)
+        term = np.concatenate([e[0] for e in entries]) if entries else np.zeros(0, np.int32)
+        weight = np.concatenate([e[1] for e in entries]) if entries else np.zeros(0, np.float32)
+        entry = np.repeat(np.arange(n, dtype=np.int32), size)
+        self.marks = [_mark(e[0], e[1]) for e in entries]
+        held = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(held >= max(2, n / COMMON))
+        self.column = np.full(terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.rare = np.where(self.column < 0, held, 0)
+        dense = self.column[term] >= 0
+        self.columns = np.zeros((n, len(common)), np.float32)
+        self.columns[entry[dense], self.column[term[dense]]] = weight[dense]
+        self.starts = np.arange(0, n, BLOCK)
+        self.tops = np.maximum.reduceat(self.columns, self.starts, axis=0).T.copy() if n else np.zeros((0, 0), np.float32)
+        order = np.argsort(term[~dense], kind="stable")
+        self.entry, self.posted = entry[~dense][order], weight[~dense][order]
+        self.lists = np.cumsum(self.rare) - self.rare
+
+    def parts(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All entries' sums over rare terms; the query's columns; an upper bound of each block's cosines."""
+        column = self.column[ids]
+        take = self.rare[ids]
+        at = _spread(self.lists[ids], take)
+        sums = np.bincount(self.entry[at], np.repeat(weights, take) * self.posted[at], len(self.name)).astype(np.float64)  # of nothing: whole numbers
+        query = np.zeros(self.columns.shape[1], np.float32)
+        own = column >= 0
+        query[column[own]] = weights[own]
+        bound = np.maximum.reduceat(sums, self.starts) + weights[own] @ self.tops[column[own]]
+        return sums, query, bound
+
+    def of_blocks(self, sums: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks and their cosines."""
+        begin = blocks * BLOCK
         entries = _spread(begin, np.minimum(begin + BLOCK, len(self.name)) - begin)
-        size = self.rows[entries + 1] - self.rows[entries]
-        at = _spread(self.rows[entries], size)
-        return entries, np.bincount(np.repeat(np.arange(len(entries)), size), query[self.term[at]] * self.weight[at], len(entries))
-
-    def of_all(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """All entries' cosines, by posting lists: short ones together, long ones each."""
-        lo, hi = self.lists[ids], self.lists[ids + 1]
-        short = hi - lo < 64
-        take = (hi - lo)[short]
-        at = _spread(lo[short], take)
-        total = np.bincount(self.entry[at], np.repeat(weights[short], take) * self.posted[at], len(self.name)).astype(np.float64)  # of nothing: whole numbers
-        for a, z, q in zip(lo[~short].tolist(), hi[~short].tolist(), weights[~short].tolist(), strict=True):
-            total[self.entry[a:z]] += q * self.posted[a:z]
-        return total
+        return entries, sums[entries] + self.columns[entries] @ query
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest positive cosine, and all that equal the last: numbers and cosines, falling."""
-        bound = self.bounds(ids, weights)
-        query = np.zeros(self.terms)
-        query[ids] = weights
-        live = int(np.count_nonzero(bound))
-        best = np.argpartition(-bound, min(FIRST, len(bound)) - 1)[:FIRST] if live else np.zeros(0, np.int64)
-        found, s = self.of_blocks(query, best)
+        if not len(self.name):
+            return np.zeros(0, np.int64), np.zeros(0)
+        sums, query, bound = self.parts(ids, weights)
+        best = np.sort(np.argpartition(-bound, min(FIRST, len(bound)) - 1)[:FIRST])
+        found, s = self.of_blocks(sums, query, best)
         floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
-        left = bound >= max(floor - 1e-9, 1e-12)
+        left = bound >= max(floor - SLACK, 1e-12)
         left[best] = False
         rest = np.flatnonzero(left)
-        if len(rest) > SHARE * self.blocks:
-            found, s = np.arange(len(self.name)), self.of_all(ids, weights)
+        if len(rest) > SHARE * len(bound):  # one product over all of them moves less than most blocks' rows
+            found, s = np.arange(len(self.name)), sums + self.columns @ query
         elif len(rest):
-            more, t = self.of_blocks(query, rest)
+            more, t = self.of_blocks(sums, query, rest)
             found, s = np.concatenate([found, more]), np.concatenate([s, t])
         floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
-        keep = (s >= floor - 1e-9) & (s > 0)
+        near = np.flatnonzero((s >= floor - SLACK) & (s > 0))
+        found = found[near]
+        s = sums[found] + self.columns[found].astype(np.float64) @ query.astype(np.float64)  # single-precision sums chose them
+        floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else 0.0
+        keep = s >= floor - 1e-9
         found, s = found[keep], s[keep]
         o = np.lexsort((found, -s))
         return found[o], s[o]
@@ -161,11 +171,6 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[1] / p[0] for p in pools]), np.array([(p[2] + 0.05) / (p[0] + 0.1) for p in pools])
 
 
-def _mark(ids: np.ndarray, weights: np.ndarray) -> bytes:
-    """Tells vectors apart."""
-    return hashlib.blake2b(ids.tobytes() + weights.tobytes(), digest_size=16).digest()
-
-
 class Model:
     """Terms, idf, index, share of toxic examples and of those without terms, calibration."""
 
@@ -187,7 +192,7 @@ class Model:
         self.prior = (toxic + 0.5) / (toxic + other + 1)
         self.without = (rest[0] + self.prior) / (sum(rest) + 1)
         self.index = Index(list(merged.values()), len(names))
-        self.place = {_mark(self.index.term[a:z], self.index.weight[a:z]): k for k, (a, z) in enumerate(zip(self.index.rows[:-1], self.index.rows[1:], strict=True))}
+        self.place = {m: k for k, m in enumerate(self.index.marks)}
         self.x, self.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
