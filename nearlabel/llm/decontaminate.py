@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, WINDOW = 6, 10
-#: Most bits of the items' bit table; most item seeds that are broadcast (each has at most 14 words); salts beyond it.
-BITS, BROADCAST_SEEDS, SALTS = 1 << 21, 1_000_000, 32
+#: Most bits of the items' bit table; most item seeds that are broadcast (each has at most 14 words) and bytes of their
+#: words; salts beyond either.
+BITS, BROADCAST_SEEDS, BROADCAST_BYTES, SALTS = 1 << 21, 1_000_000, 64 << 20, 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,27 +141,31 @@ def _common(a: str, b: str) -> Column:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per different (key, text): doc_id, n_words, n_hit (words inside an occurrence of an item's window),
-    n_items and items (ascending as strings), spans (hit word ranges, from 1, both ends included), contaminated.
+    """One row per row of ``documents``: doc_id, text_hash (xxhash64), n_words, n_hit (words inside an occurrence of an
+    item's window), n_items and items (ascending as strings), spans (hit word ranges, from 1, both ends included),
+    contaminated.
 
     An item's windows are its runs of WINDOW words; an item of fewer words is one window, one without words has none.
     Null text has no words; null keys and item ids are kept as values (a null item is named by no id but counts its
-    hits); equal rows give one row; extra columns are dropped; empty tables give no rows or no hits.
+    hits); repeated rows stay; extra columns are dropped; empty tables give no rows or no hits.
     """
     items = _item_seeds(benchmark, item, item_text)
-    kinds = {r.kind: (r.n, r.seeds) for r in items.groupBy("kind").agg(F.count_distinct("fp").alias("n"), F.count(F.lit(1)).alias("seeds")).collect()}
-    docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("words"))
+    size = F.octet_length("mid") + F.octet_length(F.concat_ws(" ", "before", "after")) + 64
+    kinds = {r.kind: (r.n, r.seeds, r.size) for r in items.groupBy("kind").agg(F.count_distinct("fp").alias("n"), F.count(F.lit(1)).alias("seeds"), F.sum(size).alias("size")).collect()}
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("words"))
     if kinds:
         docs = _grams(docs, {k or K for k in kinds})
     if 0 in kinds:
         docs = _winnowed(docs)
-    docs = _document_seeds(docs, {k: _bit_table(items.filter(F.col("kind") == k).select("fp"), n) for k, (n, _) in sorted(kinds.items())})
-    rows = docs.select("doc_id", "text_hash", F.size("words").cast("bigint").alias("n_words"), F.explode_outer("seeds").alias("s")).select("doc_id", "text_hash", "n_words", "s.*")
-    met = _meet(rows, items, sum(seeds for _, seeds in kinds.values()))
+    docs = _document_seeds(docs, {k: _bit_table(items.filter(F.col("kind") == k).select("fp"), n) for k, (n, *_) in sorted(kinds.items())})
+    rows = docs.select("row", "doc_id", "text_hash", F.size("words").cast("bigint").alias("n_words"), F.explode_outer("seeds").alias("s")).select("row", "doc_id", "text_hash", "n_words", "s.*")
+    met = _meet(rows, items, sum(k[1] for k in kinds.values()), sum(k[2] for k in kinds.values()))
     whole = F.when(F.col("kind") == 0, F.lit(K)).otherwise(F.col("kind"))
     met = met.withColumn("a", F.col("at") - _common("before", "i_before")).withColumn("z", (F.col("at") + whole - 1 + _common("after", "i_after")).cast("bigint"))
     is_hit = (F.col("i_mid") == F.col("mid")) & ((F.col("kind") > 0) | (F.col("z") - F.col("a") + 1 >= WINDOW))
-    found = met.groupBy("doc_id", "text_hash").agg(
+    found = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("text_hash").alias("text_hash"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(is_hit, F.struct("a", "z")))).alias("spans"),
         F.array_sort(F.collect_set(F.when(is_hit, F.col("item_id").cast("string")))).alias("items"),
@@ -171,16 +176,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         lambda acc, s: F.struct(F.greatest(acc["upto"], s["z"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0).cast("bigint"), s["z"] - F.greatest(acc["upto"], s["a"] - 1))).alias("n")),
         lambda acc: acc["n"],
     )
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    return found.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
-def _meet(rows: DataFrame, items: DataFrame, n_seeds: int) -> DataFrame:
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that hold no item's window; all columns, repeated rows and null keys stay."""
+    found = contamination(documents, benchmark, key, text).filter("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+    return documents.join(found, F.col(key).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_hash")), "left_anti")
+
+
+def _meet(rows: DataFrame, items: DataFrame, n_seeds: int, size: int) -> DataFrame:
     """Documents' seeds with the items' of the same kind and hash, others with nulls. Items beyond the broadcast bound
     meet salted seeds, since one passage may stand in a third of all documents."""
     named = items.select("item_id", F.col("fp").alias("i_fp"), F.col("kind").alias("i_kind"), F.col("mid").alias("i_mid"), F.col("before").alias("i_before"), F.col("after").alias("i_after")).distinct()
     same = (F.col("fp") == F.col("i_fp")) & (F.col("kind") == F.col("i_kind"))
-    if n_seeds <= BROADCAST_SEEDS:
+    if n_seeds <= BROADCAST_SEEDS and size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(named), same, "left")
     salted = named.withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
     return rows.join(salted, same & (F.col("salt") == F.col("i_salt")), "left")
