@@ -56,24 +56,29 @@ def positions(tokens: DataFrame) -> DataFrame:
 
 def with_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """A gapless rank from 0 in the order of unique keys. Rows are dealt out by range and numbered where they lie; one
-    sum a partition gives the offsets, so no task sees all rows."""
+    sum a partition gives the offsets, so no task sees all rows (the window has one row a partition)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     ranged = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranks")
-    sizes = ranged.groupBy("_part").count().orderBy("_part").collect()
-    offsets, total = [], 0
-    for r in sizes:
-        offsets.append((r["_part"], total))
-        total += r["count"]
-    before = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("_part").alias("_own"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_own")).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_own", "_at", "_before")
 
 
 def build(docs: DataFrame, tokens: Column, least: int = 2, mode: str = "log_over_df") -> DataFrame:
     """(token, df, idf, position) of all tokens of at least ``least`` documents."""
-    df = doc_freq(docs, tokens, least)
+    return _entries(cut(doc_freq(docs, tokens, least), "df"), docs, mode)
+
+
+def of_terms(tf: DataFrame, docs: DataFrame, least: int = 2, mode: str = "log_over_df") -> DataFrame:
+    """As ``build``, from term frequencies (one row a document and token) of the documents."""
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
+    return _entries(cut(df, "df"), docs, mode)
+
+
+def _entries(df: DataFrame, docs: DataFrame, mode: str) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return df.join(positions(df), "token").crossJoin(F.broadcast(n)).select("token", "df", idf(F.col("n"), F.col("df"), mode).alias("idf"), "position")
+    return with_rank(df, ["token"], "position").crossJoin(F.broadcast(n)).select("token", "df", idf(F.col("n"), F.col("df"), mode).alias("idf"), "position")
 
 
 def lookup(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -95,14 +100,21 @@ def tfidf(tf: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def running_count(rows: DataFrame, batch: str = "batch") -> DataFrame:
-    """Rows with ``d``, the documents up to and including their batch; one window over one row a batch."""
-    sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
-    upto = sizes.withColumn("d", F.sum("_n").over(Window.orderBy(batch))).drop("_n")
-    return rows.join(upto, batch)
+    """Rows with ``d``, the documents up to and including their batch. Batches are dealt out by range and summed where
+    they lie; one row a partition gives the offsets, so no task sees all batches."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(sizes.repartitionByRange(n, "_batch").withColumn("_part", F.spark_partition_id()), "batches")
+    parts = ranged.groupBy(F.col("_part").alias("_own")).agg(F.sum("_n").alias("_all"))
+    before = parts.select("_own", (F.sum("_all").over(Window.orderBy("_own")) - F.col("_all")).alias("_before"))
+    local = ranged.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy("_batch")))
+    upto = local.join(F.broadcast(before), F.col("_part") == F.col("_own")).select("_batch", (F.col("_upto") + F.col("_before")).alias("d"))
+    return rows.join(upto, rows[batch].eqNullSafe(F.col("_batch"))).drop("_batch")
 
 
 def running_freq(tokens: DataFrame, doc: str = "doc_id", batch: str = "batch") -> DataFrame:
-    """(token, batch, df): documents with the token up to and including the batch, for batches that hold it."""
+    """(token, batch, df): documents with the token up to and including the batch, for batches that hold it. A token's
+    window has a row a batch, however many documents hold it."""
     new = tokens.select(batch, doc, "token").distinct().groupBy("token", batch).agg(F.count(F.lit(1)).alias("_n"))
     return new.select("token", batch, F.sum("_n").over(Window.partitionBy("token").orderBy(batch)).alias("df"))
 
