@@ -362,11 +362,11 @@ def _needed(n: int, table, order):
 
 def _bits(spark: SparkSession, ids: DataFrame):
     """A broadcast table of BITS bits in which each id (the one column) has its bit set: a fixed size, whatever the number
-    of ids."""
+    of ids. Sixteen bytes for 64 bits reach the driver."""
     place = F.col(ids.columns[0]).bitwiseAND(F.lit(BITS - 1))
-    rows = ids.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("b")).toPandas()
+    rows = ids.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("b")).toArrow()
     table = np.zeros(BITS // 64, np.uint64)
-    table[rows["k"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    table[rows.column("k").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(table)
 
 
