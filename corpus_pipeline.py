@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: toxicity, near duplicates, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame; all but
-the last return the columns of ``documents``. Rows with a null doc_id are judged like others by the text-only stages and
-stay in the stages that decide by doc_id.
+the last return the columns of ``documents``. Rows with a null doc_id are judged like others. Rows that are equal in
+doc_id and text are one document from the near duplicates on; rows of one doc_id with different texts are different
+documents. Null and empty texts stay, and are packed as an end id alone; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from nearlabel.llm import decontaminate, fragment_join, packing, secrets
 from nearlabel.llm import toxicity as tox
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.llm.queries import held_out
-from nearlabel.operators.graph import cut
+from nearlabel.operators.graph import Scratch
 from nearlabel.session import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name.replace(" ", "-"))
-    return docs
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        before, docs = docs, scratch.cut(out, f"stage-{k}")
+        if k:
+            scratch.drop(before)

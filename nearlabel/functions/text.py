@@ -54,11 +54,6 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_BREAK), lambda w: w != "")
 
 
-def normalized(tokens: Column, variants: Column) -> Column:
-    """Tokens mapped once through a map variant -> normal; for dictionaries that fit a row (see also oov.normalize)."""
-    return F.transform(tokens, lambda w: F.coalesce(F.element_at(variants, w), w))
-
-
 def _four_deletions(c: Column) -> Column:
     c = F.lower(c)
     for pattern in (RETWEET, DIGITS, LINKS, NAMES):

@@ -52,12 +52,6 @@ def signatures(vectors: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
     return rows.groupBy(doc, "tbl").agg(*sums).select(doc, "tbl", total.cast("int").alias("bucket"))
 
 
-def numbered(sigs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Rows with their arrival number in the bucket (from 1) and the bucket's size."""
-    w = Window.partitionBy("tbl", "bucket")
-    return sigs.withColumn("rn", F.row_number().over(w.orderBy(order))).withColumn("cnt", F.count(F.lit(1)).over(w))
-
-
 def kept(sigs: DataFrame, p: Params, order: str = "doc_id") -> DataFrame:
     """What the bounded buckets hold at the end: the latest ``capacity`` of each."""
     w = Window.partitionBy("tbl", "bucket").orderBy(F.desc(order))
@@ -93,18 +87,29 @@ def bucket_sizes(sigs: DataFrame) -> DataFrame:
 
 def sparse_cosine(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with their cosine (cos_sim), from sparse vectors (query_id, pos, w) and (doc_id, pos, w); pairs without a
-    common dimension have none and go."""
-    q = queries.select("query_id", "pos", F.col("w").alias("qw"))
-    d = docs.select(F.col("doc_id").alias("cand_id"), "pos", F.col("w").alias("dw"))
+    common dimension have none and go. Only vectors of the pairs' documents are joined and measured."""
     near = pairs.select("query_id", "cand_id")
-    met = near.join(q, "query_id").join(d, ["cand_id", "pos"]).groupBy("query_id", "cand_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    qn = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    dn = docs.groupBy(F.col("doc_id").alias("cand_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    return met.join(qn, "query_id").join(dn, "cand_id").select("query_id", "cand_id", F.try_divide("dot", F.col("qn") * F.col("dn")).alias("cos_sim"))
+    own = docs.select(F.col("doc_id").alias("cand_id"), "pos", F.col("w").alias("dw")).join(near.select("cand_id").distinct(), "cand_id")
+    q = queries.select("query_id", "pos", F.col("w").alias("qw"))
+    met = near.join(q, "query_id").join(own, ["cand_id", "pos"]).groupBy("query_id", "cand_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+    dn = own.groupBy("cand_id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
+    return met.join(_norms(queries), "query_id").join(dn, "cand_id").select("query_id", "cand_id", _rounded())
+
+
+def _norms(queries: DataFrame) -> DataFrame:
+    return queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+
+
+def _rounded() -> Column:
+    """Cosines are rounded before they are ranked: sums of other orders give the same ranks."""
+    return F.round(F.try_divide("dot", F.col("qn") * F.col("dn")), 6).alias("cos_sim")
 
 
 def more_like_this(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
-    """Exact search: the n documents of largest cosine for each query, by an inverted index join."""
-    d = docs.select(F.col("doc_id").alias("cand_id"), "pos")
-    pairs = queries.select("query_id", "pos").join(d, "pos").select("query_id", "cand_id").distinct()
-    return top_n(sparse_cosine(pairs, queries, docs).filter("cos_sim > 0"), n, "cos_sim")
+    """Exact search: the n documents of largest cosine for each query. One join by position, the inverted index, gives
+    all dot products, combined before they are shuffled."""
+    q = queries.select("query_id", "pos", F.col("w").alias("qw"))
+    dot = docs.join(q, "pos").groupBy("query_id", F.col("doc_id").alias("cand_id")).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dn = docs.groupBy(F.col("doc_id").alias("cand_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    sims = dot.join(dn, "cand_id").join(_norms(queries), "query_id").select("query_id", "cand_id", _rounded())
+    return top_n(sims, n, "cos_sim").select("query_id", "rank", "cand_id", "cos_sim")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearlabel.functions import text as T
 from nearlabel.operators import dictionary, lsh
+from nearlabel.operators.graph import cut
 
 
 def by_neighbours(ranked: DataFrame, strong: float = 0.2, enough: int = 5) -> DataFrame:
@@ -37,18 +38,19 @@ def neighbours(queries: DataFrame, docs: DataFrame, p: lsh.Params | None = None,
     """The request path: (query_id, rank, cand_id, n, cos_sim) for texts (query_id, text) against (doc_id, text).
 
     Clean, tokenize, weigh by the documents' dictionary, probe the buckets, count collisions, keep ``top_candidates`` by
-    count, take the cosine, keep ``top_k`` above ``min_sim``.
+    count, take the cosine (of six digits), keep ``top_k`` above ``min_sim``. Texts are cleaned once.
     """
     p = p or lsh.Params()
-    docs = docs.select("doc_id", tokens(T.preprocess(F.col("text"))).alias("tokens"))
-    queries = queries.select("query_id", tokens(T.preprocess(F.col("text"))).alias("tokens"))
-    entries = dictionary.build(docs, F.col("tokens"))
-    dv = dictionary.tfidf(dictionary.term_freq(docs, F.col("tokens")), entries)
-    qv = dictionary.tfidf(dictionary.term_freq(queries.withColumnRenamed("query_id", "doc_id"), F.col("tokens")), entries)
+    total = docs.select("doc_id")
+    tf = cut(dictionary.term_freq(docs, tokens(T.preprocess(F.col("text")))), "tf")
+    qf = cut(dictionary.term_freq(queries.withColumnRenamed("query_id", "doc_id"), tokens(T.preprocess(F.col("text")))), "qf")
+    entries = cut(dictionary.of_terms(tf, total), "dictionary")
+    dv = cut(dictionary.tfidf(tf, entries), "vectors")
+    qv = cut(dictionary.tfidf(qf, entries), "vectors")
     micro = F.round(F.col("w") * 1_000_000).cast("bigint").alias("q")
     ds = lsh.signatures(dv.select("doc_id", "pos", micro), p)
     qs = lsh.signatures(qv.select("doc_id", "pos", micro), p).withColumnRenamed("doc_id", "query_id")
-    near = lsh.top_n(lsh.collisions(lsh.query_only(qs, ds, p)), p.top_candidates, "n").drop("rank")
+    near = cut(lsh.top_n(lsh.collisions(lsh.query_only(qs, ds, p)), p.top_candidates, "n").drop("rank"), "candidates")
     sims = lsh.sparse_cosine(near, qv.withColumnRenamed("doc_id", "query_id"), dv)
     ranked = lsh.top_n(sims.filter(F.col("cos_sim") > p.min_sim), p.top_k, "cos_sim")
     return ranked.join(near, ["query_id", "cand_id"]).select("query_id", "rank", "cand_id", "n", "cos_sim")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from nearlabel.functions import text as T
 from nearlabel.functions import vectors as V
 from nearlabel.operators import dictionary as D
 from nearlabel.operators import graph, lsh, ml, suggest
+from nearlabel.operators.graph import cut
 from nearlabel.session import table, work_dir
 from nearlabel.sources import io
 from nearlabel.streaming import jobs
@@ -20,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Smaller hashing for the embeddings' queries, which have SQL of the same sizes.
-SMALL = lsh.Params(tables=6, bits=8, capacity=50, top_candidates=30, top_k=10)
+#: Sizes of all hashing queries and their SQL: 36 tables of 13 bits, 200 a bucket, 108 candidates, 36 results.
+SIZES = lsh.Params()
 #: A small variant dictionary for the tables' invented words; line numbers decide between repeated variants.
 VARIANTS = [("thr", "the", 0), ("onha", "on", 1), ("erin", "er", 2), ("andnd", "and", 3), ("onha", "one", 4), ("reou", "the", 5), ("esed", "es", 6)]
 
@@ -55,6 +57,7 @@ def _s_marks(x: str) -> str:
     return f"replace(replace(replace({x}, '&amp;', '&'), '#', ''), 'RT', '')"
 
 
+# The patterns of the text rules.
 S_URLS, S_NAMES, S_NUMBERS = r"((www\.[\s]+)|(https?://[^\s]+))", r"@([^\s]+)", r"[1-9]\s*(\w+)"
 
 
@@ -119,9 +122,9 @@ def tokenize_set(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.word_set(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, {_sub(_s_four('text'), r'\W+', ' ')} AS tweet FROM documents")
-def cleantweet(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.clean_for_index(F.col("text")).alias("tweet"))
+@query(f"SELECT doc_id, {_sub(_s_four('text'), r'\W+', ' ')} AS cleaned FROM documents")
+def clean_for_index(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.clean_for_index(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT coalesce(normal, t.token) AS token, count(*) AS n FROM {S_DOC_TOKENS} t LEFT JOIN {S_LAST} v ON t.token = v.variant GROUP BY ALL")
@@ -159,7 +162,7 @@ def valid_filter(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_map_project(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].cast("bigint").alias("k"))
+    return io.json_maps(table(spark, sf_dir, "events"), "props", "event_id").select("event_id", F.col("m")["k"].cast("bigint").alias("k"))
 
 
 @query("SELECT event_type AS tag, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -175,11 +178,11 @@ def array_join_tags(spark, sf_dir):
 
 
 @query(
-    r"SELECT doc_id, trim(regexp_replace(text, '(http://|@)[^ \t]*[ \t]?', ' ', 'g')) AS plain, lang || '<--->' || source AS shown, text AS third, "
-    r"'1,2,x,' || regexp_replace(regexp_replace(text, '[^\x20-\x7e\t\n\r\x0b\x0c]', '', 'g'), '\n', ' ', 'g') AS record FROM documents WHERE text NOT LIKE '%' || chr(9) || '%' AND text <> ''"
+    r"SELECT doc_id, trim(regexp_replace(text, '(http://|@)[^ \t]*[ \t]?', ' ', 'g')) AS plain, concat_ws('<--->', lang, source) AS shown, list_filter(string_split(text, chr(9)), lambda x: x <> '')[1] AS third, "
+    r"concat_ws(',', '1', '2', 'x', regexp_replace(regexp_replace(text, '[^\x20-\x7e\t\n\r\x0b\x0c]', '', 'g'), '\n', ' ', 'g')) AS record FROM documents"
 )
 def unused_helpers(spark, sf_dir):
-    d = docs(spark, sf_dir).filter(~F.col("text").contains("\t") & (F.col("text") != ""))
+    d = docs(spark, sf_dir)
     line = F.concat(F.lit("a\t\tb\t"), F.col("text"))
     return d.select("doc_id", T.remove_links_and_replies(F.col("text")).alias("plain"), T.rendered(F.col("lang"), F.col("source")).alias("shown"), T.tsv_field(line, 2).alias("third"), T.record(F.lit(1), F.lit(2), F.lit("x"), F.col("text")).alias("record"))
 
@@ -262,7 +265,8 @@ def term_freq(spark, sf_dir):
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("tokens"))
-    return D.tfidf(D.term_freq(d, F.col("tokens")), D.build(d, F.col("tokens")))
+    tf = cut(D.term_freq(d, F.col("tokens")), "tf")
+    return D.tfidf(tf, D.of_terms(tf, d))
 
 
 @query(f"SELECT doc_id, pos, round(w, 6) AS w FROM {S_TFIDF}")
@@ -343,7 +347,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh.signatures(_rows(spark, sf_dir), SMALL)
+    return lsh.signatures(_rows(spark, sf_dir), SIZES)
 
 
 def _s_sigs(p: lsh.Params) -> str:
@@ -352,17 +356,17 @@ def _s_sigs(p: lsh.Params) -> str:
     return f"(SELECT doc_id, tbl, CAST({total} AS INTEGER) AS bucket FROM (SELECT doc_id, q, CAST(t AS INTEGER) AS tbl, md5(t || ':' || pos || ':{p.seed}') AS h FROM ({rows}), range({p.tables}) r(t)) GROUP BY doc_id, tbl)"
 
 
-S_SIGS = _s_sigs(SMALL)
+S_SIGS = _s_sigs(SIZES)
 S_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY tbl, bucket ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY tbl, bucket) AS cnt FROM {S_SIGS})"
-S_KEPT = f"(SELECT doc_id, tbl, bucket FROM {S_NUMBERED} WHERE cnt - rn < {SMALL.capacity})"
+S_KEPT = f"(SELECT doc_id, tbl, bucket FROM {S_NUMBERED} WHERE cnt - rn < {SIZES.capacity})"
 S_CANDS = f"(SELECT q.doc_id AS query_id, c.doc_id AS cand_id, q.tbl FROM {S_SIGS} q JOIN {S_KEPT} c USING (tbl, bucket) WHERE q.doc_id % 5 = 0)"
 
 
 @query(
-    f"SELECT CAST(t AS INTEGER) AS tbl, CAST(b AS INTEGER) AS bit, CAST(d AS INTEGER) AS dim, CASE WHEN substr(md5(t || ':' || d || ':{SMALL.seed}'), b + 1, 1) < '8' THEN 1 ELSE -1 END AS w FROM range({SMALL.tables}) x(t), range({SMALL.bits}) y(b), range(64) z(d)"
+    f"SELECT CAST(t AS INTEGER) AS tbl, CAST(b AS INTEGER) AS bit, CAST(d AS INTEGER) AS dim, CASE WHEN substr(md5(t || ':' || d || ':{SIZES.seed}'), b + 1, 1) < '8' THEN 1 ELSE -1 END AS w FROM range({SIZES.tables}) x(t), range({SIZES.bits}) y(b), range(64) z(d)"
 )
 def lsh_planes(spark, sf_dir):
-    return lsh.planes(spark, 64, SMALL)
+    return lsh.planes(spark, 64, SIZES)
 
 
 @query(f"SELECT doc_id, tbl, bucket FROM {S_SIGS}")
@@ -372,20 +376,20 @@ def lsh_signature(spark, sf_dir):
 
 @query(f"SELECT doc_id, tbl, bucket FROM {S_KEPT}")
 def bucket_fifo(spark, sf_dir):
-    return lsh.kept(_sigs(spark, sf_dir), SMALL).select("doc_id", "tbl", "bucket")
+    return lsh.kept(_sigs(spark, sf_dir), SIZES).select("doc_id", "tbl", "bucket")
 
 
-S_BEFORE = f"SELECT a.doc_id, a.tbl, b.doc_id AS cand_id FROM {S_NUMBERED} a JOIN {S_NUMBERED} b USING (tbl, bucket) WHERE b.rn BETWEEN a.rn - {SMALL.capacity} AND a.rn - 1"
+S_BEFORE = f"SELECT a.doc_id, a.tbl, b.doc_id AS cand_id FROM {S_NUMBERED} a JOIN {S_NUMBERED} b USING (tbl, bucket) WHERE b.rn BETWEEN a.rn - {SIZES.capacity} AND a.rn - 1"
 
 
 @query(S_BEFORE)
 def bucket_query_then_insert(spark, sf_dir):
-    return lsh.query_then_insert(_sigs(spark, sf_dir), SMALL)
+    return lsh.query_then_insert(_sigs(spark, sf_dir), SIZES)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _sigs(spark, sf_dir)
-    return lsh.query_only(sigs.filter(F.col("doc_id") % 5 == 0).withColumnRenamed("doc_id", "query_id"), sigs, SMALL)
+    return lsh.query_only(sigs.filter(F.col("doc_id") % 5 == 0).withColumnRenamed("doc_id", "query_id"), sigs, SIZES)
 
 
 @query(f"SELECT query_id, cand_id, tbl FROM {S_CANDS}")
@@ -399,7 +403,7 @@ def bucket_sizes(spark, sf_dir):
 
 
 S_COUNTS = f"(SELECT query_id, cand_id, count(*) AS n FROM {S_CANDS} GROUP BY ALL)"
-S_TOP = f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cand_id) AS INTEGER) AS rank FROM {S_COUNTS} QUALIFY rank <= {SMALL.top_candidates})"
+S_TOP = f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cand_id) AS INTEGER) AS rank FROM {S_COUNTS} QUALIFY rank <= {SIZES.top_candidates})"
 
 
 @query(f"SELECT query_id, cand_id, n, label FROM {S_COUNTS} JOIN (SELECT vec_id AS cand_id, label FROM embeddings) USING (cand_id)")
@@ -410,21 +414,21 @@ def collision_count_keep(spark, sf_dir):
 
 @query(f"SELECT query_id, rank, cand_id, n FROM {S_TOP}")
 def topn_by_count(spark, sf_dir):
-    return lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SMALL.top_candidates, "n").select("query_id", "rank", "cand_id", "n")
+    return lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SIZES.top_candidates, "n").select("query_id", "rank", "cand_id", "n")
 
 
 S_RANKED = (
     f"(WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT query_id, cand_id, c.label, round({S_COS.format(a='q.e', b='c.e')}, 6) AS cos_sim FROM {S_TOP} t JOIN e q ON q.vec_id = t.query_id JOIN e c ON c.vec_id = t.cand_id) "
-    f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank, cand_id, label, cos_sim FROM s QUALIFY rank <= {SMALL.top_k})"
+    f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank, cand_id, label, cos_sim FROM s QUALIFY rank <= {SIZES.top_k})"
 )
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SMALL.top_candidates, "n").drop("rank")
+    near = lsh.top_n(lsh.collisions(_candidates(spark, sf_dir)), SIZES.top_candidates, "n").drop("rank")
     e = table(spark, sf_dir, "embeddings")
     met = near.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("b"), "label"), "cand_id")
     sims = met.select("query_id", "cand_id", "label", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cos_sim"))
-    return lsh.top_n(sims, SMALL.top_k, "cos_sim")
+    return lsh.top_n(sims, SIZES.top_k, "cos_sim")
 
 
 @query(f"SELECT query_id, rank, cand_id, cos_sim FROM {S_RANKED}")
@@ -469,15 +473,12 @@ S_SEARCH = (
 @query(S_SEARCH)
 def more_like_this(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("tokens"))
-    entries = D.build(d, F.col("tokens"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.words(F.col("text")).alias("tokens"))
+    tf = cut(D.term_freq(d, F.col("tokens")), "tf")
+    entries = cut(D.of_terms(tf, d), "dictionary")
     q = D.tfidf(D.term_freq(items, F.col("tokens")), entries).withColumnRenamed("doc_id", "query_id")
-    dv = D.tfidf(D.term_freq(d, F.col("tokens")), entries)
-    # one join by position gives the dot products; scores are rounded before they are ranked, as in the check
-    dot = q.select("query_id", "pos", F.col("w").alias("qw")).join(dv, "pos").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    qn = V.norms(q, "query_id").withColumnRenamed("norm", "qn")
-    sims = dot.join(V.norms(dv), "doc_id").join(qn, "query_id").select("query_id", F.col("doc_id").alias("cand_id"), F.round(F.try_divide("dot", F.col("norm") * F.col("qn")), 6).alias("cos_sim"))
-    return lsh.top_n(sims, 10, "cos_sim").select("query_id", "rank", "cand_id", "cos_sim")
+    dv = D.tfidf(tf, entries)
+    return lsh.more_like_this(q, dv, 10)
 
 
 # Graph.
@@ -543,10 +544,10 @@ def inverted_index(spark, sf_dir):
     return io.inverted_index(D.exploded(docs(spark, sf_dir), T.words(F.col("text"))))
 
 
-@query("SELECT doc_id, lang || ',' || source AS hashtags FROM documents")
+@query("SELECT doc_id, lang || ',' || source AS labels FROM documents")
 def export_json_lines(spark, sf_dir):
-    lines = io.export_lines(docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("hashtags")))
-    return lines.select(F.from_json("value", "doc_id bigint, hashtags string").alias("v")).select("v.*")
+    lines = io.export_lines(docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("labels")))
+    return lines.select(F.from_json("value", "doc_id bigint, labels string").alias("v")).select("v.*")
 
 
 @query("SELECT doc_id, label, CAST(label = lang OR label = source AS INTEGER) AS y FROM documents, (SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT source FROM documents)")
@@ -576,27 +577,62 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, frame: DataFrame, name: str, mode: str) -> DataFrame:
-    import uuid
-
-    unique = f"{name}_{uuid.uuid4().hex}"
-    return jobs.run_available(frame, unique, f"{work_dir(spark).rstrip('/')}/{unique}", mode)
+    unique = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return jobs.run_available(frame, f"{unique}/rows", f"{unique}/checkpoint", mode)
 
 
 @query(S_BEFORE)
 def stream_fifo(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = f"{work_dir(spark).rstrip('/')}/sigs-{id(spark)}-{abs(hash(sf_dir))}"
-    _sigs(spark, sf_dir).coalesce(1).write.mode("overwrite").parquet(path)
-    sigs = spark.readStream.schema("doc_id bigint, tbl int, bucket int").parquet(path)
-    return _streamed(spark, jobs.bucket_candidates(sigs, SMALL), "fifo", "append")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        path = f"{work_dir(spark).rstrip('/')}/sigs-{uuid.uuid4().hex}"
+        _sigs(spark, sf_dir).coalesce(1).write.parquet(path)
+        sigs = spark.readStream.schema("doc_id bigint, tbl int, bucket int").parquet(path)
+        return _streamed(spark, jobs.bucket_candidates(sigs, SIZES), "fifo", "append")
+    finally:
+        spark.conf.set(name, before)
 
 
-@query("SELECT event_type AS token, count(*) AS df FROM events GROUP BY ALL")
+@query(_sets(1))
 def stream_doc_freq(spark, sf_dir):
-    stream = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("token"))
+    stream = _stream(spark, sf_dir, "documents").select("doc_id", F.explode(T.word_set(F.col("text"))).alias("token"))
     return _streamed(spark, jobs.running_freq(stream), "df", "complete")
 
 
+@query("SELECT count(*) AS d FROM documents")
+def stream_doc_count(spark, sf_dir):
+    return _streamed(spark, jobs.running_count(_stream(spark, sf_dir, "documents")), "count", "complete")
+
+
+@query(f"SELECT token, row_number() OVER (ORDER BY first, token) - 1 AS position, first FROM (SELECT token, min(doc_id) AS first FROM {S_DOC_TOKENS} GROUP BY token)")
+def stream_positions(spark, sf_dir):
+    """Dictionary growth by micro-batches: new tokens get the next positions."""
+    unique = f"{work_dir(spark).rstrip('/')}/positions-{uuid.uuid4().hex}"
+    tokens = _stream(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("token"), F.col("doc_id").alias("seq"))
+    started = lambda: tokens.writeStream.foreachBatch(jobs.merge_positions(f"{unique}/table")).option("checkpointLocation", f"{unique}/checkpoint").trigger(availableNow=True).start()
+    jobs.supervised(started)
+    return spark.read.parquet(f"{unique}/table").select("token", "position", "first")
+
+
+@query("SELECT strftime(ts, '%Y%m%d_%H') AS dt_hour, count(*) AS n FROM events GROUP BY ALL")
+def stream_archive(spark, sf_dir):
+    unique = f"{work_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    jobs.supervised(lambda: jobs.archive(_stream(spark, sf_dir, "events"), f"{unique}/table", f"{unique}/checkpoint", available=True))
+    return spark.read.parquet(f"{unique}/table").groupBy(F.col("dt_hour").cast("string").alias("dt_hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id AS id, event_type AS text FROM events")
+def stream_queue(spark, sf_dir):
+    """Messages pushed to a queue of JSON lines, and read from it as a stream."""
+    unique = f"{work_dir(spark).rstrip('/')}/queue-{uuid.uuid4().hex}"
+    sent = _stream(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.array("event_type").alias("labels"))
+    jobs.push(sent, f"{unique}/queue", f"{unique}/sent").awaitTermination()
+    got = jobs.source(spark, f"{unique}/queue", io.MESSAGE).select(F.col("id").cast("bigint").alias("id"), "text")
+    return jobs.run_available(got, f"{unique}/got", f"{unique}/checkpoint", "append")
+
+
 # The whole request path.
 
 
@@ -609,9 +645,32 @@ def flagship(spark: SparkSession, sf_dir: str, p: lsh.Params | None = None) -> D
     return suggest.by_neighbours(rows)
 
 
-@query()
+S_REQUEST = (
+    f"WITH dt AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_s_words(_s_preprocess('text'))}) AS token FROM documents) GROUP BY ALL), "
+    f"qt AS (SELECT item_id AS query_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_s_words(_s_preprocess('text'))}) AS token FROM benchmark) GROUP BY ALL), "
+    "dict AS (SELECT token, ln((SELECT count(*) FROM documents)) / (df + 1) AS idf, row_number() OVER (ORDER BY token) - 1 AS pos FROM (SELECT token, count(*) AS df FROM dt GROUP BY token HAVING count(*) >= 2)), "
+    "dv AS (SELECT doc_id, pos, tf * idf AS w FROM dt JOIN dict USING (token)), qv AS (SELECT query_id, pos, tf * idf AS w FROM qt JOIN dict USING (token)), "
+    f"pl AS (SELECT pos, CAST(t AS INTEGER) AS tbl, md5(t || ':' || pos || ':{SIZES.seed}') AS h FROM dict, range({SIZES.tables}) r(t)), "
+    "{ds}, {qs}, kept AS (SELECT id, tbl, bucket FROM ds QUALIFY row_number() OVER (PARTITION BY tbl, bucket ORDER BY id DESC) <= {capacity}), "
+    "n AS (SELECT qs.id AS query_id, kept.id AS cand_id, count(*) AS n FROM qs JOIN kept USING (tbl, bucket) GROUP BY ALL), "
+    "near AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cand_id) <= {candidates}), "
+    "dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY query_id), "
+    "sims AS (SELECT near.query_id, cand_id, round(sum(qv.w * dv.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS cos_sim FROM near JOIN qv USING (query_id) JOIN dv ON dv.doc_id = cand_id AND dv.pos = qv.pos JOIN dn ON dn.doc_id = cand_id JOIN qn USING (query_id) GROUP BY near.query_id, cand_id), "
+    "ranked AS (SELECT query_id, cand_id, cos_sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank FROM sims WHERE cos_sim > 0 QUALIFY rank <= {results}), "
+    "named AS (SELECT query_id, rank, cos_sim, list_distinct([lang, source]) AS labels FROM ranked JOIN documents ON doc_id = cand_id), "
+    "used AS (SELECT *, coalesce(sum(len(labels)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM named) "
+    "SELECT query_id, rank, unnest(labels) AS label FROM used WHERE cos_sim >= 0.2 OR before <= 5"
+)
+
+
+def _s_signed(name: str, vectors: str, key: str) -> str:
+    total = " + ".join(f"CASE WHEN sum(CASE WHEN substr(h, {b + 1}, 1) < '8' THEN q ELSE -q END) >= 0 THEN {1 << b} ELSE 0 END" for b in range(SIZES.bits))
+    return f"{name} AS (SELECT id, tbl, {total} AS bucket FROM (SELECT {key} AS id, tbl, h, CAST(round(w * 1000000) AS BIGINT) AS q FROM {vectors} JOIN pl USING (pos)) GROUP BY id, tbl)"
+
+
+@query(S_REQUEST.format(ds=_s_signed("ds", "dv", "doc_id"), qs=_s_signed("qs", "qv", "query_id"), capacity=SIZES.capacity, candidates=SIZES.top_candidates, results=SIZES.top_k))
 def request_path(spark, sf_dir):
-    return flagship(spark, sf_dir, lsh.Params())
+    return flagship(spark, sf_dir, SIZES)
 
 
 def queries() -> dict[str, Query]:
@@ -620,5 +679,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,13 @@ def local_session(cpus: int | str = "*", app: str = "nearlabel", **conf: str) ->
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir`` as the cluster names it; where it is unset, as in
-    tests, a temporary folder is set as the checkpoint folder of this session."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir`` as the cluster names it. Where it is unset, a local
+    session, as in tests, gets a temporary folder as its checkpoint folder; a cluster has no folder that all its machines
+    share, so there it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="nearlabel-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from nearlabel.functions import text as T
 
-#: Message of the queue and of exports; raw objects have more fields, which are read when they are needed.
-MESSAGE = "tweet_id string, text string, hashtags array<string>"
-RAW = "id bigint, id_str string, text string, lang string, created_at string, user struct<screen_name: string>, entities struct<hashtags: array<struct<text: string>>>, coordinates struct<coordinates: array<double>>, delete string, limit string, warning string"
+#: Message of the queue and of exports. Where stored data has other field names, callers pass a schema of theirs.
+MESSAGE = "id string, text string, labels array<string>"
+
+
+def raw_schema(labels: str = "labels") -> str:
+    """Raw objects, as far as their fields are read; ``labels`` is the source's name of the list of label objects."""
+    return f"id bigint, id_str string, text string, lang string, created_at string, user struct<screen_name: string>, entities struct<{labels}: array<struct<text: string>>>, coordinates struct<coordinates: array<double>>, delete string, limit string, warning string"
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str = MESSAGE) -> DataFrame:
@@ -22,15 +26,15 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str = MESSAG
     return spark.read.schema(schema).json(paths)
 
 
-def json_maps(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Each line as a map of its top-level fields to their text."""
-    return lines.select(F.from_json(column, "map<string,string>").alias("m"))
+def json_maps(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """Each line as a map of its top-level fields to their text, column ``m``; columns to keep go before it."""
+    return lines.select(*keep, F.from_json(column, "map<string,string>").alias("m"))
 
 
-def envelope(lines: DataFrame, schema: str = RAW, column: str = "value") -> DataFrame:
+def envelope(lines: DataFrame, schema: str | None = None, column: str = "value") -> DataFrame:
     """``timestamp<TAB>tag<TAB>json`` lines to (ts, tag, body)."""
     parts = F.split(F.col(column), "\t", 3)
-    return lines.select(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("tag"), F.from_json(F.get(parts, F.lit(2)), schema).alias("body"))
+    return lines.select(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("tag"), F.from_json(F.get(parts, F.lit(2)), schema or raw_schema()).alias("body"))
 
 
 def scan(df: DataFrame, columns: list[str], limit: int | None = None, order: str | None = None) -> DataFrame:
@@ -74,10 +78,10 @@ def is_valid(raw: DataFrame, lang: str = "en") -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def messages(raw: DataFrame) -> DataFrame:
+def messages(raw: DataFrame, labels: str = "labels") -> DataFrame:
     """Queue messages of raw objects that carry labels."""
-    labels = T.label_texts(F.col("entities.hashtags"))
-    return raw.select(F.col("id").cast("string").alias("tweet_id"), "text", labels.alias("hashtags")).filter(F.size("hashtags") > 0)
+    found = T.label_texts(F.col(f"entities.{labels}"))
+    return raw.select(F.col("id").cast("string").alias("id"), "text", found.alias("labels")).filter(F.size("labels") > 0)
 
 
 def dedupe(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -120,7 +124,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_lines(df: DataFrame, labels: str = "hashtags") -> DataFrame:
+def export_lines(df: DataFrame, labels: str = "labels") -> DataFrame:
     """JSON lines with the labels joined by commas."""
     joined = df.withColumn(labels, F.array_join(labels, ",")) if dict(df.dtypes)[labels].startswith("array") else df
     return joined.select(F.to_json(F.struct(*joined.columns)).alias("value"))

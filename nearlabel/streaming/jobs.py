@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,15 @@ class Bucket(StatefulProcessor):
         self.queue = handle.getListState("queue", "doc_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = pd.concat(list(rows)).sort_values("doc_id")
-        held = [r[0] for r in self.queue.get()] if self.queue.exists() else []
-        out = []
-        for doc in arrived["doc_id"]:
-            out += [(int(doc), int(key[0]), int(c)) for c in held]
-            held = [*held, int(doc)][-self.capacity :]
-        self.queue.put([(c,) for c in held])
-        yield pd.DataFrame(out, columns=["doc_id", "tbl", "cand_id"])
+        arrived = np.sort(pd.concat(list(rows))["doc_id"].to_numpy(np.int64))
+        held = np.array([r[0] for r in self.queue.get()] if self.queue.exists() else [], np.int64)
+        line = np.concatenate([held, arrived])
+        place = np.arange(len(held), len(line))
+        first = np.maximum(0, place - self.capacity)
+        times = place - first  # what each arrival met
+        at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        self.queue.put([(int(c),) for c in line[-self.capacity :]])
+        yield pd.DataFrame({"doc_id": np.repeat(arrived, times), "tbl": np.int32(key[0]), "cand_id": line[at]})
 
     def close(self) -> None:
         pass
@@ -81,10 +83,16 @@ def merge_positions(path: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
-def archive(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
-    """Hourly partitions, every ten seconds."""
-    writer = io.with_hour(stream, ts).writeStream.partitionBy("dt_hour").format("parquet").option("path", path)
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime="10 seconds").start()
+def push(messages: DataFrame, path: str, checkpoint: str, available: bool = True) -> StreamingQuery:
+    """Messages (a stream) to a queue of JSON lines, which ``source`` reads; each once, by the writer's log."""
+    writer = messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
+def archive(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", available: bool = False) -> StreamingQuery:
+    """Hourly partitions, every ten seconds; ``available``: what is there now, and then the end."""
+    writer = io.with_hour(stream, ts).writeStream.partitionBy("dt_hour").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available else writer.trigger(processingTime="10 seconds")).start()
 
 
 def upsert_into(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
@@ -115,8 +123,18 @@ def supervised(start: Callable[[], StreamingQuery], attempts: int = 10, wait: fl
     raise ValueError("attempts must be positive")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All available input into a table of this session; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All available input to files under ``path``, and these rows: in mode ``append`` those of all batches, in mode
+    ``complete`` those of the last one. A repeated batch overwrites its own folder."""
+    schema, spark = stream.schema, stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[0] = number
+
+    last = [-1]
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.parquet(path if mode == "append" else f"{path}/batch={last[0]}")
+    return rows.select(*schema.names)

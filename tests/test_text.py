@@ -38,10 +38,17 @@ def test_text_rules(spark, f, text, want):
 
 
 def test_stems():
-    pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "triplicate": "triplic", "hopeful": "hope", "adoption": "adopt", "rate": "rate", "controll": "control", "sized": "size", "is": "is"}
+    """Examples of the published algorithm and of its vocabulary list."""
+    pairs = {"consign": "consign", "consigned": "consign", "consigning": "consign", "consist": "consist", "consistency": "consist", "consistently": "consist", "consolatory": "consolatori", "consoles": "consol", "consolingly": "consol", "conspicuously": "conspicu", "conspirators": "conspir", "constable": "constabl", "knack": "knack", "kneeled": "kneel", "knees": "knee", "knightly": "knight", "knives": "knive", "knocker": "knocker", "knotty": "knotti", "caresses": "caress", "ties": "tie", "cries": "cri", "gaps": "gap", "gas": "gas", "kiwis": "kiwi", "this": "this", "luxuriating": "luxuri", "hopping": "hop", "hoping": "hope", "falling": "fall", "by": "by", "say": "say", "cry": "cri", "generously": "generous", "skies": "sky", "news": "news", "herring": "herring", "exceeds": "exceed", "agreed": "agre", "relational": "relat", "rational": "ration", "analogi": "analog", "controll": "control", "youth": "youth", "é": "é", "is": "is"}
     assert {w: ml.stem(w) for w in pairs} == pairs
 
 
+def test_search_terms(spark):
+    got = one(spark, ml.search_terms, "The Foxes' fox's RUNNING, and it isn't 42nd; Café-bars")
+    assert got == ["fox", "fox", "run", "isn't", "42nd", "café", "bar"]
+    assert one(spark, ml.search_terms, "") == one(spark, ml.search_terms, None) == []
+
+
 def test_dictionary(spark):
     docs = spark.createDataFrame([(0, "b a a"), (1, "a c"), (2, None), (3, "")], "doc_id long, text string")
     d = {r.token: (r.df, r.position) for r in D.build(docs, T.words(F.col("text")), least=1).collect()}
@@ -114,14 +121,22 @@ def test_sources(spark, tmp_path):
     assert {r.variant: r.normal for r in io.variants(spark, f"{tmp_path}/v.tsv").collect()} == {"2": "too", "u": "you"}
     (tmp_path / "s.ini").write_text("[default]\na = 1\n")
     assert io.settings(f"{tmp_path}/s.ini")["a"] == "1"
-    raw = spark.createDataFrame([(json.dumps(o),) for o in ({"id": 5, "text": "t", "lang": "en", "created_at": "x", "entities": {"hashtags": [{"text": "a"}]}}, {"delete": {"x": 1}}, {"id": 6, "text": "", "lang": "en", "created_at": "x"})], "value string")
-    parsed = raw.select(F.from_json("value", io.RAW).alias("v")).select("v.*")
+    raw = spark.createDataFrame([(json.dumps(o),) for o in ({"id": 5, "text": "t", "lang": "en", "created_at": "x", "entities": {"labels": [{"text": "a"}]}}, {"delete": {"x": 1}}, {"id": 6, "text": "", "lang": "en", "created_at": "x"})], "value string")
+    parsed = raw.select(F.from_json("value", io.raw_schema()).alias("v")).select("v.*")
     ok = parsed.filter(io.is_valid(parsed))
-    assert [(r.tweet_id, r.hashtags) for r in io.messages(ok).collect()] == [("5", ["a"])]
+    assert [(r.id, r.labels) for r in io.messages(ok).collect()] == [("5", ["a"])]
     io.write_csv(spark.createDataFrame([("a", 1)], "token string, df long"), f"{tmp_path}/c")
     assert io.counts_csv(spark, f"{tmp_path}/c").collect() == [("a", 1)]
     docs = spark.range(25).withColumnRenamed("id", "k")
     assert sum(len(json.loads(r.body)) for r in io.search_batches(docs, "k", 10).collect()) == 25
+    maps = io.json_maps(raw, "value")
+    assert [r.m.get("text") for r in maps.collect()] == ["t", None, ""]
+    sent = spark.createDataFrame([("1", "x", ["a", "b"]), ("2", None, [])], io.MESSAGE)
+    io.write_json(sent, f"{tmp_path}/j")
+    assert sorted(map(tuple, io.json_lines(spark, [f"{tmp_path}/j"]).collect())) == sorted(map(tuple, sent.collect()))
+    hours = spark.createDataFrame([(1, "2024-01-02 03:04:05"), (2, "2024-01-02 03:59:59"), (3, "2024-01-02 04:00:00")], "id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    io.write_archive(hours, f"{tmp_path}/a")
+    assert {r.dt_hour: r["count"] for r in spark.read.option("inferSchema", "false").parquet(f"{tmp_path}/a").groupBy("dt_hour").count().collect()} == {"20240102_03": 2, "20240102_04": 1}
     assert io.request_form('{"text": "x"}') == "x" and io.requests(spark, ["a", "", None]).count() == 1
 
 
@@ -138,3 +153,52 @@ def test_streams(spark, tmp_path):
     put(spark.createDataFrame([(1, 1), (2, 1)], "k long, v long"), 0)
     put(spark.createDataFrame([(1, 2)], "k long, v long"), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/u/v1").collect()) == [(1, 2), (2, 1)]
+
+
+def test_supervised_restarts(spark):
+    """After an error the query starts again from its checkpoint; too many errors end it."""
+    from nearlabel.streaming import jobs
+
+    class Query:
+        def __init__(self, bad):
+            self.bad = bad
+
+        def awaitTermination(self):  # noqa: N802
+            if self.bad:
+                raise RuntimeError("gone")
+
+    began = []
+    jobs.supervised(lambda: began.append(1) or Query(len(began) < 3), wait=0.01)
+    assert len(began) == 3
+    with pytest.raises(RuntimeError):
+        jobs.supervised(lambda: Query(True), attempts=2, wait=0.01)
+
+
+def test_search_rule_of_lists(spark):
+    """compat: each distinct label list counts once, by first rank, and labels may come again with another list."""
+    rows = [(1, 1, ["a", "b"]), (1, 2, ["a", "b"]), (1, 3, ["a", "c", "d", "e"]), (1, 4, ["f"]), (2, 1, [])]
+    df = spark.createDataFrame(rows, "query_id long, rank int, labels array<string>")
+    got = sorted(map(tuple, suggest.by_search(df, compat=True).collect()))
+    assert got == [(1, 1, "a"), (1, 1, "b"), (1, 3, "a"), (1, 3, "c"), (1, 3, "d"), (1, 3, "e")]
+    assert sorted(map(tuple, suggest.by_search(df).collect())) == [(1, 1, "a"), (1, 1, "b"), (1, 3, "c"), (1, 3, "d"), (1, 3, "e"), (1, 4, "f")]
+
+
+def test_running_count_over_partitions(spark):
+    rows = spark.range(1000).select(F.floor(F.col("id") / 7).alias("batch"), "id")
+    got = {r.batch: r.d for r in D.running_count(rows).collect()}
+    assert got == {b: min(1000, 7 * (b + 1)) for b in range(143)}
+
+
+def test_work_dir_needs_a_shared_folder(spark):
+    from nearlabel import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(ValueError):
+        session.work_dir(Session())
