@@ -31,7 +31,39 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit,
 FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: kind, text or its lower case, pattern in the database's dialect, group, least length.
+_RULES = [
+    ("assign", _LOWER, r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "coalesce(text, '')", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "coalesce(text, '')", "[0-9a-f]+", 0, 32),
+    ("private_key", "coalesce(text, '')", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 0, 0),
+    ("git_token", "coalesce(text, '')", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_token", "coalesce(text, '')", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("web_token", "coalesce(text, '')", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+]
+
+
+def _matches(order: int, kind: str, text: str, pattern: str, group: int, least: int) -> str:
+    return (
+        f"SELECT doc_id, '{kind}' AS kind, {order} AS o, {least} AS least, regexp_extract_all({text}, '{pattern}') AS m, "
+        f"regexp_extract_all({text}, '{pattern}', {group}) AS v, string_split_regex({text}, '{pattern}') AS g FROM documents"
+    )
+
+
+#: A match begins after all gaps and matches before it.
+SECRETS = f"""
+WITH m AS ({" UNION ALL ".join(_matches(k, *r) for k, r in enumerate(_RULES))}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, o, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS a
+    FROM i WHERE length(v[i]) >= least),
+c AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN c USING (doc_id)
+"""
+
 ORACLES = {
+    "op7_secrets": SECRETS,
     "op4_perspectives": perspectives.ORACLE,
     "op6_fragment_join": NEAR_DUPLICATES,
     "op8_decontaminate": CONTAMINATION,

@@ -47,9 +47,9 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 0, 32),
 )
-#: private_key: with its body and last line where they follow, else the first line alone.
+#: private_key: with its body (no five dashes) and last line where they follow, else the first line alone.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]++|-{1,4}(?!-))*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
