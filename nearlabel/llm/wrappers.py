@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from nearlabel.operators.graph import Scratch
 
-#: Streams aligned in one group; longest repeated group in tokens; hosts whose wrappers are broadcast; tokens of streams
-#: whose folding a task remembers.
-GROUP, LONGEST, HOSTS, KNOWN = 256, 24, 20_000, 300_000
+#: Streams aligned in one group; longest repeated group in tokens; hosts whose wrappers are broadcast, and bytes of these;
+#: tokens of streams whose folding a task remembers.
+GROUP, LONGEST, HOSTS, HOST_BYTES, KNOWN = 256, 24, 20_000, 64 << 20, 300_000
 #: Tags within a line, tags without content, tags whose content is no text, tags that end implicitly.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -449,9 +449,9 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     """
     spark = pages.sparkSession
     wrappers = host_wrappers(pages, url, page)
-    few = wrappers.limit(HOSTS + 1).collect()
-    if len(few) <= HOSTS:
-        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in few})
+    size = wrappers.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("wrapper")).alias("bytes")).first()
+    if size.n <= HOSTS and (size.bytes or 0) <= HOST_BYTES:
+        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.select("host", "wrapper").collect()})
 
         @F.arrow_udf("string")
         def texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

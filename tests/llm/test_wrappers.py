@@ -86,3 +86,13 @@ def test_containers_lose_no_article():
         "<svg/><p>text</p><svg><title>no</title></svg>",
     ]
     assert [wrappers.extract(p) for p in keep] == ["text"] * len(keep)
+
+
+def test_template_without_names(spark):
+    """Menus and remarks that no tag or name tells apart from the article go, because they are the same on all pages; a
+    host's wrapper decides that, and a page alone keeps them."""
+    rows = [(f"http://h.example/{i}", f'<div class="hd">Site menu</div><div class="b"><h1>Title {i}</h1><p>Text {i}.</div><div class="rr">Reader says hi</div>') for i in range(30)]
+    df = spark.createDataFrame([*rows, ("http://one.example/", rows[0][1])], "url string, html string")
+    got = {r.url: r.main_text for r in wrappers.main_text(df).collect()}
+    assert all(got[f"http://h.example/{i}"] == f"Title {i}\nText {i}." for i in range(30))
+    assert got["http://one.example/"] == "Site menu\nTitle 0\nText 0.\nReader says hi"
