@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from nearlabel.operators.graph import Scratch
 
 #: Most labelled examples of a class and bytes of their texts (expected), neighbours that vote, entries in a block.
-SAMPLE, SAMPLE_BYTES, NEIGHBOURS, BLOCK = 4000, 32 << 20, 15, 32
+SAMPLE, SAMPLE_BYTES, NEIGHBOURS, BLOCK = 2000, 32 << 20, 15, 32
 #: Lengths of word beginnings; weight of the prior in a vote; fewest toxic examples with an enriched term; its factor.
 BEGINNINGS, PRIOR, LEAST, BOOST = (4, 5, 6, 7), 0.25, 4, 3.0
 #: Blocks that are scored first; up to which share of the blocks the rest is scored by blocks; a term in at least one of
 #: so many entries is common; slack of single-precision sums; results that a task keeps.
-FIRST, SHARE, COMMON, SLACK, KNOWN = 4, 0.3, 6, 1e-5, 5000
+FIRST, SHARE, COMMON, SLACK, KNOWN = 4, 0.3, 5, 1e-5, 5000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -59,14 +59,12 @@ class Terms:
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms, rising, and how often they occur."""
         words, heads, n = self.words, self.heads, BEGINNINGS[0]
-        out: dict[int, int] = {}
-        for word, times in Counter(_WORDS((text or "").lower())).items():
-            if (k := words.get(word)) is not None:
-                out[k] = times
-            if word[:n] in heads:
-                for t in terms_of(word)[1:]:
-                    if (k := self.begins.get(t)) is not None:
-                        out[k] = out.get(k, 0) + times
+        found = Counter(_WORDS((text or "").lower()))
+        out = {words[w]: found[w] for w in found.keys() & words.keys()}
+        for word in [w for w in found if w[:n] in heads]:
+            for t in terms_of(word)[1:]:
+                if (k := self.begins.get(t)) is not None:
+                    out[k] = out.get(k, 0) + found[word]
         ids, counts = np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
         order = np.argsort(ids)
         return ids[order], counts[order]
