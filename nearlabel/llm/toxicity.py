@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,13 @@ BEGINNINGS, PRIOR, LEAST, BOOST = (4, 5, 6, 7), 0.25, 4, 3.0
 #: so many entries is common; slack of single-precision sums; results that a task keeps.
 FIRST, SHARE, COMMON, SLACK, KNOWN = 4, 0.3, 5, 1e-5, 5000
 
-_WORDS = re.compile(r"\w+").findall
+#: Characters of texts that are counted together.
+BATCH = 2 << 20
+
+
+def words_of(texts: list[str | None]) -> pa.Array:
+    """Lists of the texts' words, in lower case: runs of letters, digits and underscores; empty strings are none."""
+    return pc.split_pattern_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), r"[^\pL\pN_]+")
 
 
 def terms_of(word: str) -> list[str]:
@@ -51,23 +56,42 @@ class Terms:
     """Numbers of terms; finds a text's ones without looking at each word's every beginning."""
 
     def __init__(self, names: list[str]):
-        self.size = len(names)
+        self.size = max(1, len(names))
         self.words = {t[:-1]: k for k, t in enumerate(names) if t.endswith(" ")}
         self.begins = {t: k for k, t in enumerate(names) if not t.endswith(" ")}
         self.heads = {t[: BEGINNINGS[0]] for t in self.begins}
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The text's terms, rising, and how often they occur."""
-        words, heads, n = self.words, self.heads, BEGINNINGS[0]
-        found = Counter(_WORDS((text or "").lower()))
-        out = {words[w]: found[w] for w in found.keys() & words.keys()}
-        for word in [w for w in found if w[:n] in heads]:
-            for t in terms_of(word)[1:]:
-                if (k := self.begins.get(t)) is not None:
-                    out[k] = out.get(k, 0) + found[word]
-        ids, counts = np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
-        order = np.argsort(ids)
-        return ids[order], counts[order]
+    def count(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms, rising, and how often they occur. Distinct words of several texts are looked up once."""
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and size < BATCH:
+                part.append(texts[at])
+                size += len(part[-1] or "")
+                at += 1
+            yield from self._counted(words_of(part))
+
+    def _counted(self, found: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        coded = found.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = coded.indices.to_numpy()
+        doc = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy())
+        get, n = self.words.get, BEGINNINGS[0]
+        number = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        docs, terms = [doc], [number[which]]
+        headed = [k for k, w in enumerate(words) if w[:n] in self.heads]
+        for length in BEGINNINGS if headed else ():
+            number = np.full(len(words), -1, np.int64)
+            number[headed] = [self.begins.get(words[k][:length], -1) if len(words[k]) >= length else -1 for k in headed]
+            own = np.flatnonzero(number[which] >= 0)
+            docs.append(doc[own]), terms.append(number[which[own]])
+        doc, term = np.concatenate(docs), np.concatenate(terms)
+        pairs, counts = np.unique((doc * self.size + term)[term >= 0], return_counts=True)
+        ids, counts = (pairs % self.size).astype(np.int32), counts.astype(np.int32)
+        ends = np.searchsorted(pairs, np.arange(1, len(found) + 1) * self.size)
+        for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield ids[a:z], counts[a:z]
 
 
 def _spread(begin: np.ndarray, take: np.ndarray) -> np.ndarray:
@@ -211,9 +235,9 @@ class Model:
         weight = cosines**2 / (1.05 - np.minimum(cosines, 1)) * np.log2(1 + n)
         return float(((weight * share).sum() + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
-    def left_out(self, text: str | None, label: int) -> float | None:
+    def left_out(self, ids: np.ndarray, counts: np.ndarray, label: int) -> float | None:
         """The vote on an example by all others; None without terms."""
-        ids, weights = self.vector(*self.terms.count(text))
+        ids, weights = self.vector(ids, counts)
         return self.vote(*self.index.nearest(ids, weights, NEIGHBOURS + 1), less=(self.place[_mark(ids, weights)], label)) if len(ids) else None
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
@@ -237,22 +261,22 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, float]]]:
-        ids, counts = self.model.terms.count(text)
-        mark = _mark(ids, counts)
-        if mark not in self.known:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self.known[mark] = self.model.of_counts(ids, counts)
-        return self.known[mark]
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, float, float]]]]:
+        for ids, counts in self.model.terms.count(texts):
+            mark = _mark(ids, counts)
+            if mark not in self.known:
+                if len(self.known) > KNOWN:
+                    self.known.clear()
+                self.known[mark] = self.model.of_counts(ids, counts)
+            yield self.known[mark]
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, toxic and other examples that hold it, summed up by task."""
     counts: dict[str, list[int]] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for term in {t for w in set(_WORDS((text or "").lower())) for t in terms_of(w)}:
+        for words, toxic in zip(words_of(batch.column(0).to_pylist()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for term in {t for w in set(words) - {""} for t in terms_of(w)}:
                 counts.setdefault(term, [0, 0])[1 - toxic] += 1
         if len(counts) > 300_000:
             yield _counted(counts)
@@ -279,10 +303,10 @@ def _frequencies(shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, n = Terms(shared.value), 0
-        total = np.zeros(terms.size + 1, np.int64)
+        total = np.zeros(terms.size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[terms.count(text)[0]] += 1
+            for ids, _ in terms.count(batch.column(0).to_pylist()):
+                total[ids] += 1
                 n += 1
         yield _chunks(total, n)
 
@@ -344,7 +368,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     @F.arrow_udf("struct<t: binary, n: binary>")
     def counted(texts: pa.Array) -> pa.Array:
         terms = Terms(shared.value)
-        pairs = [terms.count(x) for x in texts.to_pylist()]
+        pairs = list(terms.count(texts.to_pylist()))
         return pa.StructArray.from_arrays([pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1)], ["t", "n"])
 
     rows = sample.select("k", "y", counted("text").alias("v")).select("k", "y", "v.t", "v.n").toArrow()
@@ -356,7 +380,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     @F.arrow_udf("double")
     def left_out(texts: pa.Array, labels: pa.Array) -> pa.Array:
-        return pa.array([raw.value.left_out(t, y) for t, y in zip(texts.to_pylist(), labels.to_pylist(), strict=True)], pa.float64())
+        counted = raw.value.terms.count(texts.to_pylist())
+        return pa.array([raw.value.left_out(*t, y) for t, y in zip(counted, labels.to_pylist(), strict=True)], pa.float64())
 
     spread = sample.repartition(n, F.xxhash64("k", "text"))
     votes = spread.select("y", left_out("text", "y").alias("vote")).filter("vote IS NOT NULL").orderBy("vote", "y").toPandas()
@@ -376,8 +401,7 @@ def score(text: Column, model: Model, documents: DataFrame) -> Column:
         scorer = Scorer(shared.value)
         for texts in batches:
             out = []
-            for t in texts.to_pylist():
-                value, near = scorer.score(t)
+            for value, near in scorer.score(texts.to_pylist()):
                 out.append({"score": value, "evidence": [{"doc_id": d, "cosine": c, "toxic_share": s} for d, c, s in near]})
             yield pa.array(out, kind)
 

@@ -24,8 +24,8 @@ def test_every_stage_against_brute_force(spark):
     frames["end"] = docs
     texts = {k: {r.doc_id: r.text for r in frames[k].collect()} for k in list(frames)[:-1]}
     model = toxicity.fit(frames["toxicity"].select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").filter(~queries.held_out("doc_id")))
-    scorer = toxicity.Scorer(model)
-    assert set(texts["near duplicates"]) == {d for d, t in texts["toxicity"].items() if scorer.score(t)[0] < 0.7}
+    scored = toxicity.Scorer(model).score(list(texts["toxicity"].values()))
+    assert set(texts["near duplicates"]) == {d for d, (score, _) in zip(texts["toxicity"], scored, strict=True) if score < 0.7}
     one = groups(list(texts["near duplicates"].items()), 5, 80, 100)
     assert set(texts["benchmark passages"]) == {d for d, (_, c) in one.items() if c == d} != set(texts["near duplicates"])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
