@@ -1 +1,13 @@
 """Operators for training-data pipelines. Nothing outside this folder imports them."""
+
+import ctypes
+
+import pyarrow as pa
+
+# A worker lives as long as its executor and runs every operator: buffers of a megabyte or more go back to the machine
+# when they are free, instead of staying with the worker. (-3 is glibc's M_MMAP_THRESHOLD; other libraries lack it.)
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (AttributeError, OSError, TypeError):
+    pass

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ FRAGMENTS, BITS, BLOCK, WEIGHT, COLUMNS = 8, 1 << 26, 1024, 1 << 20, 2048
 SLOTS, CHUNKS, SALTS = 1 << 22, 16, 16
 #: Fewest bits of a mark; members of a bucket up to which they are compared one by one.
 MARK, FEW = 256, 64
-#: Bytes hashed at once; classes that a task remembers to have put out.
-PART_BYTES, SEEN = 1 << 20, 200_000
+#: Bytes and rows hashed at once; classes that a task remembers to have put out.
+PART_BYTES, ROWS, SEEN = 1 << 20, 1024, 200_000
 
 _U = np.uint64
 #: The hash function: odd multipliers and a table of a number for each byte, drawn once from a fixed seed.
@@ -176,9 +177,15 @@ _SETS = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (with a column ``text``) in slices of at most ROWS rows and about PART_BYTES bytes of text, or one row."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            yield batch.slice(lo, 1024)
+        upto = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(upto, upto[lo] + PART_BYTES, side="right")) - 1
+            hi = min(max(hi, lo + 1), lo + ROWS, batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:

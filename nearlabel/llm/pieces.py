@@ -21,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back to the machine when they are free
 
 #: Bytes of text that are worked on at once, and entries of the memo; both bound a worker's memory.
 BATCH_BYTES = 4 << 20
