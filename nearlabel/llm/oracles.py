@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearlabel.llm import perspectives, voronoi_knn
+from nearlabel.llm import perspectives, quality_rules, rolling_median, vector_codes, voronoi_knn
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -68,4 +68,7 @@ ORACLES = {
     "op6_fragment_join": NEAR_DUPLICATES,
     "op8_decontaminate": CONTAMINATION,
     "op10_voronoi_knn": voronoi_knn.ORACLE,
+    "op11_quality_cascade": quality_rules.ORACLE,
+    "op12_vector_codes": vector_codes.oracle(),
+    "op13_rolling_median": rolling_median.ORACLE,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.llm import decontaminate, fragment_join, oracles, packing, perspectives, rans, secrets, token_counts, toxicity, voronoi_knn, wrappers
+from nearlabel.llm import decontaminate, fragment_join, oracles, packing, perspectives, quality_rules, rans, rolling_median, secrets, token_counts, toxicity, vector_codes, voronoi_knn, wrappers
 from nearlabel.llm.pieces import vocabulary
 from nearlabel.session import table, work_dir
 
@@ -78,6 +78,19 @@ def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.knn_join(embeddings, embeddings.filter(F.col("vec_id") % 50 == 0), work=fresh_dir(spark, "knn"))
 
 
+def op11_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.judged(table(spark, sf_dir, "documents"), counts).select("doc_id", *counts, "base_failed", "kept")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -90,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_token_counts": op9_token_counts,
         "op10_voronoi_knn": op10_voronoi_knn,
+        "op11_quality_cascade": op11_quality_cascade,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_rolling_median": op13_rolling_median,
     }
 
 
