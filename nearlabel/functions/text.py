@@ -130,3 +130,23 @@ def encoded_query(c: Column) -> Column:
 
 def split_labels(c: Column) -> Column:
     return F.filter(F.split(c, r"[,\s]+"), lambda x: x != "")
+
+
+# The search engine's English stop words.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+
+
+def tight_terms(text: Column) -> Column:
+    """The search engine's tight English chain of a text field, for searches in which parts of a word must not be found
+    alone: words between white space, no stop words, no possessive, parts that punctuation or capitals part joined again
+    (letters with letters, digits with digits), lower case, plurals to singulars. Terms stay in order; a term that equals
+    another at its own position can't arise, as parts are not kept beside what they are joined to."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x0B]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    parts = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(F.regexp_replace(F.regexp_replace(w, "['’]s$", ""), r"[^\p{L}\p{N}]", ""), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))))
+    return F.transform(parts, singular)
+
+
+def singular(w: Column) -> Column:
+    """A lower-case English word without its plural's s: "-ies" becomes "-y", "-us", "-ss", "-oes" and alike stay."""
+    same = (F.length(w) < 3) | ~w.endswith("s") | w.endswith("us") | w.endswith("ss")
+    return F.when(same, w).when(w.rlike("[^ae]ies$"), F.concat(w.substr(F.lit(1), F.length(w) - 3), F.lit("y"))).when(w.rlike("[iaoe]es$"), w).otherwise(w.substr(F.lit(1), F.length(w) - 1))

@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Positions whose signs are broadcast; beyond it they are joined.
+BROADCAST_DIMS = 100_000
+
 
 @dataclass(frozen=True)
 class Params:
@@ -39,17 +42,42 @@ def planes(spark: SparkSession, dims: int, p: Params) -> DataFrame:
     return bits.select("tbl", "bit", "dim", F.when(F.substr("h", F.col("bit") + 1, F.lit(1)) < "8", 1).otherwise(-1).alias("w"))
 
 
-def signatures(vectors: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
-    """(doc_id, tbl, bucket) of sparse vectors (doc_id, pos, q) with integer weights q. A bit is set iff its dot product
-    is at least 0, so documents without weights have no rows.
+def masks(positions: DataFrame, p: Params) -> DataFrame:
+    """(pos, masks): for every position and table an integer whose bit b is set where plane b has +1."""
+    signs = lambda h: F.translate(h, "0123456789abcdef", "1" * 8 + "0" * 8)
+    mask = lambda t: F.conv(F.reverse(F.substr(signs(plane_bits(t, F.col("pos"), p.seed)), F.lit(1), F.lit(p.bits))), 2, 10).cast("int")
+    return positions.select("pos").distinct().select("pos", F.transform(F.sequence(F.lit(0), F.lit(p.tables - 1)), mask).alias("masks"))
+
+
+def bit_sums(vectors: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, tbl, s0, s1, ...): the dot products of sparse vectors (doc_id, pos, q), integer weights q, with all planes.
 
-    One row a (document, dimension, table) meets one md5; all bits of a table are conditional sums of one aggregation,
-    which is combined before its shuffle.
+    A position's signs are made once and joined, broadcast while there are few positions. Rows are brought together by
+    document before they meet the tables, so what is shuffled is the vectors alone; all bits of a table are sums of one
+    aggregation where the rows lie.
     """
-    rows = vectors.select(doc, "pos", "q", F.explode(F.sequence(F.lit(0), F.lit(p.tables - 1))).alias("tbl")).withColumn("h", plane_bits(F.col("tbl"), F.col("pos"), p.seed))
-    sums = [F.sum(F.when(F.substr("h", F.lit(b + 1), F.lit(1)) < "8", F.col("q")).otherwise(-F.col("q"))).alias(f"s{b}") for b in range(p.bits)]
+    dims = masks(vectors, p)
+    few = vectors.select("pos").distinct().limit(BROADCAST_DIMS + 1).count() <= BROADCAST_DIMS
+    rows = vectors.repartition(doc).join(F.broadcast(dims), "pos") if few else vectors.join(dims, "pos").repartition(doc)
+    rows = rows.select(doc, "q", F.posexplode("masks").alias("tbl", "mask"))
+    return rows.groupBy(doc, "tbl").agg(*[F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << b)) != 0, F.col("q")).otherwise(-F.col("q"))).alias(f"s{b}") for b in range(p.bits)])
+
+
+def grown(sums: DataFrame, more: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
+    """Dot products after vectors got further dimensions: those of the new dimensions alone are added."""
+    return sums.unionByName(more).groupBy(doc, "tbl").agg(*[F.sum(f"s{b}").alias(f"s{b}") for b in range(p.bits)])
+
+
+def bucket_of(sums: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, tbl, bucket): a bit is set iff its dot product is at least 0."""
     total = sum((F.when(F.col(f"s{b}") >= 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(p.bits)), F.lit(0))
-    return rows.groupBy(doc, "tbl").agg(*sums).select(doc, "tbl", total.cast("int").alias("bucket"))
+    return sums.select(doc, "tbl", total.cast("int").alias("bucket"))
+
+
+def signatures(vectors: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, tbl, bucket) of sparse vectors (doc_id, pos, q) with integer weights q; documents without weights have no
+    rows."""
+    return bucket_of(bit_sums(vectors, p, doc), p, doc)
 
 
 def kept(sigs: DataFrame, p: Params, order: str = "doc_id") -> DataFrame:
@@ -103,13 +131,3 @@ def _norms(queries: DataFrame) -> DataFrame:
 def _rounded() -> Column:
     """Cosines are rounded before they are ranked: sums of other orders give the same ranks."""
     return F.round(F.try_divide("dot", F.col("qn") * F.col("dn")), 6).alias("cos_sim")
-
-
-def more_like_this(queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
-    """Exact search: the n documents of largest cosine for each query. One join by position, the inverted index, gives
-    all dot products, combined before they are shuffled."""
-    q = queries.select("query_id", "pos", F.col("w").alias("qw"))
-    dot = docs.join(q, "pos").groupBy("query_id", F.col("doc_id").alias("cand_id")).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    dn = docs.groupBy(F.col("doc_id").alias("cand_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    sims = dot.join(dn, "cand_id").join(_norms(queries), "query_id").select("query_id", "cand_id", _rounded())
-    return top_n(sims, n, "cos_sim").select("query_id", "rank", "cand_id", "cos_sim")

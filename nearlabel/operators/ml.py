@@ -30,10 +30,6 @@ STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "ici
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
 
 
-# The search engine's English stop words.
-STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-
-
 def _region(word: str, start: int) -> int:
     """Where the part after the first consonant that follows a vowel begins, from ``start`` on."""
     m = re.compile(f"[{VOWELS}][^{VOWELS}]").search(word, start)
@@ -122,7 +118,7 @@ def search_terms(text: Column) -> Column:
     """The search engine's English chain for a text field: split at what is no letter, digit or inner apostrophe, lower
     case, no stop words, possessives and stems; repeats stay in order. Words of letters and digits are not split further."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"), F.lit(1))
-    kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: ~w.isin(*STOP_WORDS))
+    kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: ~w.isin(*T.STOP_WORDS))
     return stems(kept)
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from nearlabel.functions import text as T
 from nearlabel.functions import vectors as V
 from nearlabel.operators import dictionary as D
-from nearlabel.operators import graph, lsh, ml, suggest
-from nearlabel.operators.graph import cut
+from nearlabel.operators import graph, lsh, ml, postings, suggest
+from nearlabel.operators.graph import Scratch, cut
 from nearlabel.session import table, work_dir
 from nearlabel.sources import io
-from nearlabel.streaming import jobs
+from nearlabel.streaming import jobs, standing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,6 +194,19 @@ def plain_words(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.plain_words(F.col("text")).alias("words"))
 
 
+S_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+S_TIGHT = (
+    rf"list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x0B]+'), lambda w: w <> '' AND w NOT IN ({S_STOPS}))",
+    r"regexp_extract_all(regexp_replace(regexp_replace(w, '[''’]s$', ''), '[^\p{L}\p{N}]', '', 'g'), '\p{L}+|\p{N}+')",
+    "CASE WHEN length(t) < 3 OR t NOT LIKE '%s' OR t LIKE '%us' OR t LIKE '%ss' THEN t WHEN length(t) > 3 AND regexp_matches(t, '[^ae]ies$') THEN left(t, -3) || 'y' WHEN regexp_matches(t, '[iaoe]es$') THEN t ELSE left(t, -1) END",
+)
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(flatten(list_transform({S_TIGHT[0]}, lambda w: {S_TIGHT[1]})), lambda t: {S_TIGHT[2]}), ' ') AS terms FROM documents")
+def tight_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.tight_terms(F.col("text")), " ").alias("terms"))
+
+
 # Statistics.
 
 
@@ -338,6 +351,19 @@ def first_seen_positions(spark, sf_dir):
     return D.first_seen(_batched(spark, sf_dir), "doc_id")
 
 
+@query(
+    f"WITH t AS (SELECT doc_id, doc_id // 40 AS batch, token, count(*) AS tf FROM {S_DOC_TOKENS} GROUP BY ALL), "
+    "d AS (SELECT doc_id // 40 AS batch, sum(count(*)) OVER (ORDER BY doc_id // 40) AS d FROM documents GROUP BY doc_id // 40), "
+    "f AS (SELECT token, batch, sum(count(*)) OVER (PARTITION BY token ORDER BY batch) AS df FROM t GROUP BY token, batch), "
+    "p AS (SELECT token, row_number() OVER (ORDER BY first, token) - 1 AS pos, first FROM (SELECT token, min(doc_id) AS first FROM t GROUP BY token)), "
+    "w AS (SELECT doc_id, pos, tf * log10(d) / (df + 1) AS w, first = doc_id AS new FROM t JOIN d USING (batch) JOIN f USING (token, batch) JOIN p USING (token)) "
+    "SELECT doc_id, pos, round(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0), 6) AS w, CAST(sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id) AS BIGINT) AS new_words FROM w"
+)
+def online_vectors(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 40).alias("batch"), T.words(F.col("text")).alias("tokens"))
+    return D.online_vectors(d).withColumn("w", F.round("w", 6)).select("doc_id", "pos", "w", "new_words")
+
+
 # Hashing and buckets, over the embeddings.
 
 
@@ -350,16 +376,16 @@ def _sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.signatures(_rows(spark, sf_dir), SIZES)
 
 
-def _s_sigs(p: lsh.Params) -> str:
+def _s_sigs(p: lsh.Params, where: str = "true") -> str:
     total = " + ".join(f"CASE WHEN sum(CASE WHEN substr(h, {b + 1}, 1) < '8' THEN q ELSE -q END) >= 0 THEN {1 << b} ELSE 0 END" for b in range(p.bits))
     rows = "SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS pos, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000000) AS BIGINT) AS q FROM embeddings"
-    return f"(SELECT doc_id, tbl, CAST({total} AS INTEGER) AS bucket FROM (SELECT doc_id, q, CAST(t AS INTEGER) AS tbl, md5(t || ':' || pos || ':{p.seed}') AS h FROM ({rows}), range({p.tables}) r(t)) GROUP BY doc_id, tbl)"
+    return f"(SELECT doc_id, tbl, CAST({total} AS INTEGER) AS bucket FROM (SELECT doc_id, q, CAST(t AS INTEGER) AS tbl, md5(t || ':' || pos || ':{p.seed}') AS h FROM ({rows}), range({p.tables}) r(t) WHERE {where}) GROUP BY doc_id, tbl)"
 
 
 S_SIGS = _s_sigs(SIZES)
 S_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY tbl, bucket ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY tbl, bucket) AS cnt FROM {S_SIGS})"
 S_KEPT = f"(SELECT doc_id, tbl, bucket FROM {S_NUMBERED} WHERE cnt - rn < {SIZES.capacity})"
-S_CANDS = f"(SELECT q.doc_id AS query_id, c.doc_id AS cand_id, q.tbl FROM {S_SIGS} q JOIN {S_KEPT} c USING (tbl, bucket) WHERE q.doc_id % 5 = 0)"
+S_CANDS = f"(SELECT q.doc_id AS query_id, c.doc_id AS cand_id, q.tbl FROM {S_SIGS} q JOIN {S_KEPT} c USING (tbl, bucket))"
 
 
 @query(
@@ -374,6 +400,25 @@ def lsh_signature(spark, sf_dir):
     return _sigs(spark, sf_dir)
 
 
+GROWTH = 16
+
+
+@query(
+    "SELECT stage, doc_id, tbl, bucket FROM ("
+    + " UNION ALL ".join(f"SELECT {k} AS stage, doc_id, tbl, bucket FROM {_s_sigs(SIZES, f'pos < {(k + 1) * GROWTH}')}" for k in range(4))
+    + ")"
+)
+def lsh_growth(spark, sf_dir):
+    """Signatures while vectors gain dimensions, a quarter at a time: dot products are kept, the new dimensions added."""
+    scratch, rows, sums, out = Scratch(spark, "growth"), _rows(spark, sf_dir), None, None
+    for k in range(4):
+        more = lsh.bit_sums(rows.filter(F.floor(F.col("pos") / GROWTH) == k), SIZES)
+        before, sums = sums, scratch.cut(more if sums is None else lsh.grown(sums, more, SIZES), "sums")
+        stage = lsh.bucket_of(sums, SIZES).select(F.lit(k).alias("stage"), "doc_id", "tbl", "bucket")
+        out = stage if out is None else out.union(stage)
+    return out
+
+
 @query(f"SELECT doc_id, tbl, bucket FROM {S_KEPT}")
 def bucket_fifo(spark, sf_dir):
     return lsh.kept(_sigs(spark, sf_dir), SIZES).select("doc_id", "tbl", "bucket")
@@ -389,7 +434,7 @@ def bucket_query_then_insert(spark, sf_dir):
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _sigs(spark, sf_dir)
-    return lsh.query_only(sigs.filter(F.col("doc_id") % 5 == 0).withColumnRenamed("doc_id", "query_id"), sigs, SIZES)
+    return lsh.query_only(sigs.withColumnRenamed("doc_id", "query_id"), sigs, SIZES)
 
 
 @query(f"SELECT query_id, cand_id, tbl FROM {S_CANDS}")
@@ -477,8 +522,7 @@ def more_like_this(spark, sf_dir):
     tf = cut(D.term_freq(d, F.col("tokens")), "tf")
     entries = cut(D.of_terms(tf, d), "dictionary")
     q = D.tfidf(D.term_freq(items, F.col("tokens")), entries).withColumnRenamed("doc_id", "query_id")
-    dv = D.tfidf(tf, entries)
-    return lsh.more_like_this(q, dv, 10)
+    return postings.more_like_this(q, cut(D.tfidf(tf, entries), "vectors"), 10)
 
 
 # Graph.
@@ -544,6 +588,17 @@ def inverted_index(spark, sf_dir):
     return io.inverted_index(D.exploded(docs(spark, sf_dir), T.words(F.col("text"))))
 
 
+@query("SELECT token, doc_id, count(*) AS tf FROM " + S_DOC_TOKENS + " GROUP BY ALL")
+def index_segments(spark, sf_dir):
+    """The inverted index as a table of coded blocks: three appends, a merge, and every posting looked up."""
+    index = postings.Index(spark, f"{work_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    tf = cut(D.term_freq(docs(spark, sf_dir), T.words(F.col("text"))), "tf")
+    for k in range(3):
+        index.append(tf.filter(F.pmod("doc_id", F.lit(3)) == k))
+    index.merge()
+    return index.lookup()
+
+
 @query("SELECT doc_id, lang || ',' || source AS labels FROM documents")
 def export_json_lines(spark, sf_dir):
     lines = io.export_lines(docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("labels")))
@@ -581,18 +636,22 @@ def _streamed(spark: SparkSession, frame: DataFrame, name: str, mode: str) -> Da
     return jobs.run_available(frame, f"{unique}/rows", f"{unique}/checkpoint", mode)
 
 
+#: Micro-batches of the streams that depend on order.
+BATCHES = 5
+
+
 @query(S_BEFORE)
 def stream_fifo(spark, sf_dir):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        path = f"{work_dir(spark).rstrip('/')}/sigs-{uuid.uuid4().hex}"
-        _sigs(spark, sf_dir).coalesce(1).write.parquet(path)
-        sigs = spark.readStream.schema("doc_id bigint, tbl int, bucket int").parquet(path)
-        return _streamed(spark, jobs.bucket_candidates(sigs, SIZES), "fifo", "append")
-    finally:
-        spark.conf.set(name, before)
+    """Arrivals in five ordered micro-batches; each asks its buckets and then goes into them."""
+    unique = f"{work_dir(spark).rstrip('/')}/fifo-{uuid.uuid4().hex}"
+    sigs = cut(_sigs(spark, sf_dir), "sigs")
+    last = sigs.agg(F.max("doc_id").alias("x")).first().x or 0
+    rows = sigs.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.lit(True).alias("inserts"), F.lit(True).alias("asks"), "tbl", "bucket")
+    for k in range(BATCHES):
+        rows.filter(F.floor(F.col("id") * BATCHES / (last + 1)) == k).write.mode("append").parquet(f"{unique}/arrivals")
+        with standing.state_store(spark):
+            found = jobs.run_available(standing.candidates(spark.readStream.schema(standing.ARRIVALS).parquet(f"{unique}/arrivals"), SIZES), f"{unique}/rows", f"{unique}/checkpoint")
+    return found.withColumnsRenamed({"query_id": "doc_id"})
 
 
 @query(_sets(1))
@@ -673,6 +732,54 @@ def request_path(spark, sf_dir):
     return flagship(spark, sf_dir, SIZES)
 
 
+S_STANDING = S_REQUEST.split("kept AS (")[0] + (
+    "met AS (SELECT qs.id AS query_id, ds.id AS cand_id, ds.tbl FROM qs JOIN ds ON qs.tbl = ds.tbl AND qs.bucket = ds.bucket AND ds.id % {batches} <= qs.id % {batches} "
+    "QUALIFY row_number() OVER (PARTITION BY qs.id, qs.tbl ORDER BY ds.id % {batches} DESC, ds.id DESC) <= {capacity}), "
+    "n AS (SELECT query_id, cand_id, count(*) AS n FROM met GROUP BY ALL), "
+    "near AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cand_id) <= {candidates}), "
+    "dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY query_id), "
+    "sims AS (SELECT near.query_id, cand_id, any_value(near.n) AS n, round(sum(qv.w * dv.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS cos_sim FROM near JOIN qv USING (query_id) JOIN dv ON dv.doc_id = cand_id AND dv.pos = qv.pos JOIN dn ON dn.doc_id = cand_id JOIN qn USING (query_id) GROUP BY near.query_id, cand_id) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos_sim DESC, cand_id) AS INTEGER) AS rank, cand_id, n, cos_sim FROM sims WHERE cos_sim > 0 QUALIFY rank <= {results}"
+)
+
+
+@query(S_STANDING.format(ds=_s_signed("ds", "dv", "doc_id"), qs=_s_signed("qs", "qv", "query_id"), capacity=SIZES.capacity, candidates=SIZES.top_candidates, results=SIZES.top_k, batches=BATCHES))
+def standing_requests(spark, sf_dir):
+    """Documents go into the standing index in five micro-batches; passages ask it in between, each after the documents of
+    its batch, and only what it holds then answers."""
+    index, inserted, asked = _standing(spark, sf_dir)
+    seq = F.pmod("doc_id", F.lit(BATCHES)) * (1 << 40)
+    for k in range(BATCHES):
+        index.insert(inserted.filter(F.pmod("doc_id", F.lit(BATCHES)) == k), seq + F.col("doc_id"))
+        index.ask(asked.filter(F.pmod("doc_id", F.lit(BATCHES)) == k), seq + F.lit((1 << 40) - 1))
+        index.advance()
+    return index.answers()
+
+
+def _standing(spark: SparkSession, sf_dir: str) -> tuple[standing.Standing, DataFrame, DataFrame]:
+    """An empty index, and vectors of documents and passages by the documents' dictionary."""
+    tokens = lambda df, key: D.term_freq(df.withColumnRenamed(key, "doc_id"), T.words(T.preprocess(F.col("text"))))
+    tf = cut(tokens(docs(spark, sf_dir), "doc_id"), "tf")
+    entries = cut(D.of_terms(tf, docs(spark, sf_dir).select("doc_id")), "dictionary")
+    asked = D.tfidf(tokens(table(spark, sf_dir, "benchmark"), "item_id"), entries)
+    return standing.Standing(spark, f"{work_dir(spark).rstrip('/')}/standing-{uuid.uuid4().hex}", SIZES), cut(D.tfidf(tf, entries), "vectors"), cut(asked, "asked")
+
+
+S_PROBE = S_REQUEST.split("n AS (SELECT qs.id")[0].rstrip(", ") + " SELECT qs.id AS query_id, kept.id AS cand_id, kept.tbl FROM qs JOIN kept USING (tbl, bucket)"
+
+
+@query(S_PROBE.format(ds=_s_signed("ds", "dv", "doc_id"), qs=_s_signed("qs", "qv", "query_id"), capacity=SIZES.capacity))
+def standing_probe(spark, sf_dir):
+    """The state of the buckets read as a table, and what it holds for the passages."""
+    index, inserted, asked = _standing(spark, sf_dir)
+    last = inserted.agg(F.max("doc_id").alias("x")).first().x or 0
+    for k in range(BATCHES):
+        index.insert(inserted.filter(F.floor(F.col("doc_id") * BATCHES / (last + 1)) == k), F.col("doc_id"))
+        index.advance()
+    micro = F.round(F.col("w") * 1_000_000).cast("bigint").alias("q")
+    return index.probe(lsh.signatures(asked.select("doc_id", "pos", micro), SIZES).withColumnRenamed("doc_id", "query_id"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,17 +1,14 @@
-"""Structured Streaming: bounded buckets, running statistics, dictionary growth, archive, upserts, supervised restart."""
+"""Structured Streaming: running statistics, dictionary growth, archive, upserts, supervised restart."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from nearlabel.operators.lsh import Params
 from nearlabel.sources import io
 
 
@@ -20,35 +17,6 @@ def source(spark: SparkSession, path: str, schema: str, fmt: str = "json", files
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
 
 
-class Bucket(StatefulProcessor):
-    """A bounded first-in-first-out queue a (tbl, bucket): each arrival gets what the queue held before it."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getListState("queue", "doc_id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = np.sort(pd.concat(list(rows))["doc_id"].to_numpy(np.int64))
-        held = np.array([r[0] for r in self.queue.get()] if self.queue.exists() else [], np.int64)
-        line = np.concatenate([held, arrived])
-        place = np.arange(len(held), len(line))
-        first = np.maximum(0, place - self.capacity)
-        times = place - first  # what each arrival met
-        at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        self.queue.put([(int(c),) for c in line[-self.capacity :]])
-        yield pd.DataFrame({"doc_id": np.repeat(arrived, times), "tbl": np.int32(key[0]), "cand_id": line[at]})
-
-    def close(self) -> None:
-        pass
-
-
-def bucket_candidates(sigs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, tbl, cand_id) of a stream of signatures (doc_id, tbl, bucket). Needs the RocksDB state store."""
-    return sigs.groupBy("tbl", "bucket").transformWithStateInPandas(Bucket(p.capacity), "doc_id long, tbl int, cand_id long", "Append", "None")
-
-
 def running_count(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count(F.lit(1)).alias("d"))
 
