@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.session import work_dir
+from nearlabel.session import remove, scratch_dir
 
 
 class Scratch:
-    """Frames cut into one new folder of the shared one, which goes when what needed them has been written."""
+    """Frames cut into one new folder of the shared one. Frames go by ``drop`` once nothing needs them; what a result still
+    reads goes with ``session.release`` or at the end of the driver."""
 
     def __init__(self, spark: SparkSession, name: str = "cut"):
-        self.spark, self.path = spark, f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, scratch_dir(spark, name)
         self.made: dict[int, tuple[DataFrame, str]] = {}
 
     def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
         """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
-        path = f"{self.path}/{name}-{len(self.made)}"
-        df.write.parquet(path)
+        return self.counted(df, name)[0]
+
+    def counted(self, df: DataFrame, name: str = "cut", **counts: Column) -> tuple[DataFrame, dict]:
+        """As ``cut``, with aggregates of the rows that are taken while they are written."""
+        path, seen = f"{self.path}/{name}-{len(self.made)}", Observation()
+        (df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.made[id(out)] = out, path
-        return out
+        return out, seen.get if counts else {}
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete some frames, or without any all of them."""
@@ -31,14 +34,8 @@ class Scratch:
             remove(self.spark, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store the path names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """One frame cut into a folder of its own, which stays as long as the shared one."""
+    """One frame cut into a folder of its own, which goes with ``session.release`` or at the end of the driver."""
     return Scratch(df.sparkSession, name).cut(df, name)
 
 
@@ -62,16 +59,15 @@ def first_labels(vertices: DataFrame) -> DataFrame:
 
 
 def min_label_directed(vertices: DataFrame) -> DataFrame:
-    """Fixpoint of messages along out-edges only: id, label. Only vertices whose label fell send again."""
-    scratch = Scratch(vertices.sparkSession, "min-label")
+    """Fixpoint of messages along out-edges only: id, label. Only vertices whose label fell send again; how many did is
+    counted while a round is written."""
+    scratch, fell = Scratch(vertices.sparkSession, "min-label"), F.count_if("activated")
     edges = scratch.cut(edges_of(vertices), "edges")
-    state = scratch.cut(first_labels(vertices), "labels")
-    while state.filter("activated").limit(1).count():
+    state, n = scratch.counted(first_labels(vertices), "labels", fell=fell)
+    while n["fell"]:
         sent = state.filter("activated").join(edges, state.id == edges.src).groupBy("dst").agg(F.min("label").alias("m"))
-        before, state = state, scratch.cut(
-            state.join(sent, state.id == sent.dst, "left").select("id", F.least("label", "m").alias("label"), F.coalesce(F.col("m") < F.col("label"), F.lit(False)).alias("activated")),
-            "labels",
-        )
+        after = state.join(sent, state.id == sent.dst, "left").select("id", F.least("label", "m").alias("label"), F.coalesce(F.col("m") < F.col("label"), F.lit(False)).alias("activated"))
+        before, (state, n) = state, scratch.counted(after, "labels", fell=fell)
         scratch.drop(before)
     return state.select("id", "label")
 
@@ -81,25 +77,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, so rounds grow with the logarithm of the longest path. A step is a
     minimum by key, which is combined before the shuffle, and a join, which may be split where a key is crowded: no
-    neighbourhood is ever collected. Self-loops count as vertices.
+    neighbourhood is ever collected. Whether a round changed anything is seen while it is written. Self-loops count as
+    vertices.
     """
     scratch = Scratch(edges.sparkSession, "components")
     edges = scratch.cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "edges")
     links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = scratch.cut(links, "links")
+    count = {"n": F.count(F.lit(1)), "mark": F.bit_xor(F.xxhash64("u", "v"))}
+    links, mark = scratch.counted(links, "links", **count)
     before = None
-    while True:
-        mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(mark) == before or not mark[0]:
-            break
-        before = tuple(mark)
+    while mark != before and mark["n"]:
+        before = mark
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, links = links, scratch.cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, (links, mark) = links, scratch.counted(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links", **count)
         scratch.drop(large, old)
     roots = links.select(F.col("u").alias("id"), F.col("v").alias("label"))
     alone = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti")

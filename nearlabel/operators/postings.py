@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlabel.operators.graph import remove
 from nearlabel.operators.lsh import top_n
+from nearlabel.session import remove
 
 #: Postings of a block.
 BLOCK = 128

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,9 +13,9 @@ from nearlabel.functions import vectors as V
 from nearlabel.operators import dictionary as D
 from nearlabel.operators import graph, lsh, ml, postings, suggest
 from nearlabel.operators.graph import Scratch, cut
-from nearlabel.session import table, work_dir
+from nearlabel.session import scratch_dir, table
 from nearlabel.sources import io
-from nearlabel.streaming import jobs, standing
+from nearlabel.streaming import expiry, jobs, queue, standing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -591,7 +590,7 @@ def inverted_index(spark, sf_dir):
 @query("SELECT token, doc_id, count(*) AS tf FROM " + S_DOC_TOKENS + " GROUP BY ALL")
 def index_segments(spark, sf_dir):
     """The inverted index as a table of coded blocks: three appends, a merge, and every posting looked up."""
-    index = postings.Index(spark, f"{work_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    index = postings.Index(spark, scratch_dir(spark, "index"))
     tf = cut(D.term_freq(docs(spark, sf_dir), T.words(F.col("text"))), "tf")
     for k in range(3):
         index.append(tf.filter(F.pmod("doc_id", F.lit(3)) == k))
@@ -632,7 +631,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, frame: DataFrame, name: str, mode: str) -> DataFrame:
-    unique = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    unique = scratch_dir(spark, name)
     return jobs.run_available(frame, f"{unique}/rows", f"{unique}/checkpoint", mode)
 
 
@@ -643,7 +642,7 @@ BATCHES = 5
 @query(S_BEFORE)
 def stream_fifo(spark, sf_dir):
     """Arrivals in five ordered micro-batches; each asks its buckets and then goes into them."""
-    unique = f"{work_dir(spark).rstrip('/')}/fifo-{uuid.uuid4().hex}"
+    unique = scratch_dir(spark, "fifo")
     sigs = cut(_sigs(spark, sf_dir), "sigs")
     last = sigs.agg(F.max("doc_id").alias("x")).first().x or 0
     rows = sigs.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.lit(True).alias("inserts"), F.lit(True).alias("asks"), "tbl", "bucket")
@@ -668,7 +667,7 @@ def stream_doc_count(spark, sf_dir):
 @query(f"SELECT token, row_number() OVER (ORDER BY first, token) - 1 AS position, first FROM (SELECT token, min(doc_id) AS first FROM {S_DOC_TOKENS} GROUP BY token)")
 def stream_positions(spark, sf_dir):
     """Dictionary growth by micro-batches: new tokens get the next positions."""
-    unique = f"{work_dir(spark).rstrip('/')}/positions-{uuid.uuid4().hex}"
+    unique = scratch_dir(spark, "positions")
     tokens = _stream(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("token"), F.col("doc_id").alias("seq"))
     started = lambda: tokens.writeStream.foreachBatch(jobs.merge_positions(f"{unique}/table")).option("checkpointLocation", f"{unique}/checkpoint").trigger(availableNow=True).start()
     jobs.supervised(started)
@@ -677,19 +676,42 @@ def stream_positions(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y%m%d_%H') AS dt_hour, count(*) AS n FROM events GROUP BY ALL")
 def stream_archive(spark, sf_dir):
-    unique = f"{work_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    unique = scratch_dir(spark, "archive")
     jobs.supervised(lambda: jobs.archive(_stream(spark, sf_dir, "events"), f"{unique}/table", f"{unique}/checkpoint", available=True))
     return spark.read.parquet(f"{unique}/table").groupBy(F.col("dt_hour").cast("string").alias("dt_hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id AS id, event_type AS text FROM events")
 def stream_queue(spark, sf_dir):
-    """Messages pushed to a queue of JSON lines, and read from it as a stream."""
-    unique = f"{work_dir(spark).rstrip('/')}/queue-{uuid.uuid4().hex}"
+    """Messages to the end of a queue, and from it as a stream that acknowledges what it took, 500 a batch."""
+    unique = scratch_dir(spark, "queue")
     sent = _stream(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.array("event_type").alias("labels"))
-    jobs.push(sent, f"{unique}/queue", f"{unique}/sent").awaitTermination()
-    got = jobs.source(spark, f"{unique}/queue", io.MESSAGE).select(F.col("id").cast("bigint").alias("id"), "text")
-    return jobs.run_available(got, f"{unique}/got", f"{unique}/checkpoint", "append")
+    queue.push(sent, f"{unique}/queue", f"{unique}/sent").awaitTermination()
+    queue.drain(queue.take(spark, f"{unique}/queue", 500), f"{unique}/got", f"{unique}/checkpoint")
+    return spark.read.schema(queue.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{unique}/got").select(F.col("id").cast("bigint").alias("id"), "text")
+
+
+#: Days at which the live rows are asked, and the time to live.
+DAYS, TTL = (3, 11, 20, 29), 2 * 86400
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {d} AS day, user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM (SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-{d:02} 00:00:00' "
+        f"QUALIFY rank() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) WHERE ts + INTERVAL {TTL} SECOND > TIMESTAMP '2024-01-{d:02} 00:00:00' GROUP BY user_id"
+        for d in DAYS
+    )
+)
+def stream_ttl(spark, sf_dir):
+    """Upserts that live two days, in five micro-batches in order of time, and the rows that live at several times."""
+    unique = scratch_dir(spark, "ttl")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("value"), "ts").filter("ts IS NOT NULL")
+    for k in range(BATCHES):
+        e.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(BATCHES - 1)) == k).write.mode("append").parquet(f"{unique}/writes")
+        expiry.run(spark.readStream.schema(e.schema).parquet(f"{unique}/writes"), unique, TTL)
+    at = lambda d: F.unix_micros(F.lit(f"2024-01-{d:02} 00:00:00").cast("timestamp"))
+    days = [expiry.live(spark, unique, TTL, at(d)).select(F.lit(d).alias("day"), F.col("key").alias("user_id"), F.col("version").alias("event_id"), F.col("value").alias("event_type")) for d in DAYS]
+    return reduce(DataFrame.union, days)
 
 
 # The whole request path.
@@ -762,7 +784,7 @@ def _standing(spark: SparkSession, sf_dir: str) -> tuple[standing.Standing, Data
     tf = cut(tokens(docs(spark, sf_dir), "doc_id"), "tf")
     entries = cut(D.of_terms(tf, docs(spark, sf_dir).select("doc_id")), "dictionary")
     asked = D.tfidf(tokens(table(spark, sf_dir, "benchmark"), "item_id"), entries)
-    return standing.Standing(spark, f"{work_dir(spark).rstrip('/')}/standing-{uuid.uuid4().hex}", SIZES), cut(D.tfidf(tf, entries), "vectors"), cut(asked, "asked")
+    return standing.Standing(spark, scratch_dir(spark, "standing"), SIZES), cut(D.tfidf(tf, entries), "vectors"), cut(asked, "asked")
 
 
 S_PROBE = S_REQUEST.split("n AS (SELECT qs.id")[0].rstrip(", ") + " SELECT qs.id AS query_id, kept.id AS cand_id, kept.tbl FROM qs JOIN kept USING (tbl, bucket)"

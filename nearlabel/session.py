@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,35 @@ def work_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Scratch folders that this driver made and nobody has removed yet.
+_LEFT: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared one. It is kept in mind until it is removed."""
+    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _LEFT.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every scratch folder that is left. Results that are frames read theirs when they are used, so call this once
+    they have been written or collected; a driver that ends does it by itself."""
+    for path in list(_LEFT):
+        remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _LEFT else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)

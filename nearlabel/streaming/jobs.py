@@ -51,12 +51,6 @@ def merge_positions(path: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
-def push(messages: DataFrame, path: str, checkpoint: str, available: bool = True) -> StreamingQuery:
-    """Messages (a stream) to a queue of JSON lines, which ``source`` reads; each once, by the writer's log."""
-    writer = messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available else writer).start()
-
-
 def archive(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", available: bool = False) -> StreamingQuery:
     """Hourly partitions, every ten seconds; ``available``: what is there now, and then the end."""
     writer = io.with_hour(stream, ts).writeStream.partitionBy("dt_hour").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -6,7 +6,7 @@ from nearlabel.operators import dictionary as D
 from nearlabel.operators import postings
 from nearlabel.operators.graph import cut
 from nearlabel.plans import registry
-from nearlabel.session import table, work_dir
+from nearlabel.session import scratch_dir, table
 
 
 def test_codes():
@@ -22,7 +22,7 @@ def test_index_grows_and_merges(spark):
     """Appends, a merge, an append after it; a word of every document, a document that comes twice, far and negative ids."""
     rows = [("all", i, 1 + i % 3) for i in range(700)] + [("odd", i, 2) for i in range(1, 700, 2)] + [("far", -5, 1), ("far", 2**60, 9), ("", 3, 1)]
     df = spark.createDataFrame(rows, "token string, doc_id long, tf long")
-    index = postings.Index(spark, f"{work_dir(spark)}/test-index-{np.random.default_rng().integers(1 << 60)}")
+    index = postings.Index(spark, scratch_dir(spark, "index"))
     assert index.lookup().count() == 0
     for k in range(3):
         index.append(df.filter(f"pmod(doc_id, 3) = {k}"))

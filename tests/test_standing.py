@@ -1,10 +1,8 @@
-import uuid
-
 import numpy as np
 import pandas as pd
 
 from nearlabel.operators import lsh
-from nearlabel.session import work_dir
+from nearlabel.session import scratch_dir
 from nearlabel.streaming import standing
 
 
@@ -40,7 +38,7 @@ def test_bounded_queues():
 def test_service(spark):
     """Requests before and after inserts, a service that starts again, odd vectors, and the state read as a table."""
     p = lsh.Params(tables=3, bits=4, capacity=3, top_candidates=20, top_k=3)
-    path = f"{work_dir(spark)}/test-standing-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "standing")
     rng = np.random.default_rng(2)
     vectors = {i: {int(d): float(w) for d, w in zip(rng.permutation(8)[:4], rng.random(4), strict=True)} for i in range(12)}
     frame = lambda ids: spark.createDataFrame([(i, d, w) for i in ids for d, w in vectors[i].items()], "doc_id long, pos long, w double")
