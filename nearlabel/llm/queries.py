@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +9,7 @@ from pyspark.sql import functions as F
 
 from nearlabel.llm import decontaminate, fragment_join, oracles, packing, perspectives, quality_rules, rans, rolling_median, secrets, token_counts, toxicity, vector_codes, voronoi_knn, wrappers
 from nearlabel.llm.pieces import vocabulary
-from nearlabel.session import table, work_dir
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from nearlabel.session import scratch_dir, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +18,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fresh_dir(spark, "rans")
+    out = scratch_dir(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), out)
     return rans.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -75,7 +69,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
-    return voronoi_knn.knn_join(embeddings, embeddings.filter(F.col("vec_id") % 50 == 0), work=fresh_dir(spark, "knn"))
+    return voronoi_knn.knn_join(embeddings, embeddings.filter(F.col("vec_id") % 50 == 0), work=scratch_dir(spark, "knn"))
 
 
 def op11_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,12 +125,14 @@ def encode(vectors: DataFrame, book: np.ndarray, scale: int = 1024) -> DataFrame
 def with_label_error(coded: DataFrame) -> DataFrame:
     """``coded`` with label_error: its errors summed over equal labels, null being one; null where the sum is beyond 64 bits.
 
-    Errors are summed before they are shuffled. The sums are broadcast while they are few; else they are copied to
-    SALTS shares of each label, so that a label with a third of all rows is joined in that many tasks.
+    Errors are summed before they are shuffled. The sums are broadcast while they are few (rows are coded once for them and
+    once for the result); else they are copied to SALTS shares of each label, so that a label with a third of all rows is
+    joined in that many tasks.
     """
     sums = coded.groupBy("label").agg(F.try_sum("error").alias("label_error"))
-    if sums.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
-        other = F.broadcast(sums.withColumnRenamed("label", "of"))
+    few = sums.limit(BROADCAST_LABELS + 1).collect()
+    if len(few) <= BROADCAST_LABELS:
+        other = F.broadcast(coded.sparkSession.createDataFrame(few, sums.schema).withColumnRenamed("label", "of"))
         return coded.join(other, F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
     other = sums.select(F.col("label").alias("of"), "label_error", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("share"))
     mine = coded.withColumn("salt", F.pmod(F.xxhash64("id", "code"), F.lit(SALTS)).cast("int"))

@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most pivots (their pairwise work and what is broadcast grow with it); most candidates and queries that meet in a task.
 PIVOTS, BLOCK, QUERIES = 256, 8192, 65536
 #: Smallest distances in a summary beyond the k that are asked for.
 SPARE = 8
+#: Components of this size and more take no part: scores must stay below 2**53 (at 256 for vectors of up to 2**15).
+LARGEST = 1024.0
 #: Relative slack of the bounds, which are floats; scores are integers.
 SLACK = 1e-6
 
@@ -44,10 +46,22 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0))
 
 
-def vectors(df: DataFrame, key: str, embedding: str, scale: int) -> DataFrame:
-    """id, v (integers), norm2. Rows whose vector is null, empty, or holds a null or non-finite component take no part."""
+def _good(x: Column) -> Column:
+    """Not empty, without null or non-finite components, none of LARGEST or more in size."""
+    return F.coalesce((F.size(x) > 0) & F.forall(x, lambda c: F.coalesce((c < LARGEST) & (c > -LARGEST), F.lit(False))), F.lit(False))
+
+
+def length_of(df: DataFrame, key: str, embedding: str) -> int:
+    """The length of the vector that decides: that of the smallest id, of several the shortest; 0 if there is none."""
+    x = F.col(embedding)
+    head = df.filter(_good(x)).agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.size(x).alias("n"))).alias("least")).first().least
+    return head.n if head else 0
+
+
+def vectors(df: DataFrame, key: str, embedding: str, scale: int, length: int) -> DataFrame:
+    """id, v (integers), norm2 of the rows that take part."""
     x = F.col(embedding)
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    good = _good(x) & (F.size(x) == length)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("bigint"))
     return df.filter(F.coalesce(good, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, c: a + c * c))
 
@@ -179,7 +193,9 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
 
     query_id, rank (from 1), vec_id, score; ties to the smaller vec_id; fewer rows where there are fewer candidates.
     A row is no candidate of a query with its own id; repeated rows of one id count once each as candidates and answer
-    as one query, with the least vector where they differ. Vectors need one length and |score| below 2**53. ``work``: a shared folder for the assigned
+    as one query, with the least vector where they differ. Rows whose vector is null, empty, holds a null or non-finite
+    component or one of LARGEST and more in size, or has another length than that of the smallest id (of several, the
+    shortest) take no part, neither as candidates nor as queries. ``work``: a shared folder for the assigned
     candidates, which are read three times; without it they are computed again. Extra columns are dropped.
     """
     plan = _plan(df, queries, k, key, embedding, scale, work)
@@ -195,8 +211,9 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
 def _plan(df: DataFrame, queries: DataFrame, k: int, key: str, embedding: str, scale: int, work: str | None) -> tuple[DataFrame, DataFrame] | None:
     """Queries (id, v, own, cell, block, slice) and the candidates (id, v, cell, block, slice) that they seek."""
     spark = df.sparkSession
-    data = vectors(df, key, embedding, scale)
-    asked = vectors(queries, key, embedding, scale).groupBy("id").agg(F.min("v").alias("v"))
+    length = length_of(df, key, embedding)
+    data = vectors(df, key, embedding, scale, length)
+    asked = vectors(queries, key, embedding, scale, length).groupBy("id").agg(F.min("v").alias("v"))
     head = data.agg(F.max("norm2").alias("top"), F.count(F.lit(1)).alias("n")).first()
     if not head.n:
         return None

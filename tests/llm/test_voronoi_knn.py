@@ -77,3 +77,15 @@ def test_slices_and_pruning(spark, monkeypatch):
         assert cells < 0.3 * len(ids) * min(voronoi_knn.PIVOTS, int(4000**0.5) // 2) and blocks < 0.5 * 4000
         assert {tuple(r) for r in voronoi_knn.knn_join(df, asked, k=5).collect()} == brute(rows, ids, 5)
     assert found[0] == 1 and found[1] >= 4
+
+
+def test_unequal_lengths_and_far_components(spark):
+    """Lengths that would reshape across rows, components beyond what fits: such rows neither answer nor ask."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)], 0) for i in range(40)]
+    odd = [(100, [1.0] * 3, 0), (101, [1.0] * 9, 0), (102, [1.0] * 12, 0), (103, [1e30] * 6, 0), (104, [-1e15] + [0.0] * 5, 0), (105, [], 0)]
+    df = spark.createDataFrame(rows[:20] + odd + rows[20:], SCHEMA)
+    ids = [0, 7, 100, 102, 103, 105]
+    got = {tuple(r) for r in voronoi_knn.knn_join(df, df.filter(df.vec_id.isin(ids)), k=4).collect()}
+    assert got == brute(rows, [0, 7], 4)
+    assert voronoi_knn.knn_join(df.filter("vec_id >= 103"), df).count() == 0
