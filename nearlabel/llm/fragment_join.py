@@ -559,7 +559,12 @@ def _clusters(rows: DataFrame, marks: DataFrame, num: int, den: int, scratch: Sc
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     # a task for each two blocks; its number tells both
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
-    met = named.join(mixed, F.col("key") == F.col("k")).withColumn("blocks", blocks).select("key", "cid", "n", "label", F.explode(tasks).alias("task"))
+    # of a bucket that is one block only members with another of similar size: the next smaller or larger one is, if any is
+    line = Window.partitionBy("key").orderBy("n")
+    sized = named.join(mixed, F.col("key") == F.col("k")).withColumn("blocks", blocks)
+    alone = sized.filter("blocks = 1").withColumns({"less": F.lag("n").over(line), "more": F.lead("n").over(line)})
+    alone = alone.filter((F.col("less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("more") * num)).drop("less", "more")
+    met = alone.union(sized.filter("blocks > 1")).select("key", "cid", "n", "label", F.explode(tasks).alias("task"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = met.join(marks.select("cid", "mark"), "cid").select("key", "task", "cid", "n", "label", "mark").repartition(n, "key", "task").sortWithinPartitions("key", "task", "n")
     more = found.mapInArrow(_searched(num, den), "src long, dst long")
