@@ -1,22 +1,23 @@
-"""The supervised baseline: stemmed TF-IDF features, a projection, one linear machine a label.
+"""The supervised baseline: stemmed TF-IDF features, canonical components, one linear machine a label.
 
-The original projects with canonical correlation analysis; here principal components of the features take its place, so
-its numbers differ. Stemming (English Snowball) has no built-in and runs as an Arrow function over distinct words.
+Stemming (English Snowball) has no built-in and runs as an Arrow function over distinct words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, StopWordsRemover
-from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearlabel.functions import text as T
+from nearlabel.operators import cca
+from nearlabel.operators.dictionary import with_rank
+from nearlabel.operators.graph import Scratch, cut
 
 #: Labels that are broadcast at most.
 BROADCAST_LABELS = 10_000
@@ -144,27 +145,81 @@ def indicator(docs: DataFrame, labels: str = "labels") -> DataFrame:
 
 
 class LabelModel:
-    def __init__(self, features: PipelineModel, machines: dict):
-        self.features, self.machines = features, machines
+    """Terms with their weights, canonical vectors of the terms, a machine a label. All frames; the driver holds the means
+    of the components and, while it trains or predicts, the machines of one block of labels."""
+
+    def __init__(self, terms: DataFrame, vectors: DataFrame, mean: np.ndarray, labels: DataFrame, weights: DataFrame, n_labels: int):
+        self.terms, self.vectors, self.mean, self.labels, self.weights, self.n_labels = terms, vectors, mean, labels, weights, n_labels
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """(doc_id, labels): predicted labels, sorted."""
-        rows = self.features.transform(analyzed(docs))
-        for k, (_, machine) in enumerate(sorted(self.machines.items())):
-            rows = machine.setPredictionCol(f"p{k}").setRawPredictionCol(f"r{k}").transform(rows)
-        hits = [F.when(F.col(f"p{k}") == 1.0, F.lit(name)) for k, name in enumerate(sorted(self.machines))]
-        return rows.select("doc_id", F.array_compact(F.array(*hits)).alias("labels"))
-
-
-def train(docs: DataFrame, labels: list[str], components: int = 20, vocabulary: int = 2000) -> LabelModel:
-    """docs: (doc_id, text, labels). One binary machine a label, on principal components of TF-IDF features."""
-    rows = analyzed(docs)
-    stages = [CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"), PCA(k=components, inputCol="tfidf", outputCol="features")]
-    features = Pipeline(stages=stages).fit(rows)
-    ready = features.transform(rows).select("features", "labels").cache()
-    machines = {}
-    for name in labels:
-        own = ready.select("features", F.array_contains("labels", name).cast("double").alias("label"))
-        machines[name] = LinearSVC(maxIter=20, regParam=0.01).fit(own)
-    ready.unpersist()
-    return LabelModel(features, machines)
+        z = features(docs.select("doc_id"), weighed(docs, self.terms), self.vectors, self.mean)
+        hits = None
+        for first in range(0, self.n_labels, cca.LABELS):
+            block = self.weights.filter((F.col("pos") >= first) & (F.col("pos") < first + cca.LABELS)).orderBy("pos").collect()
+            sent = docs.sparkSession.sparkContext.broadcast((np.array([r.w for r in block]), np.array([r.pos for r in block], np.int64)))
+            found = z.mapInArrow(_hits(sent), f"doc_id {dict(docs.dtypes)['doc_id']}, pos long")
+            hits = found if hits is None else hits.union(found)
+        named = hits.join(self.labels, "pos").groupBy("doc_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+        return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+
+
+def _hits(weights):
+    """(doc_id, label number) of every machine that says yes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, pos = weights.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                doc, label = np.nonzero(np.asarray(part.column("z").flatten()).reshape(-1, w.shape[1]) @ w.T > 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(pos[label])], names=["doc_id", "pos"])
+
+    return run
+
+
+def terms_of(docs: DataFrame, least: int = 1) -> tuple[DataFrame, int]:
+    """(token, pos, idf) of every stem of at least ``least`` documents, idf = ln((1 + N) / (1 + df)) + 1; and N."""
+    tokens = analyzed(docs).select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    df = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least), "df")
+    n = docs.count()
+    return with_rank(df, ["token"], "pos").select("token", "pos", (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1).alias("idf")), n
+
+
+def weighed(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, pos, w): tf * idf of known stems, at unit length."""
+    tf = analyzed(docs).select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    rows = tf.join(terms, "token").select("doc_id", "pos", (F.col("tf") * F.col("idf")).alias("w"))
+    return rows.select("doc_id", "pos", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).alias("w"))
+
+
+def features(ids: DataFrame, rows: DataFrame, vectors: DataFrame, mean: np.ndarray) -> DataFrame:
+    """(doc_id, z): canonical components of every document and a one."""
+    z = cca.times(rows, vectors, "pos", "doc_id", len(mean))
+    parts = [F.coalesce(f"c{i}", F.lit(0.0)) - float(m) for i, m in enumerate(mean)]
+    return ids.join(z, "doc_id", "left").select("doc_id", F.array(*parts, F.lit(1.0)).alias("z"))
+
+
+def train(docs: DataFrame, components: int = 100, least: int = 1) -> LabelModel:
+    """docs: (doc_id, text, labels). One linear machine for every label that occurs, on canonical components of the TF-IDF
+    weights of every stem; documents without text or labels count like others. Null labels are none."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "labels")
+    terms, n = terms_of(docs, least)
+    terms = scratch.cut(terms, "terms")
+    x = scratch.cut(weighed(docs, terms), "weights")
+    own = scratch.cut(docs.select("doc_id", F.explode("labels").alias("label")).filter("label IS NOT NULL").distinct(), "own")
+    labels = scratch.cut(with_rank(own.select("label").distinct(), ["label"], "pos"), "labels")
+    y = scratch.cut(own.join(labels, "label").select("doc_id", "pos", F.lit(1.0).alias("w")), "indicator")
+    count = labels.count()
+    vectors, _, _ = cca.canonical(x, y, n, count, scratch, components)
+    k = len(vectors.columns) - 1
+    means = x.groupBy("pos").agg((F.sum("w") / n).alias("mean")).join(vectors, "pos")
+    mean = np.array(means.agg(*[F.coalesce(F.sum(F.col("mean") * F.col(f"c{i}")), F.lit(0.0)) for i in range(k)]).first())
+    numbers = y.groupBy("doc_id").agg(F.collect_list("pos").alias("own"))
+    ready = features(docs.select("doc_id"), x, vectors, mean).join(numbers, "doc_id", "left").select("z", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
+    weights = None
+    for first, w in cca.machines(scratch.cut(ready, "ready"), k + 1, count):
+        block = spark.createDataFrame([(first + i, row.tolist()) for i, row in enumerate(w)], "pos long, w array<double>")
+        block = scratch.cut(block, "machines")
+        weights = block if weights is None else weights.union(block)
+    return LabelModel(terms, vectors, mean, labels, weights, count)

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearlabel.operators import ml
@@ -25,6 +26,42 @@ def test_svm_predicts_every_language(spark, monkeypatch):
     words = {"en": "house garden window", "nl": "huis tuin raam", "pl": "dom ogród okno"}
     rows = [(3 * i + k, f"{words[lang]} {words[lang].split()[i % 3]}", lang, "s") for i in range(12) for k, lang in enumerate(words)]
     monkeypatch.setattr(registry, "docs", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    monkeypatch.setattr(registry.ml, "train", lambda d, labels: ml_train(d, labels, components=3))
+    monkeypatch.setattr(registry.ml, "train", lambda d: ml_train(d, components=3))
     got = {r.doc_id: r.labels for r in registry.queries()["svm_predict"](spark, "").collect()}
     assert got == {i: lang for i, _, lang, _ in rows}
+
+
+def test_training_against_dense_algebra(spark):
+    """All of it on a small corpus: weights, canonical components and machines by dense matrices predict the same labels."""
+    rng = np.random.default_rng(6)
+    words = [f"w{chr(97 + i)}x" for i in range(20)]
+    topics = {"red": words[:6], "green": words[5:11], "blue": words[10:16]}
+    rows = []
+    for i in range(48):
+        own = [t for t in topics if rng.random() < 0.45]
+        text = [str(rng.choice(topics[t])) for t in own for _ in range(4)] + [str(x) for x in rng.choice(words, 2)]
+        rows.append((i, " ".join(text) if i != 4 else None, own if i != 9 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels array<string>")
+    got = {r.doc_id: r.labels for r in ml.train(docs).predict(docs).collect()}
+    tokens = {r.doc_id: r.tokens for r in ml.analyzed(docs).select("doc_id", "tokens").collect()}
+    names, terms = sorted(topics), sorted({t for v in tokens.values() for t in v})
+    tf = np.array([[tokens[i].count(t) for t in terms] for i in range(48)], float)
+    x = tf * (np.log(49 / (1 + (tf > 0).sum(axis=0))) + 1)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    y = np.array([[n in (own or []) for n in names] for _, _, own in rows], float)
+    cx, cy = x - x.mean(axis=0), y - y.mean(axis=0)
+    root = lambda g: (lambda v, u: u / np.sqrt(v) @ u.T)(*np.linalg.eigh(g))
+    wx = root(cx.T @ cx + np.eye(len(terms)))
+    p, _, _ = np.linalg.svd(wx @ cx.T @ cy @ root(cy.T @ cy + np.eye(3)))
+    z = np.hstack([cx @ (wx @ p[:, :3]), np.ones((48, 1))])
+    want = {}
+    for j, name in enumerate(names):
+        sign, w = np.where(y[:, j], 1.0, -1.0), np.zeros(4)
+        curve = 2 * np.linalg.eigvalsh(z.T @ z).max() + 1
+        for _ in range(20_000):
+            w -= (-2 * (np.maximum(0, 1 - sign * (z @ w)) * sign) @ z + w * [1, 1, 1, 0]) / curve
+        for i in range(48):
+            want[i, name] = float(z[i] @ w)
+    sure = [k for k, v in want.items() if abs(v) > 0.02]
+    assert len(sure) > 130 and all((name in got[i]) == (want[i, name] > 0) for i, name in sure)
+    assert [name for name in names if want[4, name] > 0] == got[4]
