@@ -17,6 +17,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+#: Instruction data: few answers a sequence, and no more than a part of it bears loss.
+DIALOGUES = packing.Limits(tokens=4096, segments=8, loss=2560)
+
+
+def pack_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on instruction data: every answer of the conversations, after the message before it as its prompt, in
+    sequences that all three limits bound. doc_id: conversation and turn. A question meets its answer by conversation and
+    turn, so a conversation with many messages is no group."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    asked = c.filter("role <> 'assistant'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min(F.coalesce("text", F.lit(""))).alias("asked"))
+    answers = c.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").withColumn("prompt", F.coalesce(F.concat("asked", F.lit("\n")), F.lit("")))
+    rows = answers.select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("doc_id"), "prompt", F.concat("prompt", F.coalesce("text", F.lit(""))).alias("text"))
+    packed = packing.pack_documents(rows, vocabulary("word_bpe_49k.json"), limits=DIALOGUES, prompt="prompt")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "rans")
     rans.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), out)
@@ -88,6 +104,7 @@ def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "pack_dialogues": pack_dialogues,
         "op2_rans": op2_rans,
         "op3_toxicity": op3_toxicity,
         "op4_perspectives": op4_perspectives,

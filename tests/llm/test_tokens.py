@@ -157,3 +157,30 @@ def test_packing_odd_rows(spark):
     rows = packing.pack_documents(df, vocabulary("word_bpe_49k.json")).collect()
     assert {r.doc_id for r in rows} == {None, *range(len(ODD))} and all(len(r.ids) == 4 * r.length for r in rows)
     assert packing.pack_documents(df.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_dialogues_reach_every_limit(spark):
+    """The whole table's answers with their questions as prompts: exact ids, no limit broken, segments and loss both bind."""
+    sf = "/root/testdata/sf0.01"
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    said = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    want, bare = {}, {}
+    for (c, t), r in said.items():
+        if r.role == "assistant":
+            before = said.get((c, t - 1))
+            prompt = (before.text or "") + "\n" if before is not None and before.role != "assistant" else ""
+            want[c << 20 | t] = [*tok.encode(prompt + (r.text or ""), add_special_tokens=False).ids, 2]
+            bare[c << 20 | t] = max(1, len(tok.encode(prompt, add_special_tokens=False).ids))
+    rows = queries.pack_dialogues(spark, sf).collect()
+    seqs, docs = {}, {}
+    for r in rows:
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert r.ids_crc32 == zlib.crc32(ids) and r.loss_tokens == sum(r.start + j >= bare[r.doc_id] for j in range(r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.length, 1, r.loss_tokens))
+        docs[r.doc_id] = docs.get(r.doc_id, 0) + r.length
+    assert docs == {i: len(w) for i, w in want.items()}
+    sums = np.array([np.sum(s, axis=0) for s in seqs.values()])
+    limits = queries.DIALOGUES
+    assert (sums <= [limits.tokens, limits.segments, limits.loss]).all()
+    print(len(sums), (sums == limits.segments).sum(axis=0), (sums / [limits.tokens, limits.segments, limits.loss]).mean(axis=0))
+    assert (sums[:, 1] == limits.segments).any() and (sums[:, 2] >= 0.95 * limits.loss).any()

@@ -99,6 +99,44 @@ def test_query_against_brute_force(spark):
         assert {e["doc_id"] for e in json.loads(r.evidence)} <= near[r.doc_id]
     assert sum(bool(x) for x in near.values()) > 0.9 * len(docs)
 
+    # votes of the nearest, calibrated on examples by all others, give score and prediction
+    entries = [(dict(key), own[1], own[2]) for key, own in merged.items()]
+    place = {key: k for k, key in enumerate(merged)}
+    prior = (toxic + 0.5) / (len(known) + 1)
+    bare = [labels[d] for d in known if not vectors[d]]
+
+    def vote(v, less=None):
+        sims = sorted(((sum(v.get(t, 0) * x for t, x in e.items()), k) for k, (e, _, _) in enumerate(entries)), key=lambda x: -x[0])
+        most = toxicity.NEIGHBOURS + bool(less)
+        last = sims[min(most, len(sims)) - 1][0]
+        up = down = toxicity.PRIOR
+        up *= prior
+        found = [(c, k) for c, k in sims if c > 1e-9 and c >= last - 1e-9]
+        for c, k in found:
+            t, o = entries[k][1:]
+            if less and k == less[0]:
+                t, o = t - less[1], o - (1 - less[1])
+            if t + o:
+                w = c * c / (1.05 - min(c, 1)) * math.log2(1 + t + o)
+                up, down = up + w * t / (t + o), down + w
+        return up / down if found else None
+
+    pairs = sorted((vote(vectors[d], (place[tuple(sorted((t, round(x, 9)) for t, x in vectors[d].items()))], labels[d])), labels[d]) for d in known if vectors[d])
+    y = np.array([b for _, b in pairs], float)
+    mean = lambda i, j: y[i : j + 1].mean()
+    fit = [max(min(mean(i, j) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+    pools = []
+    for (x, label), f in zip(pairs, fit, strict=True):
+        if not pools or f > pools[-1][0] + 1e-12:
+            pools.append([f, [], []])
+        pools[-1][1].append(x)
+        pools[-1][2].append(label)
+    xs, ys = [np.mean(p[1]) for p in pools], [(sum(p[2]) + 0.05) / (len(p[2]) + 0.1) for p in pools]
+    for r in rows:
+        value = vote(vectors[r.doc_id])
+        want = float(np.interp(value, xs, ys)) if value is not None else (sum(bare) + prior) / (len(bare) + 1)
+        assert abs(r.score - want) < 1e-3 and (r.predicted == int(want >= 0.7) or abs(want - 0.7) < 1e-3)
+
 
 def test_copies_of_examples_are_found(spark):
     """A text without any enriched term finds the example it copies."""
