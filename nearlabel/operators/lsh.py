@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Positions whose signs are broadcast; beyond it they are joined.
-BROADCAST_DIMS = 100_000
+from nearlabel.operators.dictionary import with_rank
+
+#: Positions whose signs are broadcast; beyond it they are joined. Arrivals of a bucket that meet in one task.
+BROADCAST_DIMS, CROWDED = 100_000, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -34,14 +36,6 @@ def plane_bits(tbl: Column, dim: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", tbl.cast("string"), dim.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def planes(spark: SparkSession, dims: int, p: Params) -> DataFrame:
-    """(tbl, bit, dim, w) of all planes."""
-    grid = spark.range(p.tables * dims).select(F.floor(F.col("id") / dims).cast("int").alias("tbl"), (F.col("id") % dims).cast("int").alias("dim"))
-    digits = grid.withColumn("h", plane_bits(F.col("tbl"), F.col("dim"), p.seed))
-    bits = digits.select("tbl", "dim", "h", F.explode(F.sequence(F.lit(0), F.lit(p.bits - 1))).alias("bit"))
-    return bits.select("tbl", "bit", "dim", F.when(F.substr("h", F.col("bit") + 1, F.lit(1)) < "8", 1).otherwise(-1).alias("w"))
-
-
 def masks(positions: DataFrame, p: Params) -> DataFrame:
     """(pos, masks): for every position and table an integer whose bit b is set where plane b has +1."""
     signs = lambda h: F.translate(h, "0123456789abcdef", "1" * 8 + "0" * 8)
@@ -49,6 +43,13 @@ def masks(positions: DataFrame, p: Params) -> DataFrame:
     return positions.select("pos").distinct().select("pos", F.transform(F.sequence(F.lit(0), F.lit(p.tables - 1)), mask).alias("masks"))
 
 
+def planes(positions: DataFrame, p: Params) -> DataFrame:
+    """(tbl, bit, dim, w) of all planes, in the dimensions that occur in ``positions`` (pos)."""
+    bits = masks(positions, p).select(F.col("pos").cast("int").alias("dim"), F.posexplode("masks").alias("tbl", "mask"))
+    bits = bits.select("tbl", "dim", "mask", F.explode(F.sequence(F.lit(0), F.lit(p.bits - 1))).alias("bit"))
+    return bits.select("tbl", "bit", "dim", F.when(F.call_function("shiftright", "mask", "bit").bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1).alias("w"))
+
+
 def bit_sums(vectors: DataFrame, p: Params, doc: str = "doc_id") -> DataFrame:
     """(doc_id, tbl, s0, s1, ...): the dot products of sparse vectors (doc_id, pos, q), integer weights q, with all planes.
 
@@ -87,10 +88,24 @@ def kept(sigs: DataFrame, p: Params, order: str = "doc_id") -> DataFrame:
 
 
 def query_then_insert(sigs: DataFrame, p: Params, order: str = "doc_id") -> DataFrame:
-    """(doc_id, cand_id, tbl): for every arrival the up to ``capacity`` documents that its buckets held before it."""
-    w = Window.partitionBy("tbl", "bucket").orderBy(order)
-    held = sigs.withColumn("held", F.collect_list("doc_id").over(w.rowsBetween(-p.capacity, -1)))
-    return held.select("doc_id", "tbl", F.explode("held").alias("cand_id"))
+    """(doc_id, cand_id, tbl): for every arrival the up to ``capacity`` documents that its buckets held before it.
+
+    A bucket of more than CROWDED arrivals is no window: its rows get gapless ranks and are cut into runs of that many,
+    each with the ``capacity`` rows before it as halo, so one bucket of a third of all documents fills many tasks.
+    """
+    many = sigs.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("tbl", "bucket")
+    w = Window.partitionBy("tbl", "bucket").orderBy(order).rowsBetween(-p.capacity, -1)
+    if not many.limit(1).count():
+        return _held(sigs, w)
+    crowd = with_rank(sigs.join(many, ["tbl", "bucket"], "left_semi"), ["tbl", "bucket", order], "at")
+    run = F.floor(F.col("at") / CROWDED)
+    reached = F.when(F.col("at") % CROWDED >= CROWDED - p.capacity, F.array(run, run + 1)).otherwise(F.array(run))
+    runs = crowd.select("*", F.posexplode(reached).alias("halo", "run"))
+    return _held(sigs.join(many, ["tbl", "bucket"], "left_anti"), w).union(_held(runs, Window.partitionBy("run", "tbl", "bucket").orderBy("at").rowsBetween(-p.capacity, -1), "halo = 0"))
+
+
+def _held(rows: DataFrame, w: WindowSpec, own: str = "true") -> DataFrame:
+    return rows.withColumn("held", F.collect_list("doc_id").over(w)).filter(own).select("doc_id", "tbl", F.explode("held").alias("cand_id"))
 
 
 def query_only(queries: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:

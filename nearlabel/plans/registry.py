@@ -388,10 +388,10 @@ S_CANDS = f"(SELECT q.doc_id AS query_id, c.doc_id AS cand_id, q.tbl FROM {S_SIG
 
 
 @query(
-    f"SELECT CAST(t AS INTEGER) AS tbl, CAST(b AS INTEGER) AS bit, CAST(d AS INTEGER) AS dim, CASE WHEN substr(md5(t || ':' || d || ':{SIZES.seed}'), b + 1, 1) < '8' THEN 1 ELSE -1 END AS w FROM range({SIZES.tables}) x(t), range({SIZES.bits}) y(b), range(64) z(d)"
+    f"SELECT CAST(t AS INTEGER) AS tbl, CAST(b AS INTEGER) AS bit, CAST(d AS INTEGER) AS dim, CASE WHEN substr(md5(t || ':' || d || ':{SIZES.seed}'), b + 1, 1) < '8' THEN 1 ELSE -1 END AS w FROM range({SIZES.tables}) x(t), range({SIZES.bits}) y(b), (SELECT DISTINCT unnest(range(len(embedding))) AS d FROM embeddings) z(d)"
 )
 def lsh_planes(spark, sf_dir):
-    return lsh.planes(spark, 64, SIZES)
+    return lsh.planes(_rows(spark, sf_dir), SIZES)
 
 
 @query(f"SELECT doc_id, tbl, bucket FROM {S_SIGS}")
@@ -535,7 +535,7 @@ def adjacency_sets(spark, sf_dir):
 
 
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as vertices that point to their customer, customers to the next customer of their nation."""
+    """Users as vertices that point to numbers made of theirs and of their events' keys; every target points to itself."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.pmod(F.col("user_id") * 7 + F.get_json_object("props", "$.k").cast("bigint"), F.lit(5000)).alias("dst"))
     return e.union(e.select("dst", F.col("dst").alias("d2")).select(F.col("dst").alias("src"), F.col("d2").alias("dst"))).distinct().groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours")).withColumnRenamed("src", "id")
 

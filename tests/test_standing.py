@@ -70,3 +70,14 @@ def test_service(spark):
     assert got == {(t, b, i, k + 1) for (t, b), v in held.items() for k, i in enumerate(v[::-1][: p.capacity])}
     probed = again.probe(lsh.bucket_of(lsh.bit_sums(frame([9]).selectExpr("doc_id", "pos", "cast(round(w * 1000000) as bigint) AS q"), p), p).withColumnRenamed("doc_id", "query_id"))
     assert {(r.cand_id, r.tbl) for r in probed.collect()} == {(i, t) for (t, b), v in held.items() for i in v[-p.capacity :] if sigs[9, t] == b}
+
+
+def test_crowded_buckets_are_cut_into_runs(spark, monkeypatch):
+    """A bucket of most arrivals, one at the edge of a run, small ones: the same pairs as from one window each."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), 0, 5 if i % 3 else int(rng.integers(4))) for i in rng.permutation(300)] + [(int(i), 1, 2) for i in range(40)]
+    sigs, p = spark.createDataFrame(rows, "doc_id long, tbl int, bucket int"), lsh.Params(capacity=7)
+    want = sorted(map(tuple, lsh.query_then_insert(sigs, p).collect()))
+    monkeypatch.setattr(lsh, "CROWDED", 32)
+    got = lsh.query_then_insert(sigs, p)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1500
