@@ -524,6 +524,51 @@ def more_like_this(spark, sf_dir):
     return postings.more_like_this(q, cut(D.tfidf(tf, entries), "vectors"), 10)
 
 
+# Stores written and read back, and what sources filter.
+
+
+@query("SELECT event_id, event_type || CASE WHEN event_id % 3 = 2 THEN ' more' ELSE '' END AS labels FROM events WHERE event_id % 3 > 0")
+def labels_not_null(spark, sf_dir):
+    """Rows whose list of labels is empty have null labels, and go."""
+    return extract_tags_json(spark, sf_dir).filter("labels IS NOT NULL")
+
+
+@query("SELECT item_id, replace(replace(replace(url_encode(replace(text, ' ', '%20')), '~', '%7E'), '%2A', '*'), '%20', '+') AS url FROM benchmark")
+def encoded_queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.encoded_query(F.col("text")).alias("url"))
+
+
+@query(_sets(2))
+def csv_store(spark, sf_dir):
+    """Document frequencies to comma-separated text and back."""
+    path = scratch_dir(spark, "csv")
+    io.write_csv(D.doc_freq(docs(spark, sf_dir), T.word_set(F.col("text")), 2), path)
+    return io.counts_csv(spark, path)
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS text, [event_type, 'more'] AS labels FROM events WHERE event_id % 3 > 0")
+def json_store(spark, sf_dir):
+    """Raw objects as JSON lines, read with their schema; those with labels become messages."""
+    path = scratch_dir(spark, "json")
+    tags = F.when(F.col("event_id") % 3 > 0, F.array(F.struct(F.col("event_type").alias("text")), F.struct(F.lit("more").alias("text"))))
+    io.write_json(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.struct(F.coalesce(tags, F.array().cast("array<struct<text: string>>")).alias("labels")).alias("entities")), path)
+    return io.messages(io.json_lines(spark, path, io.raw_schema()))
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT token FROM " + S_DOC_TOKENS + " WHERE length(token) > 6), v AS (SELECT token AS variant, left(token, 5) AS normal FROM d) "
+    f"SELECT coalesce(normal, t.token) AS token, count(*) AS n FROM {S_DOC_TOKENS} t LEFT JOIN v ON t.token = v.variant GROUP BY ALL"
+)
+def variants_store(spark, sf_dir):
+    """A variant dictionary of the documents' long words, written line by line (each variant twice, the last line holds)
+    and read back; tokens normalized by it."""
+    path, tokens = scratch_dir(spark, "variants"), D.exploded(docs(spark, sf_dir), T.words(F.col("text")))
+    long = tokens.filter(F.length("token") > 6).select("token").distinct()
+    lines = F.explode(F.array(F.concat("token", F.lit("\t"), F.lit("old")), F.concat("token", F.lit("\t"), F.substring("token", 1, 5))))
+    long.select(lines.alias("value")).write.text(path)
+    return D.normalize(tokens, io.variants(spark, path)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Graph.
 
 
