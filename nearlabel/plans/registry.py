@@ -506,6 +506,19 @@ def suggest_labels_search(spark, sf_dir):
     return suggest.by_search(rows)
 
 
+@query(
+    f"SELECT f.query_id, coalesce(l.labels, '') AS labels, f.n, f.first FROM (SELECT query_id, count(*) AS n, arg_min(cand_id, rank) AS first FROM {S_RANKED} WHERE cos_sim > 0 GROUP BY query_id) f "
+    f"LEFT JOIN (SELECT query_id, string_agg(label, ' ' ORDER BY rank, label) AS labels FROM ({ORACLES['suggest_labels_lsh']}) GROUP BY query_id) l USING (query_id)"
+)
+def json_responses(spark, sf_dir):
+    """Answers as JSON, parsed again: suggested labels in order, how many similar rows there are, and the first."""
+    group = F.concat(F.lit("g"), F.floor(F.col("label") / 3).cast("string"))
+    ranked = _ranked(spark, sf_dir).filter("cos_sim > 0").withColumn("labels", F.array(F.concat(F.lit("l"), F.col("label").cast("string")), group))
+    body = F.from_json("body", "suggestions array<string>, similar array<struct<rank: int, cand_id: bigint>>")
+    answers = suggest.response(suggest.by_neighbours(ranked), ranked).select("query_id", body.alias("b"))
+    return answers.select("query_id", F.array_join("b.suggestions", " ").alias("labels"), F.size("b.similar").cast("bigint").alias("n"), F.get("b.similar", F.lit(0))["cand_id"].alias("first"))
+
+
 S_SEARCH = (
     f"WITH d AS {S_TFIDF}, q AS (SELECT item_id AS query_id, position AS pos, tf * idf AS w FROM (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_s_words('text')}) AS token FROM benchmark) GROUP BY ALL) JOIN {S_DICT} USING (token)), "
     "dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM q GROUP BY query_id), "
