@@ -128,6 +128,17 @@ def decode_segment(payload: bytes, table: Table, k: int) -> np.ndarray:
     return out
 
 
+def cut_segment(payload: bytes, k: int) -> bytes:
+    """The block that holds segment k alone: its checkpoint and the words up to the next one."""
+    magic, bits, lanes, every, n, n_words, count = _HEADER.unpack_from(payload)
+    marks = [struct.unpack_from("<QI", payload, _HEADER.size + 12 * j) for j in range(k, min(count, k + 2))]
+    (place, crc), after = marks[0], marks[1][0] if len(marks) > 1 else n_words
+    at, span = _HEADER.size + 12 * count, every * lanes
+    states, words = payload[at + 8 * lanes * k : at + 8 * lanes * (k + 1)], at + 8 * lanes * count
+    head = _HEADER.pack(magic, bits, lanes, every, min(n - k * span, span), after - place, 1)
+    return head + struct.pack("<QI", 0, crc) + states + payload[words + 4 * place : words + 4 * after]
+
+
 def decode_block(payload: bytes, table: Table) -> np.ndarray:
     return np.concatenate([decode_segment(payload, table, k) for k in range(segments(payload))])
 
@@ -267,12 +278,8 @@ def _decode(shared):
     return run
 
 
-def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little endian).
-
-    Blocks are decoded independently. Only documents that are longer than a block meet in a group, their own pieces.
-    Where a block begins among all ids follows from one sum a partition of the writer.
-    """
+def _opened(spark: SparkSession, out: str):
+    """The shared table, and the blocks with ``base``, the ids of all blocks before them."""
     table = spark.read.parquet(f"{out}/table").orderBy("id").toPandas()
     shared = spark.sparkContext.broadcast((table["id"].to_numpy("int64"), table["freq"].to_numpy("int64")))
     blocks = spark.read.parquet(f"{out}/blocks")
@@ -280,7 +287,47 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     parts = sorted(sums)
     before = dict(zip(parts, [0, *np.cumsum([sums[p] for p in parts]).tolist()], strict=False))
     bases = spark.createDataFrame([(p, b) for p, b in before.items()], "part int, before long")
-    placed = blocks.join(F.broadcast(bases), "part").select((F.col("before") + F.col("local_start")).alias("base"), "payload", "doc_ids", "doc_tokens", "piece_starts", "spanning")
+    return shared, blocks.join(F.broadcast(bases), "part").withColumn("base", F.col("before") + F.col("local_start"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (start, payload) of blocks (base, payload, k)."""
+    for batch in batches:
+        for base, payload, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([base + k * STEPS * LANES]), pa.array([cut_segment(payload, k)], pa.binary())], names=["start", "payload"])
+
+
+def _decode_segments(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(*shared.value)
+        for batch in batches:
+            for start, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([decode_block(payload, table).astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
+
+    return run
+
+
+def read_range(spark: SparkSession, out: str, first: int, last: int) -> DataFrame:
+    """(start, ids) of the segments that hold the ids ``first`` to ``last`` - 1 of the whole corpus: only these are taken
+    out of their blocks, and each is dealt to a task and decoded from its own checkpoint. Ids are unsigned 32-bit, little
+    endian; a segment may begin before ``first`` and end after ``last``. An empty range has no rows."""
+    shared, placed = _opened(spark, out)
+    span, here = STEPS * LANES, F.least(F.lit(last) - F.col("base"), F.col("n_ids"))
+    hit = placed.filter((F.col("base") < last) & (F.col("base") + F.col("n_ids") > first) & F.lit(first < last))
+    wanted = F.sequence(F.floor(F.greatest(F.lit(first) - F.col("base"), F.lit(0)) / span), F.floor((here - 1) / span))
+    cut = hit.select("base", "payload", F.explode(wanted).alias("k")).mapInArrow(_cut, "start long, payload binary")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(n, "start").mapInArrow(_decode_segments(shared), "start long, ids binary")
+
+
+def read_ids(spark: SparkSession, out: str) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little endian).
+
+    Blocks are decoded independently. Only documents that are longer than a block meet in a group, their own pieces.
+    Where a block begins among all ids follows from one sum a partition of the writer.
+    """
+    shared, placed = _opened(spark, out)
+    placed = placed.select("base", "payload", "doc_ids", "doc_tokens", "piece_starts", "spanning")
     columns = ["base", "payload", "doc_ids", "doc_tokens", "piece_starts"]
     schema = "doc_id long, start long, doc_tokens long, piece_start long, ids binary"
     whole = placed.filter(~F.col("spanning")).select(columns).mapInArrow(_decode(shared), schema)

@@ -86,6 +86,8 @@ def test_rans_block(n):
     assert (rans.decode_block(payload, table) == ids).all()
     last = rans.segments(payload) - 1
     assert (rans.decode_segment(payload, table, last) == ids[last * rans.STEPS * rans.LANES :]).all()
+    cut = [rans.cut_segment(payload, k) for k in range(last + 1)]
+    assert (np.concatenate([rans.decode_block(c, table) for c in cut]) == ids).all() and (last == 0 or max(map(len, cut)) < len(payload))
     broken = bytearray(payload)
     broken[len(payload) * 3 // 4] ^= 1
     if n > 9000:
@@ -184,3 +186,18 @@ def test_dialogues_reach_every_limit(spark):
     assert (sums <= [limits.tokens, limits.segments, limits.loss]).all()
     print(len(sums), (sums == limits.segments).sum(axis=0), (sums / [limits.tokens, limits.segments, limits.loss]).mean(axis=0))
     assert (sums[:, 1] == limits.segments).any() and (sums[:, 2] >= 0.95 * limits.loss).any()
+
+
+def test_ranges_are_read_by_segment(spark, tmp_path):
+    """Any range of the corpus' ids, from the segments that hold it and no others."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(k, " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.choice([3, 60000])))) for k in range(12)], "doc_id long, text string")
+    rans.write_ids(df, vocabulary("byte_bpe_50k.json"), f"{tmp_path}/r")
+    whole = b"".join(bytes(r.ids) for r in rans.read_ids(spark, f"{tmp_path}/r").orderBy("start").collect())
+    n, span = len(whole) // 4, rans.STEPS * rans.LANES
+    assert n > 2 * span
+    for first, last in ((0, n), (0, 1), (n - 1, n), (span - 1, span + 1), (n // 2, n // 2 + 7), (5, 5), (n, n + 9)):
+        rows = rans.read_range(spark, f"{tmp_path}/r", first, last).orderBy("start").collect()
+        assert all(bytes(r.ids) == whole[4 * r.start : 4 * r.start + len(r.ids)] and r.start < last and r.start + len(r.ids) // 4 > first for r in rows)
+        held = sum(min(last, r.start + len(r.ids) // 4) - max(first, r.start) for r in rows)
+        assert held == max(0, min(last, n) - first)
