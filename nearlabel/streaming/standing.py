@@ -16,7 +16,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,7 +87,7 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def part(bucket) -> F.Column:
+def part(bucket: Column) -> Column:
     return F.pmod(bucket, F.lit(GROUPS)).cast("int")
 
 
@@ -102,7 +102,7 @@ def buckets(spark: SparkSession, checkpoint: str) -> DataFrame:
     bucket, however many documents went through it. age: from 1, the latest."""
     state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
     rows = state.select(F.col("key.tbl").alias("tbl"), F.posexplode(F.arrays_zip("value.bucket", "value.id")).alias("at", "x"))
-    w = lsh.Window.partitionBy("tbl", "bucket").orderBy(F.desc("at"))
+    w = Window.partitionBy("tbl", "bucket").orderBy(F.desc("at"))
     return rows.select("tbl", "at", F.col("x.bucket").alias("bucket"), F.col("x.id").alias("doc_id")).withColumn("age", F.row_number().over(w)).drop("at")
 
 
@@ -172,18 +172,18 @@ class Standing:
         batches, so a service that starts again finds what it left."""
         return f"asked/batches={self._found('buckets/commits/[0-9]*')}"
 
-    def _arrive(self, vectors: DataFrame, seq: F.Column, inserts: bool) -> None:
+    def _arrive(self, vectors: DataFrame, seq: Column, inserts: bool) -> None:
         micro = F.round(F.col("w") * 1_000_000).cast("bigint").alias("q")
         sigs = lsh.signatures(vectors.select("doc_id", "pos", micro), self.p)
         rows = sigs.select(seq.cast("long").alias("seq"), F.col("doc_id").alias("id"), F.lit(inserts).alias("inserts"), F.lit(not inserts).alias("asks"), "tbl", "bucket")
         rows.write.mode("append").parquet(f"{self.path}/arrivals")
 
-    def insert(self, vectors: DataFrame, seq: F.Column) -> None:
+    def insert(self, vectors: DataFrame, seq: Column) -> None:
         puts = packed(vectors).select("doc_id", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("n"), "pos", "w")
         puts.write.mode("append").parquet(f"{self.path}/wanted/put")
         self._arrive(vectors, seq, True)
 
-    def ask(self, vectors: DataFrame, seq: F.Column) -> None:
+    def ask(self, vectors: DataFrame, seq: Column) -> None:
         """Questions (doc_id as their id), with their vectors for the candidates that they will get."""
         packed(vectors).withColumnRenamed("doc_id", "query_id").write.mode("append").parquet(f"{self.path}/{self._asked()}")
         self._arrive(vectors, seq, False)
