@@ -658,7 +658,17 @@ def without_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = docs.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(one).alias("first"))
     gone = docs.join(first, "label").filter(one != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    again = docs.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    named = lambda k, h: F.xxhash64(k, h).alias("id")
+    table = _bits(df.sparkSession, gone.select(named("_gone_id", "_gone_hash")).union(again.select(named("doc_id", "text_hash"))))
+
+    @F.arrow_udf("boolean")
+    def marked(ids: pa.Array) -> pa.Array:
+        return pa.array(_marked(table.value, np.asarray(ids)))
+
+    # only rows that may go, or may be there more than once, are moved; the others stay where they are
+    rows = df.withColumn("_may_go", marked(named(F.col(key).cast("bigint"), F.xxhash64(text))))
     own = Window.partitionBy(F.col(key).cast("bigint"), F.xxhash64(text)).orderBy(F.lit(0))
-    rows = df.withColumn("_rank_of_copy", F.row_number().over(own)).filter("_rank_of_copy = 1").drop("_rank_of_copy")
+    some = rows.filter("_may_go").withColumn("_rank_of_copy", F.row_number().over(own)).filter("_rank_of_copy = 1").drop("_rank_of_copy", "_may_go")
     same = F.col(key).cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
-    return rows.join(gone, same, "left_anti")
+    return rows.filter("NOT _may_go").drop("_may_go").unionByName(some.join(gone, same, "left_anti"))
