@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest integer component: squared distances and their sums over parts and rows must fit 64 bits.
-LARGEST = 1 << 24
+#: Squared distances of whole vectors stay below this, so they and their sums over parts fit 64 bits.
+EXACT = 2.0**63
 #: Vectors whose distances are held at once.
 ROWS = 4096
 #: Labels up to which the sums of errors are broadcast; beyond it they are joined, rows of one label in SALTS shares.
@@ -48,8 +48,9 @@ def assign(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vector: Column, scale: int, length: int) -> Column:
-    """Rows that take part: a vector of the given length whose components are finite and below LARGEST / scale in size."""
-    most = float(LARGEST // scale)
+    """Rows that take part: a vector of the given length whose components are finite and so small that the distance of any
+    two such vectors, at most length * (2 * scale * component)^2, is below EXACT."""
+    most = F.sqrt(F.lit(EXACT / 4) / F.greatest(F.size(vector), F.lit(1))) / F.lit(float(scale)) - 1
     return F.coalesce((F.size(vector) == length) & F.forall(vector, lambda c: F.coalesce((c < most) & (c > -most), F.lit(False))), F.lit(False))
 
 
@@ -147,8 +148,8 @@ def listed(book: np.ndarray) -> str:
 def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> DataFrame:
     """key, code, error, label_error, codebooks_sha256 of every row that takes part.
 
-    A row takes part if its vector is not null, holds no null or non-finite component and none of LARGEST / scale or
-    more in size, and has the length of the vector of the smallest id (of several, the least vector), which must be a multiple of ``parts``; if it
+    A row takes part if its vector is not null, holds no null or non-finite component and none whose distances could reach
+    EXACT (185,000 in vectors of 64), and has the length of the vector of the smallest id (of several, the least vector), which must be a multiple of ``parts``; if it
     is not, or no row is left, there are no rows. Rows that repeat an id are coded one by one; a null id is coded but
     starts no codebook while others do. Equal distances go to the lower entry. Other columns are dropped.
     """

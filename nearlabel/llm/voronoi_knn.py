@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 PIVOTS, BLOCK, QUERIES = 256, 8192, 65536
 #: Smallest distances in a summary beyond the k that are asked for.
 SPARE = 8
-#: Components of this size and more take no part: scores must stay below 2**53 (at 256 for vectors of up to 2**15).
-LARGEST = 1024.0
+#: Components of this size and more take no part, nor do integer vectors whose squares sum to EXACT: no score is larger than
+#: that sum, and sums of integers below it are exact.
+LARGEST, EXACT = float(1 << 18), 1 << 53
 #: Relative slack of the bounds, which are floats; scores are integers.
 SLACK = 1e-6
 
@@ -63,7 +64,7 @@ def vectors(df: DataFrame, key: str, embedding: str, scale: int, length: int) ->
     x = F.col(embedding)
     good = _good(x) & (F.size(x) == length)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("bigint"))
-    return df.filter(F.coalesce(good, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, c: a + c * c))
+    return df.filter(F.coalesce(good, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, c: a + c * c)).filter(F.col("norm2") < EXACT)
 
 
 def _assign(pivots: np.ndarray, top: float):
@@ -194,7 +195,7 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     query_id, rank (from 1), vec_id, score; ties to the smaller vec_id; fewer rows where there are fewer candidates.
     A row is no candidate of a query with its own id; repeated rows of one id count once each as candidates and answer
     as one query, with the least vector where they differ. Rows whose vector is null, empty, holds a null or non-finite
-    component or one of LARGEST and more in size, or has another length than that of the smallest id (of several, the
+    component, one of LARGEST and more in size or squares that sum to EXACT, or has another length than that of the smallest id (of several, the
     shortest) take no part, neither as candidates nor as queries. ``work``: a shared folder for the assigned
     candidates, which are read three times; without it they are computed again. Extra columns are dropped.
     """

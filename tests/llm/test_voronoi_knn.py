@@ -88,4 +88,7 @@ def test_unequal_lengths_and_far_components(spark):
     ids = [0, 7, 100, 102, 103, 105]
     got = {tuple(r) for r in voronoi_knn.knn_join(df, df.filter(df.vec_id.isin(ids)), k=4).collect()}
     assert got == brute(rows, [0, 7], 4)
+    far = [*rows, (200, [30_000.0] * 6, 0), (201, [-60_000.0, 5.0, 1.0, 0.0, 2.0, 9.0], 0)]
+    got = {tuple(r) for r in voronoi_knn.knn_join(spark.createDataFrame(far, SCHEMA), spark.createDataFrame([far[0], far[-1]], SCHEMA), k=4).collect()}
+    assert got == brute(far, [0, 201], 4)
     assert voronoi_knn.knn_join(df.filter("vec_id >= 103"), df).count() == 0
