@@ -47,7 +47,7 @@ SLOTS, CHUNKS, SALTS = 1 << 22, 16, 16
 #: Fewest bits of a mark; members of a bucket up to which they are compared one by one.
 MARK, FEW = 256, 64
 #: Bytes and rows hashed at once; classes that a task remembers to have put out.
-PART_BYTES, ROWS, SEEN = 1 << 20, 1024, 200_000
+PART_BYTES, ROWS, SEEN = 1 << 19, 512, 100_000
 
 _U = np.uint64
 #: The hash function: odd multipliers and a table of a number for each byte, drawn once from a fixed seed.

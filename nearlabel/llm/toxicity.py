@@ -39,7 +39,7 @@ BEGINNINGS, PRIOR, LEAST, BOOST = (4, 5, 6, 7), 0.25, 4, 3.0
 FIRST, SHARE, COMMON, SLACK, KNOWN = 4, 0.3, 5, 1e-5, 5000
 
 #: Characters of texts that are counted together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 def words_of(texts: list[str | None]) -> pa.Array:
