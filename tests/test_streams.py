@@ -4,6 +4,7 @@ import pytest
 
 from nearlabel import session
 from nearlabel.operators import graph
+from nearlabel.plans import registry
 from nearlabel.session import scratch_dir
 from nearlabel.streaming import expiry, queue
 
@@ -84,3 +85,20 @@ def test_counts_while_written(spark):
     scratch = graph.Scratch(spark, "counted")
     frame, n = scratch.counted(spark.range(1000).repartition(7), n=graph.F.count(graph.F.lit(1)), most=graph.F.max("id"))
     assert n == {"n": 1000, "most": 999} and frame.count() == 1000
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_streamed_tables(spark, sf, tmp_path, files):
+    """A table may be one file (0), or a folder of one or of many."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    docs.repartition(files or 1).write.parquet(f"{tmp_path}/made")
+    made = f"{tmp_path}/made"
+    if files:
+        os.rename(made, f"{tmp_path}/documents.parquet")
+    else:
+        os.rename(next(f"{made}/{f}" for f in os.listdir(made) if f.endswith(".parquet")), f"{tmp_path}/documents.parquet")
+    queries = registry.queries()
+    assert [r.d for r in queries["stream_doc_count"](spark, str(tmp_path)).collect()] == [30]
+    for streamed, batch in (("stream_doc_freq", "doc_freq"), ("stream_positions", "first_seen_positions")):
+        got, want = (sorted(map(tuple, queries[q](spark, str(tmp_path)).collect())) for q in (streamed, batch))
+        assert got == want and got, streamed
