@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 SCHEMA = "id string, text string, labels array<string>"
-#: Messages of a batch.
-MOST = 100
+#: Messages of a batch, and of a file: a file is read whole for every batch that takes some of it.
+MOST, FILE = 100, 2000
 
 
 class Store:
@@ -63,8 +64,10 @@ class Store:
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, name: str, n: int):
-        self.name, self.n = name, n
+    """The files of a task with their numbers of messages."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
 
 
 class Writer(DataSourceStreamWriter):
@@ -72,14 +75,16 @@ class Writer(DataSourceStreamWriter):
         self.path = path
 
     def write(self, iterator: Iterator) -> Written:
-        name, lines = f"data/{uuid.uuid4().hex}", [json.dumps({"id": r["id"], "text": r["text"], "labels": r["labels"]}) for r in iterator]
-        if lines:
-            Store(self.path).write(name, "\n".join(lines))
-        return Written(name, len(lines))
+        store, files = Store(self.path), []
+        lines = (json.dumps({"id": r["id"], "text": r["text"], "labels": r["labels"]}) for r in iterator)
+        for some in batched(lines, FILE):
+            files.append((f"data/{uuid.uuid4().hex}", len(some)))
+            store.write(files[-1][0], "\n".join(some))
+        return Written(files)
 
     def commit(self, messages, batchId: int) -> None:  # noqa: N803
         store, entry = Store(self.path), f"{batchId:020}"
-        files = [(m.name, m.n) for m in messages if m is not None and m.n]
+        files = [f for m in messages if m is not None for f in m.files]
         if store.read(f"log/{entry}") is not None or store.read("last") == entry:
             for name, _ in files:  # a batch that was repeated
                 store.remove(name)
@@ -89,8 +94,8 @@ class Writer(DataSourceStreamWriter):
 
     def abort(self, messages, batchId: int) -> None:  # noqa: N803
         for m in messages:
-            if m is not None:
-                Store(self.path).remove(m.name)
+            for name, _ in m.files if m is not None else []:
+                Store(self.path).remove(name)
 
 
 class Range(InputPartition):

@@ -50,6 +50,19 @@ def test_repeated_writer_batch_appends_nothing(spark):
     assert len(queue.Store(path).files.get_file_info(queue.fs.FileSelector(f"{queue.Store(path).root}/data"))) == 1
 
 
+def test_files_of_a_long_task(spark):
+    """A batch opens files of bounded length, however many messages one task wrote."""
+    path, n = scratch_dir(spark, "queue"), 2 * queue.FILE + 1
+    writer, reader = queue.Writer(path), queue.Reader(path, n)
+    writer.commit([writer.write({"id": str(i), "text": "t", "labels": None} for i in range(n))], 0)
+    files = [size for _, _, found in queue.Store(path).log() for _, size in found]
+    assert files == [queue.FILE, queue.FILE, 1]
+    parts = reader.partitions({"offset": queue.FILE - 2}, {"offset": queue.FILE + 3})
+    assert [m[0] for p in parts for m in reader.read(p)] == [str(i) for i in range(queue.FILE - 2, queue.FILE + 3)]
+    writer.abort([writer.write({"id": str(i), "text": "t", "labels": None} for i in range(n))], 1)
+    assert len(queue.Store(path).files.get_file_info(queue.fs.FileSelector(f"{queue.Store(path).root}/data"))) == 3
+
+
 def test_expiry(spark):
     """Writes that follow each other, that run out, equal times, a key that comes back after its end."""
     path, ttl = scratch_dir(spark, "ttl"), 100
