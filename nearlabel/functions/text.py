@@ -10,7 +10,7 @@ URLS = r"((www\.[\s]+)|(https?://[^\s]+))"
 MENTIONS = r"@([^\s]+)"
 REPEATS = r"([a-z])\1{1,}"
 NUMBERS = r"[1-9]\s*(\w+)"
-TOKEN_BREAK = r"[^A-Za-z0-9_£$%<>]"
+TOKEN = r"[A-Za-z0-9_£$%<>]+"
 RETWEET, DIGITS, LINKS, NAMES = r"rt\s", r"[\d,]+", r"https?://\S+", r"@\S+"
 
 
@@ -51,7 +51,7 @@ def preprocess(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-case tokens in order, repeats kept; £, $, %, <, > and _ belong to tokens."""
-    return F.filter(F.split(F.lower(c), TOKEN_BREAK), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def _four_deletions(c: Column) -> Column:

@@ -202,3 +202,13 @@ def test_work_dir_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         session.work_dir(Session())
+
+
+def test_words_are_taken_in_one_pass(spark):
+    """Tokens are found, not what is left between breaks; signs of any width break them."""
+    texts = ["", " .,", "a", "Ab-c\U0001f600d_£1$% <x>\u00e9y\n\nEnd.", None, "\u0130x \ud55cz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.words(F.col("t")).alias("w"))
+    by_split = F.filter(F.split(F.lower("t"), r"[^A-Za-z0-9_£$%<>]"), lambda w: w != "")
+    want = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", by_split.alias("w"))
+    assert df.collect() == want.collect() and df.collect()[3].w == ["ab", "c", "d_£1$%", "<x>", "y", "end"]
+    assert "split" not in df._jdf.queryExecution().toString()
