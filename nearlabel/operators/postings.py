@@ -30,7 +30,12 @@ BLOCKS = "token string, first long, last long, n int, most long, ids binary, cou
 
 def coded(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """Non-negative integers as bytes of seven bits, low ones first, the eighth set where more follow; one string for each
-    run that begins at ``starts``."""
+    run that begins at ``starts``, the first at 0."""
+    return strings(values, starts).to_pylist()
+
+
+def strings(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """As ``coded``, where they lie: no object a string."""
     values = values.astype(np.uint64)
     bits = np.frexp(np.maximum(values, 1).astype(np.float64))[1]  # may be one too many for values of over 53 bits
     size = np.maximum(1, -(-bits // 7))
@@ -38,12 +43,19 @@ def coded(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     out = ((values[row] >> (7 * at).astype(np.uint64)) & np.uint64(127)).astype(np.uint8)
     out[at < size[row] - 1] |= 128
-    text, ends = out.tobytes(), np.append(np.cumsum(size), 0)
-    edges = [int(ends[s - 1]) if s else 0 for s in starts] + [len(text)]
-    return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    edges = np.append(np.concatenate([[0], np.cumsum(size)])[starts], len(out)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def joined(binary: pa.Array) -> np.ndarray:
+    """The bytes of all strings, one after another."""
+    whole = binary.cast(pa.large_binary())
+    _, offsets, data = whole.buffers()
+    edges = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
 
 
-def decoded(data: bytes) -> np.ndarray:
+def decoded(data: bytes | np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     last = np.nonzero(raw < 128)[0]
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
@@ -69,7 +81,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps = np.diff(ids, prepend=0)
         gaps[starts] = 0
         yield pa.RecordBatch.from_arrays(
-            [token.take(pa.array(starts)), pa.array(ids[starts]), pa.array(ids[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(coded(gaps, starts), pa.binary()), pa.array(coded(tf, starts), pa.binary())],
+            [token.take(pa.array(starts)), pa.array(ids[starts]), pa.array(ids[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(np.maximum.reduceat(tf, starts)), strings(gaps, starts), strings(tf, starts)],
             names=["token", "first", "last", "n", "most", "ids", "counts"],
         )
 
@@ -78,10 +90,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            n = part.column("n").to_numpy()
-            ids = [a + np.cumsum(decoded(b)) for a, b in zip(part.column("first").to_pylist(), part.column("ids").to_pylist(), strict=True)]
-            counts = [decoded(b) for b in part.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("token").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], names=["token", "doc_id", "tf"])
+            n, gaps = part.column("n").to_numpy(), decoded(joined(part.column("ids")))
+            upto = np.cumsum(gaps)
+            before = part.column("first").to_numpy() - upto[np.cumsum(n) - n]  # a block's first gap is 0
+            ids = upto + np.repeat(before, n)
+            yield pa.RecordBatch.from_arrays([part.column("token").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(ids), pa.array(decoded(joined(part.column("counts"))))], names=["token", "doc_id", "tf"])
 
 
 def blocks(postings: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearlabel.functions import text as T
@@ -75,3 +76,16 @@ def test_search_reads_less_than_half(spark):
     share = cost["sum(read)"] / cost["sum(postings)"]
     print("share of postings read", share)
     assert share < 0.5
+
+
+def test_blocks_are_decoded_side_by_side(monkeypatch):
+    """All blocks of a batch in one pass over their bytes, whatever their sizes; a slice of a batch too."""
+    rng, calls, real = np.random.default_rng(3), [], postings.decoded
+    rows = [(f"t{t}", int(d), int(c)) for t in range(40) for d, c in zip(np.unique(rng.integers(-(1 << 40), 1 << 60, 1 + t * 9)), rng.integers(0, 1 << 20, 400), strict=False)]
+    batch = pa.RecordBatch.from_pydict({"token": pa.array([r[0] for r in rows]), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "tf": pa.array([r[2] for r in rows], pa.int64())})
+    blocks = next(postings._encode([batch]))
+    monkeypatch.setattr(postings, "decoded", lambda x: calls.append(1) or real(x))
+    for part in (blocks, blocks.slice(7)):
+        got = [tuple(r.values()) for b in postings._decode([part]) for r in b.to_pylist()]
+        assert got == rows[-len(got) :] and len(got) == sum(part.column("n").to_pylist())
+    assert len(calls) == 4
