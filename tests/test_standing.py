@@ -81,3 +81,22 @@ def test_crowded_buckets_are_cut_into_runs(spark, monkeypatch):
     monkeypatch.setattr(lsh, "CROWDED", 32)
     got = lsh.query_then_insert(sigs, p)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 1500
+
+
+def test_buckets_filled_alone_are_probed_without_vectors(spark):
+    """Documents that only probes meet start no stream of vectors; the state holds packed queues."""
+    p, path = lsh.Params(tables=2, bits=3, capacity=2), scratch_dir(spark, "standing")
+    rows = spark.createDataFrame([(i, d, float(i % 3 - d)) for i in range(9) for d in range(3)], "doc_id long, pos long, w double")
+    index = standing.Standing(spark, path, p)
+    index.fill(rows, lsh.F.col("doc_id"))
+    index.advance()
+    index.fill(rows.withColumn("doc_id", lsh.F.col("doc_id") + 9), lsh.F.col("doc_id"))
+    index.advance()
+    assert not index._found("wanted") and not index._found("vectors")
+    sigs = lsh.signatures(rows.selectExpr("doc_id", "pos", "cast(round(w * 1000000) as bigint) AS q"), p)
+    line = {}
+    for r in sorted(sigs.collect()):
+        line.setdefault((r.tbl, r.bucket), []).append(r.doc_id)
+    want = {(t, b, i, k + 1) for (t, b), v in line.items() for k, i in enumerate(([*v, *[i + 9 for i in v]])[::-1][: p.capacity])}
+    assert set(map(tuple, standing.buckets(spark, f"{path}/buckets").collect())) == want
+    assert dict(spark.read.format("statestore").option("stateVarName", "held").load(f"{path}/buckets").select("value.*").dtypes) == {"bucket": "binary", "id": "binary"}
