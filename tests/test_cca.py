@@ -63,3 +63,20 @@ def test_machines_equal_single_fits(spark, monkeypatch):
     for j in range(3):
         want = single(z, np.where(y[:, j], 1.0, -1.0), 1.0)
         assert np.allclose(got[j], want, atol=5e-2) and ((z @ got[j] > 0) == (z @ want > 0)).mean() > 0.98
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 30, 0])
+def test_rounds_without_joins(spark, monkeypatch, cells):
+    """Columns sent whole, two at a time, or, beyond what may be sent, joined: the dense solution, and joins in each round
+    only in the last case."""
+    x, y = made(2, 40, 12, 4)
+    left = cca.Centred(frame(spark, x), len(x), Scratch(spark, "cca"), 0.5)
+    right = left.back(frame(spark, y).groupBy("doc_id").pivot("pos", [0, 1, 2, 3]).sum("w").na.fill(0.0).withColumnsRenamed({str(i): f"c{i}" for i in range(4)}), y.mean(axis=0), 4)
+    joined, times = [], cca.times
+    monkeypatch.setattr(cca, "times", lambda *a: joined.append(1) or times(*a))
+    monkeypatch.setattr(cca, "CELLS", cells)
+    got = {r.pos: r[1:] for r in left.solve(right, 4, 1e-7, 60).collect()}
+    cx = x - x.mean(axis=0)
+    want = np.linalg.solve(cx.T @ cx + 0.5 * np.eye(12), cx.T @ (y - y.mean(axis=0)))
+    assert np.allclose([got[i] for i in range(12)], want, atol=1e-5)
+    assert bool(joined) == (not cells)

@@ -65,3 +65,12 @@ def test_training_against_dense_algebra(spark):
     sure = [k for k, v in want.items() if abs(v) > 0.02]
     assert len(sure) > 130 and all((name in got[i]) == (want[i, name] > 0) for i, name in sure)
     assert [name for name in names if want[4, name] > 0] == got[4]
+
+
+def test_texts_are_analyzed_once(spark, monkeypatch):
+    """Terms, weights and what the query predicts come from one pass over the texts."""
+    passes, analyzed = [], ml.analyzed
+    monkeypatch.setattr(ml, "analyzed", lambda d: passes.append(1) or analyzed(d))
+    rows = [(i, ["red house", "blue garden", None][i % 3], ["a", "b", "a"][i % 3], "s") for i in range(9)]
+    monkeypatch.setattr(registry, "docs", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert registry.queries()["svm_predict"](spark, "").count() == 9 and len(passes) == 1
