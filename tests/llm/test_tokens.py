@@ -201,3 +201,17 @@ def test_ranges_are_read_by_segment(spark, tmp_path):
         assert all(bytes(r.ids) == whole[4 * r.start : 4 * r.start + len(r.ids)] and r.start < last and r.start + len(r.ids) // 4 > first for r in rows)
         held = sum(min(last, r.start + len(r.ids) // 4) - max(first, r.start) for r in rows)
         assert held == max(0, min(last, n) - first)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_letters_are_not_searched(name):
+    """Only pieces with other characters go through the pattern; ids are the library's, across batches and kinds of pieces."""
+    enc = pieces.PieceEncoder(pieces.vocabulary(name))
+    texts = ["The House naïve straße ÷ x×y don't end.", "the house Ünder é a1   b 　 c  d", None, "plain words alone", "日本 <|endoftext|> x"]
+    tok, searched, find = enc.tok, [], enc.find
+    enc.find = lambda text: searched.append(text) or find(text)
+    for _ in range(2):
+        flat, n = enc.ids(texts)
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert not any(w in text for text in searched for w in (" words", " alone", " house"))
