@@ -82,6 +82,21 @@ def test_expiry(spark):
         assert got == sorted(r[:3] for r in want.values() if t < r[3] + ttl), t
 
 
+def test_expiry_keeps_shares_not_keys(spark):
+    """The state has a row a share of the keys, however many keys; one key is null, and what has run out goes."""
+    path, ttl = scratch_dir(spark, "ttl"), 100
+    for k, some in enumerate(["id < 700", "id % 2 = 0"]):
+        rows = spark.range(1000).filter(some).selectExpr("nullif(id, 4) AS key", f"id + {k * 1000} AS version", f"'{k}' AS value", f"timestamp_seconds(1000 + {k * 1000} + id % 3) AS ts")
+        rows.write.mode("append").parquet(f"{path}/writes")
+        expiry.run(spark.readStream.schema(rows.schema).parquet(f"{path}/writes"), path, ttl)
+    state = spark.read.format("statestore").option("stateVarName", "live").load(f"{path}/checkpoint")
+    assert 0 < state.count() <= expiry.SHARES
+    assert {r.version for r in expiry.open_(spark, f"{path}/checkpoint", ttl).collect()} == {i + 1000 for i in range(0, 1000, 2)}
+    for t, ids, k in ((1050, range(700), 0), (2050, range(0, 1000, 2), 1)):
+        got = {tuple(r) for r in expiry.live(spark, path, ttl, expiry.F.lit(t * 1_000_000)).collect()}
+        assert got == {(None if i == 4 else i, i + k * 1000, str(k)) for i in ids}
+
+
 def test_scratch_folders_go(spark):
     """Each folder has one owner, and none is left after ``release``."""
     session.release(spark)
