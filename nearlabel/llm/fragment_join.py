@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearlabel.llm import forget
 from nearlabel.operators.graph import Scratch, connected_components
 
 #: Fragments for the overlaps; bits of the tables that tell which keys and sets are needed again; most sets and (on
@@ -178,6 +179,7 @@ _SETS = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (with a column ``text``) in slices of at most ROWS rows and about PART_BYTES bytes of text, or one row."""
+    forget()
     for batch in batches:
         upto = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))])
         lo = 0

@@ -28,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearlabel.llm import forget
 from nearlabel.operators.graph import Scratch
 
 #: Most labelled examples of a class and bytes of their texts (expected), neighbours that vote, entries in a block.
@@ -44,6 +45,7 @@ BATCH = 1 << 20
 
 def words_of(texts: list[str | None]) -> pa.Array:
     """Lists of the texts' words, in lower case: runs of letters, digits and underscores; empty strings are none."""
+    forget()
     return pc.split_pattern_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), r"[^\pL\pN_]+")
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -215,3 +216,15 @@ def test_words_of_letters_are_not_searched(name):
         want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
     assert not any(w in text for text in searched for w in (" words", " alone", " house"))
+
+
+def test_encoders_go_when_other_operators_begin():
+    """A worker that hashes sets or counts terms holds no tokenizer and memo of an earlier task."""
+    from nearlabel.llm import KEPT, fragment_join, pieces, toxicity
+
+    path, batch = pieces.vocabulary("word_bpe_49k.json"), pa.record_batch({"text": ["a b"]})
+    for other in (lambda: toxicity.words_of(["a b"]), lambda: list(fragment_join._slices(iter([batch])))):
+        enc = pieces.encoder(path)
+        assert pieces.encoder(path) is enc and path in KEPT
+        other()
+        assert not KEPT
