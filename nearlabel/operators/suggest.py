@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearlabel.functions import text as T
-from nearlabel.operators import dictionary, lsh
+from nearlabel.operators import chunks, lsh
 from nearlabel.operators.graph import cut
 
 
@@ -34,24 +33,25 @@ def by_search(ranked: DataFrame, enough: int = 5, compat: bool = False) -> DataF
     return counted.filter(F.col("before") <= enough).select("query_id", "rank", F.explode("labels").alias("label"))
 
 
-def neighbours(queries: DataFrame, docs: DataFrame, p: lsh.Params | None = None, tokens=T.words) -> DataFrame:
+def neighbours(queries: DataFrame, docs: DataFrame, p: lsh.Params | None = None) -> DataFrame:
     """The request path: (query_id, rank, cand_id, n, cos_sim) for texts (query_id, text) against (doc_id, text).
 
     Clean, tokenize, weigh by the documents' dictionary, probe the buckets, count collisions, keep ``top_candidates`` by
-    count, take the cosine (of six digits), keep ``top_k`` above ``min_sim``. Texts are cleaned once.
+    count, take the cosine (of six digits), keep ``top_k`` above ``min_sim``. Texts are cleaned once, and stay in chunks; of
+    the documents' signatures only those in buckets that somebody asks are moved, of their vectors only the candidates'.
     """
     p = p or lsh.Params()
-    total = docs.select("doc_id")
-    tf = cut(dictionary.term_freq(docs, tokens(T.preprocess(F.col("text")))), "tf")
-    qf = cut(dictionary.term_freq(queries.withColumnRenamed("query_id", "doc_id"), tokens(T.preprocess(F.col("text")))), "qf")
-    entries = cut(dictionary.of_terms(tf, total), "dictionary")
-    dv = cut(dictionary.tfidf(tf, entries), "vectors")
-    qv = cut(dictionary.tfidf(qf, entries), "vectors")
-    micro = F.round(F.col("w") * 1_000_000).cast("bigint").alias("q")
-    ds = lsh.signatures(dv.select("doc_id", "pos", micro), p)
-    qs = lsh.signatures(qv.select("doc_id", "pos", micro), p).withColumnRenamed("doc_id", "query_id")
+    packed = chunks.pack(docs, clean=True)
+    entries = chunks.entries(packed, docs.select("doc_id"))
+    signs = lsh.signs(entries, p)
+    dv = chunks.vectors(packed, entries, p, signs)
+    qv = chunks.vectors(chunks.pack(queries.withColumnRenamed("query_id", "doc_id"), clean=True), entries, p, signs)
+    qs = chunks.signatures(qv).withColumnRenamed("doc_id", "query_id")
+    asked = F.broadcast(qs.select("tbl", "bucket").distinct())  # at most all buckets of all tables
+    ds = chunks.signatures(dv).join(asked, ["tbl", "bucket"], "left_semi")
     near = cut(lsh.top_n(lsh.collisions(lsh.query_only(qs, ds, p)), p.top_candidates, "n").drop("rank"), "candidates")
-    sims = lsh.sparse_cosine(near, qv.withColumnRenamed("doc_id", "query_id"), dv)
+    own = chunks.unpacked(dv.join(near.select(F.col("cand_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sims = lsh.sparse_cosine(near, chunks.unpacked(qv).withColumnRenamed("doc_id", "query_id"), own)
     ranked = lsh.top_n(sims.filter(F.col("cos_sim") > p.min_sim), p.top_k, "cos_sim")
     return ranked.join(near, ["query_id", "cand_id"]).select("query_id", "rank", "cand_id", "n", "cos_sim")
 
