@@ -2,8 +2,8 @@
 that takes at most ``most`` messages a batch and hears when they are done with.
 
 A batch of the writer is one entry of the queue's log, named by the writer's batch number, so a batch that is repeated
-appends nothing. Offsets count messages. A reader's batch is a range of offsets; until the stream commits it the
-messages stay, so a batch that fails is read again, and what is committed is taken away. Files are opened where they are
+appends nothing. Offsets count messages. A reader's batch is a range of offsets, taken by one task; a micro-batch may hold
+several batches that are taken side by side (``ahead``). Until the stream commits it the messages stay, so a batch that fails is read again, and what is committed is taken away. Files are opened where they are
 read, in whatever store the path names; the driver sees the log alone, one small entry a batch that isn't taken yet.
 """
 
@@ -99,16 +99,16 @@ class Writer(DataSourceStreamWriter):
 
 
 class Range(InputPartition):
-    """Some messages of one file."""
+    """A batch: some messages of some files, (name, first, last)."""
 
-    def __init__(self, name: str, first: int, last: int):
+    def __init__(self, pieces: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.name, self.first, self.last = name, first, last
+        self.pieces = pieces
 
 
 class Reader(DataSourceStreamReader):
-    def __init__(self, path: str, most: int):
-        self.path, self.most, self.at = path, most, None
+    def __init__(self, path: str, most: int, ahead: int = 1):
+        self.path, self.most, self.ahead, self.at = path, most, ahead, None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"offset": int(Store(self.path).read("done") or 0)}
@@ -116,25 +116,28 @@ class Reader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         if self.at is None:
             self.at = self.initialOffset()["offset"]
-        self.at = min(self.at + self.most, Store(self.path).end())
+        self.at = min(self.at + self.most * self.ahead, Store(self.path).end())
         return {"offset": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         self.at = end["offset"]
-        out = []
+        batches: dict[int, list] = {}
         for _, at, files in Store(self.path).log():
             for name, n in files:
-                first, last = max(at, start["offset"]) - at, min(at + n, end["offset"]) - at
-                if first < last:
-                    out.append(Range(name, first, last))
+                lo, last = max(at, start["offset"]), min(at + n, end["offset"])
+                while lo < last:
+                    number = (lo - start["offset"]) // self.most
+                    hi = min(last, start["offset"] + (number + 1) * self.most)
+                    batches.setdefault(number, []).append((name, lo - at, hi - at))
+                    lo = hi
                 at += n
-        return out
+        return [Range(pieces) for pieces in batches.values()]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        lines = (Store(self.path).read(partition.name) or "").split("\n")
-        for line in lines[partition.first : partition.last]:
-            m = json.loads(line)
-            yield m["id"], m["text"], m["labels"]
+        for name, first, last in partition.pieces:
+            for line in (Store(self.path).read(name) or "").split("\n")[first:last]:
+                m = json.loads(line)
+                yield m["id"], m["text"], m["labels"]
 
     def commit(self, end: dict) -> None:
         """Messages before ``end`` are done with; files and entries go once all of theirs are."""
@@ -148,7 +151,7 @@ class Reader(DataSourceStreamReader):
 
 
 class Queue(DataSource):
-    """Options: path, most."""
+    """Options: path, most, ahead."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,7 +161,7 @@ class Queue(DataSource):
         return SCHEMA
 
     def streamReader(self, schema: StructType) -> Reader:  # noqa: N802
-        return Reader(self.options["path"], int(self.options.get("most", MOST)))
+        return Reader(self.options["path"], int(self.options.get("most", MOST)), int(self.options.get("ahead", 1)))
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> Writer:  # noqa: N802
         return Writer(self.options["path"])
@@ -170,10 +173,11 @@ def push(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return messages.writeStream.format("message_queue").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def take(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
-    """The queue as a stream of messages."""
+def take(spark: SparkSession, path: str, most: int = MOST, ahead: int = 1) -> DataFrame:
+    """The queue as a stream of messages, ``most`` a batch. A micro-batch takes up to ``ahead`` batches, each a task that
+    writes a file of its own, and acknowledges them together: what a micro-batch costs is shared by them."""
     spark.dataSource.register(Queue)
-    return spark.readStream.format("message_queue").option("path", path).option("most", most).load()
+    return spark.readStream.format("message_queue").option("path", path).option("most", most).option("ahead", ahead).load()
 
 
 def drain(messages: DataFrame, path: str, checkpoint: str, each: Callable[[int], None] | None = None) -> None:

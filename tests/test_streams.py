@@ -63,6 +63,35 @@ def test_files_of_a_long_task(spark):
     assert len(queue.Store(path).files.get_file_info(queue.fs.FileSelector(f"{queue.Store(path).root}/data"))) == 3
 
 
+def test_batches_side_by_side(spark):
+    """A micro-batch of up to three batches: each is a file of at most 40 messages, over the ends of files; a micro-batch
+    that fails comes again whole, and what is done goes."""
+    path = scratch_dir(spark, "queue")
+    send(spark, path, 0, 130)
+    reader = queue.Reader(f"{path}/queue", 40, 3)
+    parts = reader.partitions({"offset": 7}, reader.latestOffset())
+    assert [len(list(reader.read(p))) for p in parts] == [40, 40, 33] and max(len(p.pieces) for p in parts) > 1
+    assert len({m[0] for p in parts for m in reader.read(p)}) == 113
+    failed = []
+
+    def each(number):
+        if number == 1 and not failed:
+            failed.append(number)
+            raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        queue.drain(queue.take(spark, f"{path}/queue", 40, 3), f"{path}/got", f"{path}/checkpoint", each)
+    assert queue.Store(f"{path}/queue").end() == 130
+    queue.drain(queue.take(spark, f"{path}/queue", 40, 3), f"{path}/got", f"{path}/checkpoint", each)
+    rows = spark.read.schema(f"{queue.SCHEMA}, batch int").parquet(f"{path}/got").selectExpr("id", "batch", "input_file_name() AS f").collect()
+    assert sorted(int(r.id) for r in rows) == list(range(130))
+    sizes = {}
+    for r in rows:
+        sizes[r.batch, r.f] = sizes.get((r.batch, r.f), 0) + 1
+    assert sorted((b, n) for (b, _), n in sizes.items()) == [(0, 40), (0, 40), (0, 40), (1, 10)]
+    assert int(queue.Store(f"{path}/queue").read("done")) >= 120
+
+
 def test_expiry(spark):
     """Writes that follow each other, that run out, equal times, a key that comes back after its end."""
     path, ttl = scratch_dir(spark, "ttl"), 100
