@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearlabel.functions import text as T
@@ -21,6 +21,8 @@ from nearlabel.operators.graph import cut
 
 #: Bytes of text of a chunk; a document is never parted.
 CHUNK = 1 << 23
+#: Bytes of text of a batch that a chunk takes.
+BATCH = 1 << 26
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -43,39 +45,45 @@ def pack(docs: DataFrame, clean: bool = False) -> DataFrame:
     the entries, document by document and by word, then the words and the documents that hold them. Most texts have nothing
     that ``preprocess`` knows but blanks, which end words anyway, and repeated letters; only others go through its patterns.
     """
-    x, n = F.coalesce("text", F.lit("")), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    odd = x.contains("\u0130") | x.contains("\u212a")  # letters whose small form is a word's
-    if clean:
-        odd = odd | x.rlike("[1-9@#&]") | x.contains("http") | x.contains("www.") | x.contains("RT")
-    done = F.when(odd, F.lower(T.preprocess(x) if clean else x)).otherwise(x)
-    rows = docs.select("doc_id", done.alias("text"), (F.lit(clean) & ~odd).alias("squeeze"))
+    rows, n = _plain(docs, clean), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "doc_id").sortWithinPartitions("doc_id")
 
     most = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, part in enumerate(_parts(batches, most)):
-            yield _chunk(first + k, part)
+        for k, part in enumerate(_parts(batches, most, "doc_id")):
+            ids, _, sizes, at, tf, words, df = _counted(part)
+            yield _row(("chunk", "ids", "sizes", "at", "tf", "words", "df"), first + k, ids, pa.array(sizes), at, tf, words, pa.array(df))
 
     kind = dict(docs.dtypes)["doc_id"]
     return cut(rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, at binary, tf binary, words array<string>, df array<int>"), "chunks")
 
 
+def _plain(docs: DataFrame, clean: bool, *keys: str) -> DataFrame:
+    """(doc_id, keys, text, squeeze): texts as ``found`` needs them."""
+    x = F.coalesce("text", F.lit(""))
+    odd = x.contains("\u0130") | x.contains("\u212a")  # letters whose small form is a word's
+    if clean:
+        odd = odd | x.rlike("[1-9@#&]") | x.contains("http") | x.contains("www.") | x.contains("RT")
+    done = F.when(odd, F.lower(T.preprocess(x) if clean else x)).otherwise(x)
+    return docs.select("doc_id", *keys, done.alias("text"), (F.lit(clean) & ~odd).alias("squeeze"))
+
+
 def _runs(ids: pa.Array) -> np.ndarray:
     """Where another id begins, in sorted ids; nulls are alike."""
     values = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1]) if len(values) else np.zeros(0, np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Sorted rows, cut between documents after about ``most`` bytes of text."""
+def _parts(batches: Iterator[pa.RecordBatch], most: int, key: str) -> Iterator[pa.Table]:
+    """Sorted rows, cut between keys after about ``most`` bytes of text."""
     rest = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if rest is None else pa.concat_tables([rest, rows])
         ends = np.cumsum(_sizes(rows["text"].combine_chunks()))
-        starts, lo = _runs(rows["doc_id"].combine_chunks()), 0
+        starts, lo = _runs(rows[key].combine_chunks()), 0
         while lo < len(rows):
             after = starts[starts > max(lo, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))]
             if not len(after):
@@ -124,19 +132,29 @@ def found(texts: pa.Array, squeeze: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), np.diff(upto)
 
 
-def _chunk(number: int, rows: pa.Table) -> pa.RecordBatch:
+def _counted(rows: pa.Table) -> tuple:
+    """Of sorted rows: the documents' ids and numbers of rows, sizes, entries (number of the word, tf), words and df."""
     ids, texts = rows["doc_id"].combine_chunks(), rows["text"].combine_chunks()
     words, n = found(texts, rows["squeeze"].combine_chunks().to_numpy(zero_copy_only=False))
     coded, runs = words.dictionary_encode(), _runs(ids)
-    vocabulary = coded.dictionary
+    vocabulary, times = coded.dictionary, np.diff(np.append(runs, len(ids)))
     many = max(1, len(vocabulary))
-    doc = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(ids))))
+    doc = np.repeat(np.arange(len(runs)), times)
     keys, tf = np.unique(np.repeat(doc, n) * many + coded.indices.to_numpy().astype(np.int64), return_counts=True)
     doc, at = keys // many, (keys % many).astype(np.int32)
     sizes, df = np.bincount(doc, minlength=len(runs)).astype(np.int32), np.bincount(at, minlength=len(vocabulary)).astype(np.int32)
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    columns = [pa.array([number]), one(ids.take(pa.array(runs))), one(pa.array(sizes)), pa.array([at.tobytes()], pa.binary()), pa.array([tf.astype(np.int32).tobytes()], pa.binary()), one(vocabulary), one(pa.array(df))]
-    return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "at", "tf", "words", "df"])
+    return ids.take(pa.array(runs)), times, sizes, at, tf.astype(np.int32), vocabulary, df
+
+
+def _row(names: tuple[str, ...], *values) -> pa.RecordBatch:
+    """One row: numbers as they are, arrays as lists, numpy's as binaries."""
+
+    def column(x) -> pa.Array:
+        if isinstance(x, pa.Array):
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.array([x.tobytes()], pa.binary()) if isinstance(x, np.ndarray) else pa.array([x])
+
+    return pa.RecordBatch.from_arrays([column(x) for x in values], names=names)
 
 
 def _words(chunks: DataFrame) -> DataFrame:
@@ -184,6 +202,60 @@ def _weighed(packed: pa.Table, named: pa.Table, p: lsh.Params, signs: tuple[np.n
     return pa.table({"doc_id": ids.take(pa.array(there)), "pos": lists(pos, ends), "w": lists(w, ends), "buckets": lists(buckets.ravel(), np.arange(1, len(there) + 1) * p.tables)})
 
 
+def online(docs: DataFrame) -> DataFrame:
+    """``dictionary.online_vectors`` of (doc_id, batch, text) by ``T.words``; a document's rows are of one batch.
+
+    Chunks hold whole batches, in their order. A word's documents before a chunk are a running sum of a row a chunk and word;
+    those of the chunk's own batches are counted in it. Batches of more text than ``BATCH`` don't fit chunks and go row by
+    row.
+    """
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    largest = docs.groupBy("batch").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > BATCH:
+        return dictionary.online_vectors(docs.select("doc_id", "batch", T.words(F.col("text")).alias("tokens")))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _plain(docs.withColumn("batch", F.col("batch").cast("long")), False, "batch").repartitionByRange(n, "batch").sortWithinPartitions("batch", "doc_id")
+    most = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(_parts(batches, most, "batch")):
+            ids, times, sizes, at, tf, words, df = _counted(part)
+            number, batch = ids.to_numpy(), part["batch"].to_numpy()[np.cumsum(times) - times]
+            seq = np.full(len(words), np.iinfo(np.int64).max)
+            np.minimum.at(seq, at, np.repeat(number, sizes))
+            yield _row(("chunk", "docs", "ids", "batches", "times", "sizes", "at", "tf", "words", "df", "seq"), first + k, len(part), number, batch, times, sizes, at, tf, words, pa.array(df), pa.array(seq))
+
+    kept = cut(rows.mapInArrow(run, "chunk long, docs long, ids binary, batches binary, times binary, sizes binary, at binary, tf binary, words array<string>, df array<int>, seq array<long>"), "chunks")
+    held = kept.select("chunk", F.posexplode(F.arrays_zip("words", "df", "seq")).alias("number", "x"))
+    held = held.select(F.col("chunk").alias("own"), "number", F.col("x.words").alias("token"), F.col("x.df").alias("df"), F.col("x.seq").alias("seq"))
+    before = F.sum("df").over(Window.partitionBy("token").orderBy("own")) - F.col("df")
+    named = held.select("own", "number", "token", before.alias("before")).join(dictionary.first_seen(held), "token").select("own", "number", "before", "position", "first")
+    prior = kept.select("chunk", (F.sum("docs").over(Window.orderBy("chunk")) - F.col("docs")).alias("prior"))  # a row a chunk
+    left = kept.select("chunk", "ids", "batches", "times", "sizes", "at", "tf").join(F.broadcast(prior), "chunk")
+    return left.groupBy("chunk").cogroup(named.groupBy("own")).applyInArrow(_online, "doc_id long, pos long, w double, new_words long")
+
+
+def _online(packed: pa.Table, named: pa.Table) -> pa.Table:
+    kinds = {"ids": np.int64, "batches": np.int64, "times": np.int64, "sizes": np.int32, "at": np.int32, "tf": np.int32}
+    ids, batches, times, sizes, at, tf = (np.frombuffer(packed[x][0].as_buffer(), kind) for x, kind in kinds.items())
+    number = named["number"].to_numpy()
+    before, position, first = np.zeros((3, len(number)), np.int64)
+    for out, name in ((before, "before"), (position, "position"), (first, "first")):
+        out[number] = named[name].to_numpy()
+    _, b = np.unique(batches, return_inverse=True)
+    d = packed["prior"][0].as_py() + np.cumsum(np.bincount(b, times)).astype(np.int64)  # as of each batch
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    key = at.astype(np.int64) * (len(d) + 1) + b[doc]
+    line = np.sort(key)
+    df = before[at] + np.searchsorted(line, key, "right") - np.searchsorted(line, at.astype(np.int64) * (len(d) + 1), "left")
+    w = tf * (np.log10(d.astype(np.float64))[b[doc]] / (df + 1))
+    size = np.sqrt(np.bincount(doc, w * w, len(ids)))[doc]
+    new = np.bincount(doc, first[at] == ids[doc], len(ids)).astype(np.int64)[doc]
+    there = size > 0
+    return pa.table({"doc_id": ids[doc], "pos": position[at], "w": pa.array(w / np.where(there, size, 1), mask=~there), "new_words": new})
+
+
 def signatures(rows: DataFrame) -> DataFrame:
     """(doc_id, tbl, bucket) of ``vectors``."""
     return rows.select("doc_id", F.posexplode("buckets").alias("tbl", "bucket"))

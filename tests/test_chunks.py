@@ -58,3 +58,17 @@ def test_rare_words_need_no_room(spark, monkeypatch):
     planes, pos = lsh.Planes(p), np.array([4, 1, 0, 3])
     assert (planes.fetched(pos, (held, bits)) == planes.made(pos.tolist())).all()
     assert (planes.fetched(pos, (held[:0], bits[:0])) == planes.made(pos.tolist())).all()
+
+
+def test_online_vectors_by_chunks(spark, sf, monkeypatch):
+    """Chunks of a few batches give what a row a document and word gives, and so do batches that are too large for them;
+    no row a document and word is moved."""
+    monkeypatch.setattr(chunks, "CHUNK", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("doc_id") / 7).cast("long").alias("batch"), "text")
+    docs = docs.union(spark.createDataFrame([(3, 0, "again the text"), (100_000, 14_285, None), (100_001, 14_285, "x. Y, \u212ay")], docs.schema))
+    sorted_rows = lambda df: sorted(map(tuple, df.withColumn("w", F.round("w", 6)).collect()))
+    want = sorted_rows(D.online_vectors(docs.select("doc_id", "batch", T.words(F.col("text")).alias("tokens"))))
+    got = chunks.online(docs)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString() and sorted_rows(got) == want
+    monkeypatch.setattr(chunks, "BATCH", 10)
+    assert sorted_rows(chunks.online(docs)) == want
