@@ -74,3 +74,15 @@ def test_texts_are_analyzed_once(spark, monkeypatch):
     rows = [(i, ["red house", "blue garden", None][i % 3], ["a", "b", "a"][i % 3], "s") for i in range(9)]
     monkeypatch.setattr(registry, "docs", lambda *_: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     assert registry.queries()["svm_predict"](spark, "").count() == 9 and len(passes) == 1
+
+
+def test_words_are_found_at_once(spark):
+    """Texts with names, links and tags, and without: the words of ``plain_words`` between breaks, no stop words, stems."""
+    texts = ["The Houses, the gardens_x a b2 été x-ray", "see HTTP://x.y/z and @name houses", "#tagged#words http", "", None, "it's   not\nrunning (a)b", "mail a@b.c walking", "wHttp https-like ahttp"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stop = set(ml.StopWordsRemover.loadDefaultStopWords("english"))
+    words = F.filter(F.split(ml.T.plain_words(F.coalesce("text", F.lit(""))), r"\W+"), lambda w: F.length(w) > 1)
+    want = {r.doc_id: [ml.stem(w) for w in r.words if w not in stop] for r in docs.select("doc_id", words.alias("words")).collect()}
+    found = ml.analyzed(docs)
+    assert {r.doc_id: r.tokens for r in found.collect()} == want and want[0][:1] == ["hous"]
+    assert "split" not in found.select("tokens")._jdf.queryExecution().optimizedPlan().toString().split("ELSE")[-1]
